@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm import bpe, decontam, simhash
+from rollbook.llm import bpe, decontam, simhash, substring
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +23,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_decontamination, op6_byte_bpe, op7_simhash)}
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_decontamination, op6_byte_bpe, op7_simhash, op8_substring_dedup)}
 
 _OP4_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -43,4 +47,13 @@ items as (select doc_id, count(*) n_items, string_agg(s, ',' order by s) list
 select d.doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items,
        sha256(coalesce(list, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 from d left join words using (doc_id) left join items using (doc_id)""",
+    "op8_substring_dedup": """
+with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') w from documents),
+win as (select doc_id, i, list_aggregate(w[i:i + 49], 'string_agg', ' ') g from (select doc_id, w, unnest(range(1, len(w) - 48)) i from d where len(w) >= 50)),
+least_of as (select g, min(doc_id) a from win group by g),
+cut as (select distinct doc_id, unnest(range(i, i + 50)) p from win join least_of using (g) where doc_id > a),
+word as (select doc_id, unnest(w) x, unnest(range(1, len(w) + 1)) p from d),
+kept as (select doc_id, count(*) n, string_agg(x, ' ' order by p) t from word anti join cut using (doc_id, p) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) n_words, len(w) - coalesce(n, 0) n_removed, sha256(coalesce(t, '')) kept_sha256
+from d left join kept using (doc_id)""",
 }
