@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import map_batches
+from rollbook.llm.common import map_batches, once
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 REMEMBERED = 1 << 18
@@ -191,16 +191,8 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(*vocabulary(path), pattern)
 
 
-_received: dict[int, Codec] = {}
-
-
-def _codec_of(shared) -> Codec:
-    """The worker's codec, made from the broadcast vocabulary once."""
-    key = id(shared.value)
-    if key not in _received:
-        _received.clear()
-        _received[key] = Codec(*shared.value)
-    return _received[key]
+def _codec_of(model: tuple) -> Codec:
+    return Codec(*model)
 
 
 def _share(docs: DataFrame, path: str | None):
@@ -213,7 +205,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     shared = _share(docs, path)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = _codec_of(shared)
+        own = once(shared, _codec_of)
         n, of_ids, of_bytes = [], [], []
         for text in batch.column(1).to_pylist():
             ids = own.encode(text)
@@ -230,7 +222,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     shared = _share(docs, path)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = _codec_of(shared)
+        own = once(shared, _codec_of)
         ids = [np.frombuffer(own.encode(t), "<i4") for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "n_tokens", "ids"])
 
@@ -242,7 +234,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     shared = _share(encoded, path)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = _codec_of(shared)
+        own = once(shared, _codec_of)
         texts = [own.decode(np.array(x or [], "<u4").tobytes()).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 

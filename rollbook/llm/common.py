@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,3 +104,17 @@ def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
         h ^= h >> np.uint64(29)
         out[at : at + len(h)] = h
     return out
+
+
+_made: list[tuple] = []
+
+
+def once(shared: Broadcast, make: Callable) -> object:
+    """make(the broadcast's value), made once in each Python worker; the last few are kept."""
+    value = shared.value
+    for kept, maker, made in _made:
+        if kept is value and maker is make:
+            return made
+    del _made[:-15]
+    _made.append((value, make, make(value)))
+    return _made[-1][2]

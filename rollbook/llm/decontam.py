@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import WordHash, map_batches, utf8, window_hashes
+from rollbook.llm.common import WordHash, map_batches, once, utf8, window_hashes
 
 WINDOW = 10
 BLOCK_WINDOWS = 1 << 18
@@ -34,7 +34,6 @@ _FOLD = bytes((b | 0x20) if 0x41 <= b <= 0x5A else b if b in _WORD_BYTES else 0x
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _BITS = 20
 _hash = WordHash()
-_tables: dict[int, list] = {}
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -61,23 +60,18 @@ def _blocks(benchmark: DataFrame) -> Iterator[dict[bytes, list[str]]]:
     yield block
 
 
-def _lookup(shared: Broadcast) -> list[tuple[int, np.ndarray, np.ndarray, dict[bytes, list[str]]]]:
-    """For each window length: bitmap, sorted hashes, windows; built once in a worker."""
-    key = id(shared.value)
-    if key not in _tables:
-        by_length: dict[int, dict[bytes, list[str]]] = {}
-        for window, ids in shared.value.items():
-            by_length.setdefault(window.count(b" ") + 1, {})[window] = ids
-        made = []
-        for length, windows in sorted(by_length.items()):
-            hashes = np.unique(np.concatenate([window_hashes(_hash.of(w.split(b" ")), length) for w in windows]))
-            bitmap = np.zeros(1 << _BITS, bool)
-            bitmap[hashes >> np.uint64(64 - _BITS)] = True
-            made.append((length, bitmap, hashes, windows))
-        while len(_tables) > 7:
-            _tables.pop(next(iter(_tables)))
-        _tables[key] = made
-    return _tables[key]
+def _lookup(block: dict[bytes, list[str]]) -> list[tuple[int, np.ndarray, np.ndarray, dict[bytes, list[str]]]]:
+    """For each window length: bitmap, sorted hashes, windows."""
+    by_length: dict[int, dict[bytes, list[str]]] = {}
+    for window, ids in block.items():
+        by_length.setdefault(window.count(b" ") + 1, {})[window] = ids
+    made = []
+    for length, windows in sorted(by_length.items()):
+        hashes = np.unique(np.concatenate([window_hashes(_hash.of(w.split(b" ")), length) for w in windows]))
+        bitmap = np.zeros(1 << _BITS, bool)
+        bitmap[hashes >> np.uint64(64 - _BITS)] = True
+        made.append((length, bitmap, hashes, windows))
+    return made
 
 
 def find_hits(words: list[bytes], tables: list) -> tuple[list[tuple[int, int]], set[str]]:
@@ -117,7 +111,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None = None)
         shared = spark.sparkContext.broadcast(block)
 
         def each(batch: pa.RecordBatch, shared: Broadcast = shared) -> pa.RecordBatch:
-            tables = _lookup(shared)
+            tables = once(shared, _lookup)
             n, spans, items = [], [], []
             k = batch.num_columns - 4
             for text, old_spans, old_items in zip(batch.column(k).to_pylist(), batch.column(k + 2).to_pylist(), batch.column(k + 3).to_pylist(), strict=True):
