@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm import bpe, decontam, langid, ppm, simhash, substring
+from rollbook.llm import bpe, decontam, langid, media, ppm, sharding, simhash, substring
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -35,7 +39,11 @@ def op9_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language_id, op4_decontamination, op6_byte_bpe, op7_simhash, op8_substring_dedup, op9_ppm_scores)}
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language_id, op4_decontamination, op5_sharding, op6_byte_bpe, op7_simhash, op8_substring_dedup, op9_ppm_scores, op10_media_columns)}
 
 _OP4_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
