@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm import bpe, decontam, langid, media, ppm, sharding, simhash, substring
+from rollbook.llm import bpe, chat, decontam, htmltext, langid, media, ppm, sharding, simhash, substring
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -43,7 +51,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language_id, op4_decontamination, op5_sharding, op6_byte_bpe, op7_simhash, op8_substring_dedup, op9_ppm_scores, op10_media_columns)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_html_text, op4_decontamination, op5_sharding, op6_byte_bpe, op7_simhash, op8_substring_dedup, op9_ppm_scores, op10_media_columns)}
 
 _OP4_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
