@@ -218,15 +218,17 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens and ids (array of int) of each row."""
+    """doc_id, n_tokens, ids (array of int) and the SHA-256 of the bytes they decode to, of each row."""
     shared = _share(docs, path)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = once(shared, _codec_of)
-        ids = [np.frombuffer(own.encode(t), "<i4") for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "n_tokens", "ids"])
+        packed = [own.encode(t) for t in batch.column(1).to_pylist()]
+        ids = pa.array([np.frombuffer(x, "<i4") for x in packed], pa.list_(pa.int32()))
+        digest = [hashlib.sha256(own.decode(x)).hexdigest() for x in packed]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in packed], pa.int64()), ids, pa.array(digest)], names=["doc_id", "n_tokens", "ids", "decoded_sha256"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), each, "doc_id long, n_tokens long, ids array<int>")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), each, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
