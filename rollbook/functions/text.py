@@ -150,11 +150,14 @@ def normalize_name(c: Column) -> Column:
 
 
 def names(text: Column) -> Column:
-    """Names by context (0.8), then capitalized words that aren't among them (0.6)."""
-    known = F.filter(find_all(text, *NAMES), is_name)
-    new = F.filter(find_all(text, CAPITALIZED), lambda n: ~F.array_contains(known, n) & is_likely_name(n))
+    """Names by context (0.8), then capitalized words that aren't among them (0.6).
+
+    Both finds are bound in a struct first: inside a lambda they would be searched for again for each element.
+    """
+    found = F.array(F.struct(F.filter(find_all(text, *NAMES), is_name).alias("known"), find_all(text, CAPITALIZED).alias("caps")))
     made = lambda a, c: F.transform(a, lambda n: F.struct(normalize_name(n).alias("text"), F.lit(c).alias("confidence")))
-    return F.concat(made(known, 0.8), made(new, 0.6))
+    both = F.transform(found, lambda s: F.concat(made(s["known"], 0.8), made(F.filter(s["caps"], lambda n: ~F.array_contains(s["known"], n) & is_likely_name(n)), 0.6)))
+    return F.get(both, F.lit(0))
 
 
 def _tagged(text: Column, pattern: str, **tags: Column) -> Column:

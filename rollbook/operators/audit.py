@@ -138,3 +138,30 @@ def export(records: DataFrame, states: DataFrame, include_rejected: bool = False
 def orphans(records: DataFrame, sessions: DataFrame) -> DataFrame:
     """Records whose session is gone."""
     return records.join(sessions, "session_id", "left_anti")
+
+
+def database_stats(records: DataFrame, states: DataFrame) -> DataFrame:
+    """Sessions, records, reviewed and flagged ones in one row."""
+    a = records.agg(F.countDistinct("session_id").alias("sessions"), F.count("*").alias("records")).select(F.lit(1).alias("one"), "*")
+    b = states.agg(F.count("*").alias("flagged"), F.count_if(F.col("status").isin("approved", "rejected")).alias("reviewed")).select(F.lit(1).alias("one"), "*")
+    return a.join(b, "one").drop("one")
+
+
+def indexed(records: DataFrame) -> DataFrame:
+    """Each record with its place in its session, from 0."""
+    return records.withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy("record_id")) - 1)
+
+
+def list_sessions(sessions: DataFrame, k: int = 100) -> DataFrame:
+    """The k sessions uploaded last."""
+    return sessions.orderBy(F.desc("uploaded"), "session_id").limit(k)
+
+
+def preview(scored: DataFrame, least: float, columns: list[str], k: int = 50) -> DataFrame:
+    """The first k records whose confidence is at least that, with some columns."""
+    return scored.filter(F.col("overall") >= least).orderBy("record_id").limit(k).select("record_id", *columns)
+
+
+def hit_rate(log: DataFrame, hit: Column) -> DataFrame:
+    """Requests, hits and their rate, 0 without requests."""
+    return log.agg(F.count("*").alias("requests"), F.count_if(hit).alias("hits"), F.coalesce(F.try_divide(F.count_if(hit), F.count("*")), F.lit(0.0)).alias("rate"))

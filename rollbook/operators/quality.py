@@ -197,3 +197,16 @@ def data_statistics(records: DataFrame) -> DataFrame:
 def four_way(score: Column) -> Column:
     """The editor's status of a score."""
     return when_first((score >= 0.8, "excellent"), (score >= 0.6, "good"), (score >= 0.4, "fair"), other="poor")
+
+
+def report_json(checked: DataFrame) -> DataFrame:
+    """part and body: the totals, a row for each field and the most frequent messages as JSON text."""
+    parts = [("totals", validation_summary(checked)), ("field", field_metrics(checked)), ("message", top_messages(checked))]
+    made = [df.select(F.lit(name).alias("part"), F.to_json(F.struct("*")).alias("body")) for name, df in parts]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
+def report_lines(checks: DataFrame) -> DataFrame:
+    """pos and line of a text report over export checks (A15); of no rows, a line that says so."""
+    body = checks.select("field", F.format_string("%s: %d empty, %d errors of %d (%.1f%%)", "field", "n_empty", "n_errors", "n", F.coalesce(F.try_divide(F.lit(100.0) * F.col("n_errors"), F.col("n")), F.lit(0.0))).alias("line"))
+    return body.select(F.row_number().over(Window.orderBy("field")).alias("pos"), "line")

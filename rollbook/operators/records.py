@@ -17,9 +17,11 @@ def from_entities(docs: DataFrame) -> DataFrame:
     Record i takes item i of the first three and of the occupancies, and items 2i and 2i+1 of dates and names; a single date or
     name goes to record 0. Records with neither council, reference nor address are dropped.
     """
-    n = F.greatest(F.size("councils"), F.size("references"), F.size("addresses"), F.lit(1))
     i = F.col("i")
-    rows = docs.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    # the arrays pass through a generator as one struct, so that no rule merges the finds into each of their uses
+    bound = docs.select("doc", F.explode(F.array(F.struct("councils", "references", "addresses", "dates", "names", "occupancies"))).alias("a")).select("doc", "a.*")
+    n = F.greatest(F.size("councils"), F.size("references"), F.size("addresses"), F.lit(1))
+    rows = bound.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
 
     def pair(array: str, k: int) -> Column:
         many = F.get(array, i * 2 + k)

@@ -405,4 +405,12 @@ select job_id, case when c is not null and (b is null or b > c) then 'cancelled'
     "h01_error_classes": "select (['file_too_large', 'unsupported_format', 'corrupted_file', 'pdf_extraction_failed', 'ocr_failed', 'no_text_extracted', 'nlp_model_unavailable', 'entity_extraction_failed', 'memory_error', 'disk_space_error', 'database_error', 'validation_failed', 'unknown_error'])[event_id % 13 + 1] as class, count(*) as n from events group by 1",
     "h05_large_files": "select o_orderkey, m > 50 as chunked, round(least(10.0, m / 10), 6) as chunk_mb, m > 20 as watch_memory, m > 100 as disk_cache, m > 30 as concurrent, case when m > 100 then 1024 when m > 50 then 1536 else 2048 end as memory_limit_mb, case when m > 100 then 5 when m > 50 then 10 else 20 end as batch_size from (select o_orderkey, o_totalprice / 1000 as m from orders)",
     "t01_headers": f"{REC}, h as (select record_id, unnest([council, reference, hmo_address, licence_holder_name]) as x from rec) select record_id, sum(cast(trim(x) <> '' and (regexp_matches(lower(x), 'name|address|date|reference|licence|license') or (upper(x) = x and lower(x) <> x and length(x) > 2) or regexp_matches(x, '[:#]') or (regexp_matches(x, '^[\\p{{L}} ]+$') and len({words('x')}) <= 3)) as int)) * 2 > 4 as is_header from h group by record_id",
+    "a15_report_lines": f"{REC}, c as (" + " union all ".join(f"select {q(m.source)} as field, count(*) as n, count(*) filter (not ({filled(m.source)})) as e, count(*) filter ({_mapping_error(m)} is not null) as w from rec" for m in M.preset("standard")) + ") select cast(row_number() over (order by field) as int) as pos, printf('%s: %d empty, %d errors of %d (%.1f%%)', field, e, w, n, 100.0 * w / n) as line from c",
+    "a21_database_stats": f"{STATE}, rec as ({RECORDS_SQL}) select (select count(distinct session_id) from rec) as sessions, (select count(*) from rec) as records, count(*) as flagged, count(*) filter (status in ('approved', 'rejected')) as reviewed from st",
+    "a25_hit_rate": f"{LOG} select count(*) as requests, count(*) filter (action = 'approved') as hits, round(count(*) filter (action = 'approved') / count(*), 6) as rate from log",
+    "j04_session_records": f"{REC}, {SESSIONS} select session_id, n_records, record_id, reference from ss join rec using (session_id)",
+    "w03_record_index": f"{REC} select record_id, session_id, cast(row_number() over (partition by session_id order by record_id) - 1 as int) as place from rec",
+    "o01_sessions": f"with {SESSIONS} select * from ss order by uploaded desc, session_id limit 4",
+    "o05_preview": f"{SCORED} select record_id, council, reference from sc where overall >= 0.85 order by record_id limit 50",
+    "o10_entity_union": f"{DOCS}, r as (select doc, {_REFS} as a, {every('text', X.FALLBACK[1][1])} as b from dd), u as (select doc, a, b, list_filter(list_transform(range(1, len(a) + 1), lambda i: case when list_position(a, a[i]) = i and not list_contains(b, a[i]) then a[i] end), lambda x: x is not null) as d from r) select doc, array_to_string(list_concat(a, b), '|') as bag, array_to_string(d, '|') as only_first from u",
 }

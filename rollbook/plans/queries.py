@@ -440,3 +440,50 @@ def h05_large_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t01_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.array("council", "reference", "hmo_address", "licence_holder_name")
     return fixtures.licence_records(spark, sf_dir).select("record_id", text.looks_like_header(row).alias("is_header"))
+
+
+@query
+def a11_report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report_json(checked(spark, sf_dir))
+
+
+@query
+def a15_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report_lines(mapping.export_checks(fixtures.licence_records(spark, sf_dir), mapping.preset("standard")))
+
+
+@query
+def a21_database_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.database_stats(fixtures.licence_records(spark, sf_dir), states(spark, sf_dir))
+
+
+@query
+def a25_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(audit.hit_rate(fixtures.review_log(spark, sf_dir), F.col("action") == "approved"))
+
+
+@query
+def j04_session_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions(spark, sf_dir).join(fixtures.licence_records(spark, sf_dir), "session_id").select("session_id", "n_records", "record_id", "reference")
+
+
+@query
+def w03_record_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.indexed(fixtures.licence_records(spark, sf_dir)).select("record_id", "session_id", "place")
+
+
+@query
+def o01_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.list_sessions(sessions(spark, sf_dir), 4)
+
+
+@query
+def o05_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.preview(scored(spark, sf_dir), 0.85, ["council", "reference"])
+
+
+@query
+def o10_entity_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All references of both pattern sets, with their repeats; and those of one that the other lacks."""
+    d = documents(spark, sf_dir)
+    return d.select("doc", F.array_join(F.concat(text.references(F.col("text")), text.find_all(F.col("text"), text.FALLBACK[1][1])), "|").alias("bag"), F.array_join(F.array_except(text.references(F.col("text")), text.find_all(F.col("text"), text.FALLBACK[1][1])), "|").alias("only_first"))
