@@ -80,4 +80,16 @@ word as (select doc_id, unnest(w) x, unnest(range(1, len(w) + 1)) p from d),
 kept as (select doc_id, count(*) n, string_agg(x, ' ' order by p) t from word anti join cut using (doc_id, p) group by doc_id)
 select d.doc_id, cast(len(w) as bigint) n_words, len(w) - coalesce(n, 0) n_removed, sha256(coalesce(t, '')) kept_sha256
 from d left join kept using (doc_id)""",
+    # the shards hang on the key order and the sizes alone; the checksum's table is made by its rule
+    "op5_sharding": """
+with tab as (select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+  lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as t),
+d as (select doc_id, coalesce(text, '') as text, hex(encode(coalesce(text, ''))) as x from documents),
+b as (select doc_id, text, list_transform(regexp_extract_all(x, '..'), lambda x: cast('0x' || x as bigint)) as bytes from d),
+k as (select doc_id, cast(len(bytes) + 1 as bigint) as size, cast('0x' || substr(md5(text), 1, 15) as bigint) as h,
+  cast(xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8))) as bigint) as text_crc32 from b, tab),
+o as (select *, sum(size) over (order by h, doc_id nulls first rows unbounded preceding) - size + size // 2 as middle, sum(size) over () as total from k),
+s as (select *, cast(middle * 8 // total as int) as shard from o)
+select doc_id, size, text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by h, doc_id nulls first) - 1 as slot,
+  cast(null as int) as grown_shard from s""",
 }
