@@ -86,21 +86,15 @@ def field_statistics(scored: DataFrame) -> DataFrame:
 def quartiles(scored: DataFrame, value: str = "overall") -> DataFrame:
     """n, q1, q2, q3: order statistics n div 4 and 3n div 4 (least and most below 4 values) and the median.
 
-    Values are counted first, so what is ordered is one row for each distinct value, not for each record.
+    Values are counted first, so what is ordered in one task is a row for each distinct value (scores of six decimals have a
+    million at most), not for each record.
     """
     counted = scored.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    pairs = F.array_sort(F.collect_list(F.struct("v", "c")))
-    ranked = counted.agg(pairs.alias("p"), F.sum("c").alias("n"))
-    running = F.aggregate("p", F.array().cast("array<struct<v:double,upto:bigint>>"), lambda a, x: F.concat(a, F.array(F.struct(x["v"].alias("v"), (x["c"] + F.coalesce(F.get(a, F.size(a) - 1)["upto"], F.lit(0))).alias("upto")))))
-    at = lambda k: F.get(F.filter("r", lambda x: x["upto"] > k), F.lit(0))["v"]
-    n = F.col("n")
-    few = n < 4
-    return ranked.select("n", running.alias("r")).select(
-        "n",
-        at(F.when(few, F.lit(0)).otherwise(F.expr("n div 4"))).alias("q1"),
-        ((at(F.expr("(n - 1) div 2")) + at(F.expr("n div 2"))) / 2).alias("q2"),
-        at(F.when(few, n - 1).otherwise(F.expr("3 * n div 4"))).alias("q3"),
-    )
+    order = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.select("v", F.sum("c").over(order).alias("upto"), F.sum("c").over(Window.partitionBy()).alias("n"))
+    at = lambda k: F.min(F.when(F.col("upto") > F.expr(k), F.col("v")))
+    out = ranked.agg(F.max("n").alias("n"), at("if(n < 4, 0, n div 4)").alias("q1"), at("(n - 1) div 2").alias("a"), at("n div 2").alias("b"), at("if(n < 4, n - 1, 3 * n div 4)").alias("q3"))
+    return out.select("n", "q1", ((F.col("a") + F.col("b")) / 2).alias("q2"), "q3")
 
 
 def distribution(scored: DataFrame) -> DataFrame:

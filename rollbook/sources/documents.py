@@ -95,12 +95,11 @@ def read_docx(content: bytes) -> dict:
 def extracted(files: DataFrame, readers: dict[str, Reader] | None = None) -> DataFrame:
     """SCHEMA for each of checked_files: status is `completed`, `failed` (with the error, never in the text) or `unsupported`.
 
-    readers: by type; word documents are read by read_docx unless given otherwise. One file is in memory at a time.
+    readers: by type; word documents are read by read_docx unless given otherwise. Files come in batches that Spark bounds in bytes.
     """
     known = {"docx": read_docx} | (readers or {})
     kinds = files.sparkSession.createDataFrame([], SCHEMA).schema
     empty = {"text": "", "title": None, "creator": None, "headings": [], "headers": [], "footers": [], "tables": []}
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
