@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from rollbook.llm.common import map_batches, once
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 
 
 class PerfectHash:

@@ -63,7 +63,7 @@ def id_crc(doc_id: Column | str) -> Column:
 class WordHash(dict):
     """64-bit hash of a word, remembered for up to `most` words."""
 
-    most = 1 << 19
+    most = 1 << 17
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
@@ -75,6 +75,9 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: One for all operators: a worker may serve several.
+WORD_HASH = WordHash()
+
 _BASE = 0x9E3779B97F4A7C15
 _BLOCK = 1 << 16
 _powers: list[np.ndarray] = []
@@ -106,15 +109,13 @@ def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-_made: list[tuple] = []
+_made: dict[Callable, tuple] = {}
 
 
 def once(shared: Broadcast, make: Callable) -> object:
-    """make(the broadcast's value), made once in each Python worker; the last few are kept."""
+    """make(the broadcast's value), made once in each Python worker; of each `make` the last is kept, since workers live on."""
     value = shared.value
-    for kept, maker, made in _made:
-        if kept is value and maker is make:
-            return made
-    del _made[:-15]
-    _made.append((value, make, make(value)))
-    return _made[-1][2]
+    if make not in _made or _made[make][0] is not value:
+        _made.pop(make, None)
+        _made[make] = value, make(value)
+    return _made[make][1]

@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import WordHash, map_batches, once, utf8, window_hashes
+from rollbook.llm.common import WORD_HASH, map_batches, once, utf8, window_hashes
 
 WINDOW = 10
 BLOCK_WINDOWS = 1 << 18
@@ -33,7 +33,6 @@ _WORD_BYTES = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80,
 _FOLD = bytes((b | 0x20) if 0x41 <= b <= 0x5A else b if b in _WORD_BYTES else 0x20 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _BITS = 20
-_hash = WordHash()
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -67,7 +66,7 @@ def _lookup(block: dict[bytes, list[str]]) -> list[tuple[int, np.ndarray, np.nda
         by_length.setdefault(window.count(b" ") + 1, {})[window] = ids
     made = []
     for length, windows in sorted(by_length.items()):
-        hashes = np.unique(np.concatenate([window_hashes(_hash.of(w.split(b" ")), length) for w in windows]))
+        hashes = np.unique(np.concatenate([window_hashes(WORD_HASH.of(w.split(b" ")), length) for w in windows]))
         bitmap = np.zeros(1 << _BITS, bool)
         bitmap[hashes >> np.uint64(64 - _BITS)] = True
         made.append((length, bitmap, hashes, windows))
@@ -78,7 +77,7 @@ def find_hits(words: list[bytes], tables: list) -> tuple[list[tuple[int, int]],
     """Spans [start, end) of word positions in verified hits, not merged, and the ids of the items hit."""
     spans, items = [], set()
     if words and tables:
-        hashed = _hash.of(words)
+        hashed = WORD_HASH.of(words)
         for length, bitmap, hashes, windows in tables:
             found = window_hashes(hashed, length)
             at = np.flatnonzero(bitmap[found >> np.uint64(64 - _BITS)])

@@ -31,19 +31,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import BATCH_BYTES, BATCH_ROWS, WordHash, map_batches, staged, utf8, window_hashes
+from rollbook.llm.common import BATCH_BYTES, BATCH_ROWS, WORD_HASH, map_batches, staged, utf8, window_hashes
 
 WINDOW, ANCHOR = 50, 12
 #: Documents of a prefix group that one subtree takes; words of the groups that are ranked together; windows of a segment.
 GROUP, CHUNK_WORDS, SEGMENT = 2000, 150_000, 512
-_hash = WordHash()
 
 
 def anchors_of(words: list[bytes]) -> np.ndarray:
     """The anchor of each window of a text, as signed longs."""
     if len(words) < WINDOW:
         return np.empty(0, np.int64)
-    least, width, whole = window_hashes(_hash.of(words), ANCHOR), 1, WINDOW - ANCHOR + 1
+    least, width, whole = window_hashes(WORD_HASH.of(words), ANCHOR), 1, WINDOW - ANCHOR + 1
     while width < whole:
         step = min(width, whole - width)
         least = np.minimum(least[:-step], least[step:])
