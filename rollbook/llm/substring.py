@@ -162,12 +162,13 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     known = _keyed(docs).filter("doc_id is not null and text is not null")
     anchors = staged(_anchor_rows(known.select("doc_id", "text")), "anchors")
     repeated = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).filter("a < b").select("anchor", (F.col("n") > GROUP).alias("deep"))
-    shared = anchors.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_set(F.when(~F.col("deep"), F.col("anchor"))).alias("wide"), F.collect_set(F.when(F.col("deep"), F.col("anchor"))).alias("deep"))
+    # written first, so that the joins have two plain sides, which Spark can split at a hot key
+    shared = anchors.join(staged(repeated, "repeated"), "anchor").groupBy("doc_id").agg(F.collect_set(F.when(~F.col("deep"), F.col("anchor"))).alias("wide"), F.collect_set(F.when(F.col("deep"), F.col("anchor"))).alias("deep"))
     pieces = staged(_segments(known.join(shared, "doc_id").select("doc_id", "text_key", "text", "wide", "deep")), "segments")
     wide = _subtrees(pieces.filter("body is not null"))
     deep = pieces.filter("digest is not null").select("digest", "doc_id", "text_key", "start")
     node = deep.groupBy("digest").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("digest", "a")
-    deep = deep.join(node, "digest").filter("doc_id > a").select("doc_id", "text_key", "start", (F.col("start") + WINDOW).alias("end"))
+    deep = deep.join(staged(node, "deep-nodes"), "digest").filter("doc_id > a").select("doc_id", "text_key", "start", (F.col("start") + WINDOW).alias("end"))
     return wide.union(deep).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
 
 
