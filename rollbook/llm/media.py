@@ -213,4 +213,6 @@ def report(docs: DataFrame) -> DataFrame:
     media = stored(docs)
     html = F.concat(F.lit('<article><p>Text of '), F.col("n_bytes"), F.lit(' bytes</p><figure><img src="media:sha256/'), F.col("digest"), F.lit('" alt="payload"><figcaption>'), F.col("n_bytes"), F.lit(" bytes as samples</figcaption></figure></article>"))
     pages = media.select(F.struct("doc_id", "n_bytes").alias("key"), html.alias("html"))
-    return resolved(sequences(pages, "key"), "key", described(media)).filter("kind = 'media'").select("key.doc_id", "key.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "caption", "position")
+    # written first, so that the join has two plain sides, which Spark can split at a hot digest
+    known = staged(described(media), "described")
+    return resolved(sequences(pages, "key"), "key", known).filter("kind = 'media'").select("key.doc_id", "key.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "caption", "position")
