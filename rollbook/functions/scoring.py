@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,8 +64,8 @@ def field_score(field: str) -> Column:
     return kind(c)
 
 
-def field_errors() -> Column:
-    """The errors of the council, the reference and the numbers."""
+def field_errors() -> list[Column]:
+    """The errors of the council, the reference and the numbers; null where there is none."""
     council, reference = F.col("council"), F.col("reference")
     found = [
         F.when(blank(council), "Council field is empty").when(F.length(strip(council)) < 3, "Council name too short"),
@@ -72,7 +74,7 @@ def field_errors() -> Column:
     for f in ("max_occupancy", *COUNT_FIELDS, "number_of_storeys"):
         zero = F.when((F.col(f) == 0) & F.lit(f not in COUNT_FIELDS), f"{f} should not be zero")
         found.append(F.coalesce(F.when(F.col(f) < 0, f"{f} cannot be negative"), zero))
-    return messages(*found)
+    return found
 
 
 def overall(scores: Column) -> Column:
@@ -88,12 +90,15 @@ def overall(scores: Column) -> Column:
 def with_scores(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """records with `scores` (a column for each field, prefixed s_), `overall`, `errors` and `flagged`.
 
-    Scores stay plain columns, so each is computed once and Catalyst prunes those that aren't used.
+    Scores stay plain columns, so each is computed once and Catalyst prunes those that aren't used; `flagged` doesn't need the
+    array of errors, whose lambda would keep the projection out of whole-stage code generation.
     """
-    scored = records.select("*", *[field_score(f).alias(f"s_{f}") for f in FIELDS], field_errors().alias("errors"))
+    errors = field_errors()
+    wrong = functools.reduce(lambda a, b: a | b, [e.isNotNull() for e in errors])
+    scored = records.select("*", *[field_score(f).alias(f"s_{f}") for f in FIELDS], messages(*errors).alias("errors"), wrong.alias("__wrong"))
     total = sum((F.col(f"s_{f}") * WEIGHTS[f] for f in FIELDS), F.lit(0.0)) / sum(WEIGHTS.values())
     scored = scored.withColumn("overall", total)
-    return scored.withColumn("flagged", (F.col("overall") < threshold) | (F.size("errors") > 0))
+    return scored.withColumn("flagged", (F.col("overall") < threshold) | F.col("__wrong")).drop("__wrong")
 
 
 def score_map() -> Column:
