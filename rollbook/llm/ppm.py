@@ -7,12 +7,18 @@ seen it, an escape (half the distinct symbols / total; a seen symbol has its cou
 ruled out are excluded from the counts; below the empty context all symbols left are equally likely.
 
 Counting covers every training text: 6-byte grams are counted in each batch, combined by Spark, and the shorter contexts are
-their marginals. The trie that is broadcast has a fixed bound of NODES symbol nodes: it takes the contexts whose total reaches
-the least power of two at which the bound holds, each with all its symbols, so totals, escapes and exclusions are exact, and
-with every context the trie has all shorter ones. The unigram base splits the same way: the counts of the HEAD most frequent
-tokens are broadcast, the rest meets its counts in a shuffled join, so that every count takes part.
-
-Scale: partial counts are shuffled; scoring is a map with vectorised trie lookups; only rare tokens are shuffled again.
+their marginals. The model is the whole trie, which grows with the corpus; what is broadcast is a cache of at most NODES symbol
+nodes: the contexts whose total reaches the least power of two, from OFTEN on, at which the bound holds, each with all its
+symbols, so totals, escapes and exclusions are exact, and with every context the cache has all shorter ones. A symbol whose longest context is in
+the cache is scored there; any other meets its score in a shuffled join with `rare_logs`, which has the score of each symbol
+that training has in a context outside the cache, and of each that only the held-out texts have there. These are worked out in
+blocks of the trie: contexts that end in the same two bytes have all their shorter ones of two bytes or more in one block, and
+those of no or one byte are sent to all. The unigram base splits the same way: the counts of the HEAD most frequent tokens are
+broadcast, the rest meets its counts in a shuffled join. So every count takes part, and NODES, OFTEN and HEAD change no score.
+
+Scale: partial counts are shuffled; scoring is a map with vectorised trie lookups; only rare tokens and symbols in rare
+contexts are shuffled again, by symbol and context and not by block, so that a hot one can be split. A block has about BLOCK
+nodes of the highest order, or those of one two-byte ending.
 
 Defined cases: null and empty texts have the end token only; null ids count as training rows (crc32 of empty text); repeated
 rows count as often as they occur; without training rows all symbols are equally likely; other columns are ignored.
@@ -33,6 +39,7 @@ from rollbook.llm.common import id_crc, map_batches, once, staged, utf8
 
 ORDER = 5
 NODES, HEAD = 1 << 20, 1 << 17
+BLOCK, OFTEN = 1 << 18, 64
 PAD, END = 0xFE, 0xFF  # bytes that no UTF-8 text has
 SYMBOLS = 255  # all byte values but PAD
 END_TOKEN = b"\xff"
@@ -110,6 +117,7 @@ class Trie:
     escape_later: np.ndarray  # log10 of the escape from the context one byte shorter, entered from this one
     later_total: np.ndarray  # log10 of the shorter context's counts that aren't excluded, entered from this one
     left: float  # log10 of a symbol's probability below the empty context
+    least: int = 1  # contexts with a lower total aren't in the trie
 
 
 def build_trie(levels: list[tuple[np.ndarray, np.ndarray]]) -> Trie:
@@ -184,6 +192,7 @@ class Scorer:
         self.trie, self.cells, self.contexts = trie, Lookup(trie.cell), Lookup(trie.context)
 
     def logs(self, grams: np.ndarray) -> np.ndarray:
+        """NaN where the longest context isn't in a trie that lacks some."""
         t = self.trie
         out = np.zeros(len(grams))
         at, gram = np.arange(len(grams)), grams
@@ -201,6 +210,10 @@ class Scorer:
                 return out
             place = self.contexts.find((gram >> np.uint64(8)) & np.uint64((1 << 8 * order) - 1) | tag)
             there = place >= 0
+            if order == ORDER and t.least > 1:
+                out[at[~there]] = np.nan
+                at, gram, started, later, rest, place = at[there], gram[there], started[there], later[there], rest[there], place[there]
+                there = there[there]
             if there.any():
                 p, s = place[there], started[there]
                 out[at[there]] += np.where(s, later[there], t.escape_first[p])
@@ -209,27 +222,36 @@ class Scorer:
         out[at] += t.left
         return out
 
-    def score(self, texts: list[list[bytes]]) -> np.ndarray:
-        """log10 of the probability of each token sequence."""
+    def score(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 of the probability of each token sequence but for some grams; the places of their texts, rising; these grams."""
         symbols = _sequence(texts)
         ends = np.flatnonzero(symbols == END)
         total = np.zeros(len(texts))
+        where, which = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
         for at in range(0, len(symbols) - ORDER, _PART):
             part = symbols[at : at + _PART + ORDER]
             place = np.flatnonzero(part[ORDER:] != PAD)
             of = np.searchsorted(ends, place + at + ORDER)
-            total += np.bincount(of, self.logs(_grams(part)[place]), minlength=len(texts))
-        return total
+            grams = _grams(part)[place]
+            logs = self.logs(grams)
+            rare = np.isnan(logs)
+            where.append(of[rare])
+            which.append(grams[rare])
+            total += np.bincount(of, np.where(rare, 0.0, logs), minlength=len(texts))
+        return total, np.concatenate(where), np.concatenate(which)
+
 
+def learn(docs: DataFrame, grams: DataFrame | None = None, often: int = 1) -> Trie:
+    """The trie of the rows of docs (text as bytes), without contexts of a total under often and the rarer ones beyond NODES nodes.
 
-def learn(docs: DataFrame) -> Trie:
-    """The trie of the rows of docs (text as bytes)."""
-    grams = staged(count_grams(docs), "grams")
+    grams: count_grams of docs, if there already.
+    """
+    grams = staged(count_grams(docs), "grams") if grams is None else grams
     levels = [staged(grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("cell")).agg(F.sum("n").alias("n")), f"level{k}") if k < ORDER else grams.withColumnRenamed("gram", "cell") for k in range(ORDER + 1)]
     totals = [level.groupBy(F.shiftright("cell", 8).alias("context")).agg(F.sum("n").alias("t"), F.count("*").alias("d")) for level in levels[1:]]
     sizes = [(r.log, r.d) for x in totals for r in x.groupBy(_log2("t").alias("log")).agg(F.sum("d").alias("d")).collect()]
     low = levels[0].orderBy("cell").collect()  # at most 255 rows
-    least = _least_power(sizes, NODES)
+    least = max(often, _least_power(sizes, NODES))
     taken = [(np.array([r.cell for r in low], np.uint64), np.array([r.n for r in low], np.int64))]
     for level, total in zip(levels[1:], totals, strict=True):
         if least > 1:
@@ -239,7 +261,43 @@ def learn(docs: DataFrame) -> Trie:
         key, n = got.column(0).to_numpy().astype(np.uint64), got.column(1).to_numpy()
         order = np.argsort(key)
         taken.append((key[order], n[order]))
-    return build_trie(taken)
+    trie = build_trie(taken)
+    trie.least = least
+    return trie
+
+
+def _marginal(key: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys and counts of a shorter order."""
+    cell, own = np.unique(key & np.uint64((1 << 8 * (order + 1)) - 1), return_inverse=True)
+    return cell, np.bincount(own, n, len(cell)).astype(np.int64)
+
+
+def rare_logs(grams: DataFrame, asked: DataFrame, least: int) -> DataFrame:
+    """gram and log, the symbol's log10 probability: all grams in contexts of a total under least, and those asked that grams lacks.
+
+    grams: count_grams of the training texts; asked: grams in contexts that have a total under least or none.
+    """
+    short = grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 16) - 1)).alias("cell")).agg(F.sum("n").alias("n")).toArrow()  # at most 65,535 rows
+    key, n = short.column(0).to_numpy().astype(np.uint64), short.column(1).to_numpy()
+    low = grams.sparkSession.sparkContext.broadcast([_marginal(key, n, k) for k in (0, 1)])
+    blocks = 1 + grams.count() // BLOCK
+
+    def each(block: pa.Table) -> pa.Table:
+        key, n = block.column("gram").to_numpy().view(np.uint64), block.column("n").to_numpy()
+        new, order = np.unique(key[n == 0]), np.flatnonzero(n)
+        order = order[np.argsort(key[order])]
+        key, n = key[order], n[order]
+        trie = build_trie([*low.value, *(_marginal(key, n, k) for k in range(2, ORDER)), (key, n)])
+        _, starts, own = np.unique(key >> np.uint64(8), return_index=True, return_inverse=True)
+        rare = np.add.reduceat(n, starts)[own] < least if len(n) else np.empty(0, bool)
+        at = np.searchsorted(key, new)
+        new = new[key[np.minimum(at, len(key) - 1)] != new] if len(key) else new
+        logs = np.concatenate([trie.seen_first[len(trie.cell) - len(key) :][rare], Scorer(trie).logs(new)])
+        return pa.table({"gram": np.concatenate([key[rare], new]).view(np.int64), "log": logs.astype(np.float64)})
+
+    ending = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 16) - 1))
+    both = grams.select("gram", "n").union(asked.select("gram").distinct().select("gram", F.lit(0).cast("long")))
+    return both.groupBy(F.pmod(F.xxhash64(ending), F.lit(blocks)).alias("block")).applyInArrow(each, "gram long, log double")
 
 
 def _ready(model: tuple[Trie, dict[bytes, int]]) -> tuple[Scorer, dict[bytes, int]]:
@@ -260,7 +318,9 @@ def scores(docs: DataFrame, training: Column | None = None) -> DataFrame:
     sizes = [(r.log, r.n) for r in counts.groupBy(_log2("n").alias("log")).agg(F.count("*").alias("n")).collect()]
     often = counts.filter(F.col("n") >= _least_power(sizes, HEAD)).toArrow()
     head = dict(zip(often.column(0).to_pylist(), often.column(1).to_pylist(), strict=True))
-    shared = docs.sparkSession.sparkContext.broadcast((learn(train), head))
+    grams = staged(count_grams(train), "grams")
+    trie = learn(train, grams, OFTEN)
+    shared = docs.sparkSession.sparkContext.broadcast((trie, head))
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         scorer, head = once(shared, _ready)
@@ -274,20 +334,28 @@ def scores(docs: DataFrame, training: Column | None = None) -> DataFrame:
             sums.append(float((f * np.log10((c + 0.5) / base))[c > 0].sum()))
             seen.append(int(f[c > 0].sum()))
             rare.append([{"token": t, "tf": n} for (t, n), x in zip(tf.items(), c.tolist(), strict=True) if not x])
-        made = [pa.array([len(t) + 1 for t in texts], pa.int64()), pa.array(seen, pa.int64()), pa.array(sums), pa.array(scorer.score(texts)), pa.array(rare, pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int64())])))]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *made], names=["doc_id", "training", "n_tokens", "seen", "sums", "score", "rare"])
+        score, where, which = scorer.score(texts)
+        unscored = pa.ListArray.from_arrays(pa.array(np.searchsorted(where, np.arange(len(texts) + 1)).astype(np.int32)), pa.array(which.view(np.int64)))
+        made = [pa.array([len(t) + 1 for t in texts], pa.int64()), pa.array(seen, pa.int64()), pa.array(sums), pa.array(score), pa.array(rare, pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int64())]))), unscored]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *made], names=["doc_id", "training", "n_tokens", "seen", "sums", "score", "rare", "unscored"])
 
-    schema = "doc_id long, training boolean, n_tokens long, seen long, sums double, score double, rare array<struct<token:binary,tf:long>>"
+    schema = "doc_id long, training boolean, n_tokens long, seen long, sums double, score double, rare array<struct<token:binary,tf:long>>, unscored array<long>"
     scored = staged(map_batches(rows, each, schema).withColumn("row", F.monotonically_increasing_id()), "scores")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.token", "r.tf").join(counts, "token", "left")
     c = F.coalesce("n", F.lit(0))
     rare = rare.groupBy("row").agg(F.sum(F.col("tf") * F.log10((c + 0.5) / base)).alias("rare_sums"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("rare_seen"))
-    return scored.drop("rare").join(rare, "row", "left").select(
+    out = scored.drop("rare", "unscored").join(rare, "row", "left").withColumn("rest", F.lit(0.0))
+    if trie.least > 1:
+        asked = scored.filter("not (training <=> true)").select(F.explode("unscored").alias("gram"))
+        logs = staged(rare_logs(grams, asked, trie.least), "rare-logs")
+        rest = scored.select("row", F.explode("unscored").alias("gram")).join(logs, "gram").groupBy("row").agg(F.sum("log").alias("rest"))
+        out = out.drop("rest").join(rest, "row", "left")
+    return out.select(
         "doc_id",
         (~F.col("training")).alias("held_out"),
         "n_tokens",
         (F.col("seen") + F.coalesce("rare_seen", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("sums") + F.coalesce("rare_sums", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"),
     )

@@ -108,6 +108,18 @@ def test_bounded_trie_keeps_whole_contexts(docs, monkeypatch):
         assert sum(x >> 8 << 8 == (c >> 56 << 56 | (c & (1 << 56) - 1) << 8) for x in small.cell.tolist()) == sum(x >> 8 << 8 == (c >> 56 << 56 | (c & (1 << 56) - 1) << 8) for x in whole.cell.tolist())
 
 
+def test_scores_do_not_depend_on_the_cache(docs, monkeypatch):
+    def got():
+        return Counter((r.doc_id, r.held_out, round(r.score, 1)) for r in ppm.scores(docs).collect())
+
+    monkeypatch.setattr(ppm, "OFTEN", 1)  # all contexts are in the cache
+    want = got()
+    monkeypatch.setattr(ppm, "NODES", 300)  # nearly all contexts meet their scores in the join
+    monkeypatch.setattr(ppm, "BLOCK", 500)
+    assert ppm.learn(docs.select(F.encode("text", "utf-8").alias("text"))).least > 1
+    assert got() == want
+
+
 def test_model_beats_the_base_on_held_out_text(spark):
     r = queries.op9_ppm_scores(spark, "/root/testdata/sf0.01").filter("held_out and n_tokens > 1").agg(F.sum("score"), F.sum("base_score")).first()
     assert r[0] > 1.1 * r[1]  # both are negative; even on a thousand texts it comes near the base
