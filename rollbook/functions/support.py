@@ -1,4 +1,4 @@
-"""Support rules (H1, H5, H7, H12) and file checks (S1 to S7), as columns."""
+"""Support rules (H1, H5, H7, H10, H12) and file checks (S1 to S7), as columns."""
 
 from __future__ import annotations
 
@@ -52,6 +52,25 @@ def size_warning(length: Column) -> Column:
     return when_first((length > MAX_BYTES, "error: over 100 MB"), (length > WARN_BYTES, "warning: large"), (length < SMALL_BYTES, "warning: small"), other="ok")
 
 
+def memory_estimate(records: Column, batch_size: int) -> Column:
+    """MB of a batch and of all records at 1 KB a record, and the batch size to take."""
+    least = F.greatest(F.lit(100), F.floor(records / 10))
+    return F.struct(F.lit(batch_size / 1024).alias("batch_memory_mb"), (records / 1024).alias("total_memory_mb"), F.least(F.lit(batch_size), least).cast("long").alias("recommended_batch_size"))
+
+
+def upload_advice(size_mb: Column, has_text: Column, estimated_records: Column, extension: Column, pages: Column) -> Column:
+    """The recommendations on an upload, in order; unknown values count as zero or false."""
+    def number(c: Column) -> Column:
+        return F.coalesce(c, F.lit(0))
+
+    return F.array_compact(F.array(
+        F.when(number(size_mb) > 50, "Consider splitting large documents for faster processing"),
+        F.when(~F.coalesce(has_text, F.lit(False)), "Document appears to be scanned. OCR processing will be used, which may take longer"),
+        F.when(number(estimated_records) == 0, "No HMO-related content detected. Please verify this is the correct document type"),
+        F.when((extension == ".pdf") & (number(pages) > 20), "Large PDF detected. Consider using DOCX format for better processing speed"),
+    ))
+
+
 def stored_name(session: Column, content: Column, path: Column) -> Column:
     return F.concat(session, F.lit("_"), F.left(F.sha2(content, 256), F.lit(16)), suffix(path))
 

@@ -108,3 +108,11 @@ def test_mapping(spark):
     assert mapping.preset("standard")[2].rules == {"min_length": 10} and mapping.preset("detailed")[2].rules == {"min_length": 15} and len(mapping.preset("compact")) == 6
     assert mapping.from_json(mapping.to_json(mapping.preset("detailed"))) == mapping.preset("detailed") and not mapping.problems(mapping.preset("standard"))
     assert len(mapping.problems([mapping.Mapping("council", "9x"), mapping.Mapping("nope", "A", rules={"odd": 1}), mapping.Mapping("council", "A")])) == 4
+
+
+def test_memory_estimate_and_upload_advice(spark):
+    rows = [(50_000, 51.0, False, 0, ".pdf", 21), (5, 50.0, True, 1, ".pdf", 20), (5_000, None, None, None, None, None)]
+    t = spark.createDataFrame(rows, "n long, mb double, has boolean, est long, ext string, pages long")
+    got = t.select(support.memory_estimate(F.col("n"), 1000).alias("m"), support.upload_advice(*map(F.col, ("mb", "has", "est", "ext", "pages"))).alias("a")).collect()
+    assert [tuple(r.m) for r in got] == [(1000 / 1024, 50_000 / 1024, 1000), (1000 / 1024, 5 / 1024, 100), (1000 / 1024, 5_000 / 1024, 500)]
+    assert [[x.split()[0] for x in r.a] for r in got] == [["Consider", "Document", "No", "Large"], [], ["Document", "No"]]
