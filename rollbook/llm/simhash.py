@@ -20,6 +20,8 @@ the input are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -106,11 +108,9 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (signed long) and component_id, the smallest doc_id reachable over links, of each row."""
-    marked = staged(fingerprints(docs), "fingerprints")
-    nodes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    member = components(links(nodes))
+def labelled(marked: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id of each row of marked (doc_id, fp). nodes: fp and its first_id; edges: links (a, b) of fps."""
+    member = components(edges)
     grouped = member.join(nodes, member.node == nodes.fp).select("fp", "root", "first_id")
     least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
     label = grouped.join(least, "root").select("fp", "component_id")
@@ -118,13 +118,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(staged(label, "labels"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row for each component: the row of its smallest doc_id. Of rows that repeat that id, one stays.
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp (signed long) and component_id, the smallest doc_id reachable over links, of each row."""
+    marked = staged(fingerprints(docs), "fingerprints")
+    nodes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
+    return labelled(marked, nodes, links(nodes))
+
+
+def keep_one(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+    """docs with one row for each component that `find` gives: the row of its smallest doc_id. Of rows that repeat that id, one stays.
 
     Rows without id stay only where their component has no id at all, and then one of them.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__key")
-    chosen = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
+    chosen = find(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
     kept = docs.select("*", key).join(chosen, "__key", "left_semi")
     nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key")).alias("__nth")
     return kept.select("*", nth).filter("__nth = 1").select(*docs.columns)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
 from rollbook.llm.common import staged
 
@@ -18,6 +20,32 @@ def test_stages(spark, data):
     assert corpus_pipeline.run(spark, data).count() == n[-1]
 
 
+def test_near_copies_are_caught(spark):
+    r = random.Random(4)
+    texts: list[list[str]] = []
+    for _ in range(60):  # originals, and each with one to nine words changed
+        base = [f"w{r.randint(0, 9999)}" for _ in range(150)]
+        texts.append(base)
+        for changes in (1, 2, 3, 5, 9):
+            at = set(r.sample(range(150), changes))
+            texts.append([f"x{r.randint(0, 9999)}" if k in at else x for k, x in enumerate(base)])
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = {x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == {top(i) for i in range(len(texts))} and len(kept) < len(texts)
+
+
 def test_odd_rows(spark, docs, none, data):
     small = docs.select("doc_id", "text", "lang", "source", "n_chars")
     for rows in (small, none.select(*small.columns)):
