@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,13 +17,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Largest Arrow batch handed to Python, in bytes and rows: long texts make small batches.
-BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session (tests) gets a temporary one; a cluster is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="rollbook-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -35,20 +39,43 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Sets the session's two Arrow bounds, unless the session has its own."""
+    own = spark.conf.getAll
+    for name, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if f"spark.sql.execution.arrow.{name}" not in own:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers wait for their next task for a while."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        pass
+
+
 def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
     """mapInArrow, batch by batch; batches are bounded in bytes and rows."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows and (out := each(batch)) is not None:
                 yield out
+        batch = out = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def plain(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns named by their places, so that no name clashes with inner ones, and which name stands for which column."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names, strict=True))
+
+
 def utf8(text: Column | str) -> Column:
     """The bytes of a text; null stays null."""
     return F.encode(F.col(text) if isinstance(text, str) else text, "utf-8")
@@ -61,14 +88,16 @@ def id_crc(doc_id: Column | str) -> Column:
 
 
 class WordHash(dict):
-    """64-bit hash of a word, remembered for up to `most` words."""
+    """64-bit hash of a word, remembered for up to `most` words of up to `longest` bytes."""
 
-    most = 1 << 17
+    most, longest = 1 << 16, 32
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -109,13 +138,14 @@ def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-_made: dict[Callable, tuple] = {}
+_made: list[tuple] = []
 
 
 def once(shared: Broadcast, make: Callable) -> object:
-    """make(the broadcast's value), made once in each Python worker; of each `make` the last is kept, since workers live on."""
+    """make(the broadcast's value), made once in each Python worker. A worker keeps one such thing, the last, since it lives on."""
     value = shared.value
-    if make not in _made or _made[make][0] is not value:
-        _made.pop(make, None)
-        _made[make] = value, make(value)
-    return _made[make][1]
+    if not _made or _made[0][0] is not make or _made[0][1] is not value:
+        _made.clear()
+        WORD_HASH.clear()
+        _made.append((make, value, make(value)))
+    return _made[0][2]
