@@ -15,7 +15,8 @@ fingerprints within 3 bits. Components come by rounds of large-star and small-st
 
 Defined cases: null, empty and blank texts have fingerprint zero and link like any other; a null id is kept and never the
 smallest unless its component has no other; repeated rows are kept; an empty table gives an empty result; other columns of
-the input are ignored.
+the input, whatever their names, are ignored by near_duplicates and carried by keep_one, which picks rows and not ids: rows
+that share an id or have none are told apart by their texts.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import map_batches, staged, utf8
+from rollbook.llm.common import map_batches, plain, staged, utf8
 
 SHINGLE, SEED, DISTANCE, SEGMENTS = 3, 42, 3, 2
 _BLOCK = 1 << 15
@@ -52,13 +53,18 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def _each(batch: pa.RecordBatch) -> pa.RecordBatch:
-    found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+    found = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["doc_id", "text_key", "fp"])
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key (a hash of the text, which tells apart rows that share an id) and the text's bytes."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), utf8("text").alias("text"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, of each row."""
-    return map_batches(docs.select(F.col("doc_id").cast("long"), utf8("text").alias("text")), _each, "doc_id long, fp long")
+    """doc_id, text_key and fp, the fingerprint as a signed long, of each row."""
+    return map_batches(keyed(docs), _each, "doc_id long, text_key long, fp long")
 
 
 def variants(nodes: DataFrame) -> DataFrame:
@@ -109,29 +115,36 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def labelled(marked: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id of each row of marked (doc_id, fp). nodes: fp and its first_id; edges: links (a, b) of fps."""
+    """marked (doc_id, text_key, fp) with component, a fp that stands for the row's component, and component_id, its smallest doc_id.
+
+    nodes: fp and its first_id; edges: links (a, b) of fps.
+    """
     member = components(edges)
     grouped = member.join(nodes, member.node == nodes.fp).select("fp", "root", "first_id")
     least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    label = grouped.join(least, "root").select("fp", "component_id")
-    label = nodes.join(label, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return marked.join(staged(label, "labels"), "fp").select("doc_id", "fp", "component_id")
+    label = grouped.join(least, "root").select("fp", "root", "component_id")
+    label = nodes.join(label, "fp", "left").select("fp", F.coalesce("root", "fp").alias("component"), F.coalesce("component_id", "first_id").alias("component_id"))
+    return marked.join(staged(label, "labels"), "fp").select("doc_id", "text_key", "fp", "component", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (signed long) and component_id, the smallest doc_id reachable over links, of each row."""
+    """doc_id, text_key, fp (signed long), component and component_id, the smallest doc_id reachable over links, of each row."""
     marked = staged(fingerprints(docs), "fingerprints")
     nodes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     return labelled(marked, nodes, links(nodes))
 
 
 def keep_one(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
-    """docs with one row for each component that `find` gives: the row of its smallest doc_id. Of rows that repeat that id, one stays.
+    """docs with one row for each component that `find` gives: that of the smallest doc_id, a null one last, then of the least text_key.
 
-    Rows without id stay only where their component has no id at all, and then one of them.
+    Of rows that repeat both, the one whose other columns have the least hash stays.
     """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__key")
-    chosen = find(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
-    kept = docs.select("*", key).join(chosen, "__key", "left_semi")
-    nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key")).alias("__nth")
-    return kept.select("*", nth).filter("__nth = 1").select(*docs.columns)
+    inner, names = plain(docs)
+    rows = inner.select("*", F.col(names["doc_id"]).cast("long").alias("id"), F.xxhash64(names["text"]).alias("text_key"))
+    found = find(inner.select(F.col(names["doc_id"]).alias("doc_id"), F.col(names["text"]).alias("text")))
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("m"))
+    first = first.select(F.col("m.doc_id").alias("of_id"), F.col("m.text_key").alias("of_key"))
+    kept = rows.join(first, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")), "left_semi")
+    sortable = [c for c, t in inner.dtypes if not t.startswith(("map", "variant")) and "map<" not in t]
+    nth = F.row_number().over(Window.partitionBy("id", "text_key").orderBy(F.xxhash64(*sortable))).alias("nth")
+    return kept.select("*", nth).filter("nth = 1").select(*inner.columns).toDF(*docs.columns)
