@@ -1,23 +1,29 @@
 """Substring deduplication by prefix-partitioned suffix trees.
 
 A window is 50 consecutive words of one document; a word goes if a window that covers it also starts in a document with a
-smaller doc_id. Such windows are the nodes at depth 50 with leaves of several documents in the suffix tree of all texts.
+smaller doc_id. Such windows lie below the deep nodes (50 words or more) of the suffix tree of all texts.
 
-Partitioning. The prefix that deals out a suffix has variable length: it reaches to the end of the suffix's anchor, the 12-gram
-with the least hash among those in its first 50 words. Equal windows have equal prefixes, so no node is cut apart; and since
-neighbouring suffixes mostly share an anchor, they travel together as one short segment. Prefix groups whose anchor occurs in
-one document only hold no repeat and end there. A group of more than GROUP documents doesn't fit a task's memory: its prefixes
-are lengthened to the full 50 words, where a group is a single node, known by the 128-bit digest of its path, that needs only
-its least doc_id, which Spark combines before the shuffle.
+Which suffixes. The tree is sparse: a run of neighbouring suffixes whose first 50 words have the same least 12-gram (by hash) is
+dealt out as one, the suffix that starts with this 12-gram, together with the words before and behind it that the run's windows
+need. Equal windows have the same least 12-gram, so no repeat of 50 words is missed, and a suffix isn't sent with 50 words of its
+own (24 times the input) but a run of about 20 with 90.
 
-Subtrees. In the other groups suffixes are ranked by prefix doubling (1, 2, 4 ... 32, 50 words), which gives the suffix array
-truncated at depth 50 without collisions; runs of equal rank are the leaves below one deep internal node.
+Partitioning by prefix. The first prefix is those 12 words. Prefixes of one document only hold no repeat and end there. Equal
+segments of a prefix group are one leaf with its least and largest doc_id, combined before the shuffle, so copies and hot
+passages cost one leaf. Groups of up to GROUP words of distinct segments fit a task's memory. The prefixes of larger groups are
+lengthened to 50 words: then all suffixes of a group are below one deep node, of which only the least doc_id matters; Spark
+combines it by the digest of the path, whatever the group's size.
+
+Subtrees. A group's suffix tree is its suffix array with the lengths of common prefixes of neighbours (up to DEEP words), by prefix
+doubling over the group's words, each segment ended by a word of its own. Runs of neighbours with 50 common words or more are the
+topmost deep internal nodes; the shortest common prefix in a run is the node's depth, and so the repeat's length.
 
 Scale: anchors (about one word in 20) are shuffled as two longs; segments only for repeated anchors; texts twice, by doc_id.
-Hot passages are combined map-side, and joins on hot keys are sort-merge joins that adaptive execution splits.
+Joins on hot keys are sort-merge joins of written tables, which adaptive execution splits.
 
 Defined cases: null, empty and short texts have no window; rows without doc_id neither lose words nor take any; rows that
-repeat a doc_id count as one document; an empty table gives an empty result; other columns are carried by remove_repeats.
+repeat a doc_id count as one document; an empty table gives an empty result; other columns, whatever their names, are carried
+by remove_repeats.
 """
 
 from __future__ import annotations
@@ -31,11 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import BATCH_BYTES, BATCH_ROWS, WORD_HASH, map_batches, staged, utf8, window_hashes
+from rollbook.llm.common import WORD_HASH, bound_batches, give_back, map_batches, plain, staged, utf8, window_hashes
 
 WINDOW, ANCHOR = 50, 12
-#: Documents of a prefix group that one subtree takes; words of the groups that are ranked together; windows of a segment.
-GROUP, CHUNK_WORDS, SEGMENT = 2000, 150_000, 512
+#: Words of a prefix group that one subtree takes; words of the groups that are ranked together; windows of a segment.
+GROUP, CHUNK_WORDS, SEGMENT = 400_000, 100_000, 512
+#: Depth to which trees are built: the power of two from WINDOW on.
+DEEP = 64
 
 
 def anchors_of(words: list[bytes]) -> np.ndarray:
@@ -50,44 +58,67 @@ def anchors_of(words: list[bytes]) -> np.ndarray:
     return least.view(np.int64)
 
 
-def nodes_of(segments: list[list[bytes]]) -> np.ndarray:
-    """For each word of the segments, put end to end, the rank of the 50 words from it on: equal ranks, equal words.
-
-    Windows that reach over a segment's end have a rank too, which means nothing.
-    """
+def tree_of(segments: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of the segments, put end to end with an end of its own after each, and the common prefix of each suffix with the one before it, up to DEEP words."""
     number: dict[bytes, int] = {}
-    rank = np.array([number.setdefault(w, len(number)) for s in segments for w in s], np.int64)
-    depth = 1
-    while depth < WINDOW:
-        step = min(depth, WINDOW - depth)
-        later = np.full(len(rank), -1, np.int64)
-        later[:-step or None] = rank[step:] if step < len(rank) else -1
-        rank = np.unique(rank * (int(rank.max()) + 2) + later + 1, return_inverse=True)[1] if len(rank) else rank
-        depth += step
-    return rank
-
-
-def repeats_of(rows: list[tuple[int, int, int, list[bytes]]]) -> Iterator[tuple[int, int, int, int]]:
-    """rows: doc_id, text's key, first word's place, words. Gives doc_id, key and the ranges of places that windows with a smaller doc_id cover."""
-    node = nodes_of([r[3] for r in rows])
-    size = np.array([len(r[3]) for r in rows])
-    windows = size - WINDOW + 1
-    first = np.concatenate([[0], np.cumsum(size)[:-1]])
-    own = np.repeat(np.arange(len(rows)), windows)
-    place = np.arange(len(own)) - np.repeat(np.concatenate([[0], np.cumsum(windows)[:-1]]), windows)
-    doc = np.array([r[0] for r in rows], np.int64)[own]
-    node = node[first[own] + place]
-    order = np.argsort(node, kind="stable")
-    starts = np.flatnonzero(np.concatenate([[True], node[order][1:] != node[order][:-1]]))
-    least = np.empty(len(own), np.int64)
-    least[order] = np.repeat(np.minimum.reduceat(doc[order], starts), np.diff(np.append(starts, len(own))))
-    hit = np.flatnonzero(least < doc)
+    words = [number.setdefault(w, len(number)) for s in segments for w in (*s, None)]
+    rank = np.array(words, np.int64)
+    ends = np.flatnonzero(rank == number.get(None, -1))
+    rank[ends] = len(number) + np.arange(len(ends))
+    levels, depth = [rank], 1
+    while depth < DEEP and len(rank):
+        later = np.zeros(len(rank), np.int64)
+        later[:-depth] = rank[depth:] + 1
+        rank = np.unique(rank * (int(rank.max()) + 2) + later, return_inverse=True)[1]
+        levels.append(rank)
+        depth *= 2
+    order = np.argsort(rank, kind="stable")
+    common = np.zeros(len(order), np.int64)
+    if len(order) > 1:
+        common[1:][rank[order][1:] == rank[order][:-1]] = DEEP
+        at = np.flatnonzero(common[1:] == 0)
+        i, j, n = order[:-1][at], order[1:][at], np.zeros(len(at), np.int64)
+        for k in range(len(levels) - 2, -1, -1):  # the common prefix's binary digits, from the highest
+            x, y = i + n, j + n
+            inside = (x < len(order)) & (y < len(order))
+            same = np.zeros(len(at), bool)
+            same[inside] = levels[k][x[inside]] == levels[k][y[inside]]
+            n += same * (1 << k)
+        common[1:][at] = n
+    return order, common
+
+
+def deep_nodes(order: np.ndarray, common: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The topmost internal nodes of at least that depth: where in the array their leaves begin, where they end, and their depths."""
+    deep = np.concatenate([common >= depth, [False]])
+    begin = np.flatnonzero(deep[1:] & ~deep[:-1])
+    end = np.flatnonzero(deep[:-1] & ~deep[1:]) + 1
+    return begin, end, np.array([common[a + 1 : b].min() for a, b in zip(begin.tolist(), end.tolist(), strict=True)], np.int64)
+
+
+def repeats_of(leaves: list[tuple[int, int, list[bytes]]]) -> Iterator[tuple[int, int, int, int]]:
+    """leaves: least and largest doc_id and words of distinct segments. Gives leaf, first and past last window and the least doc_id of these windows, where it is below the leaf's largest."""
+    order, common = tree_of([words for _, _, words in leaves])
+    size = np.array([len(words) for _, _, words in leaves], np.int64)
+    first = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
+    low, high = (np.array([x[i] for x in leaves], np.int64) for i in (0, 1))
+    own = np.repeat(np.arange(len(leaves)), size + 1)
+    least = low[own]  # of each suffix: by itself the leaf's own
+    begin, end, _ = deep_nodes(order, common)
+    if len(begin):
+        of_order = least[order]
+        edges = np.stack([begin, end], 1).reshape(-1)
+        edges = edges[:-1] if edges[-1] == len(order) else edges
+        node = np.minimum.reduceat(of_order, edges)[::2]
+        inside = np.concatenate([np.arange(a, b) for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+        least[order[inside]] = np.repeat(node, end - begin)
+    place = np.arange(len(own)) - first[own]
+    hit = np.flatnonzero((least < high[own]) & (place <= (size - WINDOW)[own]))
     if not len(hit):
         return
-    new = np.concatenate([[True], (np.diff(hit) != 1) | (own[hit][1:] != own[hit][:-1])])
+    new = np.concatenate([[True], (np.diff(hit) != 1) | (own[hit][1:] != own[hit][:-1]) | (least[hit][1:] != least[hit][:-1])])
     for a, b in zip(hit[new].tolist(), hit[np.append(new[1:], True)].tolist(), strict=True):
-        d, key, start, _ = rows[own[a]]
-        yield d, key, start + int(place[a]), start + int(place[b]) + WINDOW
+        yield int(own[a]), int(place[a]), int(place[b]) + 1, int(least[a])
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
@@ -102,54 +133,81 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
 
 
 def _segments(docs: DataFrame) -> DataFrame:
-    """Of documents with their repeated anchors (wide, deep): segments for the wide ones, single windows with digests for the deep."""
-    schema = "anchor long, digest binary, doc_id long, text_key long, start long, body binary"
+    """The segments of documents with their repeated anchors: anchor, leaf (the segment's digest), doc_id, text_key, the first word's place, the words and how many."""
+    schema = "anchor long, leaf binary, doc_id long, text_key long, start long, body binary, n long"
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []
-        for doc, key, text, wide, deep in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+        for doc, key, text, repeated in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             words = text.split()
             anchor = anchors_of(words)
             turn = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-            wide, deep = set(wide), set(deep)
+            repeated = set(repeated)
             for a, b in zip(turn.tolist(), [*turn[1:].tolist(), len(anchor)], strict=True):
-                if (k := int(anchor[a])) in wide:
-                    out += [(k, None, doc, key, i, b" ".join(words[i : min(b, i + SEGMENT) + WINDOW - 1])) for i in range(a, b, SEGMENT)]
-                elif k in deep:
-                    out += [(k, xxhash.xxh3_128_digest(b" ".join(words[i : i + WINDOW])), doc, key, i, None) for i in range(a, b)]
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["anchor", "digest", "doc_id", "text_key", "start", "body"])
+                if (k := int(anchor[a])) in repeated:
+                    for i in range(a, b, SEGMENT):
+                        part = words[i : min(b, i + SEGMENT) + WINDOW - 1]
+                        body = b" ".join(part)
+                        out.append((k, xxhash.xxh3_128_digest(body), doc, key, i, body, len(part)))
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["anchor", "leaf", "doc_id", "text_key", "start", "body", "n"])
 
     return map_batches(docs, each, schema)
 
 
-def _subtrees(segments: DataFrame) -> DataFrame:
-    """doc_id, text_key, start and end of the ranges of words that repeat, of segments dealt out and sorted by anchor."""
+_FOUND = "anchor long, leaf binary, first long, past long, least long"
+
+
+def _batch(found: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], k) for i, k in enumerate(kinds)], names=["anchor", "leaf", "first", "past", "least"])
+
+
+def _subtrees(leaves: DataFrame) -> DataFrame:
+    """anchor, leaf, first and past last window and their least doc_id, of leaves (anchor, leaf, low, high, body) by one suffix tree for each few prefix groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, int, int, list[bytes]]] = []
+        names: list[tuple[int, bytes]] = []
+        rows: list[tuple[int, int, list[bytes]]] = []
         words, last = 0, None
 
         def done() -> pa.RecordBatch:
-            found = list(repeats_of(rows))
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(4)], names=["doc_id", "text_key", "start", "end"])
+            return _batch([(*names[k], a, b, least) for k, a, b, least in repeats_of(rows)])
 
         for batch in batches:
-            for anchor, doc, key, start, body in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for anchor, leaf, low, high, body in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if anchor != last and words >= CHUNK_WORDS:
                     yield done()
-                    rows, words = [], 0
+                    names, rows, words = [], [], 0
                 last = anchor
-                rows.append((doc, key, start, body.split()))
-                words += len(rows[-1][3])
+                names.append((anchor, leaf))
+                rows.append((low, high, body.split()))
+                words += len(rows[-1][2])
         if rows:
             yield done()
+        names, rows = [], []
+        give_back()
+
+    bound_batches(leaves.sparkSession)
+    dealt = leaves.select("anchor", "leaf", "low", "high", "body").repartition("anchor").sortWithinPartitions("anchor")
+    return dealt.mapInArrow(run, _FOUND)
+
+
+def _lengthened(leaves: DataFrame) -> DataFrame:
+    """The same of leaves whose prefixes are lengthened to WINDOW words: the least doc_id below each node of that depth, which is known by its path's digest."""
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[tuple] = []
+        for anchor, leaf, low, high, body in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            words = body.split()
+            out += [(xxhash.xxh3_128_digest(b" ".join(words[i : i + WINDOW])), anchor, leaf, i, low, high) for i in range(len(words) - WINDOW + 1)]
+        kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["node", "anchor", "leaf", "first", "low", "high"])
 
-    conf = segments.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    dealt = segments.select("anchor", "doc_id", "text_key", "start", "body").repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, "doc_id long, text_key long, start long, end long")
+    suffixes = staged(map_batches(leaves.select("anchor", "leaf", "low", "high", "body"), each, "node binary, anchor long, leaf binary, first long, low long, high long"), "suffixes")
+    nodes = suffixes.groupBy("node").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least < most").select("node", "least")
+    found = suffixes.join(staged(nodes, "deep-nodes"), "node").filter("high > least")
+    return found.select("anchor", "leaf", "first", (F.col("first") + 1).alias("past"), "least")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -161,15 +219,18 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     """doc_id, text_key and `cuts`, the ranges of word places to remove (start, end; they may overlap), of documents that have any."""
     known = _keyed(docs).filter("doc_id is not null and text is not null")
     anchors = staged(_anchor_rows(known.select("doc_id", "text")), "anchors")
-    repeated = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).filter("a < b").select("anchor", (F.col("n") > GROUP).alias("deep"))
-    # written first, so that the joins have two plain sides, which Spark can split at a hot key
-    shared = anchors.join(staged(repeated, "repeated"), "anchor").groupBy("doc_id").agg(F.collect_set(F.when(~F.col("deep"), F.col("anchor"))).alias("wide"), F.collect_set(F.when(F.col("deep"), F.col("anchor"))).alias("deep"))
-    pieces = staged(_segments(known.join(shared, "doc_id").select("doc_id", "text_key", "text", "wide", "deep")), "segments")
-    wide = _subtrees(pieces.filter("body is not null"))
-    deep = pieces.filter("digest is not null").select("digest", "doc_id", "text_key", "start")
-    node = deep.groupBy("digest").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("digest", "a")
-    deep = deep.join(staged(node, "deep-nodes"), "digest").filter("doc_id > a").select("doc_id", "text_key", "start", (F.col("start") + WINDOW).alias("end"))
-    return wide.union(deep).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
+    repeated = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor")
+    # written first, here and below, so that joins have two plain sides, which Spark can split at a hot key
+    shared = anchors.join(staged(repeated, "repeated"), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("repeated"))
+    pieces = staged(_segments(known.join(shared, "doc_id").select("doc_id", "text_key", "text", "repeated")), "segments")
+    leaves = pieces.groupBy("anchor", "leaf").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("body").alias("body"), F.first("n").alias("n"))
+    leaves = staged(leaves, "leaves")
+    groups = leaves.groupBy("anchor").agg(F.sum("n").alias("words"), F.min("low").alias("a"), F.max("high").alias("b")).filter("a < b")
+    large = staged(groups.filter(F.col("words") > GROUP).select("anchor"), "large-groups")
+    found = _subtrees(leaves.join(large, "anchor", "left_anti")).union(_lengthened(leaves.join(large, "anchor", "left_semi")))
+    cuts = pieces.select("anchor", "leaf", "doc_id", "text_key", "start").join(staged(found, "found"), ["anchor", "leaf"]).filter("doc_id > least")
+    cut = F.struct((F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("past") + (WINDOW - 1)).alias("end"))
+    return cuts.groupBy("doc_id", "text_key").agg(F.collect_list(cut).alias("cuts"))
 
 
 def _kept(words: list[bytes], cuts: list[dict]) -> list[bytes]:
@@ -203,8 +264,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A column n_chars, where there is one, follows the text.
     """
-    cuts = staged(repeated_ranges(docs), "cuts").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("cuts").alias("__cuts"))
-    rows = docs.join(cuts, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left").drop("__id", "__key")
+    inner, names = plain(docs)
+    cuts = staged(repeated_ranges(docs.select("doc_id", "text")), "cuts")
+    rows = inner.join(cuts, (F.col(names["doc_id"]).cast("long") == F.col("doc_id")) & (F.xxhash64(names["text"]) == F.col("text_key")), "left").drop("doc_id", "text_key")
     k = docs.columns.index("text")
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -214,5 +276,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         columns[k] = pa.array(texts, pa.string())
         return pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    out = map_batches(rows, each, rows.schema).drop("__cuts")
+    out = map_batches(rows, each, rows.schema).select(*inner.columns).toDF(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
