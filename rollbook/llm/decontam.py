@@ -6,8 +6,9 @@ hashes against a bitmap and the sorted hash set of the test windows; hits are ve
 hits are the spans to remove; or whole documents with hits go.
 
 Scale: one pass over the documents, no shuffle. The broadcast set has a fixed bound: the benchmark is streamed to the driver in
-blocks of at most BLOCK_WINDOWS windows, and a larger benchmark takes further blocks, each its own broadcast and scan, chained
-over the same rows. Texts are scanned in bounded pieces.
+blocks of at most BLOCK_WINDOWS windows, BLOCK_IDS item ids and BLOCK_BYTES bytes. A larger benchmark takes further blocks, each
+its own broadcast and scan over the rows that the scan before has written; a window that more items share than a block takes
+comes again in the next block with the others. Texts are scanned in bounded pieces.
 
 Defined cases: null and empty texts have no words and are clean; null and wordless items have no window; items that share a
 window all count; a null item_id is skipped in the item list but its windows hit; repeated rows are kept; an empty benchmark
@@ -25,10 +26,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import WORD_HASH, map_batches, once, utf8, window_hashes
+from rollbook.llm.common import WORD_HASH, map_batches, once, plain, staged, utf8, window_hashes
 
 WINDOW = 10
-BLOCK_WINDOWS = 1 << 18
+BLOCK_WINDOWS, BLOCK_IDS, BLOCK_BYTES = 1 << 18, 1 << 20, 1 << 26
 _WORD_BYTES = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
 _FOLD = bytes((b | 0x20) if 0x41 <= b <= 0x5A else b if b in _WORD_BYTES else 0x20 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -46,16 +47,19 @@ def windows_of(words: list[bytes]) -> Iterator[bytes]:
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[dict[bytes, list[str]]]:
-    """The benchmark's windows with their items' ids, at most BLOCK_WINDOWS of them at a time."""
+    """The benchmark's windows with their items' ids, in blocks below the bounds."""
     block: dict[bytes, list[str]] = {}
+    ids = size = 0
     for item, text in benchmark.select(F.col("item_id").cast("string"), utf8("text")).toLocalIterator():
         for window in windows_of(words_of(bytes(text) if text is not None else None)):
-            if window not in block and len(block) >= BLOCK_WINDOWS:
+            if (window not in block and len(block) >= BLOCK_WINDOWS) or ids >= BLOCK_IDS or size >= BLOCK_BYTES:
                 yield block
-                block = {}
-            ids = block.setdefault(window, [])
-            if item is not None and item not in ids:
-                ids.append(item)
+                block, ids, size = {}, 0, 0
+            size += 0 if window in block else len(window)
+            own = block.setdefault(window, [])
+            if item is not None and (not own or own[-1] != item):
+                own.append(item)
+                ids, size = ids + 1, size + len(item)
     yield block
 
 
@@ -100,14 +104,17 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """The columns `carry` of docs (all), and __words (long), __spans (merged word spans that are hit, as start, end, start, end ...) and __items (sorted ids of items hit)."""
-    carry = docs.columns if carry is None else carry
+def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs with its columns named c0, c1 ... by place, and words (how many), spans (merged word spans that are hit, as start, end, start, end ...) and items (sorted ids of items hit)."""
+    inner, names = plain(docs)
     spark = docs.sparkSession
-    rows = docs.select(*[F.col(f"`{c}`") for c in carry], utf8("text").alias("__text"), F.lit(0).cast("long").alias("__words"), F.array().cast("array<long>").alias("__spans"), F.array().cast("array<string>").alias("__items"))
-    kinds = rows.schema
+    rows = inner.select("*", utf8(names["text"]).alias("bytes"), F.lit(0).cast("long").alias("words"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    kinds, before = rows.schema, None
     for block in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast(block)
+        if before is not None:  # one scan in a worker at a time, and one broadcast
+            rows = staged(rows, "scanned")
+            before.destroy()
+        before = shared = spark.sparkContext.broadcast(block)
 
         def each(batch: pa.RecordBatch, shared: Broadcast = shared) -> pa.RecordBatch:
             tables = once(shared, _lookup)
@@ -124,19 +131,21 @@ def scan(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None = None)
             return pa.RecordBatch.from_arrays([*batch.columns[: k + 1], *made], names=batch.schema.names)
 
         rows = map_batches(rows, each, kinds)
-    return rows.drop("__text")
+    return rows.drop("bytes")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of each row."""
-    hit = F.aggregate(F.sequence(F.lit(0), F.expr("greatest(size(__spans) div 2 - 1, 0)")), F.lit(0).cast("long"), lambda s, i: s + F.coalesce(F.get("__spans", i * 2 + 1) - F.get("__spans", i * 2), F.lit(0)))
-    digest = F.sha2(F.array_join("__items", ","), 256)
-    return scan(docs, benchmark, ["doc_id"]).select("doc_id", F.col("__words").alias("n_words"), hit.alias("n_hit"), F.size("__items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.size("__spans") > 0).alias("contaminated"))
+    hit = F.aggregate(F.sequence(F.lit(0), F.expr("greatest(size(spans) div 2 - 1, 0)")), F.lit(0).cast("long"), lambda s, i: s + F.coalesce(F.get("spans", i * 2 + 1) - F.get("spans", i * 2), F.lit(0)))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    rows = scan(docs.select("doc_id", "text"), benchmark)
+    return rows.select(F.col("c0").alias("doc_id"), F.col("words").alias("n_words"), hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that have a hit."""
-    return scan(docs, benchmark).filter("size(__spans) = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    inner, _ = plain(docs)
+    return scan(docs, benchmark).filter("size(spans) = 0").select(*inner.columns).toDF(*docs.columns)
 
 
 def without_spans(text: str | None, spans: list[int]) -> str | None:
@@ -153,6 +162,7 @@ def without_spans(text: str | None, spans: list[int]) -> str | None:
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with the hit spans cut from text; a column n_chars, where there is one, follows."""
+    inner, _ = plain(docs)
     scanned = scan(docs, benchmark)
     k = docs.columns.index("text")
 
@@ -163,6 +173,5 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         columns[k] = pa.array(texts, pa.string())
         return pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    out = map_batches(scanned, each, scanned.schema).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = map_batches(scanned, each, scanned.schema).select(*inner.columns).toDF(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
-
