@@ -6,13 +6,14 @@ it is blank, asks, and how long it is. Hidden states are role and position (begi
 emission probabilities are counted, with add-one smoothing, on a sample of labelled conversations bounded by SAMPLE; Viterbi
 gives the likeliest states. Turns are then rendered as `<|role|>`, the text without markers, `<|end|>`, a line each.
 
-Scale: rows are range-partitioned and sorted by conversation, turn and text, and numbered; a chunk is a run of CHUNK_ROWS rows of
-one conversation, so a conversation that holds a third of all rows is many chunks. Viterbi is exact across chunks: each chunk
-gives its max-plus matrix (best log probability from state to state), the matrices of a conversation chain to the states at its
-chunk borders, and the chunks are then decoded independently between them. A task holds one chunk at a time.
-
-Defined cases: a row without conv_id is a conversation of its own; null turns come first; rows that repeat a turn are ordered by
-their text; null and blank texts are one blank line, take the role that the sequence gives them and render an empty turn; roles
+Scale: rows are range-partitioned and sorted by conversation, turn and text, and numbered; a chunk is a run of up to CHUNK_ROWS
+rows and CHUNK_BYTES bytes of one conversation, so a conversation that holds a third of all rows is many chunks. Viterbi is exact
+across chunks: each chunk gives its max-plus matrix (best log probability from state to state); matrices are multiplied in runs of
+FAN, and the products again, until a conversation has FAN or fewer; then the states at the borders are chained from the top level
+down, and the chunks are decoded independently between them. A task holds one chunk, or FAN matrices, at a time.
+
+Defined cases: each row without conv_id is a conversation of its own; null turns come first; rows that repeat a turn are ordered
+by their text; null and blank texts are one blank line, take the role that the sequence gives them and render an empty turn; roles
 outside the three known ones teach nothing; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -25,12 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rollbook.llm.common import staged
+from rollbook.llm.common import bound_batches, give_back, staged
 
 ROLES = ("system", "user", "assistant")
 STATES = 2 * len(ROLES)  # role and, at odd places, going on
-SAMPLE, CHUNK_ROWS = 20_000, 512
+SAMPLE, CHUNK_ROWS, CHUNK_BYTES, FAN = 20_000, 512, 1 << 22, 512
 # The names that speaker markers use.
 SPEAKERS = {
     "system": 1, "instruction": 1, "instructions": 1, "context": 1,
@@ -132,36 +134,86 @@ def render(text: str | None, states: list[int]) -> tuple[str, list[str]]:
     return "\n".join(f"<|{role}|>\n{'\n'.join(lines).strip()}\n<|end|>" for role, lines in turns), [role for role, _ in turns]
 
 
-def chunked(transcripts: DataFrame) -> DataFrame:
-    """conv_id, turn, text, and: key of the conversation, place in the order, chunk."""
-    digest = F.xxhash64(F.coalesce("text", F.lit("")))
-    key = F.coalesce(F.col("conv_id").cast("string"), F.concat(F.lit("row "), F.xxhash64("turn", "text")))
-    rows = transcripts.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "text", key.alias("key"), digest.alias("digest"))
-    ordered = rows.repartitionByRange("key", "turn", "digest").sortWithinPartitions("key", "turn", "digest").withColumn("place", F.monotonically_increasing_id())
-    return staged(ordered.select("conv_id", "turn", "text", "key", "place", F.expr(f"place div {CHUNK_ROWS}").alias("chunk")), "chunks")
+def numbered(ordered: DataFrame, order: str, size: str, into: str, most: int, bytes_: int) -> DataFrame:
+    """ordered, which is sorted by key and order within partitions, with `into`: the order of the first row of the run that a row is in.
+
+    A run is of one key and partition, of up to `most` rows and, but for a single row, `bytes_` bytes by the column `size`.
+    """
+    bound_batches(ordered.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, first, rows, total = None, 0, 0, 0
+        for batch in batches:
+            column = batch.schema.get_field_index
+            out = []
+            for key, place, n in zip(*(batch.column(column(c)).to_pylist() for c in ("key", order, size)), strict=True):
+                if key != of or rows >= most or total + n > bytes_:
+                    of, first, rows, total = key, place, 0, 0
+                rows, total = rows + 1, total + n
+                out.append(first)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, into])
+        give_back()
 
-def _borders(shared, keys: DataFrame) -> DataFrame:
-    """key, chunk, before and last: the states at the borders of the chunks of conversations of several chunks."""
-    parts = [("key", pa.string()), ("chunk", pa.int64()), ("before", pa.int32()), ("last", pa.int32())]
+    return ordered.mapInArrow(run, T.StructType([*ordered.schema.fields, T.StructField(into, T.LongType())]))
 
-    def chain(table: pa.Table) -> pa.Table:
-        model: Hmm = shared.value
-        chunks = sorted(table.to_pylist(), key=lambda r: r["chunk"])
-        best, back = model.start, []
-        for k, r in enumerate(chunks):
-            m = np.array(r["matrix"]).reshape(STATES, STATES)
-            ways = best[:, None] + m if k else np.array(r["opening"])[None]
-            back.append(ways.argmax(0))
-            best = ways.max(0)
-        state, out = int(best.argmax()), []
-        for r, b in zip(reversed(chunks), reversed(back), strict=True):
-            before = int(b[state]) if r is not chunks[0] else -1
-            out.append((r["key"], r["chunk"], before, state))
-            state = before
-        return pa.table({n: pa.array([x[i] for x in out], t) for i, (n, t) in enumerate(parts)})
 
-    return keys.groupBy("key").applyInArrow(chain, "key string, chunk long, before int, last int")
+def chunked(transcripts: DataFrame) -> DataFrame:
+    """conv_id, turn, text, and: key of the conversation, place in the order, chunk."""
+    text = F.coalesce("text", F.lit(""))
+    key = F.coalesce(F.col("conv_id").cast("string"), F.concat(F.lit("row "), F.monotonically_increasing_id()))
+    rows = transcripts.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "text", key.alias("key"), F.xxhash64(text).alias("digest"))
+    ordered = rows.repartitionByRange("key", "turn", "digest").sortWithinPartitions("key", "turn", "digest").withColumn("place", F.monotonically_increasing_id())
+    ordered = ordered.select("conv_id", "turn", "text", "key", "place", F.octet_length(text).cast("long").alias("size"))
+    return staged(numbered(ordered, "place", "size", "chunk", CHUNK_ROWS, CHUNK_BYTES).drop("size"), "chunks")
+
+
+def _matrix(values: list[float]) -> np.ndarray:
+    return np.array(values).reshape(STATES, STATES)
+
+
+def _after(best: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Max-plus product."""
+    return (best[..., :, None] + m).max(-2)
+
+
+def _product(table: pa.Table) -> pa.Table:
+    """The matrices of a run made one."""
+    parts = sorted(table.to_pylist(), key=lambda r: r["chunk"])
+    total, opening = _matrix(parts[0]["matrix"]), np.array(parts[0]["opening"])
+    for r in parts[1:]:
+        m = _matrix(r["matrix"])
+        total, opening = _after(total, m), _after(opening, m)
+    return pa.table({"key": pa.array([parts[0]["key"]]), "chunk": pa.array([parts[0]["run"]], pa.int64()), "matrix": pa.array([total.reshape(-1).tolist()]), "opening": pa.array([opening.tolist()])})
+
+
+def _chain(table: pa.Table) -> pa.Table:
+    """key, chunk, before and last of the parts of a run: the states before their first and at their last line (-1: none before)."""
+    parts = sorted(table.to_pylist(), key=lambda r: r["chunk"])
+    before, last = parts[0]["before"], parts[0]["last"]
+    best, back = np.array(parts[0]["opening"]) if before < 0 else _matrix(parts[0]["matrix"])[before], []
+    for r in parts[1:]:
+        ways = best[:, None] + _matrix(r["matrix"])
+        back.append(ways.argmax(0))
+        best = ways.max(0)
+    states = [int(best.argmax()) if last < 0 else last]
+    for b in reversed(back):
+        states.append(int(b[states[-1]]))
+    states = states[::-1]
+    found = [(r["key"], r["chunk"], a, b) for r, a, b in zip(parts, [before, *states], states, strict=False)]
+    return pa.table({n: pa.array([x[i] for x in found], t) for i, (n, t) in enumerate((("key", pa.string()), ("chunk", pa.int64()), ("before", pa.int32()), ("last", pa.int32())))})
+
+
+def _borders(matrices: DataFrame) -> DataFrame:
+    """key, chunk, before and last of the chunks of matrices (key, chunk, matrix, opening)."""
+    schema = "key string, chunk long, before int, last int"
+    if matrices.groupBy("key").count().filter(F.col("count") > FAN).isEmpty():
+        whole = matrices.withColumns({"before": F.lit(-1), "last": F.lit(-1)})
+        return whole.groupBy("key").applyInArrow(_chain, schema)
+    ordered = matrices.repartitionByRange("key", "chunk").sortWithinPartitions("key", "chunk").withColumn("size", F.lit(0).cast("long"))
+    runs = staged(numbered(ordered, "chunk", "size", "run", FAN, 1).drop("size"), "runs")
+    products = staged(runs.groupBy("key", "run").applyInArrow(_product, "key string, chunk long, matrix array<double>, opening array<double>"), "products")
+    above = _borders(products).withColumnRenamed("chunk", "run")
+    return runs.join(above, ["key", "run"]).groupBy("key", "run").applyInArrow(_chain, schema)
 
 
 def roles(transcripts: DataFrame, model: Hmm) -> DataFrame:
@@ -180,8 +232,9 @@ def roles(transcripts: DataFrame, model: Hmm) -> DataFrame:
 
     spread = rows.join(several, "key", "left_semi").select("key", "chunk", "place", "text")
     matrices = spread.groupBy("key", "chunk").applyInArrow(measure, "key string, chunk long, matrix array<double>, opening array<double>")
-    borders = _borders(shared, matrices)
+    borders = _borders(staged(matrices, "matrices"))
     whole = rows.join(borders, ["key", "chunk"], "left").select("conv_id", "turn", "text", "key", "place", "chunk", "before", "last")
+    bound_batches(transcripts.sparkSession)
     sorted_rows = whole.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,6 +269,7 @@ def roles(transcripts: DataFrame, model: Hmm) -> DataFrame:
         if held:
             decode()
             yield made()
+        give_back()
 
     return sorted_rows.mapInArrow(run, "conv_id long, turn long, place long, roles array<string>, role string, rendered string")
 
