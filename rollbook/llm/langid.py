@@ -5,8 +5,8 @@ is 1 + ln of the count, inverse document frequency is counted over all training
 logistic loss, follow-the-regularised-leader with per-coordinate rates and elastic-net (L1 and L2) penalties; then a temperature
 that minimises the loss on a part of the sample that training did not see.
 
-The fit takes a stratified sample of SAMPLE labelled texts, drawn by a hash of doc_id with the same share for each language (all
-rows of languages that have fewer); document frequencies cover all training texts; prediction reads every text whole.
+The fit takes a stratified sample of SAMPLE distinct labelled texts, drawn by a hash of the text with the same share for each
+language (all texts of languages that have fewer); document frequencies cover all training texts; prediction reads every text whole.
 
 Scale: two maps over the texts and small aggregates; no text is shuffled. What is broadcast is BUCKETS x languages weights; what
 is collected is the sample's sparse features, bounded by SAMPLE x BUCKETS whatever the texts' length.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import id_crc, map_batches, once
+from rollbook.llm.common import id_crc, map_batches, once, plain
 
 BUCKETS, GRAMS = 1 << 16, 3
 SAMPLE, EPOCHS = 4000, 2
@@ -72,11 +72,17 @@ def _parts(points: np.ndarray):
             yield found[:_PART]
 
 
-def counts(text: str | None) -> np.ndarray:
+def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's n-grams, rising, and how often each occurs."""
+    points = code_points(text)
+    if len(points) <= _PART:
+        found = buckets(points)
+        return np.unique(np.concatenate(found).astype(np.uint16) if found else np.empty(0, np.uint16), return_counts=True)
     total = np.zeros(BUCKETS, np.int64)
-    for found in _parts(code_points(text)):
+    for found in _parts(points):
         total += np.bincount(found, minlength=BUCKETS)
-    return total
+    index = np.flatnonzero(total)
+    return index, total[index]
 
 
 def tf_idf(index: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -92,11 +98,10 @@ class Model:
     temperature: float
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        count = counts(text)
-        index = np.flatnonzero(count)
+        index, count = counts(text)
         if not len(index) or not self.langs:
             return UNKNOWN, 0.0
-        share = probabilities((tf_idf(index, count[index], self.idf) @ self.weights[index] + self.weights[-1]) / self.temperature)
+        share = probabilities((tf_idf(index, count, self.idf) @ self.weights[index] + self.weights[-1]) / self.temperature)
         best = int(share.argmax())
         return self.langs[best], float(share[best])
 
@@ -147,7 +152,7 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         total = np.zeros(BUCKETS, np.int64)
         for text in batch.column(0).to_pylist():
-            total += counts(text) > 0
+            total[counts(text)[0]] += 1
         at = np.flatnonzero(total)
         return pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
 
@@ -170,16 +175,16 @@ def train(docs: DataFrame, training: Column) -> Model:
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
         index, count = [], []
         for text in batch.column(1).to_pylist():
-            c = counts(text)
-            index.append(np.flatnonzero(c))
-            count.append(c[index[-1]])
+            own, n = counts(text)
+            index.append(own.astype(np.int64))
+            count.append(n)
         kind = pa.list_(pa.int64())
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(index, kind), pa.array(count, kind)], names=["draw", "lang", "index", "count"])
 
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("sample")), F.lit(1 << 30))
+    draw = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30))
     share = {lang: min(1.0, SAMPLE / len(langs) / n) for lang, n in sizes.items()}
     limit = F.element_at(F.create_map(*[F.lit(x) for lang in langs for x in (lang, int(share[lang] * (1 << 30)))]), F.col("lang"))
-    sample = map_batches(rows.select(draw.alias("draw"), "text", "lang").filter(F.col("draw") < limit), features, "draw long, lang string, index array<long>, count array<long>")
+    sample = map_batches(rows.select(draw.alias("draw"), "text", "lang").filter(F.col("draw") < limit).dropDuplicates(["lang", "text"]), features, "draw long, lang string, index array<long>, count array<long>")
     data, labels = [], []
     for r in sorted(sample.collect(), key=lambda r: (r.draw, r.lang)):
         if r["index"]:
@@ -195,19 +200,20 @@ def train(docs: DataFrame, training: Column) -> Model:
     return Model(langs, idf, w, temperature)
 
 
-def predict(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
-    """The columns `carry` of docs, lang_pred and score."""
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with its columns named c0, c1 ... by place, lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(f"`{c}`") for c in carry], F.col("text").alias("__text"), F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"))
+    inner, names = plain(docs)
+    k = docs.columns.index("text")
+    rows = inner.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"))
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = once(shared, _same)
-        k = batch.num_columns - 3
         found = [own.predict(t) for t in batch.column(k).to_pylist()]
         made = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
-        return pa.RecordBatch.from_arrays([*batch.columns[: k + 1], *made], names=batch.schema.names)
+        return pa.RecordBatch.from_arrays([*batch.columns[:-2], *made], names=batch.schema.names)
 
-    return map_batches(rows, each, rows.schema).drop("__text")
+    return map_batches(rows, each, rows.schema)
 
 
 def _same(model: Model) -> Model:
@@ -221,11 +227,12 @@ def is_training(doc_id: str = "doc_id") -> Column:
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each row; learns from the rows that are not held out."""
     model = train(docs, is_training())
-    return predict(docs.select("doc_id", "text", (~is_training()).alias("held_out")), model, ["doc_id", "held_out"])
+    found = predict(docs.select("doc_id", "text", (~is_training()).alias("held_out")), model)
+    return found.select(F.col("c0").alias("doc_id"), F.col("c2").alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """docs without the texts that have no language, or none with at least LEAST_SCORE."""
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    found = predict(plain.withColumn("text", plain[f"c{docs.columns.index('text')}"]), train(docs, is_training()), plain.columns)
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*plain.columns).toDF(*docs.columns)
+    inner, _ = plain(docs)
+    found = predict(docs, train(docs.select("doc_id", "text", "lang"), is_training()))
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*inner.columns).toDF(*docs.columns)
