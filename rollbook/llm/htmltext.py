@@ -1,9 +1,13 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
 A page is cut into flat text blocks at block-level tags. Each block has its word count and link density, those of the blocks
-before and after it, whether it lies inside the page's furniture (by tag, role, class or id of what is open around it), whether
-it lies inside an article or main element, and whether it is a heading. A decision tree, grown by Gini impurity on the small
-labelled table below, tells content from the rest. Scripts, styles, comments and the like are no blocks at all.
+before and after it, and what its page says of it: whether it lies in an element that is furniture by its tag or role or by a
+name in class or id (`apart`), in one whose name may mean furniture (`doubtful`), in an article or main element, in a heading. A
+decision tree, grown by Gini impurity on the blocks of the small labelled pages below, tells content from the rest; no rule
+decides beside it. Scripts, styles, comments and the like are no blocks at all.
+
+An element that only wraps the page is no furniture, whatever it is called: a form, or an element of a doubtful name, that holds
+an article or main element, or most of the page's words outside links.
 
 Inside a block character references are decoded and white space becomes one space; the blocks kept are joined in page order by
 a line feed. Line breaks (br) are white space, not block ends.
@@ -11,14 +15,14 @@ a line feed. Line breaks (br) are white space, not block ends.
 Scale: a map over the pages; no shuffle, nothing broadcast but the tree, memory bounded by a page.
 
 Defined cases: null and empty html, and pages without content, have empty text; tags left open or cut off are closed by the
-page's end; repeated rows are kept; other columns are ignored.
+page's end; a quote opens a value only after an equals sign; repeated rows are kept; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,28 +30,34 @@ from pyspark.sql import functions as F
 
 from rollbook.llm.common import map_batches
 
+_INSIDE = r"(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+"  # of a tag, up to its end
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|noscript|template|iframe|svg|math|title|textarea|select|object|canvas|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|$)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*(?:>|$)|</?[a-zA-Z][^>]*$",
+    rf"<!--.*?(?:-->|$)|<(script|style|template|iframe|svg|title|textarea|select|object|canvas|audio|video)\b{_INSIDE}>.*?(?:</\1\s*>|$)"
+    rf"|<(/?)([a-zA-Z][^\s/>]*)({_INSIDE})>|<[!?][^>]*(?:>|$)|</?[a-zA-Z][^>]*$",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""(class|id|role|aria-label|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # Fixed values of HTML: elements by their part in a page.
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
-FURNITURE_TAGS = set("nav aside footer form menu dialog button fieldset label".split())
-FURNITURE_ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
-FURNITURE_NAMES = set(
-    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus disclaimer footer"
-    " form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager paywall popup promo"
-    " promoted promotion related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
-)
-#: Names that don't count as furniture where the same class or id also names the text itself.
-MILD = {"header", "banner", "widget", "form"}
-CONTENT_NAMES = set("article content entry main post story text body".split())
+APART_TAGS = set("nav aside footer form menu dialog button fieldset label".split())
+APART_ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
+# Names in class and id.
+APART_NAMES = set("ad ads advert advertisement adverts advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead nav navbar navigation newsletter pager pagination paywall popup reply replies respond sidebar sponsored toolbar".split())
+DOUBTFUL_NAMES = set("banner disclaimer form header login menu modal notice notices notification promo promoted promotion related share sharing signup social sponsor subscribe subscription widget".split())
+
+
+@dataclass
+class Element:
+    """An open element that may be furniture; words: those outside links that have passed in it."""
+
+    apart: bool
+    excused: bool  # whether wrapping an article or most of the page excuses it
+    words: int = 0
+    wraps: bool = False
 
 
 @dataclass
@@ -55,16 +65,20 @@ class Block:
     text: str
     words: int
     links: float
-    furniture: bool
     article: bool
     heading: bool
+    around: list[Element] = field(default_factory=list)
+    apart: bool = False
+    doubtful: bool = False
 
 
-def _names(attributes: str) -> tuple[set[str], set[str], bool]:
+def _furniture(tag: str, attributes: str, in_article: bool) -> Element | None:
+    if tag in ("html", "body", "article", "main"):
+        return None
     names: set[str] = set()
     roles: set[str] = set()
     hidden = False
-    for name, value in _ATTRIBUTE.findall(attributes):
+    for name, value in _ATTRIBUTE.findall(attributes) if attributes.strip() else ():
         value = value.strip("\"'")
         if (name := name.lower()) == "role":
             roles.update(value.lower().split())
@@ -72,27 +86,20 @@ def _names(attributes: str) -> tuple[set[str], set[str], bool]:
             hidden = True
         elif name in ("class", "id"):
             names.update(x.lower() for x in _NAME.findall(value))
-    return names, roles, hidden
-
-
-def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in FURNITURE_TAGS or tag == "header" and not in_article:
-        return True
-    if tag in ("html", "body", "article", "main") or not attributes.strip():
-        return False
-    names, roles, hidden = _names(attributes)
-    found = names & FURNITURE_NAMES
-    if found and names & CONTENT_NAMES:
-        found -= MILD
-    return bool(found or hidden or roles & FURNITURE_ROLES)
+    if tag == "form":
+        return Element(True, True)
+    if tag in APART_TAGS or tag == "header" and not in_article or hidden or roles & APART_ROLES or names & APART_NAMES:
+        return Element(True, False)
+    return Element(False, True) if names & DOUBTFUL_NAMES else None
 
 
 def blocks_of(page: str | None) -> list[Block]:
     """The flat text blocks of a page."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements, whether they are furniture, whether an article
+    stack: list[tuple[str, Element | None]] = []
+    around: list[Element] = []
     parts: list[tuple[str, bool]] = []
-    furniture = article = anchor = heading = 0
+    article = anchor = heading = 0
 
     def flush() -> None:
         nonlocal parts
@@ -101,13 +108,17 @@ def blocks_of(page: str | None) -> list[Block]:
             if text:
                 linked = sum(len(entities.unescape(t).split()) for t, a in parts if a)
                 words = len(text.split())
-                out.append(Block(text, words, min(1.0, linked / words), furniture > 0, article > 0, heading > 0))
+                out.append(Block(text, words, min(1.0, linked / words), article > 0, heading > 0, around[:]))
+                for e in around:
+                    e.words += max(0, words - linked)
             parts = []
 
     def close(k: int) -> None:
-        nonlocal furniture, article, anchor, heading
-        for tag, f, a in stack[k:]:
-            furniture, article, anchor, heading = furniture - f, article - a, anchor - (tag == "a"), heading - (tag in HEADINGS)
+        nonlocal article, anchor, heading
+        for tag, e in stack[k:]:
+            article, anchor, heading = article - (tag in ("article", "main")), anchor - (tag == "a"), heading - (tag in HEADINGS)
+            if e is not None:
+                around.pop()
         del stack[k:]
 
     at, page = 0, page or ""
@@ -137,39 +148,104 @@ def blocks_of(page: str | None) -> list[Block]:
                     break
                 if stack[k][0] in BLOCKS:
                     break
-        f, a = _is_furniture(tag, m[4], article > 0), tag in ("article", "main")
-        stack.append((tag, f, a))
-        furniture, article, anchor, heading = furniture + f, article + a, anchor + (tag == "a"), heading + (tag in HEADINGS)
+        if tag in ("article", "main"):
+            for e in around:
+                e.wraps = True
+        e = _furniture(tag, m[4], article > 0)
+        stack.append((tag, e))
+        if e is not None:
+            around.append(e)
+        article, anchor, heading = article + (tag in ("article", "main")), anchor + (tag == "a"), heading + (tag in HEADINGS)
     if at < len(page):
         parts.append((page[at:], anchor > 0))
     flush()
+    whole = sum(b.words * (1 - b.links) for b in out)
+    for b in out:
+        counted = [e for e in b.around if not (e.excused and (e.wraps or 2 * e.words > whole))]
+        b.apart, b.doubtful = any(e.apart for e in counted), any(not e.apart for e in counted)
     return out
 
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "article", "heading")
-#: Neighbours (words and link density of the block before or after) that the labelled blocks were seen beside.
-BESIDE = ((0, 0.0), (2, 1.0), (8, 0.0), (70, 0.0), (250, 0.1))
-#: The labelled table, part one: words, links, furniture, article, heading of blocks whose label doesn't hang on their neighbours.
-LABELLED = (
-    ((1, 1.0, 1, 0, 0), 0), ((6, 0.0, 1, 0, 1), 0), ((12, 0.0, 1, 0, 0), 0), ((40, 0.1, 1, 0, 0), 0), ((180, 0.0, 1, 0, 0), 0), ((4, 0.0, 1, 1, 1), 0), ((30, 0.0, 1, 1, 0), 0), ((3, 1.0, 1, 1, 0), 0), ((120, 0.0, 1, 1, 0), 0),
-    ((9, 0.0, 0, 1, 1), 1), ((1, 0.0, 0, 1, 0), 1), ((5, 0.0, 0, 1, 0), 1), ((20, 0.4, 0, 1, 0), 1), ((60, 0.0, 0, 1, 0), 1), ((300, 0.1, 0, 1, 0), 1), ((3, 0.5, 0, 1, 0), 1), ((7, 1.0, 0, 1, 1), 1),
-    ((2, 1.0, 0, 1, 0), 0), ((6, 0.9, 0, 1, 0), 0), ((18, 0.8, 0, 1, 0), 0),
-    ((2, 1.0, 0, 0, 0), 0), ((7, 0.8, 0, 0, 0), 0), ((30, 0.7, 0, 0, 0), 0), ((35, 0.05, 0, 0, 0), 1), ((22, 0.0, 0, 0, 0), 1), ((120, 0.1, 0, 0, 0), 1),
-)
-#: Part two: words, links, words and links before, words and links after, heading of short blocks outside articles, and their labels.
-BETWEEN = (
-    ((8, 0.0, 70, 0.0, 60, 0.0, 0), 1), ((5, 0.0, 70, 0.1, 250, 0.0, 0), 1), ((3, 0.0, 90, 0.0, 70, 0.0, 0), 1), ((7, 0.0, 8, 0.0, 80, 0.0, 1), 1), ((6, 0.0, 2, 1.0, 70, 0.0, 1), 1), ((4, 0.0, 0, 0.0, 250, 0.1, 1), 1),
-    ((3, 0.0, 2, 1.0, 2, 1.0, 0), 0), ((9, 0.0, 2, 1.0, 8, 0.0, 0), 0), ((4, 0.0, 8, 0.0, 0, 0.0, 0), 0), ((6, 0.3, 2, 1.0, 2, 1.0, 0), 0), ((8, 0.0, 8, 0.0, 2, 1.0, 0), 0), ((5, 0.0, 2, 1.0, 2, 1.0, 1), 0), ((7, 0.0, 0, 0.0, 8, 0.0, 0), 0),
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "apart", "doubtful", "article", "heading")
+_NONE = Block("", 0, 0.0, False, False)
+
+
+def features_of(blocks: list[Block]) -> list[tuple]:
+    """A row of FEATURES for each block."""
+    beside = [_NONE, *blocks, _NONE]
+    return [(b.words, b.links, a.words, a.links, c.words, c.links, b.apart, b.doubtful, b.article, b.heading) for a, b, c in zip(beside, blocks, beside[2:], strict=False)]
+
+
+#: The labelled table: small pages, block by block. `p:60/4+` is a paragraph of 60 words, 4 of them in links, that is content;
+#: `-` marks the rest, `.name` a class, brackets an element with others inside.
+PAGES = (
+    # articles that are marked as such
+    "nav(ul(li:1/1- li:1/1- li:2/2- li:1/1-)) div.ad:8- article(h1:9+ p:62+ p:140+ p:2+ p:9+ p:46+) footer:11/1-",
+    "header(p:3/3- p:6-) main(h1:7+ p:1+ p:230/4+ p:31+ h2:4+ p:80/1+ ul(li:3+ li:12+ li:1+) p:5+) footer(p:14- p:3/3-)",
+    "nav(li:2/2- li:1/1-) div.advert:14- article(h1:12+ p:120+ p:300+ p:1+ p:7+) footer:9-",
+    "nav(li:1/1-) article(h1:5+ p:18+ aside(h3:2- p:24- p:3/3-) p:70+ div.ad:30- p:22+ p:4+) section#comments(h2:1- p:35- p:8- p:90-) footer:6-",
+    "header(h1:2- p:9-) article(header(h1:8+ p:6+) p:55+ blockquote:25+ p:3/1+ p:12+ nav(p:2/2- p:2/2-)) div.sidebar(h3:2- p:40- p:60-)",
+    "div:1/1- div:2/2- article(h2:6+ p:400+ p:2+ p:2+ p:2+ p:60+ div:3/3- div:6/6- div:2/2-) div:2/2- div:7-",
+    "main(article(h1:4+ p:11+ p:2/2+ p:35/12+ p:8/7+ p:90+) form(p:8- label:2- p:25-)) footer:20-",
+    "article(h1:10+ div.share(p:3- p:4/4-) p:100+ div.share(p:5-) p:65+ p:6+) aside(p:120- p:45-)",
+    "article(p:1+) footer:4-", "article(p:3+) div.cookie:30-", "article(p:14+)", "article(p:2/2+)", "article(h1:5+ p:60+ p:2+)", "article(p:2+ p:3+)", "main(p:30+ p:1+)", "article(h1:4+ p:7+)", "article(p:40+ p:11+)",
+    "article(h1:8+ p:80+ p:3/3+ p:150+ p:44+ p:2/2+ p:260+ p:5+)", "nav(li:1/1- li:2/2-) p:6/6- article(p:9/9+ p:180+ ul(li:6/6- li:2/2- li:3/3-) p:205+)",
+    "article(h1:3+ div.social-policy(p:75+ p:130+) p:18+)",
+    "main(h1:6/6+ p:20/20+ p:45+ p:1+ table(td:2+ td:1+ td:3+ td:1+) p:16+) div:5-",
+    "nav(li:1/1- li:1/1-) article(h1:5/5+ p:70+ p:4/4+ p:6+ p:33+ p:12/10+ p:2+ ul(li:2/2- li:3/3- li:4/4- li:2/2-)) div:8-",
+    "main(h1:7+ p:90+ ul(li:5/5- li:3/3- li:1/1- li:7/6-) p:120+ p:3+ p:60/2+)",
+    "article(h1:9+ p:60+ p:2/2+ p:20+ p:3+ p:50+)", "nav(li:1/1- li:1/1-) article(p:6+ p:1+ p:30+)", "div:1/1- div:2/2- main(h1:3+ p:2+ p:1+ p:75+)",
+    "article(h1:7+ p:50+ p:3/3+ p:2+ p:70+)", "nav(li:1/1-) article(p:2+ p:30+ p:4/4+ p:1+)", "nav(li:2/2- li:1/1-) main(p:4+ p:3+)",
+    "div:4/4- div:2/2- article(p:25+ p:4+ p:3+ p:90+ p:5/5+ p:8+ p:2+ p:33+) div:3-",
+    # articles among plain elements, without a name that helps
+    "ul(li:1/1- li:2/2- li:1/1- li:1/1- li:3/3-) h1:8+ p:75+ p:50/3+ p:6+ p:110+ div:9- div:2/2- div:2/2- div:6-",
+    "div:3- div:1/1- div:1/1- div:1/1- h1:11+ div:90+ div:38+ div:4+ div:160/5+ h3:2- div:7/7- div:9/9- div:8/8- div:12-",
+    "div(div:2/2- div:2/2-) div(h2:6+ p:33+ p:210+ p:8+ p:64+) div(h3:2- p:6/6- p:5/5-) div:10/2-",
+    "div:2/2- div:5- div:2/2- h1:5+ p:260+ p:40+ p:3+ p:95+ p:11/11- p:14/12- p:8-",
+    "p:2/2- p:4- p:3/3- h2:9+ p:48+ p:29/2+ p:5+ p:57+ h2:4+ p:66+ p:3/3- p:5/5- p:2/2-",
+    "div:1/1- div:3/3- h1:6+ p:82+ p:19+ p:3/3+ p:70+ div:4-", "h1:10+ p:55+ p:7+ p:130+ div:9-", "p:200+ p:61+ div:3-", "div:2/2- p:45+ p:120+ div:7-",
+    "p:35+ p:80+ p:7+ p:44+", "div:22+ div:120/9+ div:24+", "h1:7+ p:150+", "div:1/1- p:100+ div:1/1-",
+    "div:6/6- div:30/21- div:25/22- div:4- div:18/15-", "div:2/2- div:5- div:4- div:3/3- div:8-", "div:1/1- div:9- div:1/1- div:5- div:1/1-",
+    # names that only may mean furniture
+    "div.share-of-voice(h1:5+ p:85+ p:9+ p:70+) div.share(p:4- p:2/2-)",
+    "div.login(p:9- p:12-) h1:6+ p:95+ p:130+ div.promo(p:11- p:16-) p:60+ p:5+ p:40+ div.related(h3:2- p:5/5- p:8-)",
+    "div.header(p:4- p:2/2-) div.notice:18- h1:4+ p:66+ p:45+ div.widget(p:3- p:12-) div.disclaimer:24-",
+    "div.banner:13- div.menu(li:1/1- li:2-) p:52+ div.press-notice(p:95+ p:64+ p:50+) p:177+ p:150+ div.subscribe:15-",
+    "article(h1:7+ p:210+ div.widget-theory(p:80+ p:140+) p:160+ p:12+ div.promo:20- p:48+)", "p:300+ p:210+ div.social-history(p:120+ p:75+) p:90+ div.promotion(p:16- p:9-)",
+    # furniture that is long
+    "div.sidebar(p:90- p:130-) h1:9+ p:140+ p:33+ div.comments(p:60- p:110- p:7-)",
+    "aside(p:75- p:45/3-) p:88+ p:61+ div.newsletter(p:36- p:4-) p:9+ p:50+ footer(p:70/5- p:44-)",
 )
+_ITEM = re.compile(r"(\w+)([.#][\w-]+)?(?:\(|:(\d+)(?:/(\d+))?([+-]))|(\))")
+
+
+def labelled(page: str) -> tuple[str, list[int]]:
+    """The HTML of a labelled page, and its blocks' labels."""
+    html, labels, open_ = [], [], []
+    for tag, name, words, linked, label, end in _ITEM.findall(page):
+        if end:
+            html.append(f"</{open_.pop()}>")
+            continue
+        html.append(f'<{tag} {"class" if name[0] == "." else "id"}="{name[1:]}">' if name else f"<{tag}>")
+        if not words:
+            open_.append(tag)
+            continue
+        n = int(linked or 0)
+        html.append(f'<a href="x">{"w " * n}</a>{"w " * (int(words) - n)}</{tag}>')
+        labels.append(int(label == "+"))
+    return "".join(html), labels
 
 
 def table() -> list[tuple]:
     """Rows of FEATURES and label."""
-    apart = [(w, x, *a, *b, f, m, h, y) for (w, x, f, m, h), y in LABELLED for a in BESIDE for b in BESIDE]
-    return apart + [(*row, 0, 0, h, y) for (*row, h), y in BETWEEN]
+    rows = []
+    for page in PAGES:
+        html, labels = labelled(page)
+        rows += [(*x, y) for x, y in zip(features_of(blocks_of(html)), labels, strict=True)]
+    return rows
 
 
-def grow(rows: list[tuple], depth: int = 8) -> tuple | float:
+def grow(rows: list[tuple], depth: int = 10) -> tuple | float:
     """A tree of (feature, bound, below or equal, above) with shares of content at the leaves."""
     share = sum(r[-1] for r in rows) / len(rows)
     if depth == 0 or share in (0, 1):
@@ -188,6 +264,11 @@ def grow(rows: list[tuple], depth: int = 8) -> tuple | float:
 TREE = grow(table())
 
 
+def splits(tree: tuple | float = TREE) -> list[tuple[str, float]]:
+    """The tree's splits, from the root on."""
+    return [] if not isinstance(tree, tuple) else [(FEATURES[tree[0]], tree[1]), *splits(tree[2]), *splits(tree[3])]
+
+
 def is_content(features: tuple, tree: tuple | float = TREE) -> bool:
     while isinstance(tree, tuple):
         tree = tree[2] if features[tree[0]] <= tree[1] else tree[3]
@@ -197,10 +278,7 @@ def is_content(features: tuple, tree: tuple | float = TREE) -> bool:
 def text_of(page: str | None) -> str:
     """The page's main text."""
     blocks = blocks_of(page)
-    none = Block("", 0, 0.0, False, False, False)
-    around = [none, *blocks, none]
-    kept = [b.text for a, b, c in zip(around, blocks, around[2:], strict=False) if is_content((b.words, b.links, a.words, a.links, c.words, c.links, b.furniture, b.article, b.heading))]
-    return "\n".join(kept)
+    return "\n".join(b.text for b, x in zip(blocks, features_of(blocks), strict=True) if is_content(x))
 
 
 def extract(pages: DataFrame) -> DataFrame:
