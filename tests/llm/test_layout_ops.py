@@ -39,6 +39,19 @@ def test_a_hot_text_is_split(spark):
     assert len(sizes) == 8 and max(sizes) - min(sizes) <= 28
 
 
+def test_ranges_are_even_in_rows(spark, monkeypatch):
+    """Half of the texts empty, a third of the rows the same: no range has many times its share of the rows."""
+    monkeypatch.setattr(sharding, "RANGES", 64)
+    monkeypatch.setattr(sharding, "SAMPLE", 4096)
+    d = spark.range(24000).selectExpr("if(id % 3 = 0, 7, id) as doc_id", "case when id % 2 = 0 or id % 3 = 0 then '' else repeat(cast(id as string), 40) end as text")
+    keys = sharding.staged(sharding.keyed(d), "keys")
+    total, n = keys.groupBy().sum("size").first()[0], keys.count()
+    boundaries, sizes = sharding.split(keys, total, n)
+    assert max(r for _, r in sizes.values()) < 5 * n / 64 and max(b for b, _ in sizes.values()) < 5 * total / 64 and len(boundaries) < 200
+    out = sharding.report(d).groupBy("shard").agg({"size": "sum", "slot": "max", "*": "count"}).collect()
+    assert sum(r["count(1)"] for r in out) == n and all(r["max(slot)"] == r["count(1)"] - 1 for r in out)
+
+
 def test_media_round_trip(docs, rows, none):
     out = media.report(docs).collect()
     want = Counter()

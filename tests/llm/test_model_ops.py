@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 import zlib
@@ -34,9 +35,81 @@ def test_odd_texts_have_no_language(docs, none):
 
 def test_pieces_of_long_texts_count_the_same(monkeypatch):
     text = "Abé c, d! " * 50
-    whole = langid.counts(text)
+    index, n = langid.counts(text)
     monkeypatch.setattr(langid, "_PART", 7)
-    assert (langid.counts(text) == whole).all() and whole.sum() > 0
+    assert [x.tolist() for x in langid.counts(text)] == [index.tolist(), n.tolist()] and n.sum() > 0
+
+
+def test_training_equals_a_plain_version(spark):
+    """TF-IDF and FTRL with elastic net written plainly, with dictionaries and loops, against the model of the same rows."""
+    rows = [(k, passage, lang) for k, (passage, lang) in enumerate([("the cat sat on it", "en"), ("le chat est là", "fr"), ("der Hund ist da", "de"), ("a dog and a cat", "en"), ("la maison est ici", "fr"), ("das Haus war alt", "de")] * 3)]
+    rows = [(k, f"{t} {'abcdefghijklmnopqr'[k]}", lang) for k, t, lang in rows]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+
+    def grams(text):
+        s = "".join(c if c.isalpha() else " " for c in text.lower())
+        s = " ".join(s.split()) if not s.startswith(" ") else s
+        out = Counter()
+        for n in (1, 2, 3):
+            for i in range(len(s) - n + 1):
+                h = 0
+                for k in range(1, n + 1):  # as the rolling hash of the longest run that ends here
+                    h = (h * 0x9E3779B97F4A7C15 + ord(s[i + k - 1]) + k) * 0xD6E8FEB86659FD93 % 2**64
+                    h ^= h >> 32
+                out[h >> 8 & langid.BUCKETS - 1] += 1
+        return out
+
+    found = [grams(t) for _, t, _ in rows]
+    df = Counter(b for g in found for b in g)
+    idf = {b: math.log((1 + len(rows)) / (1 + n)) + 1 for b, n in df.items()}
+    assert all(math.isclose(model.idf[b], x) for b, x in idf.items())
+
+    def vector(g):
+        v = {b: (1 + math.log(n)) * idf.get(b, math.log(1 + len(rows)) + 1) for b, n in g.items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {**{b: x / size for b, x in v.items()}, langid.BUCKETS: 1.0}
+
+    draws = {t: r.d for r, (_, t, _) in zip(spark.createDataFrame(rows, "i long, text string, lang string").select("i", F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)).alias("d")).orderBy("i").collect(), rows, strict=True)}
+    order = sorted(range(len(rows)), key=lambda k: (draws[rows[k][1]], rows[k][2]))
+    fit = [k for at, k in enumerate(order) if at % 5 != 4]
+    langs = sorted({x for _, _, x in rows})
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(b, c):
+        if abs(z[b, c]) <= langid.L1:
+            return 0.0
+        return -(z[b, c] - math.copysign(langid.L1, z[b, c])) / ((langid.BETA + math.sqrt(n[b, c])) / langid.ALPHA + langid.L2)
+
+    def share(v):
+        e = [math.exp(sum(x * weight(b, c) for b, x in v.items())) for c in range(len(langs))]
+        return [x / sum(e) for x in e]
+
+    for _ in range(langid.EPOCHS):
+        for k in fit:
+            v = vector(found[k])
+            p, w = share(v), {(b, c): weight(b, c) for b in v for c in range(len(langs))}
+            for b, x in v.items():
+                for c, lang in enumerate(langs):
+                    g = x * (p[c] - (rows[k][2] == lang))
+                    z[b, c] += g - (math.sqrt(n[b, c] + g * g) - math.sqrt(n[b, c])) / langid.ALPHA * w[b, c]
+                    n[b, c] += g * g
+    assert all(math.isclose(model.weights[b, c], weight(b, c), abs_tol=1e-9) for b, c in list(z))
+    for text in ("the house", "le chien dort", "und nun"):
+        v = vector(grams(text))
+        logits = [sum(x * weight(b, c) for b, x in v.items()) / model.temperature for c in range(len(langs))]
+        best = max(range(len(langs)), key=lambda c: logits[c])
+        p = math.exp(logits[best]) / sum(math.exp(x) for x in logits)
+        got = model.predict(text)
+        assert got[0] == langs[best] and math.isclose(got[1], p, rel_tol=1e-6)
+
+
+def test_a_repeated_text_is_one_sample(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 4)
+    taken = []
+    monkeypatch.setattr(langid, "follow_leader", lambda rows, classes: taken.append(len(rows)) or np.zeros((langid.BUCKETS + 1, classes)))
+    rows = [(None, f"word {k % 7} abc", "en") for k in range(400)] + [(1, f"mot {chr(97 + k)}", "fr") for k in range(2)]
+    langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert taken and taken[0] <= 9
 
 
 def test_temperature_lowers_the_loss():
@@ -138,6 +211,56 @@ def test_roles_and_chunks(spark, monkeypatch):
     assert Counter(map(tuple, queries.op1_chat_format(spark, "/root/testdata/sf0.01").collect())) == want
 
 
+def test_viterbi_equals_all_paths(spark):
+    """The best of all state sequences, enumerated, on conversations that the model was not fitted on."""
+    raw = chat.raw_transcript(spark.read.parquet("/root/testdata/sf0.001/conversations.parquet"))
+    model = chat.learn(raw.filter("conv_id % 2 = 0"))
+    held: dict[int, list] = defaultdict(list)
+    for r in raw.filter("conv_id % 2 = 1").orderBy("conv_id", "turn").collect():
+        held[r.conv_id].append(r.text)
+    seen = 0
+    for texts in held.values():
+        features = np.concatenate([chat.features_of(t) for t in texts])[:6]
+        e = model.emissions(features)
+        best = max(itertools.product(range(chat.STATES), repeat=len(features)), key=lambda p: model.start[p[0]] + sum(model.step[a, b] for a, b in itertools.pairwise(p)) + sum(e[k, x] for k, x in enumerate(p)))
+        assert model.decode(features, -1, -1) == list(best)
+        seen += 1
+        if seen == 6:
+            break
+    assert seen
+
+
+def test_held_out_roles(spark):
+    conversations = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    raw = chat.raw_transcript(conversations)
+    found = chat.roles(raw.filter("conv_id % 2 = 1").select("conv_id", "turn", "text"), chat.learn(raw.filter("conv_id % 2 = 0")))
+    unmarked = found.join(conversations.select("conv_id", "turn", F.col("role").alias("true")), ["conv_id", "turn"]).filter(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4)) == 0)
+    total, right = unmarked.agg(F.count("*"), F.count_if(F.col("role") == F.col("true"))).first()
+    assert total > 20 and right / total > 0.9  # of turns without a marker
+
+
+def test_borders_by_levels_equal_one_pass(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(1, k, r.choice(("hello there", "", "how are you?", "fine. " * 20, "User: yes", "AI: no"))) for k in range(90)] + [(2, k, "hm?") for k in range(3)]
+    t = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    model = chat.learn(chat.raw_transcript(spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")))
+    want = {k: model.decode(np.concatenate([chat.features_of(x) for c, _, x in rows if c == k]), -1, -1) for k in (1, 2)}
+
+    def got():
+        return {k: [chat.ROLES.index(x.role) for x in sorted(chat.roles(t, model).filter(f"conv_id = {k}").collect(), key=lambda x: x.turn)] for k in (1, 2)}
+
+    for rows_, bytes_, fan in ((512, 1 << 22, 512), (3, 1 << 22, 2), (512, 40, 4)):
+        monkeypatch.setattr(chat, "CHUNK_ROWS", rows_)
+        monkeypatch.setattr(chat, "CHUNK_BYTES", bytes_)
+        monkeypatch.setattr(chat, "FAN", fan)
+        assert got() == {k: [x // 2 for x in v] for k, v in want.items()}
+
+
+def test_rows_without_conversation_stay_apart(spark):
+    t = spark.createDataFrame([(None, 1, "User: hi")] * 3 + [(4, 1, "User: hi")], "conv_id long, turn long, text string")
+    assert chat.chunked(t).select("key").distinct().count() == 4
+
+
 def test_chunk_borders_equal_one_pass():
     r = random.Random(3)
     rows = [(1, r.choice(chat.ROLES), r.choice(("hello there", "", "how are you?", "fine. " * 20))) for _ in range(60)]
@@ -184,6 +307,30 @@ def test_page_text():
     assert htmltext.text_of("<article><p>cut off here &am") == "cut off here &am" and htmltext.text_of("<article><p>a b c</p><a href='x") == "a b c"
 
 
+def test_attributes_and_wrappers():
+    words = lambda n: " ".join(["word"] * n)
+    assert htmltext.text_of("<article><p title=don't>Hello there</p><p>it's fine</p></article>") == "Hello there\nit's fine"
+    assert htmltext.text_of('<article><p title="a > b" data-x=\'">\'>Hello</p></article>') == "Hello"
+    assert htmltext.text_of(f"<form id=aspnetForm><nav>x</nav><article><h1>A title</h1><p>{words(40)}</p></article></form>") == f"A title\n{words(40)}"
+    assert htmltext.text_of(f"<form><div><a href=x>b</a></div><h1>A title</h1><p>{words(60)}</p><p>{words(70)}</p></form>") == f"A title\n{words(60)}\n{words(70)}"
+    assert htmltext.text_of("<article><p>A b c</p><noscript><p>Kept</p></noscript><p>x <math><mi>y</mi></math> z</p></article>") == "A b c\nKept\nx y z"
+    assert htmltext.text_of(f'<article><div class="share-of-voice"><p>{words(50)}</p><p>{words(80)}</p></div></article>') == f"{words(50)}\n{words(80)}"
+
+
+def test_pages_without_article_element():
+    words = lambda n: " ".join(["word"] * n)
+    page = f"""<body><div><a href=/>Home</a></div><div><a href=/n>All news</a></div><div><a href=/s>Sport</a></div><h1>The title of it</h1>
+    <div>{words(70)}</div><div>{words(6)}</div><div>{words(45)} <a href=x>one</a></div>
+    <div><a href=a>Other story here</a></div><div><a href=b>And one more</a></div><div>Copyright by us</div></body>"""
+    assert htmltext.text_of(page) == f"The title of it\n{words(70)}\n{words(6)}\n{words(45)} one"
+    assert htmltext.text_of(f"<p>{words(50)}</p><div class=comments><p>{words(90)}</p></div>") == words(50)
+
+
+def test_neighbours_take_part():
+    used = [name for name, _ in htmltext.splits()]
+    assert used[0] in ("words", "links") and {"words_before", "links_before", "words_after", "links_after"} <= set(used)
+
+
 def test_tree_fits_its_table_and_pages(spark, data):
     assert all(htmltext.is_content(r[:-1]) == bool(r[-1]) for r in htmltext.table())
     rows = [(1, None, None), (None, "u", ""), (2, "u", "<article><p>yes</p></article>"), (2, "u", "<article><p>yes</p></article>")]

@@ -12,7 +12,7 @@ import public_tokenizers as P
 import tiktoken
 import xxhash
 
-from rollbook.llm import bpe, decontam, queries, simhash, substring
+from rollbook.llm import bpe, decontam, langid, minhash, queries, simhash, substring
 
 
 def lowered(text):
@@ -178,10 +178,79 @@ def test_removed_texts(docs, rows):
     assert any(i == 40 and t == "" and r.n_chars == 0 for (i, t), r in out.items())
 
 
-def test_ranks_name_equal_windows():
-    words = [b"a", b"b"] * 40
-    rank = substring.nodes_of([words, words[1:]])
-    assert rank[0] == rank[2] == rank[len(words) + 1] != rank[1] == rank[len(words)]
+def test_suffix_tree():
+    r = random.Random(1)
+    for _ in range(60):
+        period = r.choice((1, 3, 400))
+        segments = [[b"a" if r.random() < 0.02 else b"x%d" % (i % period) for i in range(r.randint(0, 130))] for _ in range(r.randint(1, 6))]
+        order, common = substring.tree_of(segments)
+        place = [(s, i) for s in range(len(segments)) for i in range(len(segments[s]) + 1)]
+        suffix = [segments[s][i:] for s, i in (place[k] for k in order)]
+        assert sorted(order.tolist()) == list(range(len(place)))
+        for k in range(1, len(order)):
+            n = 0
+            while n < substring.DEEP and n < min(len(suffix[k - 1]), len(suffix[k])) and suffix[k - 1][n] == suffix[k][n]:
+                n += 1
+            assert n == common[k]
+        begin, end, depth = substring.deep_nodes(order, common)
+        for a, b, d in zip(begin, end, depth, strict=True):
+            assert b - a > 1 and d >= 50 and len({tuple(x[:50]) for x in suffix[a:b]}) == len({tuple(x[:d]) for x in suffix[a:b]}) == 1
+        leaves = [(low := r.randint(0, 5), low + r.randint(0, 3), s) for s in segments]
+        got = {(k, w): least for k, a, b, least in substring.repeats_of(leaves) for w in range(a, b)}
+        first: dict[tuple, int] = {}
+        for low, _, words in leaves:
+            for i in range(len(words) - 49):
+                first[tuple(words[i : i + 50])] = min(first.get(tuple(words[i : i + 50]), 99), low)
+        want = {(k, i): first[tuple(words[i : i + 50])] for k, (_, high, words) in enumerate(leaves) for i in range(len(words) - 49) if first[tuple(words[i : i + 50])] < high}
+        assert got == want
+
+
+def test_long_periodic_texts(spark):
+    """A million words of one word, and of a short period, in several documents: one leaf or few for each prefix."""
+    n = 1_000_000
+    texts = [(1, "a " * n), (2, "a " * n), (3, "b a c " * (n // 3)), (4, "a c b " * (n // 3)), (5, "a " * 49)]
+    out = {r.doc_id: r for r in substring.report(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert [out[k].n_removed for k in (1, 2, 3, 4, 5)] == [0, n, 0, n // 3 * 3, 0]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Rows by row and not by id: repeated and null ids with different texts; columns named like inner ones."""
+    names = "__key __nth __text __words __spans __items __id __cuts bytes words spans items cuts text_key id nth c0 c1 key n fp row".split()
+    made = "doc_id long, text string, lang string, n_chars long, " + ", ".join(f"`{x}` int" for x in names)
+
+    def rows(*pairs):
+        return spark.createDataFrame([(i, t, "en", len(t), *range(len(names))) for i, t in pairs], made)
+
+    six = [(i, " ".join(random.Random(k).choices("abcdefghijklmnopqrstuvwxyz", k=40))) for k, i in enumerate((5, 5, 6, None, None, None))]
+    a, b = six[0][1], six[1][1]
+    for find in (simhash.near_duplicates, minhash.near_copies):
+        assert Counter((r.doc_id, r.text) for r in simhash.keep_one(rows(*six), find).collect()) == Counter(six)
+        assert Counter((r.doc_id, r.text) for r in simhash.keep_one(rows((3, a), (5, a), (5, b), (5, b)), find).collect()) == Counter([(3, a), (5, b)])
+    bench = spark.createDataFrame([(1, a)], "item_id long, text string")
+    docs = rows(*six)
+    for out in (simhash.keep_one(docs), decontam.remove_documents(docs, bench), decontam.remove_spans(docs, bench), substring.remove_repeats(docs), langid.keep_identified(docs)):
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes and all(r[4:] == tuple(range(len(names))) for r in out.collect())
+    assert decontam.remove_documents(docs, bench).count() == 5
+
+
+def test_hot_buckets_lose_no_link(spark, monkeypatch):
+    """Buckets dealt out in small groups find the components that whole buckets have."""
+    r = random.Random(2)
+    base = [f"w{r.randint(0, 999)}" for _ in range(90)]
+    texts = [(k, " ".join(x if r.random() > 0.012 * (k % 3) else f"y{k}" for x in base)) for k in range(120)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    want = Counter((x.doc_id, x.component_id) for x in minhash.near_copies(docs).collect())
+    for bound in (300, 1):
+        monkeypatch.setattr(minhash, "BUCKET", bound)
+        assert Counter((x.doc_id, x.component_id) for x in minhash.near_copies(docs).collect()) == want
+
+
+def test_a_window_in_all_items(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_IDS", 30)
+    window = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(k, f"{window} item{k}") for k in range(100)], "item_id long, text string")
+    out = decontam.report(spark.createDataFrame([(1, f"so {window} it"), (2, "clean")], "doc_id long, text string"), bench).orderBy("doc_id").collect()
+    assert (out[0].n_items, out[0].n_hit, out[0].items_sha256) == (100, 10, hashlib.sha256(",".join(sorted(map(str, range(100)))).encode()).hexdigest()) and not out[1].contaminated
 
 
 def test_registered(spark, data):
