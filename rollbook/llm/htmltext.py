@@ -204,6 +204,8 @@ PAGES = (
     "div:2/2- div:5- div:2/2- h1:5+ p:260+ p:40+ p:3+ p:95+ p:11/11- p:14/12- p:8-",
     "p:2/2- p:4- p:3/3- h2:9+ p:48+ p:29/2+ p:5+ p:57+ h2:4+ p:66+ p:3/3- p:5/5- p:2/2-",
     "div:1/1- div:3/3- h1:6+ p:82+ p:19+ p:3/3+ p:70+ div:4-", "h1:10+ p:55+ p:7+ p:130+ div:9-", "p:200+ p:61+ div:3-", "div:2/2- p:45+ p:120+ div:7-",
+    "h1:6+ p:80+ p:4+ p:12+ p:90+ p:5+ p:3+ p:7+ p:45+ div:6-", "div:2/2- div:3/3- h1:4+ p:3+ p:20+ p:55+ p:2+ p:5+ p:70+",
+    "div:2/2- div:4- div:16- div:3/3- div:5- div:10- h1:7+ p:64+ p:30+ p:4+ p:18+ p:52+ div:1/1- div:3- div:9-",
     "p:35+ p:80+ p:7+ p:44+", "div:22+ div:120/9+ div:24+", "h1:7+ p:150+", "div:1/1- p:100+ div:1/1-",
     "div:6/6- div:30/21- div:25/22- div:4- div:18/15-", "div:2/2- div:5- div:4- div:3/3- div:8-", "div:1/1- div:9- div:1/1- div:5- div:1/1-",
     # names that only may mean furniture
