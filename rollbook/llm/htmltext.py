@@ -247,7 +247,7 @@ def table() -> list[tuple]:
     return rows
 
 
-def grow(rows: list[tuple], depth: int = 10) -> tuple | float:
+def grow(rows: list[tuple], depth: int = 12) -> tuple | float:
     """A tree of (feature, bound, below or equal, above) with shares of content at the leaves."""
     share = sum(r[-1] for r in rows) / len(rows)
     if depth == 0 or share in (0, 1):
