@@ -8,9 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: ASCII white space, as a regular expression's \\s.
+SPACE = " \t\n\x0b\f\r"
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def blank(c: Column) -> Column:
@@ -35,33 +39,29 @@ def messages(*texts: Column) -> Column:
     return F.array_compact(F.array(*texts)) if texts else F.array().cast("array<string>")
 
 
-def _date(y: Column, m: Column, d: Column) -> Column:
-    return F.concat_ws("-", y, m, d).try_cast("date")
+#: A date's parts: a year of four digits first, or a day or month first and a year of four or two digits last.
+DATE = r"^(\d{4}([/-])\d{1,2}\2\d{1,2}|\d{1,2}([/-])\d{1,2}\3(\d{4}|\d{2}))$"
+
+
+def date_parts(s: Column) -> Column:
+    """The three parts of a stripped date of one of the formats below, and its separator; null for other text."""
+    return F.when(s.rlike(DATE), F.concat(F.split(s, "[/-]"), F.array(F.when(s.contains("/"), "/").otherwise("-"))))
+
+
+def date_of_parts(p: Column) -> Column:
+    """The date of parts: Y-m-d, d/m/Y, d-m-Y, d/m/y, d-m-y, Y/m/d, and m/d/Y where d/m/Y is none."""
+
+    def made(y: Column, m: Column, d: Column) -> Column:
+        return F.concat_ws("-", y, m, d).try_cast("date")
+
+    a, b, c = p[0], p[1], p[2]
+    year = F.when(F.length(c) == 4, c).otherwise(F.concat(F.when(c.try_cast("int") < 69, "20").otherwise("19"), c))
+    american = F.when((p[3] == "/") & (F.length(c) == 4), made(c, a, b))
+    return F.when(F.length(a) == 4, made(a, b, c)).otherwise(F.coalesce(made(year, b, a), american))
 
 
 def parse_date(c: Column) -> Column:
-    """The date of the first of seven formats that fits: Y-m-d, d/m/Y, d-m-Y, d/m/y, d-m-y, Y/m/d, m/d/Y."""
-    s = strip(c)
-
-    def by(pattern: str, order: tuple[int, int, int], short: bool = False) -> Column:
-        y, m, d = (F.regexp_extract(s, pattern, i) for i in order)
-        if short:
-            y = F.concat(F.when(y.try_cast("int") < 69, "20").otherwise("19"), y)
-        return F.when(s.rlike(pattern), _date(y, m, d))
-
-    return F.coalesce(
-        by(r"^(\d{4})-(\d{1,2})-(\d{1,2})$", (1, 2, 3)),
-        by(r"^(\d{1,2})/(\d{1,2})/(\d{4})$", (3, 2, 1)),
-        by(r"^(\d{1,2})-(\d{1,2})-(\d{4})$", (3, 2, 1)),
-        by(r"^(\d{1,2})/(\d{1,2})/(\d{2})$", (3, 2, 1), True),
-        by(r"^(\d{1,2})-(\d{1,2})-(\d{2})$", (3, 2, 1), True),
-        by(r"^(\d{4})/(\d{1,2})/(\d{1,2})$", (1, 2, 3)),
-        by(r"^(\d{1,2})/(\d{1,2})/(\d{4})$", (3, 1, 2)),
-    )
-
-
-def is_iso(c: Column) -> Column:
-    return strip(c).rlike(r"^\d{4}-\d{1,2}-\d{1,2}$") & parse_date(c).isNotNull()
+    return date_of_parts(date_parts(strip(c)))
 
 
 def weighted_mean(scores: dict[str, Column], weights: dict[str, float]) -> Column:

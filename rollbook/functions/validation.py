@@ -8,8 +8,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.functions.common import blank, has_any, is_iso, messages, parse_date, strip, weighted_mean, when_first
-from rollbook.schema import COUNT_FIELDS, FIELDS, VALIDATOR_WEIGHTS
+from rollbook.functions.common import date_of_parts, date_parts, has_any, messages, strip, weighted_mean, when_first
+from rollbook.schema import COUNT_FIELDS, FIELDS, TEXT_FIELDS, VALIDATOR_WEIGHTS
 
 # The words and patterns of the rules.
 COUNCIL_WORDS = ("council", "borough", "city", "district", "county", "authority")
@@ -31,47 +31,50 @@ class Rule:
     suggestion: Column | None = None
 
 
-def council_rule(c: Column) -> Rule:
-    s = strip(c)
+def blank(s: Column) -> Column:
+    """Of stripped text, as the rules take it."""
+    return s.isNull() | (s == "")
+
+
+def council_rule(s: Column) -> Rule:
     short, usual = F.length(s) < 3, has_any(F.lower(s), COUNCIL_WORDS)
     return Rule(
-        when_first((blank(c), 0.0), (short, 0.2), (usual, 0.95), (F.length(s) >= 5, 0.7), other=0.5),
-        [F.when(blank(c), "Council field is required").when(short, "Council name is too short")],
-        [F.when(~blank(c) & ~short & ~usual, F.when(F.length(s) >= 5, "Council name doesn't match typical patterns").otherwise("Council name may be incomplete"))],
+        when_first((blank(s), 0.0), (short, 0.2), (usual, 0.95), (F.length(s) >= 5, 0.7), other=0.5),
+        [F.when(blank(s), "Council field is required").when(short, "Council name is too short")],
+        [F.when(~blank(s) & ~short & ~usual, F.when(F.length(s) >= 5, "Council name doesn't match typical patterns").otherwise("Council name may be incomplete"))],
     )
 
 
-def reference_rule(c: Column) -> Rule:
-    known = has_any(F.upper(strip(c)), REFERENCES)
-    bad = ~blank(c) & ~known
+def reference_rule(s: Column) -> Rule:
+    known = has_any(F.upper(s), REFERENCES)
+    bad = ~blank(s) & ~known
     return Rule(
-        when_first((blank(c), 0.0), (known, 0.9), other=0.3),
-        [F.when(blank(c), "License reference is required").when(bad, "License reference format is invalid")],
+        when_first((blank(s), 0.0), (known, 0.9), other=0.3),
+        [F.when(blank(s), "License reference is required").when(bad, "License reference format is invalid")],
         suggestion=F.when(bad, "Should contain letters and/or numbers (e.g., HMO123, 2023/001)"),
     )
 
 
-def address_rule(c: Column, name: str, compat: bool = True) -> Rule:
+def address_rule(s: Column, name: str, compat: bool = True) -> Rule:
     """compat: the postcode must be the whole address, so no address of 10 characters or more has one."""
-    s = strip(c)
     short = F.length(s) < 10
     postcode = s.rlike(f"^{POSTCODE}$".replace("^(?i)", "(?i)^") if compat else POSTCODE)
     parts = F.lit(0.5) + F.when(postcode, 0.3).otherwise(0.0) + F.when(has_any(F.lower(s), STREET_WORDS), 0.15).otherwise(0.0) + F.when(s.rlike(r"^\d"), 0.05).otherwise(0.0)
-    empty = F.when(blank(c), "HMO address is required" if name == "hmo_address" else f"{name} is empty")
-    rest = F.when(~blank(c), F.when(short, f"{name} appears incomplete").when(~postcode, f"{name} missing valid UK postcode"))
-    score = F.when(blank(c), 0.0).when(short, 0.3).otherwise(F.least(parts, F.lit(1.0)))
+    empty = F.when(blank(s), "HMO address is required" if name == "hmo_address" else f"{name} is empty")
+    rest = F.when(~blank(s), F.when(short, f"{name} appears incomplete").when(~postcode, f"{name} missing valid UK postcode"))
+    score = F.when(blank(s), 0.0).when(short, 0.3).otherwise(F.least(parts, F.lit(1.0)))
     return Rule(score, [empty], [rest]) if name == "hmo_address" else Rule(score, [], [F.coalesce(empty, rest)])
 
 
-def date_rule(c: Column, name: str, as_of: date) -> Rule:
-    d = parse_date(c)
+def date_rule(s: Column, d: Column, iso: Column, name: str, as_of: date) -> Rule:
+    """s: the text; d: its date; iso: whether that is written year first with hyphens."""
     start = name == "licence_start"
     far = d > F.add_months(F.lit(as_of), 24) if start else d < F.add_months(F.lit(as_of), -120)
     return Rule(
-        when_first((blank(c), 0.0), (d.isNull(), 0.2), (far, 0.6 if start else 0.5), (is_iso(c), 0.95), other=0.85),
-        [F.when(blank(c), f"{name} is required").when(d.isNull(), f"{name} has invalid date format")],
-        [F.when(~blank(c) & far, "License start date is far in the future" if start else "License expiry date is very old")],
-        F.when(~blank(c) & d.isNull(), "Use format YYYY-MM-DD or DD/MM/YYYY"),
+        when_first((blank(s), 0.0), (d.isNull(), 0.2), (far, 0.6 if start else 0.5), (iso, 0.95), other=0.85),
+        [F.when(blank(s), f"{name} is required").when(d.isNull(), f"{name} has invalid date format")],
+        [F.when(~blank(s) & far, "License start date is far in the future" if start else "License expiry date is very old")],
+        F.when(~blank(s) & d.isNull(), "Use format YYYY-MM-DD or DD/MM/YYYY"),
     )
 
 
@@ -83,18 +86,17 @@ def occupancy_rule(c: Column) -> Rule:
     )
 
 
-def name_rule(c: Column, name: str) -> Rule:
-    s = strip(c)
+def name_rule(s: Column, name: str) -> Rule:
     plain, two = s.rlike(r"^[A-Za-z\s\-'.]+$"), s.rlike(r"\S\s+\S")
     text = (
-        F.when(blank(c), f"{name} is empty")
+        F.when(blank(s), f"{name} is empty")
         .when(F.length(s) < 2, f"{name} is too short")
         .when(plain & two, F.lit(None))
         .when(plain, f"{name} may be incomplete (single name)")
         .when(s.rlike("[A-Za-z]"), f"{name} contains unusual characters")
         .otherwise(f"{name} doesn't appear to be a valid name")
     )
-    return Rule(when_first((blank(c), 0.0), (F.length(s) < 2, 0.2), (plain & two, 0.9), (plain, 0.7), (s.rlike("[A-Za-z]"), 0.5), other=0.2), [], [text])
+    return Rule(when_first((blank(s), 0.0), (F.length(s) < 2, 0.2), (plain & two, 0.9), (plain, 0.7), (s.rlike("[A-Za-z]"), 0.5), other=0.2), [], [text])
 
 
 def count_rule(c: Column, name: str) -> Rule:
@@ -110,7 +112,8 @@ def storeys_rule(c: Column) -> Rule:
 
 
 def cross_rules() -> Rule:
-    start, expiry = parse_date(F.col("licence_start")), parse_date(F.col("licence_expiry"))
+    """Over columns of `prepared`."""
+    start, expiry = F.col("d_licence_start"), F.col("d_licence_expiry")
     years = F.datediff(expiry, start) / 365.25
     people, bath, kitchen, homes = F.col("max_occupancy"), F.col("number_of_shared_bathrooms"), F.col("number_of_shared_kitchens"), F.col("number_of_households")
     return Rule(
@@ -125,10 +128,22 @@ def cross_rules() -> Rule:
     )
 
 
+def prepared(records: DataFrame) -> DataFrame:
+    """records with its text fields stripped as t_<field> and its dates as p_<field> (parts) and d_<field>.
+
+    Each is a column of a projection of its own: what is used often stays a column there, and isn't computed again in each rule.
+    """
+    dates = [f for f in TEXT_FIELDS if f.startswith("licence_") and f in ("licence_start", "licence_expiry")]
+    out = records.select("*", *[strip(F.col(f)).alias(f"t_{f}") for f in TEXT_FIELDS])
+    out = out.select("*", *[date_parts(F.col(f"t_{f}")).alias(f"p_{f}") for f in dates])
+    return out.select("*", *[date_of_parts(F.col(f"p_{f}")).alias(f"d_{f}") for f in dates])
+
+
 def rules(as_of: date, compat: bool = True) -> dict[str, Rule]:
+    """Over columns of `prepared`."""
     out = {}
     for f in FIELDS:
-        c = F.col(f)
+        c = F.col(f"t_{f}") if f in TEXT_FIELDS else F.col(f)
         if f in ("council", "reference"):
             out[f] = council_rule(c) if f == "council" else reference_rule(c)
         elif "address" in f:
@@ -136,7 +151,8 @@ def rules(as_of: date, compat: bool = True) -> dict[str, Rule]:
         elif "name" in f:
             out[f] = name_rule(c, f)
         elif f.startswith("licence_"):
-            out[f] = date_rule(c, f, as_of)
+            parts, d = F.col(f"p_{f}"), F.col(f"d_{f}")
+            out[f] = date_rule(c, d, F.coalesce((F.length(parts[0]) == 4) & (parts[3] == "-") & d.isNotNull(), F.lit(False)), f, as_of)
         elif f in COUNT_FIELDS:
             out[f] = count_rule(c, f)
         else:
@@ -148,8 +164,8 @@ def with_validation(records: DataFrame, as_of: date, compat: bool = True) -> Dat
     """records with v_score, v_errors, v_warnings, v_suggestions (a map) and v_valid: no error that says `required` or `critical`."""
     found = rules(as_of, compat)
     order = [*found.values(), cross_rules()]
-    out = records.select(
-        "*",
+    out = prepared(records).select(
+        *records.columns,
         weighted_mean({f: r.score for f, r in found.items()}, VALIDATOR_WEIGHTS).alias("v_score"),
         messages(*[e for r in order for e in r.errors]).alias("v_errors"),
         messages(*[w for r in order for w in r.warnings]).alias("v_warnings"),
