@@ -107,6 +107,20 @@ def found_score(count: Column, length: Column, base: float = 0.8, start: float =
     return F.when(count > 0, F.least(F.lit(0.9), count * 0.2 + start) * base * quality).otherwise(0.0)
 
 
+def document_confidence(kind: str, length: Column, found: dict[str, Column], tables: Column, accuracy: Column | None = None) -> dict[str, Column]:
+    """The confidence of each part of an extracted document (C10, C11): kind is `pdf`, `ocr` or `docx`; found: how many finds each potential_* list has.
+
+    tables: how many there are; accuracy: their mean accuracy, 0.8 where unknown. Word documents' tables, metadata and structure are taken as sound.
+    """
+    base, start = {"pdf": (0.8, 0.3), "ocr": (0.6, 0.3), "docx": (0.9, 0.4)}[kind]
+    of_tables = F.lit(0.95) if kind == "docx" else F.least(F.lit(0.95), (F.lit(0.8) if accuracy is None else F.coalesce(accuracy, F.lit(0.8))) * base)
+    out = {n: found_score(c, length, base, start) for n, c in found.items()}
+    out |= {"tables": F.when(tables > 0, of_tables).otherwise(0.0), "full_text": F.lit(base) * F.least(F.lit(1.0), length / 1000)}
+    if kind == "docx":
+        out |= {"metadata": F.lit(0.98), "paragraphs": F.lit(0.95), "headings": F.lit(0.95), "headers_footers": F.lit(0.95)}
+    return out | {"average": F.round(sum(out.values(), F.lit(0.0)) / len(out), 3)}
+
+
 def entity_confidence(label: Column, text: Column) -> Column:
     base = F.when(label.isin("LICENSE_REF", "POSTCODE"), 0.9).when(label.isin("PERSON", "ORG"), 0.8).when(label.isin("DATE", "DATE_PATTERN"), 0.85).otherwise(0.7)
     return base * F.when(F.length(text) < 3, 0.8).when(F.length(text) > 50, 0.9).otherwise(1.0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import asdict, dataclass, field
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,24 @@ STANDARD = {
     "number_of_storeys": ("Number of Storeys", "integer", False, {"min_value": 1, "max_value": 20}),
 }
 DETAILED = {"hmo_address": {"min_length": 15}, "hmo_manager_name": {"min_length": 2}, "licence_holder_name": {"min_length": 2}}
-UI_PRESETS = {"default": (0.8, 0.6, 0.4), "minimal": (0.7, 0.5, 0.3), "comprehensive": (0.9, 0.7, 0.5)}
+#: Shown names of each user preset, its bounds of high, medium and flagged confidence, its required fields, and whether dates and addresses are checked strictly.
+UI_NAMES = {
+    "default": {
+        "council": "Council", "reference": "Reference", "hmo_address": "HMO Address", "licence_start": "Licence Start", "licence_expiry": "Licence Expiry", "max_occupancy": "Max Occupancy",
+        "hmo_manager_name": "Manager Name", "hmo_manager_address": "Manager Address", "licence_holder_name": "Holder Name", "licence_holder_address": "Holder Address", "number_of_households": "Households",
+        "number_of_shared_kitchens": "Shared Kitchens", "number_of_shared_bathrooms": "Shared Bathrooms", "number_of_shared_toilets": "Shared Toilets", "number_of_storeys": "Storeys",
+    },
+    "minimal": {"council": "Council", "reference": "Reference", "hmo_address": "Address", "licence_start": "Start Date", "licence_expiry": "Expiry Date"},
+    "comprehensive": {
+        "council": "Local Authority", "reference": "HMO License Reference", "hmo_address": "Property Address", "licence_start": "License Start Date", "licence_expiry": "License Expiry Date", "max_occupancy": "Maximum Occupancy",
+        "hmo_manager_name": "HMO Manager Full Name", "hmo_manager_address": "HMO Manager Address", "licence_holder_name": "License Holder Full Name", "licence_holder_address": "License Holder Address",
+        "number_of_households": "Number of Households", "number_of_shared_kitchens": "Shared Kitchen Facilities", "number_of_shared_bathrooms": "Shared Bathroom Facilities",
+        "number_of_shared_toilets": "Shared Toilet Facilities", "number_of_storeys": "Number of Storeys",
+    },
+}
+UI_BOUNDS = {"default": (0.8, 0.6, 0.4), "minimal": (0.7, 0.5, 0.3), "comprehensive": (0.9, 0.7, 0.5)}
+UI_REQUIRED = {"default": ("council", "reference", "hmo_address"), "minimal": ("council", "reference", "hmo_address"), "comprehensive": ("council", "reference", "hmo_address", "licence_start", "licence_expiry")}
+UI_STRICT = {"default": True, "minimal": False, "comprehensive": True}
 
 
 @dataclass
@@ -132,11 +150,68 @@ def from_json(text: str) -> list[Mapping]:
     return found
 
 
+def save_preset(folder: str, name: str, mappings: list[Mapping], compression: str = "none") -> None:
+    """An export preset as a JSON file (S31); folder is the driver's."""
+    (Path(folder) / f"{name}.json").write_text(json.dumps({"name": name, "columns": [asdict(m) for m in mappings], "compression": compression}, indent=2))
+
+
+def load_preset(folder: str, name: str) -> tuple[list[Mapping], str] | None:
+    """A saved preset's mappings and compression; None if there is none."""
+    path = Path(folder) / f"{name}.json"
+    if not path.exists():
+        return None
+    saved = json.loads(path.read_text())
+    return from_json(json.dumps(saved["columns"])), saved.get("compression", "none")
+
+
+def list_presets(folder: str) -> list[str]:
+    return sorted(p.stem for p in Path(folder).glob("*.json"))
+
+
+def delete_preset(folder: str, name: str) -> bool:
+    path = Path(folder) / f"{name}.json"
+    if not path.exists():
+        return False
+    path.unlink()
+    return True
+
+
+def ui_view(scored: DataFrame, name: str) -> DataFrame:
+    """Scored records as a user preset shows them (E7): its columns under its names, the level of the confidence, and whether a record is flagged or lacks a required field."""
+    high, medium, flag = UI_BOUNDS[name]
+    level = F.when(F.col("overall") >= high, "high").when(F.col("overall") >= medium, "medium").otherwise("low")
+    missing = F.lit(False)
+    for f in UI_REQUIRED[name]:
+        missing = missing | blank(F.col(f))
+    return scored.select("record_id", *[F.col(f).alias(shown) for f, shown in UI_NAMES[name].items()], level.alias("level"), ((F.col("overall") < flag) | missing).alias("needs_review"))
+
+
 def export_rows(records: DataFrame, mappings: list[Mapping]) -> DataFrame:
     return records.select(*[m.formatted() for m in mappings])
 
 
+def _empty(m: Mapping) -> Column:
+    return blank(F.col(m.source)) if m.source in TEXT_FIELDS else F.col(m.source).isNull() | (F.col(m.source) == 0)
+
+
+def _errors(mappings: list[Mapping]) -> Column:
+    """What is wrong with a record: a struct of field and error for each field that has one. 0 counts as empty here."""
+    required = lambda m: F.when(_empty(m), F.when(F.lit(m.required), f"Required field '{m.name}' is empty")).otherwise(m.error())
+    return F.filter(F.array(*[F.struct(F.lit(m.source).alias("field"), required(m).alias("error")) for m in mappings]), lambda e: e["error"].isNotNull())
+
+
+def record_errors(records: DataFrame, mappings: list[Mapping]) -> DataFrame:
+    """record_id, field and error: a row for each error."""
+    return records.select("record_id", F.inline(_errors(mappings)))
+
+
+def export_summary(records: DataFrame, mappings: list[Mapping]) -> DataFrame:
+    """One row: records, valid and invalid ones, errors."""
+    n = records.select(F.size(_errors(mappings)).alias("k"))
+    return n.agg(F.count("*").alias("total"), F.count_if(F.col("k") == 0).alias("valid"), F.count_if(F.col("k") > 0).alias("invalid"), F.coalesce(F.sum("k"), F.lit(0)).alias("errors"))
+
+
 def export_checks(records: DataFrame, mappings: list[Mapping]) -> DataFrame:
     """For each mapped column: rows, empty values and errors (A14), in one pass."""
-    long = records.select(F.inline(F.array(*[F.struct(F.lit(m.source).alias("field"), (blank(F.col(m.source)) if m.source in TEXT_FIELDS else F.col(m.source).isNull() | (F.col(m.source) == 0)).alias("empty"), m.error().isNotNull().alias("wrong")) for m in mappings])))
+    long = records.select(F.inline(F.array(*[F.struct(F.lit(m.source).alias("field"), _empty(m).alias("empty"), F.when(_empty(m), F.lit(m.required)).otherwise(m.error().isNotNull()).alias("wrong")) for m in mappings])))
     return long.groupBy("field").agg(F.count("*").alias("n"), F.count_if("empty").alias("n_empty"), F.count_if("wrong").alias("n_errors"))

@@ -1,4 +1,4 @@
-"""Support rules (H1, H5, H7, H10, H12) and file checks (S1 to S7), as columns."""
+"""Support rules (H1, H4, H5, H7, H8, H10, H12, ST9) and file checks (S1 to S7), as columns."""
 
 from __future__ import annotations
 
@@ -105,6 +105,34 @@ def safe_name(name: Column) -> Column:
     return F.when(plain == "", "export").otherwise(F.left(plain, F.lit(100)))
 
 
+def stored_file_name(path: Column) -> Column:
+    """A file name for storage: no folders, odd characters become underscores; at most 255 characters, the extension kept."""
+    plain = F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r'[<>:"|?*\\]', "_")
+    ending = F.regexp_extract(plain, r"[^.](\.[^.]*)$", 1)
+    return F.when(F.length(plain) > 255, F.concat(F.left(plain, F.lit(255) - F.length(ending)), ending)).otherwise(plain)
+
+
+def inside(path: Column, base: str) -> Column:
+    """Whether a path, its dots resolved, lies in the folder base or is it (H8): by parts, so /base2 isn't inside /base."""
+    part = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+    kept = F.aggregate(part, F.array().cast("array<string>"), lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array_append(a, x)))
+    folder = [x for x in base.split("/") if x and x != "."]
+    return path.startswith("/") & (F.slice(kept, 1, max(1, len(folder))) == F.array(*map(F.lit, folder)) if folder else path.startswith("/"))
+
+
+def cache_key(content: Column, options: Column) -> Column:
+    """The key of a processed document's result (H4): by its content and options, not by name and size."""
+    return F.md5(F.concat(F.sha2(content, 256), F.lit("|"), F.coalesce(options, F.lit(""))).cast("binary"))
+
+
+def download_problem(known: Column, now: Column, expires: Column, downloads: Column, most: Column, exists: Column) -> Column:
+    """Why a download token isn't good (ST9), the first reason; empty text if it is."""
+    return when_first(
+        (~F.coalesce(known, F.lit(False)), "Invalid download token"), (now > expires, "Download link has expired"),
+        (F.coalesce(downloads, F.lit(0)) >= most, "Download limit exceeded"), (~F.coalesce(exists, F.lit(False)), "File no longer available"), other="",
+    )
+
+
 def clamp_progress(p: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), p))
 

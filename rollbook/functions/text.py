@@ -36,6 +36,12 @@ RULER = (
     ("DATE_PATTERN", r"(?:^|\s)(\S*?(?:\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4}|\d{4}-\d{1,2}-\d{1,2})\S*)"),
     ("POSTCODE", r"(?:^|\s)([A-Z]{1,2}\d[A-Z\d]?\d[A-Z]{2})(?=\s|$)"),
 )
+_STREETS = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Close|Cl|Way|Place|Pl"
+ENTITY_PATTERNS = (
+    ("ADDRESS", rf"(?i)(\d+\s+[A-Za-z\s]+(?:{_STREETS})\b)", 0.8), ("ADDRESS", rf"(?i)([A-Za-z\s]+(?:{_STREETS})\s*\d*)", 0.8),
+    ("DATE", r"(\b\d{1,2}/\d{1,2}/\d{4}\b)", 0.85), ("DATE", r"(\b\d{1,2}-\d{1,2}-\d{4}\b)", 0.85), ("DATE", r"(\b\d{4}-\d{1,2}-\d{1,2}\b)", 0.85), ("DATE", rf"(?i)(\b\d{{1,2}}\s+{MONTHS}\s+\d{{4}}\b)", 0.85),
+    ("LICENSE_REF", r"(\b[A-Z]{2,4}/\d{4,8}\b)", 0.9), ("LICENSE_REF", r"(\bHMO/\d{4,8}\b)", 0.9), ("LICENSE_REF", r"(\b\d{6,8}\b)", 0.9), ("LICENSE_REF", r"(\b[A-Z]{1,3}\d{4,8}\b)", 0.9),
+)
 FALLBACK = (("council", r"(?i)(\b\w+\s+(?:council|borough|authority)\b)", 0.6), ("reference", r"(\b[A-Z]{2,4}[/-]?\d{3,8}\b)", 0.7), ("date", r"(\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b)", 0.5))
 HEADER_WORDS = ("name", "address", "date", "reference", "licence", "license")
 KEYWORDS = ("licence", "license", "hmo", "occupancy", "manager", "holder")
@@ -169,6 +175,22 @@ def ruler(text: Column) -> Column:
     return F.concat(*[_tagged(text, p, label=F.lit(label)) for label, p in RULER])
 
 
+def entities(text: Column) -> Column:
+    """(label, text, confidence) of addresses, dates and references: the rule set's and those of plain patterns, with repeats."""
+    kinds = {"LICENSE_REF": "LICENSE_REF", "DATE_PATTERN": "DATE"}
+    known = F.transform(F.filter(ruler(text), lambda e: e["label"].isin(*kinds)), lambda e: F.struct(F.when(e["label"] == "DATE_PATTERN", "DATE").otherwise(e["label"]).alias("label"), e["text"].alias("text"), F.lit(0.9).alias("confidence")))
+
+    def made(label: str, pattern: str, score: float) -> Column:
+        return F.transform(find_all(text, pattern), lambda t: F.struct(F.lit(label).alias("label"), strip(t).alias("text"), F.lit(score).alias("confidence")))
+
+    return F.concat(known, *[made(*x) for x in ENTITY_PATTERNS])
+
+
+def person_names(found: Column) -> Column:
+    """The texts of the persons among entities (label, text) of a model of names (X15); none comes with this library."""
+    return F.transform(F.filter(found, lambda e: e["label"] == "PERSON"), lambda e: e["text"])
+
+
 def fallback(text: Column) -> Column:
     """(kind, confidence, text) of the plain patterns."""
     return F.concat(*[_tagged(text, p, kind=F.lit(kind), confidence=F.lit(score)) for kind, p, score in FALLBACK])

@@ -7,6 +7,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollbook.schema import FIELDS
+
 # States, and the state each action leads to (none: it stays).
 STATUSES = ("pending", "in_review", "approved", "rejected", "needs_revision")
 LEADS_TO = {"flagged": "pending", "assigned": "in_review", "approved": "approved", "rejected": "rejected"}
@@ -21,6 +23,7 @@ def state(log: DataFrame) -> DataFrame:
     leads = F.create_map(*[F.lit(x) for p in LEADS_TO.items() for x in p])
     status = F.try_element_at(leads, F.col("action"))
     last = lambda value, test: F.max_by(F.when(test, value), F.when(test, when))
+    reason = [F.min_by("reason", when).alias("reason")] if "reason" in log.columns else []
     assigned, closed = F.col("action") == "assigned", F.col("action").isin("approved", "rejected")
     return log.groupBy("record_id").agg(
         F.max("session_id").alias("session_id"),
@@ -32,13 +35,14 @@ def state(log: DataFrame) -> DataFrame:
         F.count_if(F.col("action") == "updated").alias("corrections"),
         F.max_by("confidence", when).alias("confidence"),
         F.count("*").alias("events"),
+        *reason,
     )
 
 
 def latest(log: DataFrame) -> DataFrame:
-    """The last event of each record."""
-    nth = F.row_number().over(Window.partitionBy("record_id").orderBy(F.desc("ts"), F.desc("event_id")))
-    return log.withColumn("nth", nth).filter("nth = 1").drop("nth")
+    """The last event of each record (W4): a maximum, so that hot records combine before the shuffle."""
+    last = F.max_by(F.struct(*[c for c in log.columns if c != "record_id"]), F.struct("ts", "event_id")).alias("last")
+    return log.groupBy("record_id").agg(last).select("record_id", "last.*").select(*log.columns)
 
 
 def _micros(c: str) -> Column:
@@ -72,6 +76,20 @@ def reviewer_report(states: DataFrame) -> DataFrame:
     return states.filter("reviewer is not null").groupBy("reviewer").agg(F.count("*").alias("assigned"), of("approved", "rejected").alias("completed"), of("approved").alias("approved"), of("rejected").alias("rejected"))
 
 
+def audit_report(states: DataFrame) -> DataFrame:
+    """One row: flagged records, each state's count, the share that is approved or rejected, corrections and records that have any."""
+    done = F.count_if(F.col("status").isin("approved", "rejected"))
+    return states.agg(
+        F.count("*").alias("total"), *_status_counts(), F.coalesce(F.try_divide(done, F.count("*")), F.lit(0.0)).alias("completion_rate"),
+        F.coalesce(F.sum("corrections"), F.lit(0)).alias("total_corrections"), F.count_if(F.col("corrections") > 0).alias("records_with_corrections"),
+    )
+
+
+def top_reasons(states: DataFrame, k: int = 5) -> DataFrame:
+    """The k most common reasons for a flag, ties by reason."""
+    return states.groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason").limit(k)
+
+
 def corrected_fields(changes: DataFrame) -> DataFrame:
     """How often each field of the maps `before` and `after` was changed."""
     cells = changes.select("before", F.explode(F.map_entries("after")).alias("e")).filter(F.map_contains_key("before", F.col("e.key")))
@@ -94,10 +112,10 @@ def trail(states: DataFrame, log: DataFrame) -> DataFrame:
     return states.select("record_id", "status").join(log.select("record_id", "ts", "event_id", "action", "reviewer"), "record_id")
 
 
-def review_list(states: DataFrame, status: str | None = None, session: str | None = None, reviewer: str | None = None, low: float = 0.0, high: float = 1.0, sort: str = "flagged_at", descending: bool = True) -> DataFrame:
-    """Records to review by state, session, reviewer and confidence range, sorted."""
+def review_list(states: DataFrame, status: str | None = None, session: str | None = None, reviewer: str | None = None, low: float = 0.0, high: float = 1.0, sort: str = "flagged_at", descending: bool = True, reason: str | None = None) -> DataFrame:
+    """Records to review by state, session, reviewer, confidence range (both ends included) and reason, sorted."""
     out = states.filter(F.col("confidence").between(low, high))
-    for name, value in (("status", status), ("session_id", session), ("reviewer", reviewer)):
+    for name, value in (("status", status), ("session_id", session), ("reviewer", reviewer), ("reason", reason)):
         out = out if value is None else out.filter(F.col(name) == value)
     return out.orderBy(F.desc(sort) if descending else F.asc(sort), "record_id")
 
@@ -107,9 +125,18 @@ def recent(log: DataFrame, k: int = 10) -> DataFrame:
     return log.orderBy(F.desc("ts"), F.desc("event_id")).limit(k)
 
 
-def performance(log: DataFrame) -> DataFrame:
-    """For each action: events, share without error value, and mean, least and most of the value."""
-    return log.groupBy("action").agg(F.count("*").alias("total"), (F.count_if(F.col("confidence") >= 0) / F.count("*")).alias("success_rate"), F.avg("confidence").alias("mean"), F.min("confidence").alias("least"), F.max("confidence").alias("most"))
+def performance(operations: DataFrame) -> DataFrame:
+    """For each operation, and for all (operation `all`): how many, share of successes, mean, least and most seconds, mean and most MB."""
+    out = operations.rollup("operation").agg(
+        F.grouping("operation").alias("whole"), F.count("*").alias("total"), (F.count_if("success") / F.count("*")).alias("success_rate"), F.avg("seconds").alias("mean_seconds"), F.min("seconds").alias("min_seconds"),
+        F.max("seconds").alias("max_seconds"), F.avg("memory_mb").alias("mean_mb"), F.max("memory_mb").alias("max_mb"),
+    )
+    return out.withColumn("operation", F.when(F.col("whole") == 1, "all").otherwise(F.col("operation"))).drop("whole").filter("total > 0")
+
+
+def last_operations(operations: DataFrame, k: int = 10) -> DataFrame:
+    """The k operations begun last."""
+    return operations.orderBy(F.desc("began"), F.desc("operation_id")).limit(k)
 
 
 def recent_each(log: DataFrame, k: int = 3) -> DataFrame:
@@ -118,10 +145,30 @@ def recent_each(log: DataFrame, k: int = 3) -> DataFrame:
     return log.withColumn("nth", nth).filter(F.col("nth") <= k)
 
 
-def sliding(log: DataFrame, rows: int = 100) -> DataFrame:
-    """Each event with the mean value of its reviewer's last `rows` events, itself included."""
-    w = Window.partitionBy("reviewer").orderBy("ts", "event_id").rowsBetween(1 - rows, 0)
-    return log.select("event_id", "reviewer", F.avg("confidence").over(w).alias("moving"))
+def ranked(rows: DataFrame, key: str, order: list[str], bucket: Column) -> DataFrame:
+    """rows with `rank`, the place from 0 among those of the key by order. No task sees more than a key's bucket, which must rise with the order.
+
+    Rows are numbered within buckets, and the counts of the buckets before are added.
+    """
+    spread = rows.withColumn("bucket", bucket)
+    counts = spread.groupBy(key, "bucket").agg(F.count("*").alias("c"))
+    before = F.sum("c").over(Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(key, "bucket", F.coalesce(before, F.lit(0)).alias("offset"))
+    nth = F.row_number().over(Window.partitionBy(key, "bucket").orderBy(*order)) - 1
+    return spread.withColumn("nth", nth).join(offsets, [key, "bucket"]).withColumn("rank", F.col("offset") + F.col("nth")).drop("bucket", "nth", "offset")
+
+
+def sliding(log: DataFrame, rows: int = 100, block: int = 20_000) -> DataFrame:
+    """Each event with the mean value of its reviewer's last `rows` events, itself included.
+
+    A reviewer's events are dealt out in blocks, each with the last events of the block before, so a hot reviewer is many tasks.
+    """
+    placed = ranked(log.select("event_id", "reviewer", "ts", "confidence"), "reviewer", ["ts", "event_id"], F.date_trunc("day", "ts"))
+    placed = placed.withColumn("block", F.expr(f"rank div {block}"))
+    carried = placed.filter(F.expr(f"rank % {block}") > block - rows).withColumn("block", F.col("block") + 1)
+    both = placed.withColumn("own", F.lit(True)).unionByName(carried.withColumn("own", F.lit(False)))
+    w = Window.partitionBy("reviewer", "block").orderBy("rank").rowsBetween(1 - rows, 0)
+    return both.withColumn("moving", F.avg("confidence").over(w)).filter("own").select("event_id", "reviewer", "moving")
 
 
 def retained(rows: DataFrame, column: str, as_of: datetime, days: float) -> DataFrame:
@@ -135,6 +182,19 @@ def export(records: DataFrame, states: DataFrame, include_rejected: bool = False
     return records.join(states.filter(F.col("status").isin(*wanted)), "record_id", "left_semi")
 
 
+def audited_export(scored: DataFrame, states: DataFrame, include_rejected: bool = False, metadata: bool = True, confidences: bool = True) -> DataFrame:
+    """Reviewed records for export: the fields, their confidences and six columns of the review, as asked for."""
+    wanted = ("approved", "rejected") if include_rejected else ("approved",)
+    review = states.filter(F.col("status").isin(*wanted)).select(
+        "record_id", F.col("reason").alias("audit_flag_reason"), F.col("status").alias("audit_review_status"), F.coalesce("reviewer", F.lit("")).alias("audit_reviewer"),
+        F.col("completed").alias("audit_review_completed"), F.col("corrections").alias("audit_corrections_made"),
+    )
+    out = scored.join(review, "record_id")
+    extra = [F.col(f"s_{f}").alias(f"{f}_confidence") for f in FIELDS] if confidences else []
+    about = [F.col("record_id").alias("audit_record_id"), *[c for c in review.columns if c != "record_id"]] if metadata else []
+    return out.select(*FIELDS, *extra, *about)
+
+
 def orphans(records: DataFrame, sessions: DataFrame) -> DataFrame:
     """Records whose session is gone."""
     return records.join(sessions, "session_id", "left_anti")
@@ -147,14 +207,27 @@ def database_stats(records: DataFrame, states: DataFrame) -> DataFrame:
     return a.join(b, "one").drop("one")
 
 
+def session_counts(sessions: DataFrame) -> DataFrame:
+    """Sessions by status."""
+    return sessions.groupBy("status").agg(F.count("*").alias("sessions"), F.sum("n_records").alias("records"))
+
+
 def indexed(records: DataFrame) -> DataFrame:
-    """Each record with its place in its session, from 0."""
-    return records.withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy("record_id")) - 1)
+    """Each record with its place in its session, from 0 (W3). A hot session is numbered in ranges of record_id."""
+    placed = ranked(records, "session_id", ["record_id"], F.expr("record_id div 100000"))
+    return placed.withColumnRenamed("rank", "place")
+
+
+def list_sessions(sessions: DataFrame, k: int = 100, status: str | None = None) -> DataFrame:
+    """The k sessions uploaded last, of one status if given (O1, O2)."""
+    found = sessions if status is None else sessions.filter(F.col("status") == status)
+    return found.orderBy(F.desc("uploaded"), "session_id").limit(k)
 
 
-def list_sessions(sessions: DataFrame, k: int = 100) -> DataFrame:
-    """The k sessions uploaded last."""
-    return sessions.orderBy(F.desc("uploaded"), "session_id").limit(k)
+def newest(rows: DataFrame, column: str, tie: str, k: int | None = None, oldest: bool = False) -> DataFrame:
+    """Exports newest first, a session's jobs oldest first (O8); the first k if given, which is a top-k and no sort of all."""
+    out = rows.orderBy(F.asc(column) if oldest else F.desc(column), tie)
+    return out if k is None else out.limit(k)
 
 
 def preview(scored: DataFrame, least: float, columns: list[str], k: int = 50) -> DataFrame:

@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollbook.functions.common import blank, when_first
+from rollbook.functions.common import blank, messages, when_first
+from rollbook.functions.confidence import is_low
+from rollbook.functions.mapping import Mapping, export_checks, export_summary, record_errors
 from rollbook.schema import CRITICAL, FIELDS, IMPORTANT, TEXT_FIELDS, field_class
 
 
@@ -98,8 +100,11 @@ def quartiles(scored: DataFrame, value: str = "overall") -> DataFrame:
 
 
 def distribution(scored: DataFrame) -> DataFrame:
-    """Mean, sample deviation, least and most of the overall confidence."""
-    return scored.agg(F.avg("overall").alias("mean"), F.coalesce(F.stddev_samp("overall"), F.lit(0.0)).alias("std"), F.min("overall").alias("min"), F.max("overall").alias("max"))
+    """Mean, sample deviation, least, most, median and quartiles of the overall confidence, which is rounded to six places for the last."""
+    one = F.lit(1).alias("one")
+    plain = scored.agg(F.avg("overall").alias("mean"), F.coalesce(F.stddev_samp("overall"), F.lit(0.0)).alias("std"), F.min("overall").alias("min"), F.max("overall").alias("max")).select(one, "*")
+    order = quartiles(scored.select(F.round("overall", 6).alias("overall"))).select(one, F.col("q2").alias("median"), "q1", "q3")
+    return plain.join(order, "one").drop("one")
 
 
 def completeness(records: DataFrame) -> DataFrame:
@@ -132,10 +137,14 @@ def validation_summary(checked: DataFrame) -> DataFrame:
     return checked.agg(F.count("*").alias("total"), F.count_if("v_valid").alias("valid"), F.count_if(~F.col("v_valid")).alias("invalid"), F.try_divide(F.count_if("v_valid"), F.count("*")).alias("rate"), F.avg("v_score").alias("confidence"))
 
 
-def session_metrics(scored: DataFrame) -> DataFrame:
-    """For each session: records, confident and flagged ones, mean score, and percent filled of each field."""
+def session_metrics(scored: DataFrame, times: DataFrame | None = None) -> DataFrame:
+    """For each session: records, confident and flagged ones, mean score, percent filled of each field, and seconds from started to finished of times (session_id, started, finished), 0 where one is missing."""
     rates = [(100.0 * F.count_if(populated(f)) / F.count("*")).alias(f"pct_{f}") for f in FIELDS]
-    return scored.groupBy("session_id").agg(F.count("*").alias("total"), F.count_if(F.col("overall") >= 0.7).alias("confident"), F.count_if("flagged").alias("flagged"), F.avg("overall").alias("average"), *rates)
+    out = scored.groupBy("session_id").agg(F.count("*").alias("total"), F.count_if(F.col("overall") >= 0.7).alias("confident"), F.count_if("flagged").alias("flagged"), F.avg("overall").alias("average"), *rates)
+    if times is None:
+        return out
+    seconds = (F.unix_micros(F.col("finished").cast("timestamp")) - F.unix_micros(F.col("started").cast("timestamp"))) / 1_000_000
+    return out.join(times.select("session_id", seconds.alias("seconds")), "session_id", "left").withColumn("processing_seconds", F.coalesce("seconds", F.lit(0.0))).drop("seconds")
 
 
 def ensemble(results: DataFrame, *keys: str) -> DataFrame:
@@ -148,11 +157,39 @@ def ensemble(results: DataFrame, *keys: str) -> DataFrame:
 
 
 def confidence_report(scored: DataFrame) -> DataFrame:
-    """For each field: values, mean, least, most and sample deviation; for fields with a low mean, the advice."""
+    """For each field over all records: mean, least, most and sample deviation; for fields with a low mean, the advice."""
     out = field_statistics(scored).select("field", "avg_confidence", "min_confidence", "max_confidence", "std_confidence")
     return out.withColumn("advice", F.when(F.col("avg_confidence") < 0.7, "Overall confidence is low. Consider using additional extraction methods."))
 
 
+def document_report(scored: DataFrame) -> DataFrame:
+    """For each record, over its fields' confidences: n, mean, median, least, most, sample deviation, the fields below their thresholds and the advice.
+
+    A record's fields are columns of its row, so nothing is shuffled.
+    """
+    scores = F.array_sort(F.array(*[F.col(f"s_{f}") for f in FIELDS]))
+    low = messages(*[F.when(is_low(f, F.col(f"s_{f}")), f) for f in FIELDS])
+    bound = scored.select("record_id", scores.alias("s"), low.alias("flagged_fields")).select("*", (F.aggregate("s", F.lit(0.0), lambda a, x: a + x) / len(FIELDS)).alias("mean"))
+    spread = F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))) / (len(FIELDS) - 1))
+    n = F.size("flagged_fields")
+    # The advice.
+    review = when_first((n == 0, "All fields meet confidence thresholds. No manual review required."), (n * 2 > len(FIELDS), "More than 50% of fields flagged. Consider reviewing source document quality."))
+    advice = messages(F.coalesce(review, F.concat(n.cast("string"), F.lit(" fields flagged for manual review."))), F.when(F.col("mean") < 0.7, "Overall confidence is low. Consider using additional extraction methods."))
+    middle = len(FIELDS) // 2
+    median = F.get("s", F.lit(middle)) if len(FIELDS) % 2 else (F.get("s", F.lit(middle - 1)) + F.get("s", F.lit(middle))) / 2
+    return bound.select("record_id", F.lit(len(FIELDS)).alias("n"), "mean", median.alias("median"), F.array_min("s").alias("least"), F.array_max("s").alias("most"), spread.alias("std"), "flagged_fields", advice.alias("advice"))
+
+
+def edit_summary(edits: DataFrame) -> DataFrame:
+    """For each record of edits (scored, with the values before as was_<field>): changed fields, mean confidence and fields by status."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    changed = sum((F.when(text(f) != text(f"was_{f}"), 1).otherwise(0) for f in FIELDS), F.lit(0))
+    mean = sum((F.col(f"s_{f}") for f in FIELDS), F.lit(0.0)) / len(FIELDS)
+    status = {f: four_way(F.col(f"s_{f}")) for f in FIELDS}
+    counts = [sum((F.when(status[f] == s, 1).otherwise(0) for f in FIELDS), F.lit(0)).alias(f"n_{s}") for s in ("excellent", "good", "warning", "error")]
+    return edits.select("record_id", changed.alias("changed"), mean.alias("average"), *counts)
+
+
 def recommendations(checked: DataFrame) -> DataFrame:
     """Advice from the field metrics and the most frequent error (A10)."""
     m = field_metrics(checked)
@@ -190,17 +227,47 @@ def data_statistics(records: DataFrame) -> DataFrame:
 
 def four_way(score: Column) -> Column:
     """The editor's status of a score."""
-    return when_first((score >= 0.8, "excellent"), (score >= 0.6, "good"), (score >= 0.4, "fair"), other="poor")
+    return when_first((score >= 0.8, "excellent"), (score >= 0.6, "good"), (score >= 0.4, "warning"), other="error")
 
 
 def report_json(checked: DataFrame) -> DataFrame:
-    """part and body: the totals, a row for each field and the most frequent messages as JSON text."""
+    """part and body: the totals, a row for each field and the most frequent messages as JSON text, doubles with six places."""
     parts = [("totals", validation_summary(checked)), ("field", field_metrics(checked)), ("message", top_messages(checked))]
-    made = [df.select(F.lit(name).alias("part"), F.to_json(F.struct("*")).alias("body")) for name, df in parts]
+    rounded = lambda df: F.struct(*[F.round(F.col(c), 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    made = [df.select(F.lit(name).alias("part"), F.to_json(rounded(df)).alias("body")) for name, df in parts]
     return made[0].unionByName(made[1]).unionByName(made[2])
 
 
-def report_lines(checks: DataFrame) -> DataFrame:
-    """pos and line of a text report over export checks (A15); of no rows, a line that says so."""
-    body = checks.select("field", F.format_string("%s: %d empty, %d errors of %d (%.1f%%)", "field", "n_empty", "n_errors", "n", F.coalesce(F.try_divide(F.lit(100.0) * F.col("n_errors"), F.col("n")), F.lit(0.0))).alias("line"))
-    return body.select(F.row_number().over(Window.orderBy("field")).alias("pos"), "line")
+def report_summary(checked: DataFrame, k: int = 5) -> DataFrame:
+    """pos and line of the report's short form (A11): totals, then the k most frequent errors."""
+    head = validation_summary(checked).select(F.inline(F.array(*[F.struct(F.lit(i).alias("pos"), c.alias("line")) for i, c in enumerate((
+        F.concat(F.lit("Records: "), "total"), F.concat(F.lit("Valid: "), "valid", F.lit(" ("), F.format_string("%.1f%%", F.coalesce("rate", F.lit(0.0)) * 100), F.lit(")")),
+        F.concat(F.lit("Confidence: "), F.format_string("%.2f", F.coalesce("confidence", F.lit(0.0)))),
+    ))])))
+    top = message_counts(checked).limit(k).select((F.row_number().over(Window.orderBy(F.desc("n"), "message")) + 2).alias("pos"), F.concat("message", F.lit(": "), "n").alias("line"))
+    return head.unionByName(top)
+
+
+def report_lines(records: DataFrame, mappings: list[Mapping], first: int = 20) -> DataFrame:
+    """pos and line of the text report on an export (A15): totals, the first errors by record_id and how many more there are, percents by field.
+
+    Without records all percents are 0. The lines are a few more than `first` and the fields, whatever the records.
+    """
+    row = lambda pos, line: F.struct(pos.cast("int").alias("pos"), line.alias("line"))
+    total = export_summary(records, mappings)
+    line = lambda label, c: F.concat(F.lit(label), F.col(c).cast("string"))
+    head = [F.lit("CSV Export Validation Report"), F.lit("=" * 30), line("Total Records: ", "total"), line("Valid Records: ", "valid"), line("Invalid Records: ", "invalid"), F.lit("")]
+    some = F.col("errors") > 0
+    more = F.when(F.col("errors") > first, F.concat(F.lit("  ... and "), (F.col("errors") - first).cast("string"), F.lit(" more errors")))
+    rows = [(F.lit(i), x) for i, x in enumerate(head)] + [(F.lit(10), F.when(some, "Validation Errors:")), (F.lit(11), F.when(some, "-" * 18)), (F.lit(90), more), (F.lit(91), F.when(some, ""))]
+    rows += [(F.lit(95), F.lit("Field Statistics:")), (F.lit(96), F.lit("-" * 17))]
+    fixed = total.select(F.inline(F.array(*[row(*x) for x in rows])))
+    names = [m.source for m in mappings]
+    named = record_errors(records, mappings).withColumn("at", F.array_position(F.array(*map(F.lit, names)), F.col("field"))).orderBy("record_id", "at").limit(first)
+    nth = F.row_number().over(Window.orderBy("record_id", "at"))
+    listed = named.select(row(nth + 11, F.concat(F.lit("  \u2022 Record "), F.col("record_id").cast("string"), F.lit(": "), "error")).alias("r")).select("r.*")
+    share = lambda c: F.coalesce(F.try_divide(F.lit(100.0) * F.col(c), F.col("n")), F.lit(0.0))
+    label = F.element_at(F.create_map(*[F.lit(x) for m in mappings for x in (m.source, m.name)]), F.col("field"))
+    at = F.array_position(F.array(*map(F.lit, names)), F.col("field"))
+    fields = export_checks(records, mappings).select(row(at + 100, F.format_string("  %s: %.1f%% empty, %.1f%% errors", label, share("n_empty"), share("n_errors"))).alias("r")).select("r.*")
+    return fixed.unionByName(listed).unionByName(fields).filter("line is not null")

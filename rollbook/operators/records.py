@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rollbook.functions.common import strip
 from rollbook.functions.text import line_kind
+from rollbook.schema import FIELDS, TEXT_FIELDS
 
 KINDS = ("council", "reference", "hmo_address", "hmo_manager_name", "max_occupancy")
 
@@ -50,7 +51,14 @@ def from_lines(lines: DataFrame) -> DataFrame:
     made = grouped.groupBy("doc", "grp").agg(*last)
     index = F.row_number().over(Window.partitionBy("doc").orderBy("grp")) - 1
     digits = F.regexp_extract("max_occupancy", r"(\d+)", 1).try_cast("int")
-    return made.select("doc", index.alias("i"), *[F.col(k) for k in KINDS[:4]], digits.alias("max_occupancy"))
+    out = made.select("doc", index.alias("i"), *[F.col(k) for k in KINDS[:4]], digits.alias("max_occupancy"))
+    return out.select("*", *_about())
+
+
+def _about() -> list[Column]:
+    """What every simple record says of itself: its id, the same score for each field, the method, and that it needs a review."""
+    scores = F.create_map(*[x for k in KINDS for x in (F.lit(k), F.lit(0.5))])
+    return [F.concat(F.col("doc").cast("string"), F.lit("_"), F.col("i").cast("string")).alias("record_id"), scores.alias("scores"), F.lit("simple_pattern_matching").alias("extraction_method"), F.lit(True).alias("needs_review")]
 
 
 def with_default(docs: DataFrame, records: DataFrame) -> DataFrame:
@@ -58,15 +66,36 @@ def with_default(docs: DataFrame, records: DataFrame) -> DataFrame:
     key = F.substring(F.col("doc").cast("string"), 1, 8)
     joined = docs.select("doc").join(records, "doc", "left")
     none = F.col("i").isNull()
-    return joined.select(
+    out = joined.select(
         "doc",
         F.coalesce("i", F.lit(0)).alias("i"),
         F.when(none, "Unknown Council").otherwise(F.col("council")).alias("council"),
         F.when(none, F.concat(F.lit("EXTRACTED_"), key)).otherwise(F.col("reference")).alias("reference"),
         F.when(none, "Address not found in document").otherwise(F.col("hmo_address")).alias("hmo_address"),
+        F.when(none, "Manager not specified").otherwise(F.col("hmo_manager_name")).alias("hmo_manager_name"),
         F.when(none, 0).otherwise(F.col("max_occupancy")).alias("max_occupancy"),
+        F.when(none, "Basic extraction - manual review recommended").alias("extraction_note"),
         none.alias("is_default"),
     )
+    return out.select("*", *_about())
+
+
+#: The fields of a record as text: others are left out.
+TEXT_SCHEMA = ", ".join([*(f"{f} {'string' if f in TEXT_FIELDS else 'int'}" for f in FIELDS), "confidence_scores map<string,double>", "validation_errors array<string>"])
+
+
+def to_json(records: DataFrame) -> DataFrame:
+    """record_id and body, a record's fields, scores and errors as JSON (R5). records: scored."""
+    scores = F.create_map(*[x for f in FIELDS for x in (F.lit(f), F.col(f"s_{f}"))])
+    return records.select("record_id", F.to_json(F.struct(*FIELDS, scores.alias("confidence_scores"), F.col("errors").alias("validation_errors"))).alias("body"))
+
+
+def from_json(bodies: DataFrame) -> DataFrame:
+    """record_id and the record's columns of JSON bodies (R5): unknown keys are dropped; missing texts are empty, numbers 0, scores and errors empty."""
+    r = bodies.select("record_id", F.from_json("body", TEXT_SCHEMA).alias("r")).select("record_id", "r.*")
+    plain = [F.coalesce(f, F.lit("") if f in TEXT_FIELDS else F.lit(0)).alias(f) for f in FIELDS]
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
+    return r.select("record_id", *plain, F.coalesce("confidence_scores", none).alias("confidence_scores"), F.coalesce("validation_errors", F.array().cast("array<string>")).alias("validation_errors"))
 
 
 def with_penalty(scores: Column, fallback: Column, factor: float = 0.7) -> Column:

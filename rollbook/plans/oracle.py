@@ -69,6 +69,9 @@ OVERALL = "(" + " + ".join(f"cast(s_{f} as double) * {WEIGHTS[f]}" for f in FIEL
 SCORED = f"{REC}, sc0 as (select *, {', '.join(f'cast({score(f)} as double) as s_{f}' for f in FIELDS)}, {ERRORS} as errors from rec), sc1 as (select *, {OVERALL} as overall from sc0), sc as (select *, overall < 0.7 or len(errors) > 0 as flagged from sc1)"
 
 
+_SCORED_TAIL = SCORED.removeprefix(f"{REC}, ")
+
+
 def parsed(f: str) -> str:
     s = strip(f)
 
@@ -246,9 +249,10 @@ STATE = f"""{LOG}, st as (select record_id, max(session_id) as session_id,
   coalesce(arg_max({_LEAD}, (ts, event_id)) filter ({_LEAD} is not null), 'pending') as status,
   arg_max(reviewer, (ts, event_id)) filter (action = 'assigned') as reviewer, min(ts) as flagged_at,
   max(ts) filter (action = 'assigned') as started, max(ts) filter (action in ('approved', 'rejected')) as completed,
-  count(*) filter (action = 'updated') as corrections, arg_max(confidence, (ts, event_id)) as confidence, count(*) as events
+  count(*) filter (action = 'updated') as corrections, arg_max(confidence, (ts, event_id)) as confidence, count(*) as events, arg_min(reason, (ts, event_id)) as reason
   from log group by record_id)"""
-SESSIONS = "ss as (select concat('S', cast(o_orderkey % 7 as varchar)) as session_id, min(o_orderdate) as uploaded, count(*) as n_records from orders group by 1)"
+SESSIONS = """s0 as (select o_orderkey % 7 as k, min(o_orderdate) as uploaded, max(o_orderdate) as latest, count(*) as n_records from orders group by 1),
+ss as (select 'S' || k as session_id, uploaded, n_records, (['completed', 'processing', 'failed'])[k % 3 + 1] as status, case when k % 3 <> 1 then latest end as finished from s0)"""
 _STATUSES = ("pending", "in_review", "approved", "rejected", "needs_revision")
 
 
@@ -322,6 +326,47 @@ def _found(n: str, base: float, start: float) -> str:
     return f"round(case when {n} > 0 then least(0.9::double, {n} * 0.2::double + {start}::double) * {base}::double * least(1.0, l / 1000) else 0.0 end, 6)"
 
 
+def _export_error(m: M.Mapping) -> str:
+    """Of an export check: what counts as empty isn't checked further."""
+    return f"case when not ({filled(m.source)}) then {q(f'Required field {chr(39)}{m.name}{chr(39)} is empty') if m.required else 'null'} else {_mapping_error(m)} end"
+
+
+_EXPORT_ERRORS = "ee as (select * from (" + " union all ".join(f"select record_id, {i} as nth, {q(m.source)} as field, {_export_error(m)} as error from rec" for i, m in enumerate(M.preset("standard"))) + ") where error is not null)"
+# Fixed values, written out here again: thresholds of a document's report, the rule set, user presets.
+_THRESHOLDS = {
+    "council": 0.75, "reference": 0.80, "hmo_address": 0.70, "licence_start": 0.85, "licence_expiry": 0.85, "max_occupancy": 0.80, "hmo_manager_name": 0.65, "hmo_manager_address": 0.70, "licence_holder_name": 0.65,
+    "licence_holder_address": 0.70, "number_of_households": 0.80, "number_of_shared_kitchens": 0.80, "number_of_shared_bathrooms": 0.80, "number_of_shared_toilets": 0.80, "number_of_storeys": 0.80,
+}
+_RULER = (
+    ("LICENSE_REF", r"(?:^|\s)([A-Z]{2,4}/\d{4,6})(?:\s|$)", "c"), ("LICENSE_REF", r"(?:^|\s)(\d{4,8})(?:\s|$)", "c"),
+    ("COUNCIL", r"(?:^|\s)(east  lindsey  district  council|central  bedfordshire  council|dacorum  borough  council|fife  council)(?:\s|$)", "i"),
+    ("HMO_TERM", r"(?:^|\s)(hmo  manager|hmo|house  in  multiple  occupation|licence  holder|maximum  occupancy|max  occupancy)(?:\s|$)", "i"),
+    ("DATE_PATTERN", r"(?:^|\s)(\S*?(?:\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4}|\d{4}-\d{1,2}-\d{1,2})\S*)", "c"),
+    ("POSTCODE", r"(?:^|\s)([A-Z]{1,2}\d[A-Z\d]?\d[A-Z]{2})(?:\s|$)", "c"),
+)
+_RULER_SCORE = "case when label in ('LICENSE_REF', 'POSTCODE') then 0.9::double when label = 'DATE_PATTERN' then 0.85::double else 0.7::double end * case when length(regexp_replace(x, '  ', ' ', 'g')) < 3 then 0.8::double when length(regexp_replace(x, '  ', ' ', 'g')) > 50 then 0.9::double else 1.0::double end"
+_FIVE = ("council", "reference", "hmo_address", "licence_start", "licence_expiry")
+_UI = (("default", FIELDS, (0.8, 0.6, 0.4), _FIVE[:3]), ("minimal", _FIVE, (0.7, 0.5, 0.3), _FIVE[:3]), ("comprehensive", FIELDS, (0.9, 0.7, 0.5), _FIVE))
+
+
+def _document(kind: str, base: float, start: float) -> str:
+    quality = "least(1.0::double, l / 1000)"
+    one = {n: f"case when {n} > 0 then least(0.9::double, {n} * 0.2::double + {start}::double) * {base}::double * {quality} else 0 end" for n in _FOUND}
+    tables = "case when t > 0 then 0.95::double else 0 end" if kind == "docx" else f"case when t > 0 then least(0.95::double, acc * {base}::double) else 0 end"
+    whole = f"({' + '.join(one.values())} + {tables} + {base}::double * {quality}{' + 0.98::double + 3 * 0.95::double' if kind == 'docx' else ''}) / {10 if kind == 'docx' else 6}"
+    return f"round({one['potential_references']}, 6) as {kind}_potential_references, round({tables}, 6) as {kind}_tables, round({base}::double * {quality}, 6) as {kind}_full_text, round({whole}, 3) as {kind}_average"
+
+
+def _pair(a: str, k: int) -> str:
+    one = f"{a}[1]" if k == 1 else "null"
+    return f"coalesce(case when len({a}) >= 2 then {a}[2 * i + {k}] when i = 0 then {one} end, '')"
+
+
+def _distinct(xs: str) -> str:
+    """In the order of their first places."""
+    return f"list_filter(list_transform(range(1, len({xs}) + 1), lambda p: case when list_position({xs}, ({xs})[p]) = p then ({xs})[p] end), lambda x: x is not null)"
+
+
 DEFAULT_REFERENCE, DEFAULT_NUMBER = "none", "1"
 _NEEDS_OCR = rf"(text is null or length({strip('text')}) < 100 or length(regexp_replace(text, '[^\p{{L}}\p{{N}}]', '', 'g')) / length(text) < 0.1)"
 
@@ -336,7 +381,10 @@ SQL: dict[str, str] = {
 select session_id, total, valid, flagged, round(confidence, 6) as confidence, {case(*[(f'confidence >= {c} and valid / total >= {v}', q(n)) for c, v, n in ((0.9, 0.95, 'excellent'), (0.8, 0.85, 'good'), (0.7, 0.7, 'acceptable'), (0.5, 0.5, 'poor'))], other=q('critical'))} as level from s""",
     "a05_flag_reasons": f"{CHECKED}, r as (select record_id, {_REASON} as reason from ck) select * from r where reason <> ''",
     "a06_field_statistics": f"{SCORED} select field, count(*) filter (filled) as populated, round(count(*) filter (filled) / count(*), 6) as rate, round(avg(score), 6) as avg_confidence, min(score) as min_confidence, round(max(score), 6) as max_confidence, round(coalesce(stddev_samp(score), 0), 6) as std_confidence from ({long('sc')}) group by field",
-    "a06_distribution": f"{SCORED} select round(avg(overall), 6) as mean, round(coalesce(stddev_samp(overall), 0), 6) as std, round(min(overall), 6) as min, round(max(overall), 6) as max from sc",
+    "a06_distribution": f"""{SCORED}, o as (select round(overall, 6) as v, row_number() over (order by round(overall, 6)) - 1 as k, count(*) over () as n from sc),
+p as (select max(v) filter (k = case when n < 4 then 0 else n // 4 end) as q1, max(v) filter (k = case when n < 4 then n - 1 else 3 * n // 4 end) as q3, median(v) as median from o)
+select round(avg(overall), 6) as mean, round(coalesce(stddev_samp(overall), 0), 6) as std, round(min(overall), 6) as min, round(max(overall), 6) as max,
+round(any_value(p.median), 6) as median, round(any_value(p.q1), 6) as q1, round(any_value(p.q3), 6) as q3 from sc, p""",
     "a07_quartiles": f"""{SCORED}, o as (select round(overall, 6) as v, row_number() over (order by round(overall, 6)) - 1 as k, count(*) over () as n from sc)
 select max(n) as n, round(max(v) filter (k = case when n < 4 then 0 else n // 4 end), 6) as q1, round((max(v) filter (k = (n - 1) // 2) + max(v) filter (k = n // 2)) / 2, 6) as q2, round(max(v) filter (k = case when n < 4 then n - 1 else 3 * n // 4 end), 6) as q3 from o""",
     "a08_completeness": f"{REC}, w as (select {', '.join(f'avg(cast({filled(f)} as int)) as r_{f}' for f in FIELDS)} from rec) select {', '.join('round((' + ' + '.join(f'r_{f}' for f in FIELDS if field_class(f) == k) + f') / {sum(field_class(f) == k for f in FIELDS)}, 6) as {k}_avg' for k in ('critical', 'important', 'optional'))} from w",
@@ -354,8 +402,10 @@ union all select k || ' fields have low confidence scores. Consider retraining e
     "a12_top_messages": f"""{CHECKED}, e as (select 'error' as kind, message, count(*) as n from (select unnest(v_errors) as message from ck) group by message order by n desc, message limit 5),
 w as (select 'warning' as kind, message, count(*) as n from (select unnest(v_warnings) as message from ck) group by message order by n desc, message limit 5) select * from e union all select * from w""",
     "a12_validation_summary": f"{CHECKED} select count(*) as total, count(*) filter (v_valid) as valid, count(*) filter (not v_valid) as invalid, round(count(*) filter (v_valid) / count(*), 6) as rate, round(avg(v_score), 6) as confidence from ck",
-    "a13_session_metrics": f"{SCORED} select session_id, count(*) as total, count(*) filter (overall >= 0.7) as confident, count(*) filter (flagged) as flagged, round(avg(overall), 6) as average, {', '.join(f'round(100.0 * count(*) filter ({filled(f)}) / count(*), 6) as pct_{f}' for f in FIELDS)} from sc group by session_id",
-    "a14_export_checks": f"{REC} " + " union all ".join(f"select {q(m.source)} as field, count(*) as n, count(*) filter (not ({filled(m.source)})) as n_empty, count(*) filter ({_mapping_error(m)} is not null) as n_errors from rec" for m in M.preset("standard")),
+    "a13_session_metrics": f"{SCORED}, {SESSIONS}, sm as (select session_id, count(*) as total, count(*) filter (overall >= 0.7) as confident, count(*) filter (flagged) as flagged, round(avg(overall), 6) as average, {', '.join(f'round(100.0 * count(*) filter ({filled(f)}) / count(*), 6) as pct_{f}' for f in FIELDS)} from sc group by session_id) select sm.*, coalesce((epoch_us(finished) - epoch_us(uploaded)) / 1000000, 0) as processing_seconds from sm left join ss using (session_id)",
+    "a14_export_checks": f"{REC} " + " union all ".join(f"select {q(m.source)} as field, count(*) as n, count(*) filter (not ({filled(m.source)})) as n_empty, count(*) filter ({_export_error(m)} is not null) as n_errors from rec" for m in M.preset("standard")),
+    "a14_export_summary": f"{REC}, e as (select {' + '.join(f'cast({_export_error(m)} is not null as int)' for m in M.preset('standard'))} as k from rec) select count(*) as total, count(*) filter (k = 0) as valid, count(*) filter (k > 0) as invalid, cast(sum(k) as bigint) as errors from e",
+    "a14_record_errors": f"{REC}, {_EXPORT_ERRORS} select record_id, field, error from ee",
     "a16_ensemble": f"""{SCORED}, r as (select record_id, council as value, s_council as c from sc union all select record_id, upper(council), 0.6::double from sc union all select record_id, council, 0.5::double from sc),
 g as (select record_id, count(*) as n, count(distinct value) as d, sum(c) as t, sum(c * c) as s, max((c, value)) as best from r group by record_id)
 select record_id, best[2] as value, round(least(s / t + case when d = 1 then 0.1 when d * 2 <= n then 0.05 else -0.05 end, 1.0), 6) as confidence, n from g""",
@@ -365,19 +415,25 @@ select record_id, best[2] as value, round(least(s / t + case when d = 1 then 0.1
     "a20_reviewers": f"{STATE} select reviewer, count(*) as assigned, count(*) filter (status in ('approved', 'rejected')) as completed, count(*) filter (status = 'approved') as approved, count(*) filter (status = 'rejected') as rejected from st where reviewer is not null group by reviewer",
     "a20_corrected_fields": f"{REC} select * from (" + " union all ".join(f"select {q(f)} as field, count(*) filter ({f} <> upper({f})) as n from rec" for f in ("council", "reference", "licence_holder_name")) + ") where n > 0",
     "a22_status_histogram": f"{STATE} select s as status, count(st.record_id) as n from (select unnest([{', '.join(map(q, _STATUSES))}]) as s) left join st on st.status = s group by s",
-    "a24_performance": f"{LOG} select action, count(*) as total, round(count(*) filter (confidence >= 0) / count(*), 6) as success_rate, round(avg(confidence), 6) as mean, round(min(confidence), 6) as least, round(max(confidence), 6) as most from log group by action",
+    "a24_performance": """with op as (select event_type as operation, value / 10 as seconds, user_id % 300 + 20.5::double as mb, event_id % 13 <> 0 as good from events),
+ops as (select * from op union all select 'all', seconds, mb, good from op)
+select operation, count(*) as total, round(count(*) filter (good) / count(*), 6) as success_rate, round(avg(seconds), 6) as mean_seconds, round(min(seconds), 6) as min_seconds, round(max(seconds), 6) as max_seconds,
+round(avg(mb), 6) as mean_mb, round(max(mb), 6) as max_mb from ops group by operation""",
+    "a24_last_operations": "select event_id as operation_id, event_type as operation, ts as began, round(value / 10, 6) as seconds, user_id % 300 + 20.5::double as memory_mb, event_id % 13 <> 0 as success from events order by ts desc, event_id desc limit 10",
     "a26_buckets": f"{SCORED}, b as (select case when m >= 0.8 then 'high' when m >= 0.6 then 'medium' else 'low' end as bucket from (select ({' + '.join(f's_{f}' for f in FIELDS)}) / {len(FIELDS)} as m from sc)) select bucket, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share from b group by bucket",
     "a27_field_quality": f"{SCORED} select field, round(avg(score), 6) as mean, round(min(score), 6) as least, round(max(score), 6) as most, count(*) as n from ({long('sc')}) group by field",
     "a28_data_statistics": f"{REC} " + " union all ".join(f"select {q(f)} as field, round(count(*) filter (cast({f} as varchar) <> '') / count(*), 6) as completion, count(distinct {f}) as n_unique from rec" for f in FIELDS),
-    "a30_editor_status": f"{SCORED} select case when overall >= 0.8 then 'excellent' when overall >= 0.6 then 'good' when overall >= 0.4 then 'fair' else 'poor' end as status, count(*) as n from sc group by 1",
-    "a31_processing_stats": f"select doc_id, cast(length(text) as int) as text_length, {' + '.join(f'cast({e} > 0 as int)' for e in _FOUND.values())} as fields_extracted, {_NEEDS_OCR} as ocr_used from documents",
+    "a30_editor_status": f"{SCORED} select case when overall >= 0.8 then 'excellent' when overall >= 0.6 then 'good' when overall >= 0.4 then 'warning' else 'error' end as status, count(*) as n from sc group by 1",
+    "a31_processing_stats": f"""with f as (select doc_id, text, coalesce(length(text), 0) as l, {', '.join(f'coalesce({e}, 0) as {n}' for n, e in _FOUND.items())} from documents)
+select doc_id, cast(l as int) as text_length, {' + '.join(f'cast({n} > 0 as int)' for n in _FOUND)} as fields_extracted, {_NEEDS_OCR} as ocr_used,
+round(({' + '.join(f'case when {n} > 0 then least(0.9::double, {n} * 0.2::double + 0.3::double) * 0.8::double * least(1.0, l / 1000) else 0 end' for n in _FOUND)} + 0.8::double * least(1.0, l / 1000)) / 6, 3) as average_confidence from f""",
     "x01_basic_data": f"{DOCS} select doc, {', '.join(f'array_to_string({e}, {q(chr(124))}) as {n}' for n, e in _BASIC.items())} from dd",
     "x05_dates": f"{REC}, t as (select record_id, concat_ws(' to ', licence_start, licence_expiry) as body from rec) select record_id, array_to_string({dates('body', False)}, '|') as dates, array_to_string({dates('body', True)}, '|') as compat_dates from t",
     "x06_references": f"{DOCS}, r as (select doc, {_REFS} as refs from dd), u as (select doc, refs, list_filter(list_transform(range(1, len(refs) + 1), lambda i: case when list_position(refs, refs[i]) = i then refs[i] end), lambda x: x is not null) as d from r) select doc, array_to_string(refs, '|') as refs, array_to_string(d, '|') as distinct_refs from u",
     "x08_names": f"{LINES}, k as (select doc, pos, line, {_KNOWN} as known from li), n as (select doc, pos, known, {_LIKELY} as new from k) select doc, pos, {nice_name('x')} as name, 0.8::double as confidence from (select doc, pos, unnest(known) as x from n) union all select doc, pos, {nice_name('x')}, 0.6::double from (select doc, pos, unnest(new) as x from n)",
     "x16_fallback": f"{LINES} " + " union all ".join(f"select doc, pos, {q(k)} as kind, unnest({every('line', p)}) as entity, {s}::double as confidence from li" for k, p, s in X.FALLBACK),
-    "r02_line_records": f"{LINES}, {line_records('li')} select * from lr",
-    "r03_with_default": f"with ln as (select doc_id as doc, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from documents), {line_records('ln')} select doc_id as doc, coalesce(i, 0) as i, case when i is null then 'Unknown Council' else council end as council, i is null as is_default from documents left join lr on doc = doc_id",
+    "r02_line_records": f"""{LINES}, {line_records('li')} select *, doc || '_' || i as record_id, '{{"council":0.5,"reference":0.5,"hmo_address":0.5,"hmo_manager_name":0.5,"max_occupancy":0.5}}' as scores, 'simple_pattern_matching' as extraction_method, true as needs_review from lr""",
+    "r03_with_default": f"with ln as (select doc_id as doc, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from documents), {line_records('ln')} select doc_id as doc, coalesce(i, 0) as i, case when i is null then 'Unknown Council' else council end as council, i is null as is_default, case when i is null then 'Basic extraction - manual review recommended' end as extraction_note, doc_id || '_' || coalesce(i, 0) as record_id, true as needs_review from documents left join lr on doc = doc_id",
     "e01_mapping_errors": f"{REC} select record_id, {', '.join(f'{_mapping_error(m)} as e_{m.source}' for m in M.preset('detailed'))} from rec",
     "e04_export_rows": f"{REC} select record_id, {', '.join(f'{_format(m.source, m.kind, {1: DEFAULT_REFERENCE, 5: DEFAULT_NUMBER}.get(i))} as {m.source}' for i, m in enumerate(M.preset('compact')))} from rec",
     "s15_needs_ocr": f"select doc_id, {_NEEDS_OCR} as needs_ocr, cast(greatest(1, ({' + '.join(f'len(regexp_extract_all(lower(coalesce(text, {chr(39) * 2})), {q(k)}))' for k in X.KEYWORDS)}) // 5) as int) as estimated_records from documents",
@@ -398,14 +454,28 @@ case when n > {H.MAX_BYTES} then 'error: over 100 MB' when n > {H.WARN_BYTES} th
     "o07_recent": f"{LOG} select event_id, record_id, action, reviewer from log order by ts desc, event_id desc limit 10",
     "o09_retained": "select o_orderkey from orders where o_orderdate >= timestamp '2001-07-02'",
     "st07_review_state": f"{STATE} select record_id, session_id, status, reviewer, corrections, round(confidence, 6) as confidence, events from st",
-    "st02_job_states": """with j as (select concat('J', cast(event_id % 1999 as varchar)) as job_id, case event_type when 'signup' then 'pending' when 'view' then 'processing' when 'purchase' then 'completed' when 'error' then 'failed' else 'cancelled' end as s, cast(user_id % 200 - 40 as int) as progress, ts from events),
-g as (select job_id, max((ts, s)) filter (s <> 'cancelled') as w, max(ts) filter (s = 'cancelled') as c, min(ts) filter (s = 'processing') as b, max((ts, greatest(0, least(100, progress)))) as l from j group by job_id)
-select job_id, case when c is not null and (b is null or b > c) then 'cancelled' else coalesce(w[2], 'pending') end as status, cast(l[2] as int) as progress from g""",
-    "st09_hourly": "select date_trunc('hour', ts) as hour, case event_type when 'signup' then 'enqueue' when 'view' then 'start' when 'purchase' then 'finish' when 'error' then 'fail' else 'cancel' end as action, count(*) as n from events group by 1, 2",
+    # event by event: a recursive fold that cancels only what is pending at that moment
+    "st02_job_states": """with recursive e as (select 'J' || (event_id % 1999) as job_id, case event_type when 'signup' then 'enqueue' when 'view' then 'start' when 'purchase' then 'finish' when 'error' then 'fail' else 'cancel' end as action,
+  greatest(0, least(100, cast(user_id % 200 - 40 as int))) as progress, ts from events),
+n as (select *, row_number() over (partition by job_id order by ts, list_position(['enqueue', 'start', 'finish', 'fail', 'cancel'], action), progress) as k, count(*) over (partition by job_id) as last from e),
+fold as (select job_id, cast(0 as bigint) as k, cast(null as varchar) as status, cast(null as int) as progress from n where k = 1
+  union all select n.job_id, n.k, case action when 'enqueue' then 'pending' when 'start' then 'processing' when 'finish' then 'completed' when 'fail' then 'failed' else case when status = 'pending' then 'cancelled' else status end end, n.progress
+  from fold join n on n.job_id = fold.job_id and n.k = fold.k + 1)
+select fold.job_id, status, fold.progress from fold join n on n.job_id = fold.job_id and n.k = fold.k where fold.k = n.last and status is not null""",
+    "st01_hourly": "select date_trunc('hour', ts) as hour, case event_type when 'signup' then 'enqueue' when 'view' then 'start' when 'purchase' then 'finish' when 'error' then 'fail' else 'cancel' end as action, count(*) as n from events group by 1, 2",
     "h01_error_classes": "select (['file_too_large', 'unsupported_format', 'corrupted_file', 'pdf_extraction_failed', 'ocr_failed', 'no_text_extracted', 'nlp_model_unavailable', 'entity_extraction_failed', 'memory_error', 'disk_space_error', 'database_error', 'validation_failed', 'unknown_error'])[event_id % 13 + 1] as class, count(*) as n from events group by 1",
     "h05_large_files": "select o_orderkey, m > 50 as chunked, round(least(10.0, m / 10), 6) as chunk_mb, m > 20 as watch_memory, m > 100 as disk_cache, m > 30 as concurrent, case when m > 100 then 1024 when m > 50 then 1536 else 2048 end as memory_limit_mb, case when m > 100 then 5 when m > 50 then 10 else 20 end as batch_size from (select o_orderkey, o_totalprice / 1000 as m from orders)",
     "t01_headers": f"{REC}, h as (select record_id, unnest([council, reference, hmo_address, licence_holder_name]) as x from rec) select record_id, sum(cast(trim(x) <> '' and (regexp_matches(lower(x), 'name|address|date|reference|licence|license') or (upper(x) = x and lower(x) <> x and length(x) > 2) or regexp_matches(x, '[:#]') or (regexp_matches(x, '^[\\p{{L}} ]+$') and len({words('x')}) <= 3)) as int)) * 2 > 4 as is_header from h group by record_id",
-    "a15_report_lines": f"{REC}, c as (" + " union all ".join(f"select {q(m.source)} as field, count(*) as n, count(*) filter (not ({filled(m.source)})) as e, count(*) filter ({_mapping_error(m)} is not null) as w from rec" for m in M.preset("standard")) + ") select cast(row_number() over (order by field) as int) as pos, printf('%s: %d empty, %d errors of %d (%.1f%%)', field, e, w, n, 100.0 * w / n) as line from c",
+    "a15_report_lines": f"""{REC}, {_EXPORT_ERRORS},
+t as (select count(*) as total, (select count(distinct record_id) from ee) as bad, (select count(*) from ee) as errors from rec),
+f as ({" union all ".join(f"select {i} as nth, {q(m.name)} as name, 100.0::double * count(*) filter (not ({filled(m.source)})) / count(*) as a, 100.0::double * count(*) filter ({_export_error(m)} is not null) / count(*) as b from rec" for i, m in enumerate(M.preset("standard")))}),
+l as (select row_number() over (order by record_id, nth) as k, record_id, error from ee order by record_id, nth limit 20)
+select 0 as pos, 'CSV Export Validation Report' as line union all select 1, '==============================' union all select 2, 'Total Records: ' || total from t
+union all select 3, 'Valid Records: ' || (total - bad) from t union all select 4, 'Invalid Records: ' || bad from t union all select 5, ''
+union all select 10, 'Validation Errors:' from t where errors > 0 union all select 11, '------------------' from t where errors > 0
+union all select cast(k as int) + 11, '  \u2022 Record ' || record_id || ': ' || error from l union all select 90, '  ... and ' || (errors - 20) || ' more errors' from t where errors > 20
+union all select 91, '' from t where errors > 0 union all select 95, 'Field Statistics:' union all select 96, '-----------------'
+union all select nth + 101, printf('  %s: %.1f%% empty, %.1f%% errors', name, a, b) from f""",
     "a21_database_stats": f"{STATE}, rec as ({RECORDS_SQL}) select (select count(distinct session_id) from rec) as sessions, (select count(*) from rec) as records, count(*) as flagged, count(*) filter (status in ('approved', 'rejected')) as reviewed from st",
     "a25_hit_rate": f"{LOG} select count(*) as requests, count(*) filter (action = 'approved') as hits, round(count(*) filter (action = 'approved') / count(*), 6) as rate from log",
     "j04_session_records": f"{REC}, {SESSIONS} select session_id, n_records, record_id, reference from ss join rec using (session_id)",
@@ -413,4 +483,50 @@ select job_id, case when c is not null and (b is null or b > c) then 'cancelled'
     "o01_sessions": f"with {SESSIONS} select * from ss order by uploaded desc, session_id limit 4",
     "o05_preview": f"{SCORED} select record_id, council, reference from sc where overall >= 0.85 order by record_id limit 50",
     "o10_entity_union": f"{DOCS}, r as (select doc, {_REFS} as a, {every('text', X.FALLBACK[1][1])} as b from dd), u as (select doc, a, b, list_filter(list_transform(range(1, len(a) + 1), lambda i: case when list_position(a, a[i]) = i and not list_contains(b, a[i]) then a[i] end), lambda x: x is not null) as d from r) select doc, array_to_string(list_concat(a, b), '|') as bag, array_to_string(d, '|') as only_first from u",
+    "a17_document_report": f"""{SCORED}, s0 as (select record_id, [{', '.join(f's_{f}' for f in FIELDS)}] as s, {listed([f"case when s_{f} < {b} then {q(f)} end" for f, b in _THRESHOLDS.items()])} as low from sc)
+select record_id, 15 as n, round(list_avg(s), 6) as mean, round(list_median(s), 6) as median, round(list_min(s), 6) as least, round(list_max(s), 6) as most, round(list_stddev_samp(s), 6) as std, array_to_string(low, '|') as flagged_fields,
+case when len(low) = 0 then 'All fields meet confidence thresholds. No manual review required.' when len(low) > 7.5 then 'More than 50% of fields flagged. Consider reviewing source document quality.' else len(low) || ' fields flagged for manual review.' end
+|| case when list_avg(s) < 0.7 then '|Overall confidence is low. Consider using additional extraction methods.' else '' end as advice from s0""",
+    "a20_report": f"{STATE} select count(*) as total, {', '.join(f'count(*) filter (status = {q(x)}) as n_{x}' for x in _STATUSES)}, round(count(*) filter (status in ('approved', 'rejected')) / count(*), 6) as completion_rate, cast(sum(corrections) as bigint) as total_corrections, count(*) filter (corrections > 0) as records_with_corrections from st",
+    "a20_reasons": f"{STATE} select reason, count(*) as n from st group by reason order by n desc, reason limit 5",
+    "a21_session_counts": f"with {SESSIONS} select status, count(*) as sessions, cast(sum(n_records) as bigint) as records from ss group by status",
+    "a30_edit_summary": f"""{SCORED}, e as (select record_id, [{', '.join(f's_{f}' for f in FIELDS)}] as s, 1 + {' + '.join(f"cast({f} <> upper({f}) as int)" for f in TEXT_FIELDS)} as changed from sc)
+select record_id, cast(changed as int) as changed, round(list_avg(s), 6) as average, cast(len(list_filter(s, lambda x: x >= 0.8)) as int) as n_excellent, cast(len(list_filter(s, lambda x: x >= 0.6 and x < 0.8)) as int) as n_good,
+cast(len(list_filter(s, lambda x: x >= 0.4 and x < 0.6)) as int) as n_warning, cast(len(list_filter(s, lambda x: x < 0.4)) as int) as n_error from e""",
+    "c10_document_confidence": f"""{DOCS}, f as (select doc, length(text) as l, doc % 3 as t, case when doc % 2 = 0 then doc % 7 / 7 else 0.8 end as acc, {', '.join(f'{e} as {n}' for n, e in _FOUND.items())} from dd) select doc, """ + ", ".join(_document(*x) for x in (("pdf", 0.8, 0.3), ("ocr", 0.6, 0.3), ("docx", 0.9, 0.4))) + " from f",
+    "x03_addresses": f"""{LINES}, s as (select doc, pos, unnest({every('line', X.STREET)}) as x from li),
+p as (select doc, pos, line, {every('line', X.POSTCODE_LINE)} as codes from li), c as (select doc, pos, line, codes[1] as code, instr(line, codes[1]) as o from p where len(codes) = 1 and length({strip("left(line, instr(line, codes[1]) - 1)")}) > 10)
+select doc, pos, {nice_address('x')} as address, 0.8::double as confidence from s union all select doc, pos, {nice_address("line[greatest(1, o - 100):o + length(code) - 1]")}, 0.9::double from c""",
+    # white space is doubled first, so that neighbours don't share what bounds them
+    "x12_ruler": f"""{LINES}, d as (select doc, pos, regexp_replace(line, '\\s', '  ', 'g') as line from li), e as (""" + " union all ".join(f"select doc, pos, {q(label)} as label, unnest(regexp_extract_all(line, {q(p)}, 1, {q(o)})) as x from d" for label, p, o in _RULER) + f""")
+select doc, pos, label, regexp_replace(x, '  ', ' ', 'g') as entity, round(({_RULER_SCORE}), 6) as confidence from e""",
+    "x14_entities": f"""{LINES}, d as (select doc, pos, regexp_replace(line, '\\s', '  ', 'g') as line from li), e as (""" + " union all ".join(f"select doc, pos, {q('DATE' if label == 'DATE_PATTERN' else label)} as label, unnest(regexp_extract_all(line, {q(p)}, 1, {q(o)})) as x, 0.9::double as confidence from d" for label, p, o in _RULER if label in ("LICENSE_REF", "DATE_PATTERN")) + " union all " + " union all ".join(f"select doc, pos, {q(label)}, unnest(list_transform({every('line', p)}, lambda t: {strip('t')})), {score}::double from li" for label, p, score in X.ENTITY_PATTERNS) + ") select doc, pos, label, x as entity, confidence from e",
+    "r01_entity_records": f"""{DOCS}, k0 as (select doc, text, {every('text', *X.NAMES)} as known0, {every('text', X.CAPITALIZED)} as caps from dd),
+k as (select doc, text, caps, list_filter(known0, lambda n: {is_name('n')}) as known from k0),
+a as (select doc, {every('text', X.FALLBACK[0][1])} as cs, {_distinct(_REFS)} as rs, {every('text', X.STREET)} as ads, {dates('text', False)} as ds, {every('text', X.BASIC_NUMBERS[2])} as os,
+  list_transform(list_concat(known, list_filter(caps, lambda n: not list_contains(known, n) and not regexp_matches(lower(n), {q('|'.join(X.NO_NAMES))}) and {is_name('n')})), lambda n: {nice_name('n')}) as ns from k),
+r as (select *, unnest(range(cast(greatest(len(cs), len(rs), len(ads), 1) as int))) as i from a)
+select doc, cast(i as int) as i, coalesce(cs[i + 1], '') as council, coalesce(rs[i + 1], '') as reference, coalesce(ads[i + 1], '') as hmo_address, {_pair('ds', 1)} as licence_start, {_pair('ds', 2)} as licence_expiry,
+{_pair('ns', 1)} as hmo_manager_name, {_pair('ns', 2)} as licence_holder_name, coalesce(try_cast(os[i + 1] as int), 0) as max_occupancy from r where coalesce(cs[i + 1], '') <> '' or coalesce(rs[i + 1], '') <> '' or coalesce(ads[i + 1], '') <> ''""",
+    "r05_json_round_trip": f"{SCORED} select record_id, {', '.join(FIELDS)}, s_council as council_score, array_to_string(errors, '|') as errors from sc",
+    "e07_presets": f"{SCORED} " + " union all ".join(f"select {q(n)} as preset, record_id, concat_ws('|', {', '.join(f'cast({f} as varchar)' for f in fields)}) as shown, case when overall >= {hi} then 'high' when overall >= {mid} then 'medium' else 'low' end as level, overall < {flag} or {' or '.join(blank(f) for f in need)} as needs_review from sc" for n, fields, (hi, mid, flag), need in _UI),
+    "h07_stored_names": """with n as (select page_id, regexp_replace(replace(url, '/', '?') || repeat('x', cast(page_id % 3 * 150 as int)) || '.pdf', '[<>:"|?*\\\\]', '_', 'g') as x from pages) select page_id, case when length(x) > 255 then left(x, 251) || '.pdf' else x end as stored from n""",
+    "h08_safe_paths": "select page_id, ([true, false, false, true, false, false, true])[page_id % 7 + 1] as safe from pages",
+    "st09_downloads": """with e as (select *, user_id % 500 as token from events), k as (select token, min(ts) as created from e where event_type = 'signup' group by token), u as (select token, count(*) as n from e where event_type = 'click' group by token)
+select event_id, case when created is null then 'Invalid download token' when ts > created + interval 7 days then 'Download link has expired' when coalesce(n, 0) >= 10 then 'Download limit exceeded' when token % 9 = 0 then 'File no longer available' else '' end as problem
+from e left join k using (token) left join u using (token) where event_type = 'view'""",
+    "s28_audited_export": f"""{STATE}, rec as ({RECORDS_SQL}), {_SCORED_TAIL} select {', '.join(f'sc.{f}' for f in FIELDS)}, {', '.join(f'round(sc.s_{f}, 6) as {f}_confidence' for f in FIELDS)}, sc.record_id as audit_record_id, st.reason as audit_flag_reason,
+st.status as audit_review_status, coalesce(st.reviewer, '') as audit_reviewer, st.completed as audit_review_completed, st.corrections as audit_corrections_made from sc join st on st.record_id = sc.record_id where st.status in ('approved', 'rejected')""",
+    "a11_report_json": f"""{CHECKED}, {_METRICS}, v as (select count(*) as total, count(*) filter (v_valid) as valid, count(*) filter (not v_valid) as invalid, round(count(*) filter (v_valid) / count(*), 6) as rate, round(avg(v_score), 6) as confidence from ck),
+e as (select 'error' as kind, message, count(*) as n from (select unnest(v_errors) as message from ck) group by message order by n desc, message limit 5),
+w as (select 'warning' as kind, message, count(*) as n from (select unnest(v_warnings) as message from ck) group by message order by n desc, message limit 5)
+select 'totals' as part, cast(to_json({{'total': total, 'valid': valid, 'invalid': invalid, 'rate': rate, 'confidence': confidence}}) as varchar) as body from v
+union all select 'field', cast(to_json({{'field': field, 'total': total, 'populated': populated, 'avg_confidence': round(a, 6), 'min_confidence': cast(lo as double), 'max_confidence': round(cast(hi as double), 6), 'n_errors': n_errors, 'n_warnings': n_warnings, 'level': level}}) as varchar) from mm
+union all select 'message', cast(to_json({{'kind': kind, 'message': message, 'n': n}}) as varchar) from (select * from e union all select * from w)""",
+    "a11_report_summary": f"""{CHECKED}, v as (select count(*) as total, count(*) filter (v_valid) as valid, avg(v_score) as c from ck), e as (select message, count(*) as n from (select unnest(v_errors) as message from ck) group by message order by n desc, message limit 5)
+select 0 as pos, 'Records: ' || total as line from v union all select 1, 'Valid: ' || valid || printf(' (%.1f%%)', 100.0 * valid / total) from v union all select 2, printf('Confidence: %.2f', c) from v
+union all select cast(row_number() over (order by n desc, message) as int) + 2, message || ': ' || n from e""",
+    "o02_sessions_by_status": f"with {SESSIONS} select session_id, status from ss where status = 'completed'",
+    "o04_by_reason": f"{STATE} select record_id, status, reason, round(confidence, 6) as confidence from st where reason = 'reason 3' and confidence >= 0",
+    "o08_newest": "select event_id, ts from events order by ts desc, event_id limit 25",
 }

@@ -60,7 +60,15 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    return o.groupBy(F.concat(F.lit("S"), (F.col("o_orderkey") % 7).cast("string")).alias("session_id")).agg(F.min("o_orderdate").alias("uploaded"), F.count("*").alias("n_records"))
+    out = o.groupBy(F.concat(F.lit("S"), (F.col("o_orderkey") % 7).cast("string")).alias("session_id")).agg(F.min("o_orderdate").alias("uploaded"), F.max("o_orderdate").alias("last"), F.count("*").alias("n_records"))
+    status = F.element_at(F.array(*map(F.lit, ("completed", "processing", "failed"))), (F.substring("session_id", 2, 1).cast("int") % 3 + 1))
+    return out.select("session_id", "uploaded", "n_records", status.alias("status"), F.when(status != "processing", F.col("last")).alias("finished"))
+
+
+def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as operations that took time and memory."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("operation_id"), F.col("event_type").alias("operation"), F.col("ts").alias("began"), (F.col("value") / 10).alias("seconds"), (F.col("user_id") % 300 + 20.5).alias("memory_mb"), (F.col("event_id") % 13 != 0).alias("success"))
 
 
 def joined(a: Column | str) -> Column:
@@ -164,7 +172,7 @@ def a12_validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def a13_session_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(quality.session_metrics(scored(spark, sf_dir)))
+    return rounded(quality.session_metrics(scored(spark, sf_dir), sessions(spark, sf_dir).withColumnRenamed("uploaded", "started")))
 
 
 @query
@@ -172,6 +180,16 @@ def a14_export_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.export_checks(fixtures.licence_records(spark, sf_dir), mapping.preset("standard"))
 
 
+@query
+def a14_export_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.export_summary(fixtures.licence_records(spark, sf_dir), mapping.preset("standard"))
+
+
+@query
+def a14_record_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.record_errors(fixtures.licence_records(spark, sf_dir), mapping.preset("standard"))
+
+
 @query
 def a16_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored(spark, sf_dir)
@@ -184,6 +202,11 @@ def a17_confidence_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(quality.confidence_report(scored(spark, sf_dir)))
 
 
+@query
+def a17_document_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(quality.document_report(scored(spark, sf_dir)).withColumns({c: joined(c) for c in ("flagged_fields", "advice")}))
+
+
 @query
 def a18_session_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(audit.session_summary(states(spark, sf_dir)))
@@ -199,6 +222,16 @@ def a20_reviewers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.reviewer_report(states(spark, sf_dir))
 
 
+@query
+def a20_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(audit.audit_report(states(spark, sf_dir)))
+
+
+@query
+def a20_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.top_reasons(states(spark, sf_dir))
+
+
 @query
 def a20_corrected_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     rec = fixtures.licence_records(spark, sf_dir)
@@ -214,7 +247,12 @@ def a22_status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def a24_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(audit.performance(fixtures.review_log(spark, sf_dir)))
+    return rounded(audit.performance(operations(spark, sf_dir)))
+
+
+@query
+def a24_last_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(audit.last_operations(operations(spark, sf_dir)))
 
 
 @query
@@ -238,12 +276,34 @@ def a30_editor_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).groupBy(quality.four_way(F.col("overall")).alias("status")).agg(F.count("*").alias("n"))
 
 
+@query
+def a30_edit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record as an edit of one with upper-case texts and one storey more."""
+    s = scored(spark, sf_dir)
+    was = {f"was_{f}": F.upper(f) if t == "string" else F.col(f) + F.lit(int(f == "number_of_storeys")) for f, t in s.select(*FIELDS).dtypes}
+    return rounded(quality.edit_summary(s.withColumns(was)))
+
+
 @query
 def a31_processing_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     found = text.basic_data(F.col("text"))
-    fields = sum((F.when(F.size(c) > 0, 1).otherwise(0) for c in found.values()), F.lit(0))
-    return d.select("doc_id", F.length("text").alias("text_length"), fields.alias("fields_extracted"), text.needs_ocr(F.col("text")).alias("ocr_used"))
+    sized = d.select("doc_id", "text", F.coalesce(F.length("text"), F.lit(0)).alias("n"), *[F.coalesce(F.size(c), F.lit(0)).alias(k) for k, c in found.items()])
+    fields = sum((F.when(F.col(k) > 0, 1).otherwise(0) for k in found), F.lit(0))
+    score = confidence.document_confidence("pdf", F.col("n"), {k: F.col(k) for k in found}, F.lit(0))
+    return sized.select("doc_id", F.col("n").alias("text_length"), fields.alias("fields_extracted"), text.needs_ocr(F.col("text")).alias("ocr_used"), score["average"].alias("average_confidence"))
+
+
+@query
+def c10_document_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The confidences of documents' parts as PDF, recognised pictures and word documents, with up to two tables."""
+    found = text.basic_data(F.col("text"))
+    d = documents(spark, sf_dir).select("doc", F.length("text").alias("n"), (F.col("doc") % 3).cast("int").alias("tables"), (F.col("doc") % 7 / 7).alias("accuracy"), *[F.size(c).alias(k) for k, c in found.items()])
+    parts = []
+    for kind in ("pdf", "ocr", "docx"):
+        made = confidence.document_confidence(kind, F.col("n"), {k: F.col(k) for k in found}, F.col("tables"), F.when(F.col("doc") % 2 == 0, F.col("accuracy")))
+        parts += [made[k].alias(f"{kind}_{k}") for k in ("potential_references", "tables", "full_text", "average")]
+    return rounded(d.select("doc", *parts))
 
 
 @query
@@ -289,6 +349,12 @@ def x16_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc", "pos", "kind", F.col("text").alias("entity"), "confidence")
 
 
+@query
+def x14_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = lines(spark, sf_dir).select("doc", "pos", F.inline(text.entities(F.col("line"))))
+    return d.select("doc", "pos", "label", F.col("text").alias("entity"), "confidence")
+
+
 @query
 def r01_entity_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
@@ -301,14 +367,20 @@ def r01_entity_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def r02_line_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.from_lines(lines(spark, sf_dir))
+    return records.from_lines(lines(spark, sf_dir)).withColumn("scores", F.to_json("scores"))
 
 
 @query
 def r03_with_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     split = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return records.with_default(docs.select(F.col("doc_id").alias("doc")), records.from_lines(split)).select("doc", "i", "council", "is_default")
+    return records.with_default(docs.select(F.col("doc_id").alias("doc")), records.from_lines(split)).select("doc", "i", "council", "is_default", "extraction_note", "record_id", "needs_review")
+
+
+@query
+def r05_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = records.from_json(records.to_json(scored(spark, sf_dir)))
+    return rounded(back.select("record_id", *FIELDS, F.element_at("confidence_scores", "council").alias("council_score"), joined("validation_errors").alias("errors")))
 
 
 @query
@@ -324,6 +396,17 @@ def e04_export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.licence_records(spark, sf_dir).select("record_id", *[m.formatted().alias(m.source) for m in found])
 
 
+@query
+def e07_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records as each user preset shows them, its columns' values joined."""
+    s = scored(spark, sf_dir)
+    made = []
+    for name, shown in mapping.UI_NAMES.items():
+        view = mapping.ui_view(s, name)
+        made.append(view.select(F.lit(name).alias("preset"), "record_id", F.concat_ws("|", *[F.col(f"`{c}`").cast("string") for c in shown.values()]).alias("shown"), "level", "needs_review"))
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
 @query
 def s15_needs_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.needs_ocr(F.col("text")).alias("needs_ocr"), text.estimated_records(F.col("text")).alias("estimated_records"))
@@ -335,6 +418,29 @@ def s01_file_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", support.document_type(F.col("path")).alias("type"), support.file_message(F.col("path"), F.col("n")).alias("message"), support.size_warning(F.col("n")).alias("warning"), support.safe_name(F.col("path")).alias("safe"))
 
 
+@query
+def h07_stored_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("up/"), F.regexp_replace("url", "/", "?"), F.repeat(F.lit("x"), (F.col("page_id") % 3 * 150).cast("int")), F.lit(".pdf"))
+    return table(spark, sf_dir, "pages").select("page_id", support.stored_file_name(name).alias("stored"))
+
+
+@query
+def h08_safe_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.element_at(F.array(*map(F.lit, ("/base/a/b.pdf", "/base2/a", "/base/../etc", "/base/./x/../y", "base/a", "/", "/base"))), (F.col("page_id") % 7 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", support.inside(path, "/base").alias("safe"))
+
+
+@query
+def st09_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens made by signups, used by clicks of the same user (the download log), and why each event's token is good or not."""
+    e = table(spark, sf_dir, "events").withColumn("token", F.col("user_id") % 500)
+    links = e.filter("event_type = 'signup'").groupBy("token").agg(F.min("ts").alias("created")).withColumn("exists", F.col("token") % 9 != 0)
+    used = e.filter("event_type = 'click'").groupBy("token").agg(F.count("*").alias("downloads"))
+    asked = e.filter("event_type = 'view'").join(links, "token", "left").join(used, "token", "left")
+    problem = support.download_problem(F.col("created").isNotNull(), F.col("ts"), F.col("created") + F.expr("interval 7 days"), F.col("downloads"), F.lit(10), F.col("exists"))
+    return asked.select("event_id", problem.alias("problem"))
+
+
 @query
 def s25_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.csv_lines(fixtures.licence_records(spark, sf_dir))
@@ -346,6 +452,11 @@ def s26_download_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.download_rows(s, flagged=s.filter("flagged").select("record_id")).select("council", "reference", "council_confidence", "reference_confidence", "hmo_address_confidence")
 
 
+@query
+def s28_audited_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(audit.audited_export(scored(spark, sf_dir), states(spark, sf_dir), include_rejected=True))
+
+
 @query
 def j01_sessions_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.sessions_flagged(sessions(spark, sf_dir), states(spark, sf_dir), 5)
@@ -419,7 +530,7 @@ def st02_job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def st09_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+def st01_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inbox.hourly(jobs(spark, sf_dir))
 
 
@@ -447,9 +558,14 @@ def a11_report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report_json(checked(spark, sf_dir))
 
 
+@query
+def a11_report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report_summary(checked(spark, sf_dir))
+
+
 @query
 def a15_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.report_lines(mapping.export_checks(fixtures.licence_records(spark, sf_dir), mapping.preset("standard")))
+    return quality.report_lines(fixtures.licence_records(spark, sf_dir), mapping.preset("standard"))
 
 
 @query
@@ -457,6 +573,11 @@ def a21_database_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.database_stats(fixtures.licence_records(spark, sf_dir), states(spark, sf_dir))
 
 
+@query
+def a21_session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.session_counts(sessions(spark, sf_dir))
+
+
 @query
 def a25_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(audit.hit_rate(fixtures.review_log(spark, sf_dir), F.col("action") == "approved"))
@@ -477,6 +598,21 @@ def o01_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.list_sessions(sessions(spark, sf_dir), 4)
 
 
+@query
+def o02_sessions_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.list_sessions(sessions(spark, sf_dir), 100, "completed").select("session_id", "status")
+
+
+@query
+def o04_by_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(audit.review_list(states(spark, sf_dir), high=1e9, sort="status", descending=False, reason="reason 3").select("record_id", "status", "reason", "confidence"))
+
+
+@query
+def o08_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.newest(table(spark, sf_dir, "events"), "ts", "event_id", 25).select("event_id", "ts")
+
+
 @query
 def o05_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.preview(scored(spark, sf_dir), 0.85, ["council", "reference"])

@@ -30,7 +30,7 @@ LOG_SQL = """
 select event_id, event_id % 997 as record_id, concat('S', cast((event_id % 997) % 7 as string)) as session_id,
   concat('rev', cast(user_id % 5 as string)) as reviewer, ts,
   case event_type when 'view' then 'assigned' when 'click' then 'updated' when 'purchase' then 'approved' when 'error' then 'rejected' else 'commented' end as action,
-  value as confidence
+  value as confidence, concat('reason ', cast((event_id % 997) % 11 % 7 as string)) as reason
 from events
 """
 

@@ -9,7 +9,6 @@ import zipfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.functions.common import strip
 from rollbook.functions.mapping import Mapping, export_rows
 from rollbook.schema import FIELDS
 
@@ -57,9 +56,19 @@ def package(parts: dict[str, str], metadata: dict) -> bytes:
     return out.getvalue()
 
 
-def compression_ratio(compressed: int, original: int) -> float:
-    return compressed / original if original else 1.0
+def complete_package(scored: DataFrame, folder: str, quality: DataFrame) -> bytes:
+    """The whole export (S27): all records and the flagged ones as CSV parts below folder, and a zip of the quality report and the metadata, whose texts are small.
+
+    quality: part and body, as quality.report_json gives them.
+    """
+    for name, rows in (("extracted_data", scored), ("flagged_records", scored.filter("flagged"))):
+        download_rows(rows).write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{folder}/{name}")
+    total, mean, flagged = scored.agg(F.count("*"), F.coalesce(F.avg("overall"), F.lit(0.0)), F.count_if("flagged")).first()
+    report: dict[str, list] = {}
+    for r in quality.collect():
+        report.setdefault(r["part"], []).append(json.loads(r["body"]))
+    return package({"quality_report.json": json.dumps(report, sort_keys=True)}, {"total_records": total, "average_confidence": mean, "flagged_records_count": flagged})
 
 
-def plain(c: Column) -> Column:
-    return strip(F.coalesce(c, F.lit("")))
+def compression_ratio(compressed: int, original: int) -> float:
+    return compressed / original if original else 1.0

@@ -1,10 +1,14 @@
-"""Jobs as a stream (ST1 to ST8): an inbox of job events, current job state with a time limit, progress and retention."""
+"""Jobs as a stream (ST1 to ST5, ST8): an inbox of job events, current job state, in batch and live with a time limit, progress and retention."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rollbook.functions.support import clamp_progress
 
@@ -12,7 +16,7 @@ EVENT = "job_id string, session_id string, action string, progress int, ts times
 # States and the actions that lead to them.
 STATUSES = ("pending", "processing", "completed", "failed", "cancelled")
 LEADS_TO = {"enqueue": "pending", "start": "processing", "finish": "completed", "fail": "failed", "cancel": "cancelled"}
-TTL = "24 hours"
+TTL, TTL_MS = "24 hours", 24 * 3_600_000
 
 
 def events(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
@@ -21,20 +25,51 @@ def events(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFr
 
 
 def job_states(jobs: DataFrame) -> DataFrame:
-    """Each job's latest state. A cancellation counts only for jobs that haven't started; progress is kept within 0 and 100.
+    """Each job's latest state, of all its events in time order (ties: in the order of LEADS_TO).
 
-    Works on a batch of all events and on a stream alike: one aggregation with a maximum for each kind of event.
+    enqueue, start, finish and fail set the state whatever it was; a cancellation counts only for a pending job. So the last event
+    but cancellations decides, and a cancellation after it counts if it is an enqueue: one aggregation, no fold. Jobs that were
+    only cancelled don't exist. Progress is kept within 0 and 100.
     """
+    order = F.create_map(*[F.lit(x) for k, a in enumerate(LEADS_TO) for x in (a, k)])
     leads = F.create_map(*[F.lit(x) for p in LEADS_TO.items() for x in p])
-    status = F.try_element_at(leads, F.col("action"))
-    rank = lambda test: F.max(F.when(test, F.struct("ts", status.alias("status"))))
-    work = F.col("action").isin("enqueue", "start", "finish", "fail")
-    out = jobs.groupBy("job_id").agg(
-        F.max("session_id").alias("session_id"), rank(work).alias("worked"), rank(F.col("action") == "cancel").alias("cancelled"),
-        F.min(F.when(F.col("action") == "start", F.col("ts"))).alias("started"), F.max(F.struct("ts", clamp_progress(F.col("progress")).alias("progress"))).alias("last"),
-    )
-    off = F.col("cancelled").isNotNull() & (F.col("started").isNull() | (F.col("started") > F.col("cancelled.ts")))
-    return out.select("job_id", "session_id", F.when(off, "cancelled").otherwise(F.coalesce("worked.status", F.lit("pending"))).alias("status"), F.col("last.progress").alias("progress"), F.col("last.ts").alias("ts"))
+    when = F.struct("ts", F.try_element_at(order, F.col("action")).alias("nth"), F.try_element_at(leads, F.col("action")).alias("status"), clamp_progress(F.col("progress")).alias("progress"))
+    work = F.col("action").isin([a for a in LEADS_TO if a != "cancel"])
+    out = jobs.groupBy("job_id").agg(F.max("session_id").alias("session_id"), F.max(F.when(work, when)).alias("worked"), F.max(F.when(F.col("action") == "cancel", F.col("ts"))).alias("cancelled"), F.max(when).alias("last"))
+    off = (F.col("worked.status") == "pending") & (F.col("cancelled") >= F.col("worked.ts"))
+    out = out.filter("worked is not null")
+    return out.select("job_id", "session_id", F.when(off, "cancelled").otherwise(F.col("worked.status")).alias("status"), F.col("last.progress").alias("progress"), F.col("last.ts").alias("ts"))
+
+
+def next_state(status: str | None, action: str) -> str | None:
+    """The state after one event; None: the job doesn't exist."""
+    if action == "cancel":
+        return "cancelled" if status == "pending" else status
+    return LEADS_TO.get(action, status)
+
+
+def live_states(stream: DataFrame, keep_ms: int = TTL_MS) -> DataFrame:
+    """Jobs' states as their events arrive: a row for each job that a batch has events of. A job's state is forgotten after keep_ms without events."""
+    order = {a: k for k, a in enumerate(LEADS_TO)}
+    schema = "job_id string, session_id string, status string, progress int, ts timestamp"
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        session, status, progress, ts = state.get if state.exists else (None, None, 0, None)
+        rows = pd.concat(list(batches))
+        rows["nth"] = rows["action"].map(order)
+        for r in rows.sort_values(["ts", "nth"], kind="stable").itertuples():
+            session, status, ts = r.session_id, next_state(status, r.action), r.ts.to_pydatetime()
+            progress = progress if pd.isna(r.progress) else min(100, max(0, int(r.progress)))
+        if status is not None:
+            state.update((session, status, progress, ts))
+            state.setTimeoutDuration(keep_ms)
+            yield pd.DataFrame([(key[0], session, status, progress, ts)], columns=["job_id", "session_id", "status", "progress", "ts"])
+
+    known = stream.filter(F.col("action").isin(list(LEADS_TO)))
+    return known.groupBy("job_id").applyInPandasWithState(step, schema, "session_id string, status string, progress int, ts timestamp", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def hourly(jobs: DataFrame, late: str = "10 minutes") -> DataFrame:
