@@ -174,7 +174,7 @@ def document_report(scored: DataFrame) -> DataFrame:
     n = F.size("flagged_fields")
     # The advice.
     review = when_first((n == 0, "All fields meet confidence thresholds. No manual review required."), (n * 2 > len(FIELDS), "More than 50% of fields flagged. Consider reviewing source document quality."))
-    advice = messages(F.coalesce(review, F.concat(n.cast("string"), F.lit(" fields flagged for manual review."))), F.when(F.col("mean") < 0.7, "Overall confidence is low. Consider using additional extraction methods."))
+    advice = messages(F.coalesce(review, F.concat(n.cast("string"), F.lit(" fields flagged for manual review."))), F.when(F.round("mean", 12) < 0.7, "Overall confidence is low. Consider using additional extraction methods."))  # rounded: the order of adding must not decide
     middle = len(FIELDS) // 2
     median = F.get("s", F.lit(middle)) if len(FIELDS) % 2 else (F.get("s", F.lit(middle - 1)) + F.get("s", F.lit(middle))) / 2
     return bound.select("record_id", F.lit(len(FIELDS)).alias("n"), "mean", median.alias("median"), F.array_min("s").alias("least"), F.array_max("s").alias("most"), spread.alias("std"), "flagged_fields", advice.alias("advice"))

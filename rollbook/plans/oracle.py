@@ -486,7 +486,7 @@ union all select nth + 101, printf('  %s: %.1f%% empty, %.1f%% errors', name, a,
     "a17_document_report": f"""{SCORED}, s0 as (select record_id, [{', '.join(f's_{f}' for f in FIELDS)}] as s, {listed([f"case when s_{f} < {b} then {q(f)} end" for f, b in _THRESHOLDS.items()])} as low from sc)
 select record_id, 15 as n, round(list_avg(s), 6) as mean, round(list_median(s), 6) as median, round(list_min(s), 6) as least, round(list_max(s), 6) as most, round(list_stddev_samp(s), 6) as std, array_to_string(low, '|') as flagged_fields,
 case when len(low) = 0 then 'All fields meet confidence thresholds. No manual review required.' when len(low) > 7.5 then 'More than 50% of fields flagged. Consider reviewing source document quality.' else len(low) || ' fields flagged for manual review.' end
-|| case when list_avg(s) < 0.7 then '|Overall confidence is low. Consider using additional extraction methods.' else '' end as advice from s0""",
+|| case when round(list_avg(s), 12) < 0.7 then '|Overall confidence is low. Consider using additional extraction methods.' else '' end as advice from s0""",
     "a20_report": f"{STATE} select count(*) as total, {', '.join(f'count(*) filter (status = {q(x)}) as n_{x}' for x in _STATUSES)}, round(count(*) filter (status in ('approved', 'rejected')) / count(*), 6) as completion_rate, cast(sum(corrections) as bigint) as total_corrections, count(*) filter (corrections > 0) as records_with_corrections from st",
     "a20_reasons": f"{STATE} select reason, count(*) as n from st group by reason order by n desc, reason limit 5",
     "a21_session_counts": f"with {SESSIONS} select status, count(*) as sessions, cast(sum(n_records) as bigint) as records from ss group by status",

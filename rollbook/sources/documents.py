@@ -1,4 +1,4 @@
-"""Documents from files (S1 to S13, S20 to S22): file checks as columns, word documents by the standard library, other formats by a pluggable function."""
+"""Documents from files (S1 to S13, S20 to S22): file checks as columns, word documents and PDF by the standard library, other formats by a pluggable function."""
 
 from __future__ import annotations
 
@@ -11,17 +11,24 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rollbook.functions import support
+from rollbook.functions.text import ruler
+from rollbook.sources.pdf import read_pdf
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _DC = "{http://purl.org/dc/elements/1.1/}"
+_DCT = "{http://purl.org/dc/terms/}"
+_CP = "{http://schemas.openxmlformats.org/package/2006/metadata/core-properties}"
 MAX_TABLES = 50
 SCHEMA = (
-    "path string, status string, text string, title string, creator string, headings array<string>, headers array<string>, footers array<string>,"
+    "path string, status string, text string, title string, creator string, subject string, created string, modified string, last_modified_by string, pages int, paragraphs int, table_count int,"
+    " headings array<string>, heading_levels array<string>, heading_positions array<int>, headers array<string>, footers array<string>,"
     " tables array<struct<headers:array<string>,rows:array<array<string>>>>, error string"
 )
-#: What reads the bytes of a document: gives the fields of SCHEMA but path, status and error. None here reads PDF or pictures.
+#: What reads the bytes of a document: gives the fields of SCHEMA but path, status and error, or some of them. None here reads pictures.
 Reader = Callable[[bytes], dict]
 
 
@@ -73,7 +80,7 @@ def _table(node: ElementTree.Element) -> dict | None:
 
 
 def read_docx(content: bytes) -> dict:
-    """Paragraphs that aren't blank, joined by empty lines; headings, tables, headers, footers, title and creator."""
+    """Paragraphs that aren't blank, joined by empty lines; headings with style and place among them, tables, headers, footers, core properties and counts."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = z.namelist()
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
@@ -82,29 +89,33 @@ def read_docx(content: bytes) -> dict:
     texts, headings, tables = [], [], []
     for node in body if body is not None else ():
         if node.tag == f"{_W}p" and (text := _text(node).strip()):
-            texts.append(text)
             style = node.find(f"{_W}pPr/{_W}pStyle")
-            if style is not None and (style.get(f"{_W}val") or "").startswith("Heading"):
-                headings.append(text)
+            if style is not None and (level := style.get(f"{_W}val") or "").startswith("Heading"):
+                headings.append((text, level, len(texts)))
+            texts.append(text)
         elif node.tag == f"{_W}tbl" and len(tables) < MAX_TABLES and (table := _table(node)):
             tables.append(table)
-    about = lambda tag: (core.findtext(f"{_DC}{tag}") or None) if core is not None else None
-    return {"text": "\n\n".join(texts), "title": about("title"), "creator": about("creator"), "headings": headings, "headers": parts["header"], "footers": parts["footer"], "tables": tables}
+    about = lambda tag: (core.findtext(tag) or None) if core is not None else None
+    counts = {"paragraphs": len(body.findall(f"{_W}p")) if body is not None else 0, "table_count": len(body.findall(f"{_W}tbl")) if body is not None else 0}
+    known = {"title": f"{_DC}title", "creator": f"{_DC}creator", "subject": f"{_DC}subject", "created": f"{_DCT}created", "modified": f"{_DCT}modified", "last_modified_by": f"{_CP}lastModifiedBy"}
+    found = {"headings": [h[0] for h in headings], "heading_levels": [h[1] for h in headings], "heading_positions": [h[2] for h in headings], "headers": parts["header"], "footers": parts["footer"], "tables": tables}
+    return {"text": "\n\n".join(texts)} | {k: about(tag) for k, tag in known.items()} | counts | found
 
 
 def extracted(files: DataFrame, readers: dict[str, Reader] | None = None) -> DataFrame:
     """SCHEMA for each of checked_files: status is `completed`, `failed` (with the error, never in the text) or `unsupported`.
 
-    readers: by type; word documents are read by read_docx unless given otherwise. Files come in batches that Spark bounds in bytes.
+    readers: by type; word documents are read by read_docx and PDF by read_pdf unless given otherwise. Files come in batches that Spark bounds in bytes.
     """
-    known = {"docx": read_docx} | (readers or {})
+    known = {"docx": read_docx, "pdf": read_pdf} | (readers or {})
     kinds = files.sparkSession.createDataFrame([], SCHEMA).schema
-    empty = {"text": "", "title": None, "creator": None, "headings": [], "headers": [], "footers": [], "tables": []}
+    arrow = to_arrow_schema(kinds)
+    empty = {f.name: [] if isinstance(f.dataType, T.ArrayType) else None for f in kinds if f.name not in ("path", "status", "error")} | {"text": ""}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                out = {"path": row["path"], "status": "failed", "error": row["message"], **empty}
+                out = {**empty, "path": row["path"], "status": "failed", "error": row["message"]}
                 reader = known.get(row["type"])
                 if row["message"] is None and reader is None:
                     out |= {"status": "unsupported", "error": f"no reader for {row['type']}"}
@@ -113,8 +124,7 @@ def extracted(files: DataFrame, readers: dict[str, Reader] | None = None) -> Dat
                         out |= {**empty, **reader(row["content"]), "status": "completed", "error": None}
                     except Exception as e:  # noqa: BLE001  a bad file is a row, not a failed job
                         out |= {"error": f"{type(e).__name__}: {e}"}
-                table = [(f, pa.list_(pa.string()) if f in ("headings", "headers", "footers") else pa.list_(pa.struct([("headers", pa.list_(pa.string())), ("rows", pa.list_(pa.list_(pa.string())))])) if f == "tables" else pa.string()) for f in kinds.names]
-                yield pa.RecordBatch.from_arrays([pa.array([out[f]], t) for f, t in table], names=kinds.names)
+                yield pa.RecordBatch.from_arrays([pa.array([out[f.name]], f.type) for f in arrow], names=kinds.names)
 
     return files.select("path", "type", "message", "content").mapInArrow(run, kinds)
 
@@ -126,6 +136,19 @@ def with_fallback(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.join(b, "path", "left").withColumn("status", F.when(better, "partial").otherwise(F.col("status"))).withColumn("text", F.when(better, F.col("text2")).otherwise(F.col("text"))).drop("text2")
 
 
+def page_confidence(words: DataFrame) -> DataFrame:
+    """For each document of recognised words (path, page, text, conf): pages, pages with words, and the mean of their mean confidences."""
+    kept = words.filter((F.trim("text") != "") & (F.col("conf") > 30)).groupBy("path", "page").agg(F.avg("conf").alias("mean"))
+    every = words.groupBy("path").agg(F.countDistinct("page").alias("pages"))
+    return every.join(kept.groupBy("path").agg(F.count("*").alias("pages_with_text"), F.avg("mean").alias("confidence")), "path", "left").select("path", "pages", F.coalesce("pages_with_text", F.lit(0)).alias("pages_with_text"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+
+
+def labelled_lines(extracts: DataFrame) -> DataFrame:
+    """path, pos, label and text of the rule set's entities in the lines of extracted documents (S20's last step, X12)."""
+    lines = extracts.filter(F.col("text") != "").select("path", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return lines.select("path", "pos", F.inline(ruler(F.col("line"))))
+
+
 def word_confidence(words: DataFrame) -> DataFrame:
     """For each page of recognised words (page, text, conf): kept words, mean, least, most, population deviation, low and high ones."""
     kept = words.filter((F.trim("text") != "") & (F.col("conf") > 30))

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -40,6 +46,24 @@ def test_runs(spark, data, name):
     assert QUERIES[name](spark, data).count() > 0
 
 
+@pytest.mark.parametrize("gone", ["folders", "folders and pipeline", "a dependency"])
+def test_imports_without_the_text_operators(tmp_path, gone):
+    """A copy of the repository without the folders of the text operators, or where one of their libraries is missing, still registers and runs the rest."""
+    root = Path(__file__).resolve().parents[1]
+    for name in ("rollbook", "__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).exists():
+            (shutil.copytree if (root / name).is_dir() else shutil.copy)(root / name, tmp_path / name)
+    if gone == "a dependency":
+        (tmp_path / "xxhash.py").write_text("raise ImportError('missing')")
+    else:
+        shutil.rmtree(tmp_path / "rollbook/llm", ignore_errors=True)
+    if gone == "folders and pipeline":
+        (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and 'c08_council_summary' in q and 'pipeline' not in q and not any(n.startswith('op') for n in q); print(len(q))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120, check=False)
+    assert out.returncode == 0 and int(out.stdout) == len(QUERIES), out.stderr
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import zipfile
+import zlib
 from datetime import datetime, timedelta
 
 import pytest
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from rollbook.functions import mapping, scoring, text
 from rollbook.operators import audit, quality, records
 from rollbook.sources import documents, fixtures, sinks
+from rollbook.sources.pdf import read_pdf
 from rollbook.streaming import inbox
 
 
@@ -100,7 +102,8 @@ def test_files(spark, tmp_path):
     by = {r.path[-6:-5] if r.path.endswith("docx") else r.path[-5:-4]: r for r in documents.extracted(files).collect()}
     assert by["a"].text == "Licence register\n\nTown Council" and by["a"].headings == ["Licence register"] and by["a"].headers == ["Top"] and by["a"].title == "T"
     assert [r.record for r in records.table_records(spark.createDataFrame([(1, by["a"].tables[0].headers, by["a"].tables[0].rows)], "doc int, headers array<string>, rows array<array<string>>")).orderBy("i").collect()] == [{"Name": "Alex", "Reference": ""}, {"Name": "Jo", "Reference": "2"}]
-    assert (by["b"].status, by["c"].status, by["d"].status, by["e"].error) == ("failed", "unsupported", "failed", "content does not match file type") and by["b"].text == ""
+    assert (by["a"].heading_levels, by["a"].heading_positions, by["a"].paragraphs, by["a"].table_count) == (["Heading1"], [0], 3, 1)
+    assert (by["b"].status, by["c"].status, by["d"].status, by["e"].error) == ("failed", "completed", "failed", "content does not match file type") and by["b"].text == ""
     second = spark.createDataFrame([(by["b"].path, "recovered")], "path string, text string")
     fixed = {r.path: r for r in documents.with_fallback(documents.extracted(files), second).collect()}
     assert fixed[by["b"].path].status == "partial" and fixed[by["b"].path].text == "recovered" and fixed[by["a"].path].status == "completed"
@@ -109,6 +112,44 @@ def test_files(spark, tmp_path):
     assert plugged.text == "10 bytes"
 
 
+def pdf(pages: list[bytes], compressed: bool = False, packed: bool = False) -> bytes:
+    """A small PDF with a content stream for each page; packed: pages and tree in an object stream."""
+    stream = lambda data, extra=b"": b"<< %s /Length %d >>\nstream\n%s\nendstream" % (extra + (b" /Filter /FlateDecode" if compressed else b""), len(data), zlib.compress(data) if compressed else data)
+    table = b"1 beginbfchar <0041> <00480069> endbfchar 1 beginbfrange <0061> <0063> <0078> endbfrange"
+    kids = b" ".join(b"%d 0 R" % (10 + i) for i in range(len(pages)))
+    plain = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Count %d /Kids [%s] /Resources << /Font << /F2 5 0 R >> >> >>" % (len(pages), kids), 5: b"<< /Type /Font /ToUnicode 6 0 R >>"}
+    plain |= {10 + i: b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (50 + i) for i in range(len(pages))}
+    rest = {6: stream(table), 7: b"<< /Title (A \\(small\\) file) /Producer (x) >>"} | {50 + i: stream(c) for i, c in enumerate(pages)}
+    if packed:
+        body, heads = b"", b""
+        for n, x in plain.items():
+            heads += b"%d %d " % (n, len(body))
+            body += x + b" "
+        rest[40] = stream(heads + body, b"/Type /ObjStm /N %d /First %d" % (len(plain), len(heads)))
+        plain = {}
+    return b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in (plain | rest).items()) + b"trailer << /Root 1 0 R >>"
+
+
+@pytest.mark.parametrize(("compressed", "packed"), [(False, False), (True, False), (True, True)])
+def test_pdf_text(compressed, packed):
+    first = b"BT /F1 12 Tf 1 0 0 1 72 700 Tm (Town \\(City\\) Council) Tj 1 0 0 1 72 680 Tm [(Refer) -20 (ence:) -300 (HMO12)] TJ T* <48692E> Tj ET"
+    second = b"BT /F2 9 Tf 0 -14 Td <00410061> Tj 0 0 Td <0062> Tj (x) ' ET"
+    out = read_pdf(pdf([first, second], compressed, packed))
+    assert out["text"].split("\n\n")[0] == "Town (City) Council\nReference: HMO12\nHi." and out["text"].split("\n\n")[1].startswith("Hix y")
+    assert out["pages"] == 2 and out["title"] == "A (small) file"
+    assert read_pdf(b"%PDF-1.4 nothing")["text"] == ""
+    for bad in (b"", b"text", b"%PDF-1.4 trailer << /Encrypt 9 0 R >>"):
+        with pytest.raises(ValueError):
+            read_pdf(bad)
+
+
+def test_pages_and_labels(spark):
+    w = spark.createDataFrame([("a", 1, "x", 90.0), ("a", 1, "y", 70.0), ("a", 2, "z", 40.0), ("a", 3, " ", 99.0), ("b", 1, "q", 10.0)], "path string, page int, text string, conf double")
+    assert [tuple(r) for r in documents.page_confidence(w).orderBy("path").collect()] == [("a", 3, 2, 60.0), ("b", 1, 0, 0.0)]
+    d = spark.createDataFrame([("a", "see HMO/1234\nfife council"), ("b", "")], "path string, text string")
+    assert [(r.pos, r.label) for r in documents.labelled_lines(d).orderBy("pos").collect()] == [(0, "LICENSE_REF"), (1, "COUNCIL")]
+
+
 def test_word_confidence(spark):
     w = spark.createDataFrame([(1, "a", 90.0), (1, "b", 50.0), (1, " ", 99.0), (1, "c", 30.0), (2, "d", 31.0)], "page int, text string, conf double")
     r = documents.word_confidence(w).orderBy("page").collect()
@@ -152,3 +193,69 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_documents_view(spark, data):
     d = fixtures.licence_documents(fixtures.licence_records(spark, data))
     assert d.filter(F.size(F.split("text", "\n")) == 30).count() == d.count() and d.select(text.estimated_records(F.col("text")).alias("n")).agg(F.min("n")).first()[0] >= 1
+
+
+JOB_EVENTS = [
+    ("a", "enqueue", 0), ("a", "finish", 1), ("a", "cancel", 2), ("b", "enqueue", 0), ("b", "fail", 1), ("b", "cancel", 2), ("c", "enqueue", 0), ("c", "cancel", 1), ("c", "cancel", 2), ("d", "cancel", 0),
+    ("e", "enqueue", 0), ("e", "cancel", 1), ("e", "enqueue", 2), ("f", "enqueue", 0), ("f", "start", 1), ("f", "cancel", 2), ("f", "enqueue", 3), ("f", "cancel", 4), ("g", "cancel", 0), ("g", "enqueue", 1),
+]
+JOB_STATES = {"a": "completed", "b": "failed", "c": "cancelled", "e": "pending", "f": "cancelled", "g": "pending"}
+
+
+def job_rows(spark):
+    rows = [(j, "S", a, 10 * m, datetime(2024, 1, 1, 0, m)) for j, a, m in JOB_EVENTS]
+    return spark.createDataFrame(rows, inbox.EVENT)
+
+
+def test_cancellation_counts_for_pending_jobs_only(spark):
+    assert {r.job_id: r.status for r in inbox.job_states(job_rows(spark)).collect()} == JOB_STATES
+    folded: dict[str, str | None] = {}
+    for job, action, _ in JOB_EVENTS:
+        folded[job] = inbox.next_state(folded.get(job), action)
+    assert {j: s for j, s in folded.items() if s} == JOB_STATES
+
+
+def test_live_states(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k, (job, action, minute) in enumerate(JOB_EVENTS):
+        (tmp_path / f"in/{k:02d}.json").write_text(json.dumps({"job_id": job, "session_id": "S", "action": action, "progress": 500, "ts": f"2024-01-01T00:{minute:02d}:00Z"}))
+    seen: dict[str, tuple] = {}
+
+    def take(batch, _):
+        seen.update({r.job_id: (r.status, r.progress) for r in batch.collect()})
+
+    live = inbox.live_states(inbox.events(spark, str(tmp_path / "in"), 1000))
+    live.writeStream.foreachBatch(take).outputMode("update").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination(120)
+    assert seen == {j: (s, 100) for j, s in JOB_STATES.items()}
+
+
+def test_presets_and_package(spark, data, tmp_path):
+    found = mapping.preset("detailed")
+    mapping.save_preset(str(tmp_path), "mine", found, "gzip")
+    assert mapping.load_preset(str(tmp_path), "mine") == (found, "gzip") and mapping.list_presets(str(tmp_path)) == ["mine"] and mapping.load_preset(str(tmp_path), "none") is None
+    assert mapping.delete_preset(str(tmp_path), "mine") and not mapping.delete_preset(str(tmp_path), "mine")
+    s = scoring.with_scores(fixtures.licence_records(spark, data)).filter("record_id < 60")
+    report = spark.createDataFrame([("totals", '{"total": 60}')], "part string, body string")
+    with zipfile.ZipFile(io.BytesIO(sinks.complete_package(s, str(tmp_path / "out"), report))) as z:
+        assert json.loads(z.read("quality_report.json")) == {"totals": [{"total": 60}]} and json.loads(z.read("metadata.json"))["total_records"] == 60
+    assert spark.read.option("header", True).csv(str(tmp_path / "out/extracted_data")).count() == 60
+    back = records.from_json(spark.createDataFrame([(1, '{"council": "C", "odd": 1, "max_occupancy": 3}'), (2, "{}")], "record_id long, body string")).orderBy("record_id").collect()
+    assert (back[0].council, back[0].max_occupancy, back[0].reference, back[0].confidence_scores, back[1].validation_errors) == ("C", 3, "", {}, [])
+
+
+def test_report_of_nothing(spark, data):
+    none = fixtures.licence_records(spark, data).filter("false")
+    lines = [r.line for r in quality.report_lines(none, mapping.preset("standard")).orderBy("pos").collect()]
+    assert lines[2] == "Total Records: 0" and "Validation Errors:" not in lines
+    assert audit.audit_report(audit.state(fixtures.review_log(spark, data).filter("false"))).first().completion_rate == 0.0
+
+
+def test_sliding_in_blocks(spark):
+    rows = [(k, f"r{k % 2 if k > 20 else 0}", datetime(2024, 1, 1) + timedelta(hours=5 * (k // 3)), float(k * k % 17)) for k in range(90)]
+    log = spark.createDataFrame(rows, "event_id long, reviewer string, ts timestamp, confidence double")
+    want = {}
+    for who in ("r0", "r1"):
+        own = sorted((r for r in rows if r[1] == who), key=lambda r: (r[2], r[0]))
+        want |= {r[0]: round(sum(x[3] for x in own[max(0, i - 6) : i + 1]) / min(7, i + 1), 9) for i, r in enumerate(own)}
+    for block in (7, 10, 1000):
+        assert {r.event_id: round(r.moving, 9) for r in audit.sliding(log, 7, block).collect()} == want
