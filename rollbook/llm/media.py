@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from rollbook.llm.common import map_batches, staged, utf8
 
 WIDTH = 64
+#: Digests that a task remembers.
+SEEN = 1 << 16
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _DIGEST = re.compile(r"media:sha256/([0-9a-f]{64})$")
 ITEM = "struct<position:int,kind:string,text:string,ref:string,digest:string,caption:string>"
@@ -187,11 +189,17 @@ def stored(docs: DataFrame) -> DataFrame:
 
 
 def described(media: DataFrame) -> DataFrame:
-    """For each digest what its stored bytes, read back, come to."""
+    """For each digest what its stored bytes, read back, come to. A task describes a copy it has seen just before no second time."""
+    seen: set[str] = set()  # of a task, since each task gets its own copy
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for digest, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if digest in seen:
+                continue
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(digest)
             samples = from_png(data)
             payload = samples.tobytes()
             out.append((digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), feature_of(samples)))

@@ -9,6 +9,10 @@ two linked fingerprints agree in a segment but for one position. Each distinct f
 variants, each with one position as a wildcard; an equality join on the variants gives candidates, which the full distance
 verifies. A pair is taken only at the first variant that it shares, so each link comes once.
 
+Hot variants: where more than HOT fingerprints share a variant, of which few may be near, the variant is lengthened by those of
+the other segment, cut in two: of 3 differing bits at most one falls into one of its halves. So a hot variant emits no pairs that
+agree in that segment alone.
+
 Scale: equal fingerprints are one node, so copies cost nothing but the final lookup; a node has 64 index rows of two longs;
 joins are sort-merge joins, whose hot keys adaptive execution splits. Links of one fingerprint are bounded by the 43,744
 fingerprints within 3 bits. Components come by rounds of large-star and small-star on the links alone, each staged.
@@ -32,6 +36,7 @@ from pyspark.sql import functions as F
 from rollbook.llm.common import map_batches, plain, staged, utf8
 
 SHINGLE, SEED, DISTANCE, SEGMENTS = 3, 42, 3, 2
+HOT = 2000
 _BLOCK = 1 << 15
 
 
@@ -75,10 +80,18 @@ def variants(nodes: DataFrame) -> DataFrame:
     return nodes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("v")).select("fp", key.alias("key"))
 
 
+def lengthened(index: DataFrame) -> DataFrame:
+    """The rows of variants with `more`: each one-wildcard variant of the two halves of the segment that isn't in the key."""
+    other = F.when(F.shiftright("key", 32) < 32, F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned("fp", 32))
+    spread = index.select("fp", "key", other.alias("other"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("w"))
+    half = F.when(F.col("w") < 16, F.shiftrightunsigned("other", 16)).otherwise(F.col("other").bitwiseAND(F.lit(0xFFFF)))
+    more = F.expr("shiftleft(cast(w as long), 16)").bitwiseOR(half.bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, w % 16)"))))
+    return spread.select("fp", "key", more.alias("more"))
+
+
 def links(nodes: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of distinct fps at DISTANCE or fewer bits, each once."""
     index = variants(nodes)
-    a, b = index.select(F.col("fp").alias("a"), "key"), index.select(F.col("fp").alias("b"), "key")
     first = F.expr(
         "case when bit_count(shiftrightunsigned(a ^ b, 32)) = 0 then 0"
         " when bit_count(shiftrightunsigned(a ^ b, 32)) = 1 then bit_count(shiftrightunsigned(a ^ b, 32) - 1)"
@@ -86,7 +99,14 @@ def links(nodes: DataFrame) -> DataFrame:
         " else 32 + bit_count(((a ^ b) & 4294967295L) - 1) end"
     )
     near = (F.col("a") < F.col("b")) & (F.expr("bit_count(a ^ b)") <= DISTANCE) & (F.shiftright("key", 32) == first)
-    return a.join(b, "key").filter(near).select("a", "b")
+
+    def joined(rows: DataFrame, on: list[str]) -> DataFrame:
+        return rows.withColumnRenamed("fp", "a").join(rows.withColumnRenamed("fp", "b"), on).filter(near).select("a", "b")
+
+    hot = staged(index.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key"), "hot-variants")
+    if hot.isEmpty():
+        return joined(index, ["key"])
+    return joined(index.join(hot, "key", "left_anti"), ["key"]).union(joined(lengthened(index.join(hot, "key", "left_semi")), ["key", "more"]).distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:

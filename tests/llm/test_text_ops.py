@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 import tiktoken
 import xxhash
 
@@ -124,9 +125,12 @@ def test_fingerprints_and_components(spark, docs, rows, none):
     assert len(kept) == len(groups) and simhash.keep_one(none).count() == 0 and kept[0].asDict().keys() == docs.first().asDict().keys()
 
 
-def test_links_at_every_distance(spark):
+@pytest.mark.parametrize("hot", [2000, 3])
+def test_links_at_every_distance(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)
     r = random.Random(8)
     base = [r.getrandbits(64) for _ in range(40)]
+    base += [base[0] >> 32 << 32 | r.getrandbits(32) for _ in range(30)] + [base[1] & 0xFFFFFFFF | r.getrandbits(32) << 32 for _ in range(30)]  # halves that many share
     near = [b ^ sum(1 << k for k in r.sample(range(64), d)) for b in base for d in (1, 2, 3, 4, 5)]
     every = sorted({x - (1 << 64) if x >> 63 else x for x in base + near})
     got = Counter(map(tuple, simhash.links(spark.createDataFrame([(x,) for x in every], "fp long")).collect()))
