@@ -27,6 +27,7 @@ rows count as often as they occur; without training rows all symbols are equally
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import id_crc, map_batches, once, staged, utf8
+from rollbook.llm.common import bound_batches, give_back, id_crc, map_batches, once, staged, utf8
 
 ORDER = 5
 NODES, HEAD = 1 << 20, 1 << 17
@@ -44,6 +45,9 @@ PAD, END = 0xFE, 0xFF  # bytes that no UTF-8 text has
 SYMBOLS = 255  # all byte values but PAD
 END_TOKEN = b"\xff"
 _PART = 1 << 20
+#: Counts that a task holds before it hands them on; frequent symbols whose scores a worker remembers.
+HELD, REMEMBERED = 1 << 19, 1 << 19
+_STEP = 1 << 17
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
@@ -64,31 +68,61 @@ def _sequence(texts: list[list[bytes]]) -> np.ndarray:
     return np.frombuffer(b"".join(x for t in texts for x in (bytes([PAD]) * ORDER, b" ".join(t), END_TOKEN)), np.uint8)
 
 
+def _together(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal keys made one, their counts added."""
+    key, own = np.unique(key, return_inverse=True)
+    return key, np.bincount(own, n, len(key)).astype(np.int64)
+
+
 def count_grams(docs: DataFrame) -> DataFrame:
     """gram and n: how often each symbol follows each context of ORDER bytes, over all rows of docs (text as bytes)."""
 
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        symbols = _sequence([tokens_of(t) for t in batch.column(0).to_pylist()])
-        found = []
-        for at in range(0, len(symbols) - ORDER, 4 * _PART):
-            part = symbols[at : at + 4 * _PART + ORDER]
-            found.append(np.unique(_grams(part)[part[ORDER:] != PAD], return_counts=True))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in found]).view(np.int64)) for i in range(2)], names=["gram", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["gram", "n"])
+
+        for batch in batches:
+            symbols = _sequence([tokens_of(t) for t in batch.column(0).to_pylist()])
+            for at in range(0, len(symbols) - ORDER, 4 * _PART):
+                part = symbols[at : at + 4 * _PART + ORDER]
+                more = np.unique(_grams(part)[part[ORDER:] != PAD], return_counts=True)
+                key, n = _together(np.concatenate([key, more[0]]), np.concatenate([n, more[1]]))
+                if len(key) > HELD:
+                    yield made()
+                    key, n = key[:0], n[:0]
+        if len(key):
+            yield made()
+        give_back()
 
-    return map_batches(docs.select("text"), each, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    bound_batches(docs.sparkSession)
+    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
     """token and n over all rows of docs (text as bytes), the end token included."""
 
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
-        for text in batch.column(0).to_pylist():
-            seen.update(tokens_of(text))
-        seen[END_TOKEN] += batch.num_rows
-        return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["token", "n"])
 
-    return map_batches(docs.select("text"), each, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["token", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen.update(tokens_of(text))
+            seen[END_TOKEN] += batch.num_rows
+            if len(seen) > HELD // 2:
+                yield made()
+                seen.clear()
+        if seen:
+            yield made()
+        seen.clear()
+        give_back()
+
+    bound_batches(docs.sparkSession)
+    return docs.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def _least_power(sizes: list[tuple[int, int]], most: int) -> int:
@@ -190,6 +224,21 @@ class Scorer:
 
     def __init__(self, trie: Trie) -> None:
         self.trie, self.cells, self.contexts = trie, Lookup(trie.cell), Lookup(trie.context)
+        self.gram, self.log = np.full(REMEMBERED, -1, np.int64).view(np.uint64), np.zeros(REMEMBERED)
+
+    def remembered(self, grams: np.ndarray) -> np.ndarray:
+        """As logs, by way of a small table of the grams that came last, one for each hash: frequent ones are mostly there."""
+        out = np.empty(len(grams))
+        for k in range(0, len(grams), _STEP):
+            part = grams[k : k + _STEP]
+            slot = ((part ^ part >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32) & np.uint64(REMEMBERED - 1)).astype(np.int64)
+            logs = self.log[slot]
+            at = np.flatnonzero(self.gram[slot] != part)
+            new = part[at]
+            logs[at] = found = self.logs(new)
+            self.gram[slot[at]], self.log[slot[at]] = new, found
+            out[k : k + _STEP] = logs
+        return out
 
     def logs(self, grams: np.ndarray) -> np.ndarray:
         """NaN where the longest context isn't in a trie that lacks some."""
@@ -226,18 +275,19 @@ class Scorer:
         """log10 of the probability of each token sequence but for some grams; the places of their texts, rising; these grams."""
         symbols = _sequence(texts)
         ends = np.flatnonzero(symbols == END)
+        first = np.concatenate([[0], ends[:-1] + 1 - ORDER])  # where each text's grams begin, its padding included
         total = np.zeros(len(texts))
         where, which = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
         for at in range(0, len(symbols) - ORDER, _PART):
             part = symbols[at : at + _PART + ORDER]
-            place = np.flatnonzero(part[ORDER:] != PAD)
-            of = np.searchsorted(ends, place + at + ORDER)
-            grams = _grams(part)[place]
-            logs = self.logs(grams)
-            rare = np.isnan(logs)
-            where.append(of[rare])
+            grams = _grams(part)
+            logs = np.where(part[ORDER:] == PAD, 0.0, self.remembered(grams))
+            rare = np.flatnonzero(np.isnan(logs))
+            logs[rare] = 0.0
+            where.append(np.searchsorted(first, rare + at, "right") - 1)
             which.append(grams[rare])
-            total += np.bincount(of, np.where(rare, 0.0, logs), minlength=len(texts))
+            low, high = np.searchsorted(first, at, "right") - 1, np.searchsorted(first, at + len(grams))
+            total[low:high] += np.add.reduceat(logs, np.maximum(first[low:high] - at, 0))
         return total, np.concatenate(where), np.concatenate(which)
 
 
@@ -325,25 +375,25 @@ def scores(docs: DataFrame, training: Column | None = None) -> DataFrame:
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         scorer, head = once(shared, _ready)
         texts = [tokens_of(t) for t in batch.column(1).to_pylist()]
-        sums, seen, rare = [], [], []
-        for text in texts:
-            tf = Counter(text)
-            tf[END_TOKEN] += 1
-            c = np.fromiter(map(head.get, tf, repeat(0)), np.int64, len(tf))
-            f = np.fromiter(tf.values(), np.int64, len(tf))
-            sums.append(float((f * np.log10((c + 0.5) / base))[c > 0].sum()))
-            seen.append(int(f[c > 0].sum()))
-            rare.append([{"token": t, "tf": n} for (t, n), x in zip(tf.items(), c.tolist(), strict=True) if not x])
+        flat = [x for t in texts for x in (*t, END_TOKEN)]
+        sizes = np.array([len(t) + 1 for t in texts])
+        first = np.cumsum(sizes) - sizes
+        c = np.fromiter(map(head.get, flat, repeat(0)), np.int64, len(flat))
+        sums = np.add.reduceat(np.where(c > 0, np.log10((c + 0.5) / base), 0.0), first)
+        seen = np.add.reduceat((c > 0).astype(np.int64), first)
+        unknown = np.flatnonzero(c == 0)
+        edges = pa.array(np.searchsorted(unknown, [*first, len(flat)]).astype(np.int32))
+        rare = pa.ListArray.from_arrays(edges, pa.array([flat[i] for i in unknown.tolist()], pa.binary()))
         score, where, which = scorer.score(texts)
         unscored = pa.ListArray.from_arrays(pa.array(np.searchsorted(where, np.arange(len(texts) + 1)).astype(np.int32)), pa.array(which.view(np.int64)))
-        made = [pa.array([len(t) + 1 for t in texts], pa.int64()), pa.array(seen, pa.int64()), pa.array(sums), pa.array(score), pa.array(rare, pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int64())]))), unscored]
+        made = [pa.array(sizes), pa.array(seen), pa.array(sums), pa.array(score), rare, unscored]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *made], names=["doc_id", "training", "n_tokens", "seen", "sums", "score", "rare", "unscored"])
 
-    schema = "doc_id long, training boolean, n_tokens long, seen long, sums double, score double, rare array<struct<token:binary,tf:long>>, unscored array<long>"
+    schema = "doc_id long, training boolean, n_tokens long, seen long, sums double, score double, rare array<binary>, unscored array<long>"
     scored = staged(map_batches(rows, each, schema).withColumn("row", F.monotonically_increasing_id()), "scores")
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.token", "r.tf").join(counts, "token", "left")
+    rare = scored.select("row", F.explode("rare").alias("token")).join(counts, "token", "left")
     c = F.coalesce("n", F.lit(0))
-    rare = rare.groupBy("row").agg(F.sum(F.col("tf") * F.log10((c + 0.5) / base)).alias("rare_sums"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("rare_seen"))
+    rare = rare.groupBy("row").agg(F.sum(F.log10((c + 0.5) / base)).alias("rare_sums"), F.count_if(c > 0).alias("rare_seen"))
     out = scored.drop("rare", "unscored").join(rare, "row", "left").withColumn("rest", F.lit(0.0))
     if trie.least > 1:
         asked = scored.filter("not (training <=> true)").select(F.explode("unscored").alias("gram"))
