@@ -3,7 +3,7 @@
 A text is split by the tokenizer's pattern. First tier: a minimal perfect hash over the vocabulary (hash and displace: n slots
 for n entries, no empty slot) resolves every pre-token that is an entry as a whole. Second tier: other pre-tokens merge over
 linked bytes, a heap giving the pair of lowest rank, leftmost first. Results of both tiers are remembered per worker for a
-bounded number of pre-tokens.
+bounded number of pre-tokens of bounded length.
 
 Scale: a map over the documents, no shuffle. The broadcast is the vocabulary with its hash, whose size the file fixes.
 
@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from rollbook.llm.common import map_batches, once
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-REMEMBERED = 1 << 17
+#: Pre-tokens that a worker remembers, twice over, and their greatest length.
+REMEMBERED, LONGEST = 1 << 18, 48
 
 
 class PerfectHash:
@@ -136,10 +137,11 @@ class Codec(dict):
             at = self.whole.find(raw)
             ids = [self.number[at]] if at >= 0 else self.merge(raw)
             found = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) >= REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        self[piece] = found
+        if len(piece) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = found
         return found
 
     def merge(self, raw: bytes) -> list[int]:
