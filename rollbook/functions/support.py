@@ -28,7 +28,8 @@ def suffix(path: Column) -> Column:
 
 
 def document_type(path: Column) -> Column:
-    return when_first((suffix(path) == ".pdf", "pdf"), (suffix(path) == ".docx", "docx"), other="unknown")
+    """By the extension, or the kind of file that it stands for."""
+    return when_first((suffix(path) == ".pdf", "pdf"), (suffix(path).isin(".docx", ".docm"), "docx"), other="unknown")
 
 
 def _starts(content: Column, mark: str) -> Column:
@@ -41,7 +42,7 @@ def signature_fits(path: Column, content: Column) -> Column:
 
 
 def file_message(path: Column, length: Column, content: Column | None = None) -> Column:
-    """Why a file can't be taken; null if it can. The first reason counts."""
+    """Why a file can't be taken; null if it can. The first reason counts. With content its first bytes must fit; without, as where a file's kind is guessed by its name alone, they needn't."""
     tests = [(length > MAX_BYTES, "file too large"), (length == 0, "file is empty"), (~suffix(path).isin(".pdf", ".docx", ".doc"), "unsupported file type")]
     if content is not None:
         tests.append((~signature_fits(path, content), "content does not match file type"))

@@ -238,3 +238,22 @@ def preview(scored: DataFrame, least: float, columns: list[str], k: int = 50) ->
 def hit_rate(log: DataFrame, hit: Column) -> DataFrame:
     """Requests, hits and their rate, 0 without requests."""
     return log.agg(F.count("*").alias("requests"), F.count_if(hit).alias("hits"), F.coalesce(F.try_divide(F.count_if(hit), F.count("*")), F.lit(0.0)).alias("rate"))
+
+
+def efficiency(states: DataFrame, log: DataFrame) -> DataFrame:
+    """One row, from the log and nothing made up (H13): reviewed records an hour of review, corrections a record, the share of approved records without corrections, and the mean rise of confidence from a record's first to its last event."""
+    hours = (_micros("completed") - _micros("started")) / 3_600_000_000
+    done = F.col("status").isin("approved", "rejected") & (hours > 0)
+    at = F.struct("ts", "event_id")
+    rise = log.groupBy("record_id").agg((F.max_by("confidence", at) - F.min_by("confidence", at)).alias("rise"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return states.join(rise, "record_id", "left").agg(
+        zero(F.try_divide(F.count_if(done), F.sum(F.when(done, hours)))).alias("records_per_hour"), zero(F.try_divide(F.sum("corrections"), F.count("*"))).alias("corrections_per_record"),
+        zero(F.try_divide(F.count_if((F.col("status") == "approved") & (F.col("corrections") == 0)), F.count_if(F.col("status") == "approved"))).alias("first_pass_rate"), zero(F.avg("rise")).alias("confidence_rise"),
+    )
+
+
+def system_status(services: DataFrame) -> DataFrame:
+    """One row of services (name, status): the whole's health, how many there are and how many are healthy (H3)."""
+    n, good = F.count("*"), F.count_if(F.col("status") == "healthy")
+    return services.agg(F.when(good == n, "healthy").when(good > 0, "degraded").otherwise("critical").alias("overall_health"), n.alias("total_services"), good.alias("healthy_services"))

@@ -26,7 +26,7 @@ def unpivoted(scored: DataFrame, *keys: str) -> DataFrame:
 
 
 def field_quality(average: Column, rate: Column, errors: Column, field: Column) -> Column:
-    """A field's level: stricter for critical and important fields, lower where there are errors (A2)."""
+    """A field's level: stricter for critical and important fields, lower where there are errors (A2). The bounds are fixed values."""
 
     def levels(bounds: tuple) -> Column:
         (ce, cg, ca), (pe, pg, pa) = bounds
@@ -191,7 +191,7 @@ def edit_summary(edits: DataFrame) -> DataFrame:
 
 
 def recommendations(checked: DataFrame) -> DataFrame:
-    """Advice from the field metrics and the most frequent error (A10)."""
+    """Advice from the field metrics and the most frequent error (A10). The texts and bounds are fixed values."""
     m = field_metrics(checked)
     rate = F.col("populated") / F.col("total")
     poor = F.col("level").isin("poor", "critical")
@@ -251,7 +251,7 @@ def report_summary(checked: DataFrame, k: int = 5) -> DataFrame:
 def report_lines(records: DataFrame, mappings: list[Mapping], first: int = 20) -> DataFrame:
     """pos and line of the text report on an export (A15): totals, the first errors by record_id and how many more there are, percents by field.
 
-    Without records all percents are 0. The lines are a few more than `first` and the fields, whatever the records.
+    Without records all percents are 0. The fixed texts are the report's format. The lines are a few more than `first` and the fields, whatever the records.
     """
     row = lambda pos, line: F.struct(pos.cast("int").alias("pos"), line.alias("line"))
     total = export_summary(records, mappings)

@@ -526,6 +526,12 @@ union all select 'message', cast(to_json({{'kind': kind, 'message': message, 'n'
     "a11_report_summary": f"""{CHECKED}, v as (select count(*) as total, count(*) filter (v_valid) as valid, avg(v_score) as c from ck), e as (select message, count(*) as n from (select unnest(v_errors) as message from ck) group by message order by n desc, message limit 5)
 select 0 as pos, 'Records: ' || total as line from v union all select 1, 'Valid: ' || valid || printf(' (%.1f%%)', 100.0 * valid / total) from v union all select 2, printf('Confidence: %.2f', c) from v
 union all select cast(row_number() over (order by n desc, message) as int) + 2, message || ': ' || n from e""",
+    "h03_system_status": """with s as (select event_type <> 'error' and count(*) filter (value < 10) * 3 < count(*) as good from events group by event_type)
+select case when count(*) filter (good) = count(*) then 'healthy' when count(*) filter (good) > 0 then 'degraded' else 'critical' end as overall_health, count(*) as total_services, count(*) filter (good) as healthy_services from s""",
+    "h13_efficiency": f"""{STATE}, c as (select record_id, arg_max(confidence, (ts, event_id)) - arg_min(confidence, (ts, event_id)) as rise from log group by record_id),
+h as (select st.*, rise, (epoch_us(completed) - epoch_us(started)) / 3600000000 as hours from st left join c using (record_id))
+select round(coalesce(count(*) filter (status in ('approved', 'rejected') and hours > 0) / sum(hours) filter (status in ('approved', 'rejected') and hours > 0), 0), 6) as records_per_hour, round(sum(corrections) / count(*), 6) as corrections_per_record,
+round(coalesce(count(*) filter (status = 'approved' and corrections = 0) / count(*) filter (status = 'approved'), 0), 6) as first_pass_rate, round(avg(rise), 6) as confidence_rise from h""",
     "o02_sessions_by_status": f"with {SESSIONS} select session_id, status from ss where status = 'completed'",
     "o04_by_reason": f"{STATE} select record_id, status, reason, round(confidence, 6) as confidence from st where reason = 'reason 3' and confidence >= 0",
     "o08_newest": "select event_id, ts from events order by ts desc, event_id limit 25",

@@ -541,6 +541,18 @@ def h01_error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(support.error_class(message).alias("class")).agg(F.count("*").alias("n"))
 
 
+@query
+def h03_system_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types as services: healthy if less than a third of their events have a value below 10."""
+    e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name")).agg((F.count_if(F.col("value") < 10) * 3 < F.count("*")).alias("good"))
+    return audit.system_status(e.select("name", F.when((F.col("name") != "error") & F.col("good"), "healthy").otherwise("unavailable").alias("status")))
+
+
+@query
+def h13_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(audit.efficiency(states(spark, sf_dir), fixtures.review_log(spark, sf_dir)))
+
+
 @query
 def h05_large_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = support.large_file_plan(F.col("o_totalprice") / 1000)

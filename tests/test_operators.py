@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rollbook.functions import mapping, scoring, text
-from rollbook.operators import audit, quality, records
+from rollbook.operators import audit, batches, quality, records
 from rollbook.sources import documents, fixtures, sinks
 from rollbook.sources.pdf import read_pdf
 from rollbook.streaming import inbox
@@ -250,6 +250,16 @@ def test_report_of_nothing(spark, data):
     assert audit.audit_report(audit.state(fixtures.review_log(spark, data).filter("false"))).first().completion_rate == 0.0
 
 
+def test_batches(spark):
+    def root(batch):
+        if (batch["x"] < 0).any():
+            raise ValueError("negative")
+        return batch["x"] ** 0.5
+
+    out = {r.x: (r.result, r.failed) for r in batches.in_batches(spark.createDataFrame([(4.0,), (9.0,), (-1.0,)], "x double").coalesce(1), root, "double", 1).collect()}
+    assert out == {4.0: (2.0, None), 9.0: (3.0, None), -1.0: (None, "ValueError: negative")}
+
+
 def test_sliding_in_blocks(spark):
     rows = [(k, f"r{k % 2 if k > 20 else 0}", datetime(2024, 1, 1) + timedelta(hours=5 * (k // 3)), float(k * k % 17)) for k in range(90)]
     log = spark.createDataFrame(rows, "event_id long, reviewer string, ts timestamp, confidence double")
