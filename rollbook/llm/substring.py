@@ -41,7 +41,7 @@ from rollbook.llm.common import WORD_HASH, bound_batches, give_back, map_batches
 
 WINDOW, ANCHOR = 50, 12
 #: Words of a prefix group that one subtree takes; words of the groups that are ranked together; windows of a segment.
-GROUP, CHUNK_WORDS, SEGMENT = 400_000, 100_000, 512
+GROUP, CHUNK_WORDS, SEGMENT = 100_000, 100_000, 512
 #: Depth to which trees are built: the power of two from WINDOW on.
 DEEP = 64
 
