@@ -228,9 +228,13 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     groups = leaves.groupBy("anchor").agg(F.sum("n").alias("words"), F.min("low").alias("a"), F.max("high").alias("b")).filter("a < b")
     large = staged(groups.filter(F.col("words") > GROUP).select("anchor"), "large-groups")
     found = _subtrees(leaves.join(large, "anchor", "left_anti")).union(_lengthened(leaves.join(large, "anchor", "left_semi")))
-    cuts = pieces.select("anchor", "leaf", "doc_id", "text_key", "start").join(staged(found, "found"), ["anchor", "leaf"]).filter("doc_id > least")
-    cut = F.struct((F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("past") + (WINDOW - 1)).alias("end"))
-    return cuts.groupBy("doc_id", "text_key").agg(F.collect_list(cut).alias("cuts"))
+    # a row for each leaf, which has SEGMENT windows at most, so that the join gives no more rows than there are segments
+    found = staged(found.groupBy("anchor", "leaf").agg(F.collect_list(F.struct("first", "past", "least")).alias("windows")), "found")
+    cuts = pieces.select("anchor", "leaf", "doc_id", "text_key", "start").join(found, ["anchor", "leaf"])
+    hit = F.filter("windows", lambda w: w["least"] < F.col("doc_id"))
+    cut = F.transform(hit, lambda w: F.struct((F.col("start") + w["first"]).alias("start"), (F.col("start") + w["past"] + (WINDOW - 1)).alias("end")))
+    cuts = cuts.select("doc_id", "text_key", cut.alias("cuts")).filter("size(cuts) > 0")
+    return cuts.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
 
 
 def _kept(words: list[bytes], cuts: list[dict]) -> list[bytes]:
