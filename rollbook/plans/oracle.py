@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from rollbook.functions import confidence as K
 from rollbook.functions import mapping as M
-from rollbook.functions import scoring as C
 from rollbook.functions import support as H
 from rollbook.functions import text as X
 from rollbook.functions import validation as V
-from rollbook.schema import COUNT_FIELDS, CRITICAL, FIELDS, IMPORTANT, TEXT_FIELDS, VALIDATOR_WEIGHTS, WEIGHTS, field_class
+from rollbook.schema import COUNT_FIELDS, CRITICAL, FIELDS, IMPORTANT, TEXT_FIELDS, field_class
 from rollbook.sources.fixtures import LINES_SQL, LOG_SQL, RECORDS_SQL
 
+# Fixed values, written out here again: what the scores' fields weigh, and a postcode.
+WEIGHTS = {
+    "council": 3.0, "reference": 3.0, "hmo_address": 3.0, "licence_start": 2.0, "licence_expiry": 2.0, "max_occupancy": 2.0, "hmo_manager_name": 1.0, "hmo_manager_address": 1.0, "licence_holder_name": 1.0,
+    "licence_holder_address": 1.0, "number_of_households": 1.0, "number_of_shared_kitchens": 1.0, "number_of_shared_bathrooms": 1.0, "number_of_shared_toilets": 1.0, "number_of_storeys": 1.0,
+}
+VALIDATOR_WEIGHTS = WEIGHTS | {"hmo_manager_name": 1.5, "hmo_manager_address": 1.5, "licence_holder_name": 1.5, "licence_holder_address": 1.5}
+_POSTCODE = r"[A-Z]{1,2}\d{1,2}[A-Z]?\s?\d[A-Z]{2}"
 NUMBERS = ("max_occupancy", *COUNT_FIELDS, "number_of_storeys")
 REC = f"with rec as ({RECORDS_SQL})"
 
@@ -42,11 +48,11 @@ def listed(xs: list[str]) -> str:
 def score(f: str) -> str:
     s, low = strip(f), f"lower({strip(f)})"
     if f == "council":
-        return case((blank(f), 0.0), (f"length({s}) < 3", 0.3), (has(low, "|".join(C.COUNCIL_WORDS)), 0.9), other=0.7)
+        return case((blank(f), 0.0), (f"length({s}) < 3", 0.3), (has(low, "council|borough|city|district|county"), 0.9), other=0.7)
     if f == "reference":
         return case((blank(f), 0.0), (has(f"upper({s})", r"^[A-Z]{2,5}\d+$"), 0.95), (has(s, r"^\d{2,4}[/-]\w+[/-]?\d*$"), 0.9), (has(s, r"^\d{3,}$"), 0.8), (has(f"upper({s})", r"^[A-Z0-9/-]{3,}$"), 0.6), other=0.4)
     if "address" in f:
-        parts = f"0.5::double + {case((has(f'upper({s})', C.POSTCODE), '0.3::double'), other='0')} + {case((has(low, '|'.join(C.STREET_WORDS)), '0.15::double'), other='0')} + {case((has(s, r'^\d'), '0.05::double'), other='0')}"
+        parts = f"0.5::double + {case((has(f'upper({s})', _POSTCODE), '0.3::double'), other='0')} + {case((has(low, 'street|road|avenue|lane|drive|close|way|place'), '0.15::double'), other='0')} + {case((has(s, r'^\d'), '0.05::double'), other='0')}"
         return case((blank(f), 0.0), (f"length({s}) < 10", 0.3), other=f"least({parts}, 1.0)")
     if f.startswith("licence_") and "name" not in f:
         shapes = r"^\d{2}/\d{2}/\d{4}$|^\d{2}-\d{2}-\d{4}$|^\d{1,2}/\d{1,2}/\d{4}$"
