@@ -135,7 +135,8 @@ def download_problem(known: Column, now: Column, expires: Column, downloads: Col
 
 
 def clamp_progress(p: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(F.lit(100), p))
+    """Within 0 and 100; null, which is no progress given, stays null."""
+    return F.when(p.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), p)))
 
 
 def stage_progress(stage: Column) -> Column:

@@ -66,7 +66,7 @@ def basic_data(text: Column) -> dict[str, Column]:
 def capitalize_words(c: Column) -> Column:
     """Each word's first letter upper case, the rest lower, words by single spaces."""
     words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 20)))), " ")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))), " ")
 
 
 def normalize_address(c: Column) -> Column:
@@ -150,7 +150,7 @@ def is_likely_name(c: Column) -> Column:
 
 def normalize_name(c: Column) -> Column:
     """Words capitalized, and so the parts around an apostrophe."""
-    cap = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 20)))
+    cap = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))
     words = F.filter(F.split(strip(c), r"\s+"), lambda w: w != "")
     return F.array_join(F.transform(words, lambda w: F.array_join(F.transform(F.split(w, "'"), cap), "'")), " ")
 

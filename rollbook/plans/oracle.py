@@ -462,10 +462,10 @@ case when n > {H.MAX_BYTES} then 'error: over 100 MB' when n > {H.WARN_BYTES} th
     "st07_review_state": f"{STATE} select record_id, session_id, status, reviewer, corrections, round(confidence, 6) as confidence, events from st",
     # event by event: a recursive fold that cancels only what is pending at that moment
     "st02_job_states": """with recursive e as (select 'J' || (event_id % 1999) as job_id, case event_type when 'signup' then 'enqueue' when 'view' then 'start' when 'purchase' then 'finish' when 'error' then 'fail' else 'cancel' end as action,
-  greatest(0, least(100, cast(user_id % 200 - 40 as int))) as progress, ts from events),
-n as (select *, row_number() over (partition by job_id order by ts, list_position(['enqueue', 'start', 'finish', 'fail', 'cancel'], action), progress) as k, count(*) over (partition by job_id) as last from e),
-fold as (select job_id, cast(0 as bigint) as k, cast(null as varchar) as status, cast(null as int) as progress from n where k = 1
-  union all select n.job_id, n.k, case action when 'enqueue' then 'pending' when 'start' then 'processing' when 'finish' then 'completed' when 'fail' then 'failed' else case when status = 'pending' then 'cancelled' else status end end, n.progress
+  case when event_id % 3 > 0 then cast(user_id % 200 - 40 as int) end as progress, ts from events),
+n as (select *, row_number() over (partition by job_id order by ts, list_position(['enqueue', 'start', 'finish', 'fail', 'cancel'], action), progress nulls first) as k, count(*) over (partition by job_id) as last from e),
+fold as (select job_id, cast(0 as bigint) as k, cast(null as varchar) as status, 0 as progress from n where k = 1
+  union all select n.job_id, n.k, case action when 'enqueue' then 'pending' when 'start' then 'processing' when 'finish' then 'completed' when 'fail' then 'failed' else case when status = 'pending' then 'cancelled' else status end end, case when n.progress is null then fold.progress when n.progress < 0 then 0 when n.progress > 100 then 100 else n.progress end
   from fold join n on n.job_id = fold.job_id and n.k = fold.k + 1)
 select fold.job_id, status, fold.progress from fold join n on n.job_id = fold.job_id and n.k = fold.k where fold.k = n.last and status is not null""",
     "st01_hourly": "select date_trunc('hour', ts) as hour, case event_type when 'signup' then 'enqueue' when 'view' then 'start' when 'purchase' then 'finish' when 'error' then 'fail' else 'cancel' end as action, count(*) as n from events group by 1, 2",
@@ -518,9 +518,9 @@ select doc, cast(i as int) as i, coalesce(cs[i + 1], '') as council, coalesce(rs
     "e07_presets": f"{SCORED} " + " union all ".join(f"select {q(n)} as preset, record_id, concat_ws('|', {', '.join(f'cast({f} as varchar)' for f in fields)}) as shown, case when overall >= {hi} then 'high' when overall >= {mid} then 'medium' else 'low' end as level, overall < {flag} or {' or '.join(blank(f) for f in need)} as needs_review from sc" for n, fields, (hi, mid, flag), need in _UI),
     "h07_stored_names": """with n as (select page_id, regexp_replace(replace(url, '/', '?') || repeat('x', cast(page_id % 3 * 150 as int)) || '.pdf', '[<>:"|?*\\\\]', '_', 'g') as x from pages) select page_id, case when length(x) > 255 then left(x, 251) || '.pdf' else x end as stored from n""",
     "h08_safe_paths": "select page_id, ([true, false, false, true, false, false, true])[page_id % 7 + 1] as safe from pages",
-    "st09_downloads": """with e as (select *, user_id % 500 as token from events), k as (select token, min(ts) as created from e where event_type = 'signup' group by token), u as (select token, count(*) as n from e where event_type = 'click' group by token)
-select event_id, case when created is null then 'Invalid download token' when ts > created + interval 7 days then 'Download link has expired' when coalesce(n, 0) >= 10 then 'Download limit exceeded' when token % 9 = 0 then 'File no longer available' else '' end as problem
-from e left join k using (token) left join u using (token) where event_type = 'view'""",
+    "st09_downloads": """with e as (select *, user_id % 500 as token from events), k as (select token, min(ts) as created from e where event_type = 'signup' group by token),
+v as (select event_id, token, ts, created, (select count(*) from e u where u.event_type = 'click' and u.token = e.token and u.ts >= created and u.ts < e.ts) as downloads from e left join k using (token) where event_type = 'view')
+select event_id, downloads, case when created is null or created > ts then 'Invalid download token' when ts > created + interval 7 days then 'Download link has expired' when downloads >= 10 then 'Download limit exceeded' when token % 9 = 0 then 'File no longer available' else '' end as problem from v""",
     "s28_audited_export": f"""{STATE}, rec as ({RECORDS_SQL}), {_SCORED_TAIL} select {', '.join(f'sc.{f}' for f in FIELDS)}, {', '.join(f'round(sc.s_{f}, 6) as {f}_confidence' for f in FIELDS)}, sc.record_id as audit_record_id, st.reason as audit_flag_reason,
 st.status as audit_review_status, coalesce(st.reviewer, '') as audit_reviewer, st.completed as audit_review_completed, st.corrections as audit_corrections_made from sc join st on st.record_id = sc.record_id where st.status in ('approved', 'rejected')""",
     "a11_report_json": f"""{CHECKED}, {_METRICS}, v as (select count(*) as total, count(*) filter (v_valid) as valid, count(*) filter (not v_valid) as invalid, round(count(*) filter (v_valid) / count(*), 6) as rate, round(avg(v_score), 6) as confidence from ck),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.functions import confidence, mapping, scoring, support, text, validation
-from rollbook.operators import audit, quality, records
+from rollbook.operators import asof, audit, quality, records
 from rollbook.schema import FIELDS
 from rollbook.sources import fixtures, sinks
 from rollbook.streaming import inbox
@@ -432,13 +432,14 @@ def h08_safe_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def st09_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens made by signups, used by clicks of the same user (the download log), and why each event's token is good or not."""
+    """Tokens made by signups, used by clicks of the same user (the download log), and why each view's token is good or not at its time, after the downloads before it."""
     e = table(spark, sf_dir, "events").withColumn("token", F.col("user_id") % 500)
     links = e.filter("event_type = 'signup'").groupBy("token").agg(F.min("ts").alias("created")).withColumn("exists", F.col("token") % 9 != 0)
-    used = e.filter("event_type = 'click'").groupBy("token").agg(F.count("*").alias("downloads"))
-    asked = e.filter("event_type = 'view'").join(links, "token", "left").join(used, "token", "left")
-    problem = support.download_problem(F.col("created").isNotNull(), F.col("ts"), F.col("created") + F.expr("interval 7 days"), F.col("downloads"), F.lit(10), F.col("exists"))
-    return asked.select("event_id", problem.alias("problem"))
+    used = e.filter("event_type = 'click'").join(links, "token").filter("ts >= created")
+    asked = asof.earlier_counts(e.filter("event_type = 'view'").select("event_id", "token", "ts"), used, "token", "ts", alias="downloads").join(links, "token", "left")
+    known = F.coalesce(F.col("created") <= F.col("ts"), F.lit(False))
+    problem = support.download_problem(known, F.col("ts"), F.col("created") + F.expr("interval 7 days"), F.col("downloads"), F.lit(10), F.col("exists"))
+    return asked.select("event_id", "downloads", problem.alias("problem"))
 
 
 @query
@@ -521,7 +522,7 @@ def st07_review_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     action = F.element_at(F.create_map(*[F.lit(x) for p in (("signup", "enqueue"), ("view", "start"), ("purchase", "finish"), ("error", "fail"), ("click", "cancel")) for x in p]), F.col("event_type"))
-    return e.select(F.concat(F.lit("J"), (F.col("event_id") % 1999).cast("string")).alias("job_id"), F.lit("S").alias("session_id"), action.alias("action"), (F.col("user_id") % 200 - 40).cast("int").alias("progress"), "ts")
+    return e.select(F.concat(F.lit("J"), (F.col("event_id") % 1999).cast("string")).alias("job_id"), F.lit("S").alias("session_id"), action.alias("action"), F.when(F.col("event_id") % 3 > 0, F.col("user_id") % 200 - 40).cast("int").alias("progress"), "ts")
 
 
 @query

@@ -14,19 +14,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from rollbook.functions import support
-from rollbook.functions.text import ruler
+from rollbook.functions import confidence, support, text
+from rollbook.functions.headers import header_like
 from rollbook.sources.pdf import read_pdf
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _DC = "{http://purl.org/dc/elements/1.1/}"
 _DCT = "{http://purl.org/dc/terms/}"
 _CP = "{http://schemas.openxmlformats.org/package/2006/metadata/core-properties}"
+#: Tables of a word document that are kept unless the caller says otherwise (None: all); a result says whether some were left out.
 MAX_TABLES = 50
 SCHEMA = (
     "path string, status string, text string, title string, creator string, subject string, created string, modified string, last_modified_by string, pages int, paragraphs int, table_count int,"
     " headings array<string>, heading_levels array<string>, heading_positions array<int>, headers array<string>, footers array<string>,"
-    " tables array<struct<headers:array<string>,rows:array<array<string>>>>, error string"
+    " tables array<struct<headers:array<string>,rows:array<array<string>>,page:int,accuracy:double,method:string>>, truncated boolean, errors array<string>, error string"
 )
 #: What reads the bytes of a document: gives the fields of SCHEMA but path, status and error, or some of them. None here reads pictures.
 Reader = Callable[[bytes], dict]
@@ -60,16 +61,6 @@ def _text(node: ElementTree.Element) -> str:
     return "".join(parts)
 
 
-def header_like(row: list[str]) -> bool:
-    """The same rule as functions.text.looks_like_header, for one row."""
-
-    def cell(x: str) -> bool:
-        low = x.lower()
-        return bool(x.strip()) and (any(w in low for w in ("name", "address", "date", "reference", "licence", "license")) or (x.isupper() and len(x) > 2) or bool(re.search("[:#]", x)) or (len(x.split()) <= 3 and x.replace(" ", "").isalpha()))
-
-    return sum(map(cell, row)) * 2 > len(row)
-
-
 def _table(node: ElementTree.Element) -> dict | None:
     rows = [[_text(c).strip() for c in r.findall(f"{_W}tc")] for r in node.findall(f"{_W}tr")]
     if not rows:
@@ -79,8 +70,11 @@ def _table(node: ElementTree.Element) -> dict | None:
     return {"headers": [f"Column_{i + 1}" for i in range(max(map(len, rows)))], "rows": rows}
 
 
-def read_docx(content: bytes) -> dict:
-    """Paragraphs that aren't blank, joined by empty lines; headings with style and place among them, tables, headers, footers, core properties and counts."""
+def read_docx(content: bytes, max_tables: int | None = MAX_TABLES) -> dict:
+    """Paragraphs that aren't blank, joined by empty lines; headings with style and place among them, tables, headers, footers, core properties and counts.
+
+    `truncated` says that tables were left out, `table_count` how many there are.
+    """
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = z.namelist()
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
@@ -93,17 +87,17 @@ def read_docx(content: bytes) -> dict:
             if style is not None and (level := style.get(f"{_W}val") or "").startswith("Heading"):
                 headings.append((text, level, len(texts)))
             texts.append(text)
-        elif node.tag == f"{_W}tbl" and len(tables) < MAX_TABLES and (table := _table(node)):
+        elif node.tag == f"{_W}tbl" and (table := _table(node)):
             tables.append(table)
     about = lambda tag: (core.findtext(tag) or None) if core is not None else None
     counts = {"paragraphs": len(body.findall(f"{_W}p")) if body is not None else 0, "table_count": len(body.findall(f"{_W}tbl")) if body is not None else 0}
     known = {"title": f"{_DC}title", "creator": f"{_DC}creator", "subject": f"{_DC}subject", "created": f"{_DCT}created", "modified": f"{_DCT}modified", "last_modified_by": f"{_CP}lastModifiedBy"}
-    found = {"headings": [h[0] for h in headings], "heading_levels": [h[1] for h in headings], "heading_positions": [h[2] for h in headings], "headers": parts["header"], "footers": parts["footer"], "tables": tables}
+    found = {"headings": [h[0] for h in headings], "heading_levels": [h[1] for h in headings], "heading_positions": [h[2] for h in headings], "headers": parts["header"], "footers": parts["footer"], "tables": tables[:max_tables], "truncated": max_tables is not None and len(tables) > max_tables}
     return {"text": "\n\n".join(texts)} | {k: about(tag) for k, tag in known.items()} | counts | found
 
 
 def extracted(files: DataFrame, readers: dict[str, Reader] | None = None) -> DataFrame:
-    """SCHEMA for each of checked_files: status is `completed`, `failed` (with the error, never in the text) or `unsupported`.
+    """SCHEMA for each of checked_files: status is `completed`, `partial` (pages had errors), `failed` (with the error, never in the text) or `unsupported`.
 
     readers: by type; word documents are read by read_docx and PDF by read_pdf unless given otherwise. Files come in batches that Spark bounds in bytes.
     """
@@ -122,6 +116,8 @@ def extracted(files: DataFrame, readers: dict[str, Reader] | None = None) -> Dat
                 elif row["message"] is None:
                     try:
                         out |= {**empty, **reader(row["content"]), "status": "completed", "error": None}
+                        if out["errors"]:
+                            out["status"] = "partial" if out["text"].strip() else "failed"
                     except Exception as e:  # noqa: BLE001  a bad file is a row, not a failed job
                         out |= {"error": f"{type(e).__name__}: {e}"}
                 yield pa.RecordBatch.from_arrays([pa.array([out[f.name]], f.type) for f in arrow], names=kinds.names)
@@ -129,6 +125,39 @@ def extracted(files: DataFrame, readers: dict[str, Reader] | None = None) -> Dat
     return files.select("path", "type", "message", "content").mapInArrow(run, kinds)
 
 
+def processed(extracts: DataFrame, recognised: DataFrame | None = None, threshold: float = 0.7) -> DataFrame:
+    """The whole result of each extracted document (S8, S9, A31): path, type, status, text, tables, the basic data (X1), confidences of its parts (C10, C11), and what is counted over them.
+
+    recognised: path and text of another attempt at documents that need it, kept where it has more text. flagged_fields: parts below the threshold;
+    a part without finds has 0 and is one. processing_stats' columns: text_length, fields_extracted, fields_flagged, average_confidence, page_count, tables_found, error_count, ocr_used.
+    """
+    d = extracts.withColumn("type", support.document_type(F.col("path"))).withColumn("text", F.coalesce("text", F.lit("")))
+    if recognised is None:
+        d = d.withColumn("ocr_used", F.lit(False))
+    else:
+        d = d.join(recognised.select("path", F.col("text").alias("read")), "path", "left")
+        better = text.needs_ocr(F.col("text")) & (F.length("read") > F.length("text")) & (F.col("type") == "pdf")
+        d = d.withColumn("ocr_used", F.coalesce(better, F.lit(False))).withColumn("text", F.when(F.col("ocr_used"), F.col("read")).otherwise(F.col("text"))).drop("read")
+    d = d.select("*", *[c.alias(n) for n, c in text.basic_data(F.col("text")).items()])
+    counts = {n: F.size(n) for n in text.basic_data(F.col("text"))}
+    tables, n = F.coalesce(F.size("tables"), F.lit(0)), F.length("text")
+    mean = F.aggregate("tables", F.lit(0.0), lambda s, t: s + F.coalesce(t["accuracy"], F.lit(0.8)), lambda s: F.try_divide(s, tables))
+    kinds = {k: confidence.document_confidence(k, n, counts, tables, mean if k != "docx" else None) for k in ("pdf", "ocr", "docx")}
+    parts = [p for p in kinds["docx"] if p != "average"]
+    score = lambda k, p: F.when(tables > 0, kinds[k][p]) if p == "tables" else kinds[k][p]  # noqa: E731  no tables are no part
+    of = lambda k: F.filter(F.array(*[F.struct(F.lit(p).alias("part"), score(k, p).alias("score")) for p in parts if p in kinds[k]]), lambda x: x["score"].isNotNull())
+    d = d.withColumn("parts", F.when(F.col("type") == "docx", of("docx")).when(F.col("ocr_used"), of("ocr")).otherwise(of("pdf")))
+    low = F.transform(F.filter("parts", lambda x: x["score"] < threshold), lambda x: x["part"])
+    scores = F.map_from_entries("parts")
+    average = F.round(F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["score"]) / F.size("parts"), 3)
+    found = sum((F.when(c > 0, 1).otherwise(0) for c in [*counts.values(), tables]), F.lit(0))
+    errors = F.size("errors") + F.when(F.col("error").isNotNull(), 1).otherwise(0)
+    return d.select(
+        "path", "type", "status", "text", "tables", *counts, scores.alias("confidence_scores"), low.alias("flagged_fields"), n.alias("text_length"), found.alias("fields_extracted"), F.size(low).alias("fields_flagged"),
+        average.alias("average_confidence"), F.col("pages").alias("page_count"), tables.alias("tables_found"), errors.alias("error_count"), "ocr_used", "truncated", "errors", "error",
+    )
+
+
 def with_fallback(first: DataFrame, second: DataFrame) -> DataFrame:
     """Extraction results with a second attempt's text where the first failed and the second has more of it."""
     b = second.select("path", F.col("text").alias("text2"))
@@ -146,7 +175,7 @@ def page_confidence(words: DataFrame) -> DataFrame:
 def labelled_lines(extracts: DataFrame) -> DataFrame:
     """path, pos, label and text of the rule set's entities in the lines of extracted documents (S20's last step, X12)."""
     lines = extracts.filter(F.col("text") != "").select("path", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.select("path", "pos", F.inline(ruler(F.col("line"))))
+    return lines.select("path", "pos", F.inline(text.ruler(F.col("line"))))
 
 
 def word_confidence(words: DataFrame) -> DataFrame:

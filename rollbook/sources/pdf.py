@@ -1,23 +1,31 @@
-"""Text of PDF files by the standard library (S8, S17's text side): objects, object streams, Flate streams, content streams.
+"""Text and tables of PDF files by the standard library (S8, S14, S17's text side): objects, object streams, Flate streams, content streams.
 
-Reads what most programs write: text in content streams, plain or compressed by Flate, with simple fonts or fonts that name their
+Reads what most programs write: text in content streams and form objects, plain or compressed by Flate, with simple fonts or fonts that name their
 characters in a ToUnicode table. Encrypted files, pictures of text and other filters give no text, so that recognition can be tried.
+
+A content stream is run with its graphics and text matrices, so every piece of text has a place on its page, and so have the lines drawn.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from dataclasses import dataclass, field
+from typing import NamedTuple
+
+from rollbook.sources.pdf_tables import tables_of
 
+#: Pages that are read unless the caller says otherwise (None: all); a result says whether pages were left out.
 MAX_PAGES = 100
-_OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj", re.S)
-_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
+#: Bytes that a stream may have when decoded; one of more is an error of its page.
+MAX_STREAM = 256 << 20
+_OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b")
+_STREAM = re.compile(rb">>\s*stream(?:\r\n|\n|\r)")
+_LENGTH = re.compile(rb"/Length\s+(\d+)(?:\s+(\d+)\s+R)?")
 _REF = re.compile(rb"(\d+)\s+\d+\s+R")
 _STRING = rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)"
 _PIECE = re.compile(rb"(" + _STRING + rb")|<([0-9A-Fa-f\s]*)>|(\[)|(\])|(/[^\s/<>\[\]()]+)|([-+]?\d*\.?\d+)|([A-Za-z'\"*]+)|<<|>>", re.S)
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-#: Kerning, in thousandths of the font's size, that stands for a space.
-_GAP = 200
 
 
 class Pdf:
@@ -30,17 +38,36 @@ class Pdf:
             raise ValueError("encrypted")
         self.objects: dict[int, bytes] = {}
         self.streams: dict[int, bytes] = {}
-        for m in _OBJECT.finditer(content):
-            self._add(int(m[1]), m[3])
+        at = 0
+        while m := _OBJECT.search(content, at):
+            at = self._add(int(m[1]), content, m.end())
         for number in [n for n, body in self.objects.items() if re.search(rb"/Type\s*/ObjStm\b", body)]:
             self._unpack(number)
 
-    def _add(self, number: int, body: bytes) -> None:
-        if m := _STREAM.search(body):
-            self.streams[number], body = m[1], body[: m.start()]
+    def _add(self, number: int, content: bytes, start: int) -> int:
+        """Takes the object whose body begins at `start`; where it ends. A stream ends after its /Length, or where that is wrong at its `endstream`."""
+        end = content.find(b"endobj", start)
+        end = len(content) if end < 0 else end
+        m = _STREAM.search(content, start, end)
+        self.streams.pop(number, None)
+        if not m:
+            self.objects[number] = content[start:end]
+            return end
+        self.objects[number] = about = content[start : m.start() + 2]
+        length = None
+        if known := _LENGTH.search(about):
+            length = int(known[1])
+            if known[2] is not None:
+                held = re.search(rb"(?<!\d)%d\s+%d\s+obj\s+(\d+)" % (length, int(known[2])), content)
+                length = int(held[1]) if held else None
+        if length is not None and content[m.end() + length : m.end() + length + 20].lstrip().startswith(b"endstream"):
+            stop = m.end() + length
         else:
-            self.streams.pop(number, None)
-        self.objects[number] = body
+            stop = content.find(b"endstream", m.end())
+            stop = len(content) if stop < 0 else stop
+        data = content[m.end() : stop]
+        self.streams[number] = data if length is not None and len(data) == length else data.removesuffix(b"\n").removesuffix(b"\r")
+        return max(stop, content.find(b"endobj", stop))
 
     def _unpack(self, number: int) -> None:
         data = self.stream(number)
@@ -58,10 +85,14 @@ class Pdf:
             return data
         if filters != [b"FlateDecode"]:
             return b""
+        unpack = zlib.decompressobj()
         try:
-            return zlib.decompressobj().decompress(data)
+            out = unpack.decompress(data, MAX_STREAM)
         except zlib.error:
             return b""
+        if unpack.unconsumed_tail:
+            raise ValueError("stream too large")
+        return out
 
     def refs(self, body: bytes, key: bytes) -> list[int]:
         """The objects that a dictionary's entry refers to: one, or those of an array, in order."""
@@ -103,53 +134,237 @@ class Pdf:
             depth, at = depth + (1 if n[0] == b"<<" else -1), n.end()
         return body[m.end() : at]
 
-    def fonts(self, page: int) -> dict[bytes, dict[int, str]]:
-        """By a font's name on the page, the characters of its two-byte codes; fonts without a table aren't in it."""
-        body, out = self.objects[page], {}
-        for _ in range(20):  # resources may be a parent's
+    def resources(self, number: int) -> bytes:
+        """The resources of a page or form, or of a parent that has them."""
+        body = self.objects[number]
+        for _ in range(20):
             if b"/Resources" in body or not (parent := self.refs(body, b"Parent")):
                 break
             body = self.objects.get(parent[0], b"")
-        listed = self._dictionary(self._dictionary(body, b"Resources"), b"Font")
-        for name, number in re.findall(rb"/([^\s/<>\[\]()]+)\s+(\d+)\s+\d+\s+R", listed):
-            for table in self.refs(self.objects.get(int(number), b""), b"ToUnicode"):
-                out[name] = characters(self.stream(table))
+        return self._dictionary(body, b"Resources")
+
+    def fonts(self, resources: bytes) -> dict[bytes, Font]:
+        """The fonts of resources by name."""
+        out = {}
+        for name, number in _NAMED.findall(self._dictionary(resources, b"Font")):
+            body, font = self.objects.get(int(number), b""), Font()
+            for table in self.refs(body, b"ToUnicode"):
+                font.table = characters(self.stream(table))
+            for inner in self.refs(body, b"DescendantFonts"):
+                below = self.objects.get(inner, b"")
+                font.default = float(m[1]) if (m := re.search(rb"/DW\s+([\d.]+)", below)) else 1000.0
+                font.widths, font.wide = _listed_widths(self._array(below, b"W")), True
+            if first := re.search(rb"/FirstChar\s+(\d+)", body):
+                font.widths = {int(first[1]) + i: float(w) for i, w in enumerate(re.findall(rb"[\d.]+", self._array(body, b"Widths")))}
+            out[name] = font
+        return out
+
+    def _array(self, body: bytes, key: bytes) -> bytes:
+        """The text of an array entry, in place or referred to."""
+        m = re.search(rb"/" + key + rb"\s*(\[|\d+\s+\d+\s+R)", body)
+        if not m:
+            return b""
+        if m[1] != b"[":
+            return self.objects.get(int(m[1].split()[0]), b"").strip()
+        depth, at = 1, m.end()
+        while depth and (n := re.compile(rb"[\[\]]").search(body, at)):
+            depth, at = depth + (1 if n[0] == b"[" else -1), n.end()
+        return body[m.end() - 1 : at]
+
+    def layout(self, page: int) -> Layout:
+        """The pieces of text and the lines of a page, in the order they are drawn in."""
+        content = b"\n".join(self.stream(n) for n in self.refs(self.objects[page], b"Contents"))
+        out = Layout()
+        _Drawing(self, out).run(content, self.resources(page), (1.0, 0.0, 0.0, 1.0, 0.0, 0.0), ())
         return out
 
     def text(self, page: int) -> str:
         """The text of a page, a line for each change of the baseline."""
-        fonts, out, held, table = self.fonts(page), [], [], None
-        content = b"\n".join(self.stream(n) for n in self.refs(self.objects[page], b"Contents"))
-        y = None
+        return self.layout(page).text()
+
+
+@dataclass
+class Font:
+    """Characters of codes (None: the code is the character), widths of codes in thousandths, and whether codes have two bytes."""
+
+    table: dict[int, str] | None = None
+    widths: dict[int, float] = field(default_factory=dict)
+    default: float = 500.0
+    wide: bool = False
+
+
+class Run(NamedTuple):
+    """A piece of text from (x, y) to (end, y) on its baseline; fresh: a new line was asked for before it."""
+
+    text: str
+    x: float
+    y: float
+    end: float
+    size: float
+    fresh: bool = False
+
+
+class Rule(NamedTuple):
+    """A line that is drawn across or down, from (x0, y0) to (x1, y1), the lesser first."""
+
+    x0: float
+    y0: float
+    x1: float
+    y1: float
+
+
+@dataclass
+class Layout:
+    runs: list[Run] = field(default_factory=list)
+    rules: list[Rule] = field(default_factory=list)
+
+    def text(self) -> str:
+        out: list[str] = []
+        last = None
+        for r in self.runs:
+            if last is not None:
+                if r.fresh or abs(r.y - last.y) > 0.3 * max(r.size, last.size):
+                    out.append("\n")
+                elif r.x - last.end > 0.15 * r.size or last.end - r.x > 0.5 * r.size:
+                    out.append(" ")
+            out.append(r.text)
+            last = r
+        lines = (re.sub(r"[ \t]+", " ", line).strip() for line in "".join(out).split("\n"))
+        return "\n".join(line for line in lines if line)
+
+
+Matrix = tuple[float, float, float, float, float, float]
+
+
+def _times(m: Matrix, n: Matrix) -> Matrix:
+    """m, then n."""
+    return (m[0] * n[0] + m[1] * n[2], m[0] * n[1] + m[1] * n[3], m[2] * n[0] + m[3] * n[2], m[2] * n[1] + m[3] * n[3], m[4] * n[0] + m[5] * n[2] + n[4], m[4] * n[1] + m[5] * n[3] + n[5])
+
+
+def _at(m: Matrix, x: float, y: float) -> tuple[float, float]:
+    return m[0] * x + m[2] * y + m[4], m[1] * x + m[3] * y + m[5]
+
+
+#: Forms inside forms that are followed, and a rectangle's side, in points, below which it is a line.
+_DEEP, _THIN = 8, 2.5
+_UNIT = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
+
+
+class _Drawing:
+    """Runs content streams and puts down what they draw."""
+
+    def __init__(self, pdf: Pdf, out: Layout) -> None:
+        self.pdf, self.out = pdf, out
+        self.font, self.size, self.lead, self.rise, self.scale, self.char, self.word = Font(), 0.0, 0.0, 0.0, 1.0, 0.0, 0.0
+        self.fresh = False
+
+    def run(self, content: bytes, resources: bytes, base: Matrix, inside: tuple[int, ...]) -> None:
+        fonts, ctm, kept = self.pdf.fonts(resources), base, []
+        text = line = _UNIT
+        path: list[tuple[float, float, float, float]] = []
+        boxes: list[tuple[float, float, float, float]] = []
+        pen = start = (0.0, 0.0)
+        held: list[re.Match] = []
         for m in _PIECE.finditer(content):
             if m[7] is None:
                 held.append(m)
                 continue
-            word = m[7]
-            if word == b"Tf":
-                table = next((fonts.get(x[5][1:]) for x in held if x[5]), None)
-            elif word in (b"Tj", b"TJ", b"'", b'"'):
-                if word in (b"'", b'"'):
-                    out.append("\n")
-                for x in held:
+            op, numbers = m[7], [float(x[6]) for x in held if x[6]]
+            n = len(numbers)
+            if op == b"q":
+                kept.append(ctm)
+            elif op == b"Q":
+                ctm = kept.pop() if kept else ctm
+            elif op == b"cm" and n >= 6:
+                ctm = _times(tuple(numbers[-6:]), ctm)
+            elif op == b"BT":
+                text = line = _UNIT
+            elif op == b"Tf" and n:
+                self.font, self.size = next((fonts[x[5][1:]] for x in held if x[5] and x[5][1:] in fonts), Font()), numbers[-1]
+            elif op in (b"Tc", b"Tw", b"TL", b"Tz", b"Ts") and n:
+                name, value = {b"Tc": "char", b"Tw": "word", b"TL": "lead", b"Tz": "scale", b"Ts": "rise"}[op], numbers[-1]
+                setattr(self, name, value / 100 if name == "scale" else value)
+            elif op in (b"Td", b"TD") and n >= 2:
+                self.lead = -numbers[-1] if op == b"TD" else self.lead
+                text = line = _times((1.0, 0.0, 0.0, 1.0, numbers[-2], numbers[-1]), line)
+            elif op == b"Tm" and n >= 6:
+                text = line = tuple(numbers[-6:])
+            elif op in (b"T*", b"'", b'"', b"Tj", b"TJ"):
+                if op not in (b"Tj", b"TJ"):
+                    text = line = _times((1.0, 0.0, 0.0, 1.0, 0.0, -self.lead), line)
+                    self.fresh = True
+                if op == b'"' and n >= 2:
+                    self.word, self.char = numbers[-2], numbers[-1]
+                for x in held if op != b"T*" else ():
                     if x[1] is not None or x[2] is not None:
-                        out.append(_decoded(_literal(x[1]) if x[1] is not None else bytes.fromhex(_even(x[2])), table))
-                    elif word == b"TJ" and x[6] and float(x[6]) < -_GAP:
-                        out.append(" ")
-            elif word == b"T*":
-                out.append("\n")
-            elif word in (b"Td", b"TD", b"Tm"):
-                numbers = [float(x[6]) for x in held if x[6]]
-                if numbers and (numbers[-1] != (y if word == b"Tm" else 0)):
-                    out.append("\n")
-                else:
-                    out.append(" ")
-                y = numbers[-1] if word == b"Tm" and numbers else None
-            elif word == b"ET":
-                out.append("\n")
+                        raw = _literal(x[1]) if x[1] is not None else bytes.fromhex(_even(x[2]))
+                        text = self._show(raw, text, ctm)
+                    elif op == b"TJ" and x[6]:
+                        text = _times((1.0, 0.0, 0.0, 1.0, -float(x[6]) / 1000 * self.size * self.scale, 0.0), text)
+            elif op == b"m" and n >= 2:
+                pen = start = (numbers[-2], numbers[-1])
+            elif op == b"l" and n >= 2:
+                path.append((*pen, numbers[-2], numbers[-1]))
+                pen = (numbers[-2], numbers[-1])
+            elif op == b"h":
+                path.append((*pen, *start))
+            elif op == b"re" and n >= 4:
+                boxes.append(tuple(numbers[-4:]))
+            elif op in (b"S", b"s", b"f", b"F", b"f*", b"B", b"B*", b"b", b"b*", b"n"):
+                if op != b"n":
+                    self._draw(path, boxes, ctm, op in (b"S", b"s", b"B", b"B*", b"b", b"b*"))
+                path, boxes = [], []
+            elif op == b"Do":
+                self._form(next((x[5][1:] for x in held if x[5]), b""), resources, ctm, inside)
             held = []
-        lines = (re.sub(r"[ \t]+", " ", line).strip() for line in "".join(out).split("\n"))
-        return "\n".join(line for line in lines if line)
+
+    def _show(self, raw: bytes, text: Matrix, ctm: Matrix) -> Matrix:
+        """Puts down a string; the text matrix after it."""
+        font, whole = self.font, _times(text, ctm)
+        codes = [int.from_bytes(raw[i : i + 2], "big") for i in range(0, len(raw) - 1, 2)] if font.wide or _two_bytes(raw, font.table) else list(raw)
+        wide = sum(font.widths.get(c, font.default) for c in codes) / 1000 * self.size + self.char * len(codes) + self.word * (codes.count(32) if len(codes) == len(raw) else 0)
+        string, wide = _decoded(raw, font.table), wide * self.scale
+        x, y = _at(whole, 0.0, self.rise)
+        end, _ = _at(whole, wide, self.rise)
+        if string:
+            self.out.runs.append(Run(string, x, y, end, abs(self.size * (whole[3] or whole[1])) or 1.0, self.fresh))
+            self.fresh = False
+        return _times((1.0, 0.0, 0.0, 1.0, wide, 0.0), text)
+
+    def _draw(self, path: list, boxes: list, ctm: Matrix, stroked: bool) -> None:
+        lines = list(path) if stroked else []
+        for x, y, w, h in boxes:
+            if abs(h) < _THIN or abs(w) < _THIN:
+                lines.append((x, y, x + w, y) if abs(h) < abs(w) else (x, y, x, y + h))
+            elif stroked:
+                lines += [(x, y, x + w, y), (x, y + h, x + w, y + h), (x, y, x, y + h), (x + w, y, x + w, y + h)]
+        for x0, y0, x1, y1 in lines:
+            (a, b), (c, d) = _at(ctm, x0, y0), _at(ctm, x1, y1)
+            if (abs(a - c) < 1) != (abs(b - d) < 1):
+                self.out.rules.append(Rule(min(a, c), min(b, d), max(a, c), max(b, d)))
+
+    def _form(self, name: bytes, resources: bytes, ctm: Matrix, inside: tuple[int, ...]) -> None:
+        number = next((int(k) for x, k in _NAMED.findall(self.pdf._dictionary(resources, b"XObject")) if x == name), None)
+        body = self.pdf.objects.get(number, b"")
+        if number is None or number in inside or len(inside) >= _DEEP or not re.search(rb"/Subtype\s*/Form\b", body):
+            return
+        m = [float(x) for x in re.findall(rb"[-+]?\d*\.?\d+", self.pdf._array(body, b"Matrix"))]
+        own = self.pdf._dictionary(body, b"Resources") or resources
+        self.run(self.pdf.stream(number), own, _times(tuple(m), ctm) if len(m) == 6 else ctm, (*inside, number))
+
+
+_NAMED = re.compile(rb"/([^\s/<>\[\]()]+)\s+(\d+)\s+\d+\s+R")
+
+
+def _listed_widths(array: bytes) -> dict[int, float]:
+    """Widths of codes: a first code and a list, or a first and a last code and one width, and so on."""
+    out: dict[int, float] = {}
+    for first, many, last, one in re.findall(rb"(\d+)\s*(?:\[([^\]]*)\]|\s(\d+)\s+([\d.]+))", array[1:]):
+        if one:
+            out |= dict.fromkeys(range(int(first), min(int(last), int(first) + 0xFFFF) + 1), float(one))
+        else:
+            out |= {int(first) + i: float(w) for i, w in enumerate(many.split())}
+    return out
 
 
 def _even(digits: bytes) -> str:
@@ -167,10 +382,13 @@ def _literal(token: bytes) -> bytes:
     return re.sub(rb"\\([0-7]{1,3}|\r\n|.)", one, token[1:-1], flags=re.S)
 
 
+def _two_bytes(raw: bytes, table: dict[int, str] | None) -> bool:
+    return bool(table) and (max(table) > 255 or len(raw) % 2 == 0 and raw[:1] == b"\0")
+
+
 def _decoded(raw: bytes, table: dict[int, str] | None) -> str:
     if table:
-        wide = max(table) > 255 or len(raw) % 2 == 0 and raw[:1] == b"\0"
-        codes = [int.from_bytes(raw[i : i + 2], "big") for i in range(0, len(raw) - 1, 2)] if wide else list(raw)
+        codes = [int.from_bytes(raw[i : i + 2], "big") for i in range(0, len(raw) - 1, 2)] if _two_bytes(raw, table) else list(raw)
         return "".join(table.get(c, "") for c in codes)
     return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("cp1252", "replace")
 
@@ -193,19 +411,26 @@ def characters(table: bytes) -> dict[int, str]:
     return out
 
 
-def read_pdf(content: bytes) -> dict:
-    """The text of up to MAX_PAGES pages, joined by empty lines, the title and the author. A page that can't be read is empty text."""
-    pdf, texts = Pdf(content), []
+def read_pdf(content: bytes, max_pages: int | None = MAX_PAGES, with_tables: bool = True) -> dict:
+    """The text of up to max_pages pages, joined by empty lines, their tables, the title and the author.
+
+    A page that can't be read is empty text and one of `errors`; `truncated` says that pages were left out, `pages` how many there are.
+    """
+    pdf, texts, tables, errors = Pdf(content), [], [], []
     pages = pdf.pages()
-    for page in pages[:MAX_PAGES]:
+    for number, page in enumerate(pages[:max_pages], 1):
         try:
-            texts.append(pdf.text(page))
-        except (ValueError, IndexError, KeyError):
+            layout = pdf.layout(page)
+            texts.append(layout.text())
+            if with_tables:
+                tables += [{"page": number, **t} for t in tables_of(layout)]
+        except (ValueError, IndexError, KeyError, zlib.error, RecursionError) as e:
             texts.append("")
+            errors.append(f"Page {number} text extraction failed: {type(e).__name__}: {e}")
     info = next((body for body in pdf.objects.values() if b"/Producer" in body or b"/Title" in body and b"/Type" not in body), b"")
 
     def about(key: bytes) -> str | None:
         m = re.search(rb"/" + key + rb"\s*(" + _STRING + rb")", info, re.S)
         return _decoded(_literal(m[1]), None) or None if m else None
 
-    return {"text": "\n\n".join(texts), "title": about(b"Title"), "creator": about(b"Author"), "pages": len(pages)}
+    return {"text": "\n\n".join(texts), "title": about(b"Title"), "creator": about(b"Author"), "pages": len(pages), "truncated": max_pages is not None and len(pages) > max_pages, "tables": tables, "table_count": len(tables), "errors": errors}

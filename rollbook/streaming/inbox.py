@@ -29,16 +29,17 @@ def job_states(jobs: DataFrame) -> DataFrame:
 
     enqueue, start, finish and fail set the state whatever it was; a cancellation counts only for a pending job. So the last event
     but cancellations decides, and a cancellation after it counts if it is an enqueue: one aggregation, no fold. Jobs that were
-    only cancelled don't exist. Progress is kept within 0 and 100.
+    only cancelled don't exist. Progress is the last one given, kept within 0 and 100, and 0 before any: events without one don't change it.
     """
     order = F.create_map(*[F.lit(x) for k, a in enumerate(LEADS_TO) for x in (a, k)])
     leads = F.create_map(*[F.lit(x) for p in LEADS_TO.items() for x in p])
-    when = F.struct("ts", F.try_element_at(order, F.col("action")).alias("nth"), F.try_element_at(leads, F.col("action")).alias("status"), clamp_progress(F.col("progress")).alias("progress"))
+    when = F.struct("ts", F.try_element_at(order, F.col("action")).alias("nth"), F.try_element_at(leads, F.col("action")).alias("status"))
+    given = F.max_by(clamp_progress(F.col("progress")), F.when(F.col("progress").isNotNull(), F.struct("ts", F.try_element_at(order, F.col("action")), "progress")))
     work = F.col("action").isin([a for a in LEADS_TO if a != "cancel"])
-    out = jobs.groupBy("job_id").agg(F.max("session_id").alias("session_id"), F.max(F.when(work, when)).alias("worked"), F.max(F.when(F.col("action") == "cancel", F.col("ts"))).alias("cancelled"), F.max(when).alias("last"))
+    out = jobs.groupBy("job_id").agg(F.max("session_id").alias("session_id"), F.max(F.when(work, when)).alias("worked"), F.max(F.when(F.col("action") == "cancel", F.col("ts"))).alias("cancelled"), F.max("ts").alias("ts"), F.coalesce(given, F.lit(0)).alias("progress"))
     off = (F.col("worked.status") == "pending") & (F.col("cancelled") >= F.col("worked.ts"))
     out = out.filter("worked is not null")
-    return out.select("job_id", "session_id", F.when(off, "cancelled").otherwise(F.col("worked.status")).alias("status"), F.col("last.progress").alias("progress"), F.col("last.ts").alias("ts"))
+    return out.select("job_id", "session_id", F.when(off, "cancelled").otherwise(F.col("worked.status")).alias("status"), "progress", "ts")
 
 
 def next_state(status: str | None, action: str) -> str | None:
@@ -60,7 +61,7 @@ def live_states(stream: DataFrame, keep_ms: int = TTL_MS) -> DataFrame:
         session, status, progress, ts = state.get if state.exists else (None, None, 0, None)
         rows = pd.concat(list(batches))
         rows["nth"] = rows["action"].map(order)
-        for r in rows.sort_values(["ts", "nth"], kind="stable").itertuples():
+        for r in rows.sort_values(["ts", "nth", "progress"], kind="stable", na_position="first").itertuples():
             session, status, ts = r.session_id, next_state(status, r.action), r.ts.to_pydatetime()
             progress = progress if pd.isna(r.progress) else min(100, max(0, int(r.progress)))
         if status is not None:
