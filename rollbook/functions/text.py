@@ -187,7 +187,7 @@ def entities(text: Column) -> Column:
 
 
 def person_names(found: Column) -> Column:
-    """The texts of the persons among entities (label, text) of a model of names (X15); none comes with this library."""
+    """The texts of the persons among entities (label, text) of a model of names (X15), such as operators.entities."""
     return F.transform(F.filter(found, lambda e: e["label"] == "PERSON"), lambda e: e["text"])
 
 

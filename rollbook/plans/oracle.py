@@ -21,6 +21,10 @@ NUMBERS = ("max_occupancy", *COUNT_FIELDS, "number_of_storeys")
 REC = f"with rec as ({RECORDS_SQL})"
 
 
+_LETTER = "A-Za-zÀ-ÖØ-öø-ʯͰ-῿぀-퟿"
+_TOKEN = rf"[{_LETTER}]+(?:[''’-][{_LETTER}]+)*|[0-9]+(?:[/.,:-][0-9]+)*|[^ \t\n\x0b\f\r{_LETTER}0-9]"
+
+
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -518,6 +522,13 @@ select doc, cast(i as int) as i, coalesce(cs[i + 1], '') as council, coalesce(rs
     "e07_presets": f"{SCORED} " + " union all ".join(f"select {q(n)} as preset, record_id, concat_ws('|', {', '.join(f'cast({f} as varchar)' for f in fields)}) as shown, case when overall >= {hi} then 'high' when overall >= {mid} then 'medium' else 'low' end as level, overall < {flag} or {' or '.join(blank(f) for f in need)} as needs_review from sc" for n, fields, (hi, mid, flag), need in _UI),
     "h07_stored_names": """with n as (select page_id, regexp_replace(replace(url, '/', '?') || repeat('x', cast(page_id % 3 * 150 as int)) || '.pdf', '[<>:"|?*\\\\]', '_', 'g') as x from pages) select page_id, case when length(x) > 255 then left(x, 251) || '.pdf' else x end as stored from n""",
     "h08_safe_paths": "select page_id, ([true, false, false, true, false, false, true])[page_id % 7 + 1] as safe from pages",
+    # full stops of abbreviations are set aside, then the breaks are marked, as this engine's patterns can't look around
+    "x11_sentences": rf"""with d as (select doc_id, coalesce(text, '') as text from documents),
+a as (select doc_id, text, regexp_replace(text, '\b(Mr|Mrs|Ms|Dr|St|No|Rd|Ave|Ref|Ltd|Co|approx|max|min)\.', '\1' || chr(1), 'g') as x from d),
+b as (select doc_id, text, regexp_replace(regexp_replace(x, '([.!?])[ \t\x0b\f\r]+([A-Z0-9"''(\[À-Þ])', '\1' || chr(2) || '\2', 'g'), '[ \t\x0b\f\r]*\n[ \t\x0b\f\r\n]*', chr(2), 'g') as x from a),
+c as (select doc_id, list_filter(list_transform(string_split(replace(x, chr(1), '.'), chr(2)), lambda s: regexp_replace(s, '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$', '', 'g')), lambda s: s <> '') as s,
+  regexp_extract_all(text, '{_TOKEN}') as t from b)
+select doc_id, len(s) as sentences, len(t) as tokens, coalesce(list_max(list_transform(s, lambda x: length(x))), 0) as longest, md5(coalesce(array_to_string(s, '|'), '')) as sentence_md5, md5(coalesce(array_to_string(t, '|'), '')) as token_md5 from c""",
     "st09_downloads": """with e as (select *, user_id % 500 as token from events), k as (select token, min(ts) as created from e where event_type = 'signup' group by token),
 v as (select event_id, token, ts, created, (select count(*) from e u where u.event_type = 'click' and u.token = e.token and u.ts >= created and u.ts < e.ts) as downloads from e left join k using (token) where event_type = 'view')
 select event_id, downloads, case when created is null or created > ts then 'Invalid download token' when ts > created + interval 7 days then 'Download link has expired' when downloads >= 10 then 'Download limit exceeded' when token % 9 = 0 then 'File no longer available' else '' end as problem from v""",

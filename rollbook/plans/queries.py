@@ -8,8 +8,8 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.functions import confidence, mapping, scoring, support, text, validation
-from rollbook.operators import asof, audit, quality, records
+from rollbook.functions import confidence, mapping, scoring, sentences, support, text, validation
+from rollbook.operators import asof, audit, entities, quality, records
 from rollbook.schema import FIELDS
 from rollbook.sources import fixtures, sinks
 from rollbook.streaming import inbox
@@ -343,6 +343,28 @@ def x12_ruler(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(d.select("doc", "pos", "label", F.col("text").alias("entity"), confidence.entity_confidence(F.col("label"), F.col("text")).alias("confidence")))
 
 
+@query
+def x11_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's sentences and tokens: how many, the longest sentence and the digest of each list."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    parts = d.select("doc_id", sentences.sentences(F.col("text")).alias("s"), sentences.tokens(F.col("text")).alias("t"))
+    longest = F.coalesce(F.array_max(F.transform("s", F.length)), F.lit(0))
+    return parts.select("doc_id", F.size("s").cast("long").alias("sentences"), F.size("t").cast("long").alias("tokens"), longest.cast("long").alias("longest"), F.md5(F.array_join("s", "|")).alias("sentence_md5"), F.md5(F.array_join("t", "|")).alias("token_md5"))
+
+
+@query
+def x11_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence documents and the documents table by a model that three quarters of the licence documents trained: spans (label:begin:end), the persons (X15) and the addresses with the places."""
+    licence = documents(spark, sf_dir).withColumn("source", F.lit("licence")).withColumnRenamed("doc", "id")
+    model = entities.train(entities.training(licence.filter("id % 4 <> 2")))
+    both = licence.select("source", "id", "text").union(table(spark, sf_dir, "documents").select(F.lit("documents"), "doc_id", "text"))
+    found = entities.tagged(both.select(F.struct("source", "id", F.coalesce("text", F.lit("")).alias("text")).alias("of"), "text"), model, "of")
+    kept = found.select("of.source", "of.id", F.col("of.text").alias("text"), "entities")
+    spans = F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["label"], e["begin"].cast("string"), e["end"].cast("string"))), ",")
+    addresses = F.concat(F.filter(text.entities(F.col("text")), lambda e: e["label"] == "ADDRESS"), entities.places(F.col("entities")))
+    return kept.select("source", "id", spans.alias("spans"), F.array_join(text.person_names(F.col("entities")), "|").alias("persons"), F.size(addresses).alias("addresses"))
+
+
 @query
 def x16_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = lines(spark, sf_dir).select("doc", "pos", F.inline(text.fallback(F.col("line"))))

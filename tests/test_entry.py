@@ -42,7 +42,8 @@ def test_equals_duckdb(spark, data, duck, name):
 
 
 def test_every_query_has_its_sql():
-    assert set(QUERIES) == set(SQL)
+    """All but what a model gives, which is tested against plain versions and by held-out accuracy in test_entities.py."""
+    assert set(QUERIES) - set(SQL) == {"x11_entities"} and set(SQL) <= set(QUERIES)
 
 
 @pytest.mark.parametrize("gone", ["folders", "folders and pipeline", "a dependency"])

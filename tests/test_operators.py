@@ -238,7 +238,7 @@ def test_progress_that_is_not_given_stays(spark, tmp_path):
     want = {"a": ("pending", 0), "b": ("processing", 10), "c": ("completed", 100), "d": ("cancelled", 0)}
     assert {r.job_id: (r.status, r.progress) for r in inbox.job_states(spark.read.schema(inbox.EVENT).json(str(tmp_path / "in"))).collect()} == want
     seen: dict[str, tuple] = {}
-    live = inbox.live_states(inbox.events(spark, str(tmp_path / "in"), 1))
+    live = inbox.live_states(inbox.events(spark, str(tmp_path / "in"), 4))
     live.writeStream.foreachBatch(lambda batch, _: seen.update({r.job_id: (r.status, r.progress) for r in batch.collect()})).outputMode("update").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination(120)
     assert seen == want
 
