@@ -215,34 +215,6 @@ def test_cancellation_counts_for_pending_jobs_only(spark):
     assert {j: s for j, s in folded.items() if s} == JOB_STATES
 
 
-def test_live_states(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    for k, (job, action, minute) in enumerate(JOB_EVENTS):
-        (tmp_path / f"in/{k:02d}.json").write_text(json.dumps({"job_id": job, "session_id": "S", "action": action, "progress": 500, "ts": f"2024-01-01T00:{minute:02d}:00Z"}))
-    seen: dict[str, tuple] = {}
-
-    def take(batch, _):
-        seen.update({r.job_id: (r.status, r.progress) for r in batch.collect()})
-
-    live = inbox.live_states(inbox.events(spark, str(tmp_path / "in"), 1000))
-    live.writeStream.foreachBatch(take).outputMode("update").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination(120)
-    assert seen == {j: (s, 100) for j, s in JOB_STATES.items()}
-
-
-def test_progress_that_is_not_given_stays(spark, tmp_path):
-    """Progress is the last one given, within 0 and 100, and 0 before any; in batch and live, from the same files."""
-    rows = [("a", "enqueue", None, 0), ("b", "enqueue", 10, 0), ("b", "start", None, 1), ("c", "start", 400, 0), ("c", "finish", None, 2), ("d", "enqueue", -7, 0), ("d", "cancel", None, 1)]
-    (tmp_path / "in").mkdir()
-    for k, (job, action, progress, minute) in enumerate(rows):
-        (tmp_path / f"in/{k:02d}.json").write_text(json.dumps({"job_id": job, "session_id": "S", "action": action, "progress": progress, "ts": f"2024-01-01T00:{minute:02d}:00Z"}))
-    want = {"a": ("pending", 0), "b": ("processing", 10), "c": ("completed", 100), "d": ("cancelled", 0)}
-    assert {r.job_id: (r.status, r.progress) for r in inbox.job_states(spark.read.schema(inbox.EVENT).json(str(tmp_path / "in"))).collect()} == want
-    seen: dict[str, tuple] = {}
-    live = inbox.live_states(inbox.events(spark, str(tmp_path / "in"), 4))
-    live.writeStream.foreachBatch(lambda batch, _: seen.update({r.job_id: (r.status, r.progress) for r in batch.collect()})).outputMode("update").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination(120)
-    assert seen == want
-
-
 def test_presets_and_package(spark, data, tmp_path):
     found = mapping.preset("detailed")
     mapping.save_preset(str(tmp_path), "mine", found, "gzip")
