@@ -8,7 +8,7 @@ bounded number of pre-tokens of bounded length.
 Scale: a map over the documents, no shuffle. The broadcast is the vocabulary with its hash, whose size the file fixes.
 
 Defined cases: null and empty texts encode to no ids; repeated rows are kept; any valid UTF-8 encodes, and decoding returns
-the same bytes; other columns of the input are ignored by `encode` and carried by `with_ids`.
+the same bytes; other columns of the input are ignored.
 """
 
 from __future__ import annotations

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollbook.llm.common import bound_batches, give_back, staged
+from rollbook.llm.common import bound_batches, give_back, map_batches, staged
 
 ROLES = ("system", "user", "assistant")
 STATES = 2 * len(ROLES)  # role and, at odd places, going on
@@ -92,35 +92,56 @@ class Hmm:
         return path[::-1]
 
 
+def counts_of(role: str, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a row's lines add to the emissions, one after the other by feature, and how many steps it has inside: its first line begins its turn, the others go on."""
+    emit, state = [np.zeros((STATES, n), np.int64) for n in SIZES], 2 * ROLES.index(role)
+    for k, e in enumerate(emit):
+        e[state] += np.bincount(features[:1, k], minlength=SIZES[k])
+        e[state + 1] += np.bincount(features[1:, k], minlength=SIZES[k])
+    return np.concatenate([e.ravel() for e in emit]), np.array([min(1, len(features) - 1), max(0, len(features) - 2)])
+
+
 def fit(rows: list[tuple]) -> Hmm:
-    """From rows of (conversation, role, text), sorted: a row's first line begins its turn, the others go on."""
+    """From (conversation, role, counts_of) of rows in order."""
     start, step = np.ones(STATES), np.ones((STATES, STATES))
-    emit = [np.ones((STATES, n)) for n in SIZES]
+    emit = np.concatenate([np.ones(STATES * n) for n in SIZES])
     last_key, last = None, -1
-    for key, role, text in rows:
-        for k, f in enumerate(features_of(text)):
-            state = 2 * ROLES.index(role) + (k > 0)
-            if key != last_key:
-                start[state] += 1
-            else:
-                step[last, state] += 1
-            for e, x in zip(emit, f, strict=True):
-                e[state, x] += 1
-            last_key, last = key, state
-    return Hmm(np.log(start / start.sum()), np.log(step / step.sum(1, keepdims=True)), [np.log(e / e.sum(1, keepdims=True)) for e in emit])
+    for key, name, (lines, inner) in rows:
+        role = ROLES.index(name)
+        if key != last_key:
+            start[2 * role] += 1
+        else:
+            step[last, 2 * role] += 1
+        step[2 * role, 2 * role + 1] += inner[0]
+        step[2 * role + 1, 2 * role + 1] += inner[1]
+        emit += lines
+        last_key, last = key, 2 * role + int(inner[0] > 0)
+    tables = [e.reshape(STATES, n) for e, n in zip(np.split(emit, np.cumsum([STATES * n for n in SIZES])[:-1]), SIZES, strict=True)]
+    return Hmm(np.log(start / start.sum()), np.log(step / step.sum(1, keepdims=True)), [np.log(e / e.sum(1, keepdims=True)) for e in tables])
 
 
 def learn(transcripts: DataFrame) -> Hmm:
-    """The model of a sample of whole conversations of transcripts (conv_id, turn, role, text), about SAMPLE rows at most."""
+    """The model of a sample of whole conversations of transcripts (conv_id, turn, role, text), about SAMPLE rows at most.
+
+    What goes to the driver of a row are its counts, some hundred numbers, whatever its length.
+    """
     known = transcripts.filter(F.col("role").isin(*ROLES) & F.col("conv_id").isNotNull())
     share = min(1.0, SAMPLE / max(1, known.count()))
     draw = F.pmod(F.xxhash64("conv_id", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30))
     nth = F.pmod(F.xxhash64("conv_id", "turn", "text"), F.lit(1 << 30)) < int(share * (1 << 30))
     # a conversation as large as the sample itself is thinned by rows instead, so the bound holds
     large = known.groupBy("conv_id").agg(F.count("*").alias("n")).filter(F.col("n") > SAMPLE // 10).select("conv_id")
-    rows = known.join(large, "conv_id", "left_anti").filter(draw).union(known.join(large, "conv_id", "left_semi").filter(nth)).select("conv_id", "turn", "role", "text").collect()
-    rows.sort(key=lambda r: (r.conv_id, r.turn if r.turn is not None else -1, r.text or ""))
-    return fit([(r.conv_id, r.role, r.text) for r in rows])
+    taken = known.join(large, "conv_id", "left_anti").filter(draw).union(known.join(large, "conv_id", "left_semi").filter(nth))
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [counts_of(role, features_of(text)) for role, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        counts = pa.array([np.concatenate(f).tolist() for f in found], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), batch.column(2), counts], names=["conv_id", "turn", "h", "role", "counts"])
+
+    columns = taken.select(F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text", F.xxhash64("text").alias("h"))
+    rows = map_batches(columns, each, "conv_id string, turn long, h long, role string, counts array<long>").collect()
+    rows.sort(key=lambda r: (r.conv_id, r.turn if r.turn is not None else -1, r.h, r.role, r.counts))
+    return fit([(r.conv_id, r.role, (np.array(r.counts[:-2]), r.counts[-2:])) for r in rows])
 
 
 def render(text: str | None, states: list[int]) -> tuple[str, list[str]]:

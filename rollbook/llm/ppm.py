@@ -18,7 +18,7 @@ broadcast, the rest meets its counts in a shuffled join. So every count takes pa
 
 Scale: partial counts are shuffled; scoring is a map with vectorised trie lookups; only rare tokens and symbols in rare
 contexts are shuffled again, by symbol and context and not by block, so that a hot one can be split. A block has about BLOCK
-nodes of the highest order, or those of one two-byte ending.
+nodes of the highest order; a two-byte ending with more is dealt out by four-byte endings.
 
 Defined cases: null and empty texts have the end token only; null ids count as training rows (crc32 of empty text); repeated
 rows count as often as they occur; without training rows all symbols are equally likely; other columns are ignored.
@@ -326,18 +326,31 @@ def rare_logs(grams: DataFrame, asked: DataFrame, least: int) -> DataFrame:
     """gram and log, the symbol's log10 probability: all grams in contexts of a total under least, and those asked that grams lacks.
 
     grams: count_grams of the training texts; asked: grams in contexts that have a total under least or none.
+
+    A task takes the grams of some endings (the last two bytes of a context), so all counts of orders 2 and more are its own; those of orders 0 and 1 are broadcast.
+    An ending of more than BLOCK grams is dealt out by two bytes more, of which a value has 65,536 grams at most; its parts get the counts of orders 2 and 3 along.
     """
     short = grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 16) - 1)).alias("cell")).agg(F.sum("n").alias("n")).toArrow()  # at most 65,535 rows
     key, n = short.column(0).to_numpy().astype(np.uint64), short.column(1).to_numpy()
     low = grams.sparkSession.sparkContext.broadcast([_marginal(key, n, k) for k in (0, 1)])
-    blocks = 1 + grams.count() // BLOCK
+    ending = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 16) - 1))
+    new_ones = staged(asked.select("gram").distinct(), "asked")
+    both = grams.select("gram", "n", F.lit(ORDER).alias("order")).union(new_ones.select("gram", F.lit(0).cast("long"), F.lit(ORDER)))
+    endings = staged(both.groupBy(ending.alias("ending")).agg(F.count("*").alias("c")), "endings")  # at most 65,536 rows
+    blocks = 1 + (endings.agg(F.sum("c")).first()[0] or 0) // BLOCK
+    parts = F.broadcast(endings.select("ending", F.when(F.col("c") > BLOCK, F.ceil(F.col("c") / BLOCK)).otherwise(0).cast("int").alias("parts")))
 
     def each(block: pa.Table) -> pa.Table:
-        key, n = block.column("gram").to_numpy().view(np.uint64), block.column("n").to_numpy()
-        new, order = np.unique(key[n == 0]), np.flatnonzero(n)
+        key, n, of = block.column("gram").to_numpy().view(np.uint64), block.column("n").to_numpy(), block.column("order").to_numpy()
+        levels: list[tuple[np.ndarray, np.ndarray]] = []
+        for k in range(2, 4):
+            cell = np.flatnonzero(of == k)
+            cell = cell[np.argsort(key[cell])]
+            levels.append((key[cell], n[cell]))
+        new, order = np.unique(key[(of == ORDER) & (n == 0)]), np.flatnonzero((of == ORDER) & (n > 0))
         order = order[np.argsort(key[order])]
         key, n = key[order], n[order]
-        trie = build_trie([*low.value, *(_marginal(key, n, k) for k in range(2, ORDER)), (key, n)])
+        trie = build_trie([*low.value, *(levels[k - 2] if k < 4 and len(levels[k - 2][0]) else _marginal(key, n, k) for k in range(2, ORDER)), (key, n)])
         _, starts, own = np.unique(key >> np.uint64(8), return_index=True, return_inverse=True)
         rare = np.add.reduceat(n, starts)[own] < least if len(n) else np.empty(0, bool)
         at = np.searchsorted(key, new)
@@ -345,9 +358,15 @@ def rare_logs(grams: DataFrame, asked: DataFrame, least: int) -> DataFrame:
         logs = np.concatenate([trie.seen_first[len(trie.cell) - len(key) :][rare], Scorer(trie).logs(new)])
         return pa.table({"gram": np.concatenate([key[rare], new]).view(np.int64), "log": logs.astype(np.float64)})
 
-    ending = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 16) - 1))
-    both = grams.select("gram", "n").union(asked.select("gram").distinct().select("gram", F.lit(0).cast("long")))
-    return both.groupBy(F.pmod(F.xxhash64(ending), F.lit(blocks)).alias("block")).applyInArrow(each, "gram long, log double")
+    dealt = both.withColumn("ending", ending).join(parts, "ending")
+    longer = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 32) - 1))
+    block = F.when(F.col("parts") > 0, -1 - F.col("ending")).otherwise(F.pmod(F.xxhash64("ending"), F.lit(blocks))).cast("long")
+    rows = dealt.select("gram", "n", "order", block.alias("block"), F.when(F.col("parts") > 0, F.pmod(F.xxhash64(longer), F.col("parts"))).otherwise(0).cast("int").alias("part"))
+    split = dealt.filter("parts > 0 and n > 0")
+    for k in (2, 3):
+        cells = split.groupBy("ending", "parts", F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
+        rows = rows.union(cells.select("gram", "n", F.lit(k), (-1 - F.col("ending")).cast("long"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
+    return rows.groupBy("block", "part").applyInArrow(each, "gram long, log double")
 
 
 def _ready(model: tuple[Trie, dict[bytes, int]]) -> tuple[Scorer, dict[bytes, int]]:

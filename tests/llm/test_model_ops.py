@@ -269,7 +269,7 @@ def test_rows_without_conversation_stay_apart(spark):
 def test_chunk_borders_equal_one_pass():
     r = random.Random(3)
     rows = [(1, r.choice(chat.ROLES), r.choice(("hello there", "", "how are you?", "fine. " * 20))) for _ in range(60)]
-    model = chat.fit(rows)
+    model = chat.fit([(c, role, chat.counts_of(role, chat.features_of(t))) for c, role, t in rows])
     features = np.concatenate([chat.features_of(t) for _, _, t in rows])
     whole = model.decode(features, -1, -1)
     assert model.decode(features[:20], -1, whole[19]) == whole[:20] and model.decode(features[20:], whole[19], whole[-1]) == whole[20:]
