@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rollbook.functions.common import blank, messages, when_first
 from rollbook.functions.confidence import is_low
 from rollbook.functions.mapping import Mapping, export_checks, export_summary, record_errors
+from rollbook.operators.ranks import order_statistics
 from rollbook.schema import CRITICAL, FIELDS, IMPORTANT, TEXT_FIELDS, field_class
 
 
@@ -86,24 +87,21 @@ def field_statistics(scored: DataFrame) -> DataFrame:
 
 
 def quartiles(scored: DataFrame, value: str = "overall") -> DataFrame:
-    """n, q1, q2, q3: order statistics n div 4 and 3n div 4 (least and most below 4 values) and the median.
-
-    Values are counted first, so what is ordered in one task is a row for each distinct value (scores of six decimals have a
-    million at most), not for each record.
-    """
-    counted = scored.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    order = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.select("v", F.sum("c").over(order).alias("upto"), F.sum("c").over(Window.partitionBy()).alias("n"))
-    at = lambda k: F.min(F.when(F.col("upto") > F.expr(k), F.col("v")))
-    out = ranked.agg(F.max("n").alias("n"), at("if(n < 4, 0, n div 4)").alias("q1"), at("(n - 1) div 2").alias("a"), at("n div 2").alias("b"), at("if(n < 4, n - 1, 3 * n div 4)").alias("q3"))
-    return out.select("n", "q1", ((F.col("a") + F.col("b")) / 2).alias("q2"), "q3")
+    """n, q1, q2, q3: order statistics n div 4 and 3n div 4 (least and most below 4 values) and the median (A7, W5); nulls without any value. Selected over ranges of values: no task orders all rows."""
+    n = scored.select(F.count(value)).first()[0]
+    schema = "n long, q1 double, q2 double, q3 double"
+    if not n:
+        return scored.sparkSession.createDataFrame([(None, None, None, None)], schema)
+    q1, q3 = (n // 4, 3 * n // 4) if n >= 4 else (0, n - 1)
+    at = order_statistics(scored, value, [q1, (n - 1) // 2, n // 2, q3])
+    return scored.sparkSession.createDataFrame([(n, at[q1], (at[(n - 1) // 2] + at[n // 2]) / 2, at[q3])], schema)
 
 
 def distribution(scored: DataFrame) -> DataFrame:
-    """Mean, sample deviation, least, most, median and quartiles of the overall confidence, which is rounded to six places for the last."""
+    """Mean, sample deviation, least, most, median and quartiles of the overall confidence."""
     one = F.lit(1).alias("one")
     plain = scored.agg(F.avg("overall").alias("mean"), F.coalesce(F.stddev_samp("overall"), F.lit(0.0)).alias("std"), F.min("overall").alias("min"), F.max("overall").alias("max")).select(one, "*")
-    order = quartiles(scored.select(F.round("overall", 6).alias("overall"))).select(one, F.col("q2").alias("median"), "q1", "q3")
+    order = quartiles(scored).select(one, F.col("q2").alias("median"), "q1", "q3")
     return plain.join(order, "one").drop("one")
 
 

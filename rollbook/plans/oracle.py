@@ -391,11 +391,11 @@ SQL: dict[str, str] = {
 select session_id, total, valid, flagged, round(confidence, 6) as confidence, {case(*[(f'confidence >= {c} and valid / total >= {v}', q(n)) for c, v, n in ((0.9, 0.95, 'excellent'), (0.8, 0.85, 'good'), (0.7, 0.7, 'acceptable'), (0.5, 0.5, 'poor'))], other=q('critical'))} as level from s""",
     "a05_flag_reasons": f"{CHECKED}, r as (select record_id, {_REASON} as reason from ck) select * from r where reason <> ''",
     "a06_field_statistics": f"{SCORED} select field, count(*) filter (filled) as populated, round(count(*) filter (filled) / count(*), 6) as rate, round(avg(score), 6) as avg_confidence, min(score) as min_confidence, round(max(score), 6) as max_confidence, round(coalesce(stddev_samp(score), 0), 6) as std_confidence from ({long('sc')}) group by field",
-    "a06_distribution": f"""{SCORED}, o as (select round(overall, 6) as v, row_number() over (order by round(overall, 6)) - 1 as k, count(*) over () as n from sc),
+    "a06_distribution": f"""{SCORED}, o as (select overall as v, row_number() over (order by overall) - 1 as k, count(*) over () as n from sc),
 p as (select max(v) filter (k = case when n < 4 then 0 else n // 4 end) as q1, max(v) filter (k = case when n < 4 then n - 1 else 3 * n // 4 end) as q3, median(v) as median from o)
 select round(avg(overall), 6) as mean, round(coalesce(stddev_samp(overall), 0), 6) as std, round(min(overall), 6) as min, round(max(overall), 6) as max,
 round(any_value(p.median), 6) as median, round(any_value(p.q1), 6) as q1, round(any_value(p.q3), 6) as q3 from sc, p""",
-    "a07_quartiles": f"""{SCORED}, o as (select round(overall, 6) as v, row_number() over (order by round(overall, 6)) - 1 as k, count(*) over () as n from sc)
+    "a07_quartiles": f"""{SCORED}, o as (select overall as v, row_number() over (order by overall) - 1 as k, count(*) over () as n from sc)
 select max(n) as n, round(max(v) filter (k = case when n < 4 then 0 else n // 4 end), 6) as q1, round((max(v) filter (k = (n - 1) // 2) + max(v) filter (k = n // 2)) / 2, 6) as q2, round(max(v) filter (k = case when n < 4 then n - 1 else 3 * n // 4 end), 6) as q3 from o""",
     "a08_completeness": f"{REC}, w as (select {', '.join(f'avg(cast({filled(f)} as int)) as r_{f}' for f in FIELDS)} from rec) select {', '.join('round((' + ' + '.join(f'r_{f}' for f in FIELDS if field_class(f) == k) + f') / {sum(field_class(f) == k for f in FIELDS)}, 6) as {k}_avg' for k in ('critical', 'important', 'optional'))} from w",
     "a08_record_completeness": f"{REC}, x as (select ({' + '.join(f'cast({filled(f)} as int)' for f in FIELDS)}) / {len(FIELDS)} as x from rec) select round(avg(x), 6) as mean, round(min(x), 6) as min, round(max(x), 6) as max, round(coalesce(stddev_samp(x), 0), 6) as std from x",
@@ -529,6 +529,9 @@ b as (select doc_id, text, regexp_replace(regexp_replace(x, '([.!?])[ \t\x0b\f\r
 c as (select doc_id, list_filter(list_transform(string_split(replace(x, chr(1), '.'), chr(2)), lambda s: regexp_replace(s, '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$', '', 'g')), lambda s: s <> '') as s,
   regexp_extract_all(text, '{_TOKEN}') as t from b)
 select doc_id, len(s) as sentences, len(t) as tokens, coalesce(list_max(list_transform(s, lambda x: length(x))), 0) as longest, md5(coalesce(array_to_string(s, '|'), '')) as sentence_md5, md5(coalesce(array_to_string(t, '|'), '')) as token_md5 from c""",
+    "h04_cache_kept": """with e as (select md5(cast(event_id as varchar)) as key, ts, cast(trunc(abs(value) * 100) as bigint) as bytes from events where ts > timestamp '2024-01-29' and ts <= timestamp '2024-01-30'),
+r as (select key, bytes, sum(bytes) over (order by date_trunc('minute', ts) desc, key desc rows unbounded preceding) as run, sum(bytes) over () as whole from e)
+select key, bytes from r where whole <= 400000 or run <= 320000""",
     "st09_downloads": """with e as (select *, user_id % 500 as token from events), k as (select token, min(ts) as created from e where event_type = 'signup' group by token),
 v as (select event_id, token, ts, created, (select count(*) from e u where u.event_type = 'click' and u.token = e.token and u.ts >= created and u.ts < e.ts) as downloads from e left join k using (token) where event_type = 'view')
 select event_id, downloads, case when created is null or created > ts then 'Invalid download token' when ts > created + interval 7 days then 'Download link has expired' when downloads >= 10 then 'Download limit exceeded' when token % 9 = 0 then 'File no longer available' else '' end as problem from v""",

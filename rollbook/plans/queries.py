@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rollbook.functions import confidence, mapping, scoring, sentences, support, text, validation
 from rollbook.operators import asof, audit, entities, quality, records
 from rollbook.schema import FIELDS
-from rollbook.sources import fixtures, sinks
+from rollbook.sources import cache, fixtures, sinks
 from rollbook.streaming import inbox
 
 #: The day that rules about old and future dates are held against.
@@ -132,7 +132,7 @@ def a06_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def a07_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(quality.quartiles(scored(spark, sf_dir).select(r6("overall").alias("overall"))))
+    return rounded(quality.quartiles(scored(spark, sf_dir).select("overall")))
 
 
 @query
@@ -464,6 +464,13 @@ def st09_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select("event_id", "downloads", problem.alias("problem"))
 
 
+@query
+def h04_cache_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last day's events as cached results of up to 100 bytes a unit of value: which stay at a limit of 400 KB."""
+    e = table(spark, sf_dir, "events").select(F.md5(F.col("event_id").cast("string")).alias("key"), F.col("ts").alias("stored_at"), (F.abs("value") * 100).cast("long").alias("bytes"))
+    return cache.kept(cache.fresh(e, datetime(2024, 1, 30)), 400_000).select("key", "bytes")
+
+
 @query
 def s25_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.csv_lines(fixtures.licence_records(spark, sf_dir))

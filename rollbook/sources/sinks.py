@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import io
 import json
+import time
 import zipfile
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.functions.mapping import Mapping, export_rows
@@ -56,18 +58,24 @@ def package(parts: dict[str, str], metadata: dict) -> bytes:
     return out.getvalue()
 
 
-def complete_package(scored: DataFrame, folder: str, quality: DataFrame) -> bytes:
+def complete_package(scored: DataFrame, folder: str, quality: DataFrame, now: datetime | None = None) -> bytes:
     """The whole export (S27): all records and the flagged ones as CSV parts below folder, and a zip of the quality report and the metadata, whose texts are small.
 
-    quality: part and body, as quality.report_json gives them.
+    quality: part and body, as quality.report_json gives them. The counts of the metadata are observed while the first part is written, and
+    the second is written from the same, kept rows: records are computed once.
     """
-    for name, rows in (("extracted_data", scored), ("flagged_records", scored.filter("flagged"))):
+    began = time.monotonic()
+    seen = Observation("package")
+    kept = scored.persist()
+    counted = kept.observe(seen, F.count("*").alias("n"), F.coalesce(F.avg("overall"), F.lit(0.0)).alias("mean"), F.count_if("flagged").alias("flagged"))
+    for name, rows in (("extracted_data", counted), ("flagged_records", kept.filter("flagged"))):
         download_rows(rows).write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{folder}/{name}")
-    total, mean, flagged = scored.agg(F.count("*"), F.coalesce(F.avg("overall"), F.lit(0.0)), F.count_if("flagged")).first()
+    kept.unpersist()
     report: dict[str, list] = {}
     for r in quality.collect():
         report.setdefault(r["part"], []).append(json.loads(r["body"]))
-    return package({"quality_report.json": json.dumps(report, sort_keys=True)}, {"total_records": total, "average_confidence": mean, "flagged_records_count": flagged})
+    about = {"total_records": seen.get["n"], "average_confidence": seen.get["mean"], "flagged_records_count": seen.get["flagged"], "processing_time": round(time.monotonic() - began, 3)}
+    return package({"quality_report.json": json.dumps(report, sort_keys=True)}, about | ({"processing_timestamp": now.isoformat()} if now else {}))
 
 
 def compression_ratio(compressed: int, original: int) -> float:
