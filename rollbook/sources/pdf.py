@@ -213,10 +213,21 @@ class Rule(NamedTuple):
     y1: float
 
 
+class Placed(NamedTuple):
+    """A picture's object and the box it fills on the page."""
+
+    number: int
+    x0: float
+    y0: float
+    x1: float
+    y1: float
+
+
 @dataclass
 class Layout:
     runs: list[Run] = field(default_factory=list)
     rules: list[Rule] = field(default_factory=list)
+    pictures: list[Placed] = field(default_factory=list)
 
     def text(self) -> str:
         out: list[str] = []
@@ -346,6 +357,11 @@ class _Drawing:
     def _form(self, name: bytes, resources: bytes, ctm: Matrix, inside: tuple[int, ...]) -> None:
         number = next((int(k) for x, k in _NAMED.findall(self.pdf._dictionary(resources, b"XObject")) if x == name), None)
         body = self.pdf.objects.get(number, b"")
+        if number is not None and re.search(rb"/Subtype\s*/Image\b", body):
+            corners = [_at(ctm, x, y) for x in (0.0, 1.0) for y in (0.0, 1.0)]
+            xs, ys = zip(*corners, strict=True)
+            self.out.pictures.append(Placed(number, min(xs), min(ys), max(xs), max(ys)))
+            return
         if number is None or number in inside or len(inside) >= _DEEP or not re.search(rb"/Subtype\s*/Form\b", body):
             return
         m = [float(x) for x in re.findall(rb"[-+]?\d*\.?\d+", self.pdf._array(body, b"Matrix"))]
