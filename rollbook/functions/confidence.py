@@ -89,14 +89,23 @@ def method_score(method: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in METHODS.items() for x in p]), F.lower(method)), F.lit(0.5))
 
 
-def confidence(field: str, value: Column, context: Column, method: Column, normalized: Column | None = None, consistency: float = 0.0) -> Column:
-    """A field's confidence from its factors. Consistency isn't computed by the model and stays 0 unless given."""
+def factors(field: str, value: Column, context: Column, method: Column, normalized: Column | None = None, consistency: float = 0.0) -> dict[str, Column]:
+    """What a field's confidence is made of, by the names of FACTORS. Consistency isn't computed by the model and stays 0 unless given."""
     kind = field_type(field)
     best = value if normalized is None else F.when(_empty(normalized), value).otherwise(normalized)
-    parts = {"pattern": pattern_score(kind, best), "context": context_score(kind, context), "format": format_score(kind, best), "length": length_score(kind, value), "consistency": F.lit(consistency), "method": method_score(method)}
+    return {"pattern": pattern_score(kind, best), "context": context_score(kind, context), "format": format_score(kind, best), "length": length_score(kind, value), "consistency": F.lit(consistency), "method": method_score(method)}
+
+
+def weighed(parts: dict[str, Column]) -> Column:
+    """The confidence that factors come to."""
     return F.least(F.greatest(sum((parts[k] * w for k, w in FACTORS.items()), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
 
 
+def confidence(field: str, value: Column, context: Column, method: Column, normalized: Column | None = None, consistency: float = 0.0) -> Column:
+    """A field's confidence from its factors."""
+    return weighed(factors(field, value, context, method, normalized, consistency))
+
+
 def is_low(field: str, score: Column) -> Column:
     return score < THRESHOLDS[field_type(field)]
 

@@ -253,6 +253,17 @@ def efficiency(states: DataFrame, log: DataFrame) -> DataFrame:
     )
 
 
+def service_health(checks: DataFrame, fallbacks: dict[str, str]) -> DataFrame:
+    """name, status, last_check and `use` of each service, by its last check (name, ts, healthy; null: the check itself failed) (H3).
+
+    use: the service itself if healthy, else its fallback, else null, which is an error to its caller.
+    """
+    last = checks.groupBy("name").agg(F.max("ts").alias("last_check"), F.max_by(F.struct("healthy"), F.struct("ts", F.coalesce(F.col("healthy").cast("int"), F.lit(-1)))).alias("last"))
+    status = F.when(F.col("last.healthy"), "healthy").when(~F.col("last.healthy"), "unhealthy").otherwise("error")
+    other = F.create_map(*[F.lit(x) for p in fallbacks.items() for x in p]) if fallbacks else F.lit(None).cast("map<string,string>")
+    return last.select("name", status.alias("status"), "last_check", F.when(status == "healthy", F.col("name")).otherwise(F.try_element_at(other, F.col("name"))).alias("use"))
+
+
 def system_status(services: DataFrame) -> DataFrame:
     """One row of services (name, status): the whole's health, how many there are and how many are healthy (H3)."""
     n, good = F.count("*"), F.count_if(F.col("status") == "healthy")

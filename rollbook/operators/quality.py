@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.functions.common import blank, messages, when_first
-from rollbook.functions.confidence import is_low
+from rollbook.functions.confidence import THRESHOLDS, factors, field_type, is_low, weighed
 from rollbook.functions.mapping import Mapping, export_checks, export_summary, record_errors
 from rollbook.operators.ranks import order_statistics
 from rollbook.schema import CRITICAL, FIELDS, IMPORTANT, TEXT_FIELDS, field_class
@@ -178,6 +178,17 @@ def document_report(scored: DataFrame) -> DataFrame:
     return bound.select("record_id", F.lit(len(FIELDS)).alias("n"), "mean", median.alias("median"), F.array_min("s").alias("least"), F.array_max("s").alias("most"), spread.alias("std"), "flagged_fields", advice.alias("advice"))
 
 
+def field_analysis(records: DataFrame, contexts: dict[str, str], method: str = "regex_pattern") -> DataFrame:
+    """For each record and field of contexts: confidence, the field's threshold, whether it is reached, the method and the six factors (A17's field_analysis)."""
+    rows = []
+    for f, context in contexts.items():
+        parts = factors(f, F.col(f).cast("string"), F.lit(context), F.lit(method))
+        bound = THRESHOLDS[field_type(f)]
+        score = weighed(parts)
+        rows.append(F.struct(F.lit(f).alias("field"), score.alias("confidence_score"), F.lit(bound).alias("threshold"), (score >= bound).alias("above_threshold"), F.lit(method).alias("extraction_method"), *[c.cast("double").alias(f"{k}_factor") for k, c in parts.items()]))
+    return records.select("record_id", F.inline(F.array(*rows)))
+
+
 def edit_summary(edits: DataFrame) -> DataFrame:
     """For each record of edits (scored, with the values before as was_<field>): changed fields, mean confidence and fields by status."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))

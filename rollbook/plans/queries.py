@@ -16,6 +16,8 @@ from rollbook.streaming import inbox
 
 #: The day that rules about old and future dates are held against.
 AS_OF = date(2001, 8, 1)
+#: What stands before a field in its text.
+CONTEXT = {"council": "Council: ", "reference": "Licence reference no ", "hmo_address": "Property address: ", "licence_start": "Start date ", "hmo_manager_name": "HMO manager: ", "max_occupancy": ""}
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -88,9 +90,8 @@ def c01_record_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def c12_extraction_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rec = fixtures.licence_records(spark, sf_dir)
-    context = {"council": "Council: ", "reference": "Licence reference no ", "hmo_address": "Property address: ", "licence_start": "Start date ", "hmo_manager_name": "HMO manager: ", "max_occupancy": ""}
-    made = [confidence.confidence(f, F.col(f).cast("string"), F.lit(c), F.lit("regex_pattern")).alias(f"k_{f}") for f, c in context.items()]
-    low = [confidence.is_low(f, F.col(f"k_{f}")).alias(f"low_{f}") for f in context]
+    made = [confidence.confidence(f, F.col(f).cast("string"), F.lit(c), F.lit("regex_pattern")).alias(f"k_{f}") for f, c in CONTEXT.items()]
+    low = [confidence.is_low(f, F.col(f"k_{f}")).alias(f"low_{f}") for f in CONTEXT]
     return rounded(rec.select("record_id", *made).select("*", *low))
 
 
@@ -286,12 +287,65 @@ def a30_edit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def a31_processing_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is counted over each document as a PDF without tables: parts below 0.7 are flagged. documents.processed has this for files."""
     d = table(spark, sf_dir, "documents")
     found = text.basic_data(F.col("text"))
     sized = d.select("doc_id", "text", F.coalesce(F.length("text"), F.lit(0)).alias("n"), *[F.coalesce(F.size(c), F.lit(0)).alias(k) for k, c in found.items()])
     fields = sum((F.when(F.col(k) > 0, 1).otherwise(0) for k in found), F.lit(0))
     score = confidence.document_confidence("pdf", F.col("n"), {k: F.col(k) for k in found}, F.lit(0))
-    return sized.select("doc_id", F.col("n").alias("text_length"), fields.alias("fields_extracted"), text.needs_ocr(F.col("text")).alias("ocr_used"), score["average"].alias("average_confidence"))
+    parts = [p for p in score if p not in ("average", "tables")]
+    low = F.array_compact(F.array(*[F.when(F.round(score[p], 9) < 0.7, p) for p in parts]))
+    average = F.round(sum((score[p] for p in parts), F.lit(0.0)) / len(parts), 3)
+    return sized.select("doc_id", F.col("n").alias("text_length"), fields.alias("fields_extracted"), text.needs_ocr(F.col("text")).alias("ocr_used"), average.alias("average_confidence"), F.array_join(low, ",").alias("flagged_fields"), F.size(low).alias("fields_flagged"))
+
+
+@query
+def a17_field_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(quality.field_analysis(fixtures.licence_records(spark, sf_dir), CONTEXT))
+
+
+@query
+def h03_service_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' event streams as services: a check is good if its value is above 20, and fails itself if the event is an error."""
+    e = table(spark, sf_dir, "events")
+    checks = e.select(F.concat(F.lit("service_"), (F.col("user_id") % 40).cast("string")).alias("name"), "ts", F.when(F.col("event_type") != "error", F.col("value") > 20).alias("healthy"))
+    return audit.service_health(checks, {f"service_{k}": f"fallback_{k}" for k in range(0, 40, 3)})
+
+
+@query
+def h10_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The memory that exports of each customer's orders take, a hundred records an order, in batches of a thousand."""
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg((F.count("*") * 100).alias("records"))
+    return rounded(o.select("o_custkey", support.memory_estimate(F.col("records"), 1000).alias("m")).select("o_custkey", "m.*"))
+
+
+@query
+def h12_upload_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as uploads: a hundred characters a page, a MB for each 500."""
+    d = table(spark, sf_dir, "documents").withColumn("n", F.coalesce(F.length("text"), F.lit(0)))
+    records = F.floor(F.size(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("licence|license"), F.lit(0))) / 5)
+    advice = support.upload_advice(F.col("n") / 500, ~text.needs_ocr(F.col("text")), records, F.when(F.col("doc_id") % 2 == 0, ".pdf").otherwise(".docx"), F.floor(F.col("n") / 100))
+    return d.select("doc_id", F.array_join(advice, "|").alias("advice"))
+
+
+@query
+def r04_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of three fields as a map, with the penalty for records of every third session, which are taken as read by a fallback."""
+    fields = ("council", "reference", "hmo_address")
+    s = scored(spark, sf_dir)
+    scores = F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f"s_{f}").cast("double"))])
+    out = s.select("record_id", records.with_penalty(scores, F.col("session_id").isin("S0", "S3", "S6")).alias("m"))
+    return rounded(out.select("record_id", *[F.col("m")[f].alias(f) for f in fields]))
+
+
+@query
+def r06_table_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's brand as a table of three columns whose rows have one to four cells: short rows padded, cells too many dropped."""
+    part = table(spark, sf_dir, "part")
+    cells = F.slice(F.array("p_name", "p_type", F.col("p_size").cast("string"), F.lit("too many")), F.lit(1), (F.col("p_partkey") % 4 + 1).cast("int"))
+    tables = part.groupBy(F.col("p_brand").alias("doc")).agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", cells.alias("row")))), lambda x: x["row"]).alias("rows"))
+    out = records.table_records(tables.select("doc", F.array(F.lit("name"), F.lit("type"), F.lit("size")).alias("headers"), "rows"))
+    return out.select("doc", "i", *[F.col("record")[c].alias(c) for c in ("name", "type", "size")])
 
 
 @query
