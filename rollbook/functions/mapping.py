@@ -50,9 +50,9 @@ UI_NAMES = {
         "number_of_shared_toilets": "Shared Toilet Facilities", "number_of_storeys": "Number of Storeys",
     },
 }
+# The shown presets' bounds and required fields.
 UI_BOUNDS = {"default": (0.8, 0.6, 0.4), "minimal": (0.7, 0.5, 0.3), "comprehensive": (0.9, 0.7, 0.5)}
 UI_REQUIRED = {"default": ("council", "reference", "hmo_address"), "minimal": ("council", "reference", "hmo_address"), "comprehensive": ("council", "reference", "hmo_address", "licence_start", "licence_expiry")}
-UI_STRICT = {"default": True, "minimal": False, "comprehensive": True}
 
 
 @dataclass

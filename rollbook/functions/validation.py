@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rollbook.functions.common import date_of_parts, date_parts, has_any, messages, strip, weighted_mean, when_first
 from rollbook.schema import COUNT_FIELDS, FIELDS, TEXT_FIELDS, VALIDATOR_WEIGHTS
 
-# The words and patterns of the rules.
+# The words and patterns of the rules, and below the texts of their messages.
 COUNCIL_WORDS = ("council", "borough", "city", "district", "county", "authority")
 STREET_WORDS = (
     "street", "road", "avenue", "lane", "drive", "close", "way", "place", "crescent", "gardens", "park", "square",

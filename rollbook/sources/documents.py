@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from rollbook.functions import confidence, support, text
+from rollbook.functions.common import strip
 from rollbook.functions.headers import header_like
 from rollbook.sources.pdf import read_pdf
 
@@ -158,6 +159,39 @@ def processed(extracts: DataFrame, recognised: DataFrame | None = None, threshol
     )
 
 
+#: Pages of a PDF that are looked at before it is taken: a fixed value.
+LOOKED_AT = 3
+
+
+def upload_analysis(files: DataFrame) -> DataFrame:
+    """What checked files hold, before they are taken (S22, H12): path, page_count, has_text, text_length, estimated_records, info, warnings and recommendations.
+
+    Of a PDF the first pages are read, and all are counted; a word document is one page, its tables' cells count as text. What is estimated
+    is 0 without text. Files that can't be taken or read have a warning.
+    """
+    few = extracted(files, {"pdf": lambda content: read_pdf(content, LOOKED_AT, with_tables=False)})
+    kind, mb = support.document_type(F.col("path")), F.col("length") / (1 << 20)
+    # cells of the tables, and of their headings where these are the document's own
+    cells = F.flatten(F.transform("tables", lambda t: F.concat(F.when(t["headers"][0] == "Column_1", F.array().cast("array<string>")).otherwise(t["headers"]), F.flatten(t["rows"]))))
+    body = F.coalesce("text", F.lit(""))
+    word = F.concat(F.when(body == "", "").otherwise(F.concat(F.replace(body, F.lit("\n\n"), F.lit("\n")), F.lit("\n"))), F.array_join(F.transform(cells, lambda c: F.concat(c, F.lit(" "))), ""))
+    d = files.select("path", "length").join(few, "path").withColumn("looked", F.when(kind == "docx", word).otherwise(F.replace(body, F.lit("\n\n"), F.lit(""))))
+    paragraphs = F.when(body == "", 0).otherwise(F.size(F.split(body, "\n\n")))
+    has = F.length(strip(F.col("looked"))) > 0
+    d = d.select("path", mb.alias("mb"), kind.alias("type"), F.when(kind == "docx", 1).otherwise(F.coalesce("pages", F.lit(0))).alias("page_count"), has.alias("has_text"), F.length("looked").alias("text_length"),
+                 F.when(has, text.estimated_records(F.col("looked"))).otherwise(0).alias("estimated_records"), paragraphs.alias("paragraphs"), F.coalesce("table_count", F.lit(0)).alias("table_count"), "errors", "error", "status")
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) and " " in p else F.col(p).cast("string") for p in parts])
+    read = F.col("error").isNull()
+    info = F.array_compact(F.array(
+        F.when(read & (F.col("type") == "pdf"), say("PDF contains ", "page_count", " page(s)")), F.when(read & (F.col("type") == "docx"), say("Document contains ", "paragraphs", " paragraph(s) and ", "table_count", " table(s)")),
+        F.when(F.col("has_text"), say("Extracted ", "text_length", " characters of text")), F.when(F.col("has_text"), say("Estimated ", "estimated_records", " potential record(s)")),
+    ))
+    none = F.when(F.col("type") == "pdf", "No readable text found. Document may be scanned or corrupted.").otherwise("No readable text found in document.")
+    warnings = F.concat(F.coalesce("errors", F.array().cast("array<string>")), F.array_compact(F.array(F.when(~read, F.concat(F.upper("type"), F.lit(" analysis failed: "), "error")), F.when(read & ~F.col("has_text"), none))))
+    advice = support.upload_advice(F.col("mb"), F.col("has_text"), F.col("estimated_records"), F.concat(F.lit("."), "type"), F.col("page_count"))
+    return d.select("path", "page_count", "has_text", "text_length", "estimated_records", info.alias("info"), warnings.alias("warnings"), advice.alias("recommendations"))
+
+
 def with_fallback(first: DataFrame, second: DataFrame) -> DataFrame:
     """Extraction results with a second attempt's text where the first failed and the second has more of it."""
     b = second.select("path", F.col("text").alias("text2"))

@@ -151,6 +151,28 @@ def test_whole_results(spark, tmp_path):
     assert (c.status, c.error_count, c.error) == ("failed", 1, "ValueError: encrypted")
 
 
+def test_upload_analysis(spark, tmp_path):
+    """The first three of five pages, a scanned page, a word document with a table, a file that can't be read."""
+    from test_operators import docx
+
+    (tmp_path / "in").mkdir()
+    said = "licence holder manager occupancy licence holder "
+    (tmp_path / "in/a.pdf").write_bytes(made([put(72, 700, said + str(i)) for i in range(5)]))
+    (tmp_path / "in/b.pdf").write_bytes(made([b""] * 25))
+    (tmp_path / "in/c.docx").write_bytes(docx([("Licence register", "Heading1"), ("The holder",)], [["Name", "Reference"], ["hmo", "licence"]]))
+    (tmp_path / "in/d.pdf").write_bytes(b"%PDF-1.4 trailer << /Encrypt 9 0 R >>")
+    out = {r.path.rsplit("/", 1)[1][0]: r for r in documents.upload_analysis(documents.checked_files(spark, f"file://{tmp_path}/in")).collect()}
+    a, b, c, d = (out[k] for k in "abcd")
+    n = 3 * len(said + "0")
+    assert (a.page_count, a.has_text, a.text_length, a.estimated_records, a.warnings, a.recommendations) == (5, True, n, 18 // 5, [], [])
+    assert a.info == ["PDF contains 5 page(s)", f"Extracted {n} characters of text", "Estimated 3 potential record(s)"]
+    assert (b.page_count, b.has_text, b.estimated_records, b.warnings) == (25, False, 0, ["No readable text found. Document may be scanned or corrupted."])
+    assert [x.split(" ", 2)[0] for x in b.recommendations] == ["Document", "No", "Large"]
+    looked = "Licence register\nThe holder\nName Reference hmo licence "
+    assert (c.page_count, c.text_length, c.estimated_records) == (1, len(looked), 1) and c.info[0] == "Document contains 2 paragraph(s) and 1 table(s)"
+    assert (d.has_text, d.page_count, d.warnings) == (False, 0, ["PDF analysis failed: ValueError: encrypted"])
+
+
 def test_header_rules_agree(spark):
     """The plain rule and the column rule for headings."""
     cells = ["Name", "AB", "ABC", "x:y", "12", "", "  ", "three plain words", "four plain words here", "licence holder 12", "a#", "Ünï Cödé", "a_b", "Ref 1"]
