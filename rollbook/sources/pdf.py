@@ -174,6 +174,8 @@ class Pdf:
     def layout(self, page: int) -> Layout:
         """The pieces of text and the lines of a page, in the order they are drawn in."""
         content = b"\n".join(self.stream(n) for n in self.refs(self.objects[page], b"Contents"))
+        if b"ID" in content:  # pictures inside the stream, whose bytes are no operators
+            content = _INLINE.sub(b" ", content)
         out = Layout()
         _Drawing(self, out).run(content, self.resources(page), (1.0, 0.0, 0.0, 1.0, 0.0, 0.0), ())
         return out
@@ -369,6 +371,7 @@ class _Drawing:
         self.run(self.pdf.stream(number), own, _times(tuple(m), ctm) if len(m) == 6 else ctm, (*inside, number))
 
 
+_INLINE = re.compile(rb"(?<![^\s])BI\s+/[^()]*?\sID\s.*?\sEI(?![^\s])", re.S)
 _NAMED = re.compile(rb"/([^\s/<>\[\]()]+)\s+(\d+)\s+\d+\s+R")
 
 

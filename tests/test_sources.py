@@ -117,6 +117,11 @@ def test_streams_of_any_bytes_forms_and_errors():
     assert read_pdf(bad)["pages"] == 2
 
 
+def test_pictures_inside_a_stream_are_passed_over():
+    page = put(72, 700, "before the BI and ID words") + b"q BI /W 2 /H 2 /BPC 8 /CS /G ID (\x00Tj 1 0 0 1 9 9 Tm)( EI Q\n" + put(72, 680, "after")
+    assert read_pdf(made([page]))["text"] == "before the BI and ID words\nafter"
+
+
 def test_limits_are_parameters_and_are_told():
     content = made([put(72, 700, f"page {i}") for i in range(5)])
     few, all_ = read_pdf(content, max_pages=2), read_pdf(content, max_pages=None)
