@@ -101,7 +101,8 @@ def links(nodes: DataFrame) -> DataFrame:
     near = (F.col("a") < F.col("b")) & (F.expr("bit_count(a ^ b)") <= DISTANCE) & (F.shiftright("key", 32) == first)
 
     def joined(rows: DataFrame, on: list[str]) -> DataFrame:
-        return rows.withColumnRenamed("fp", "a").join(rows.withColumnRenamed("fp", "b"), on).filter(near).select("a", "b")
+        # merge: Spark's estimate takes the rows before they are exploded, and by it would broadcast the whole index
+        return rows.withColumnRenamed("fp", "a").hint("merge").join(rows.withColumnRenamed("fp", "b"), on).filter(near).select("a", "b")
 
     hot = staged(index.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key"), "hot-variants")
     if hot.isEmpty():

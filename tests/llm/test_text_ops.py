@@ -138,6 +138,12 @@ def test_links_at_every_distance(spark, monkeypatch, hot):
     assert got == want
 
 
+def test_links_never_broadcast_the_exploded_index(spark):
+    """Spark's estimate of the 64 rows of a node is that of one row, so a join that it chooses may send all to the driver."""
+    plan = simhash.links(spark.range(2000).withColumnRenamed("id", "fp"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(60).selectExpr("id + 1 as a", "id as b").union(spark.createDataFrame([(900, 950), (950, 930), (7, 7)], "a long, b long"))
     got = {r.node: r.root for r in simhash.components(edges).collect()}
