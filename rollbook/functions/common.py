@@ -39,6 +39,14 @@ def messages(*texts: Column) -> Column:
     return F.array_compact(F.array(*texts)) if texts else F.array().cast("array<string>")
 
 
+def fixed(c: Column | str, digits: int) -> Column:
+    """Text of a double with so many digits after the point, rounded by its exact value, halves to even, as C's and Python's formats do.
+
+    format_string rounds the shortest decimal that means the double, halves up: it makes 0.63 of 0.625.
+    """
+    return F.call_function("format_number", F.col(c) if isinstance(c, str) else c, F.lit("0." + "0" * digits))
+
+
 #: A date's parts: a year of four digits first, or a day or month first and a year of four or two digits last.
 DATE = r"^(\d{4}([/-])\d{1,2}\2\d{1,2}|\d{1,2}([/-])\d{1,2}\3(\d{4}|\d{2}))$"
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollbook.functions.common import blank, messages, when_first
+from rollbook.functions.common import blank, fixed, messages, when_first
 from rollbook.functions.confidence import THRESHOLDS, factors, field_type, is_low, weighed
 from rollbook.functions.mapping import Mapping, export_checks, export_summary, record_errors
 from rollbook.operators.ranks import order_statistics
@@ -65,7 +65,7 @@ def field_metrics(checked: DataFrame) -> DataFrame:
 
 def flag_reasons(confidence: float = 0.7, critical: float = 0.5) -> Column:
     """Why a checked record should be reviewed, joined by `; `; empty if it needn't be (A5)."""
-    two = lambda c: F.format_string("%.2f", c)
+    two = lambda c: fixed(c, 2)
     reasons = [F.when(F.col("v_score") < confidence, F.concat(F.lit("Low overall confidence ("), two(F.col("v_score")), F.lit(")"))), F.when(F.size("v_errors") > 0, F.concat(F.lit("Validation errors ("), F.size("v_errors"), F.lit(")")))]
     reasons += [F.when(F.col(f"s_{f}") < critical, F.concat(F.lit(f"Critical field '{f}' low confidence ("), two(F.col(f"s_{f}")), F.lit(")"))) for f in CRITICAL]
     reasons += [F.when(blank(F.col(f)), f"Critical field '{f}' is empty") for f in CRITICAL]
@@ -206,7 +206,7 @@ def recommendations(checked: DataFrame) -> DataFrame:
     poor = F.col("level").isin("poor", "critical")
     each = m.filter(F.col("field").isin(*CRITICAL) & (poor | (rate < 0.8))).select(
         F.when(poor, F.concat(F.lit("Critical field '"), "field", F.lit("' has "), "level", F.lit(" quality. Consider improving extraction methods or manual review.")))
-        .otherwise(F.concat(F.lit("Critical field '"), "field", F.lit("' is only populated in "), F.format_string("%.1f%%", rate * 100), F.lit(" of records. Review document parsing for this field.")))
+        .otherwise(F.concat(F.lit("Critical field '"), "field", F.lit("' is only populated in "), fixed(rate * 100, 1), F.lit("% of records. Review document parsing for this field.")))
         .alias("advice")
     )
     common = message_counts(checked).limit(1).select(F.concat(F.lit("Most common error: '"), "message", F.lit("' ("), F.col("n"), F.lit(" occurrences). Focus on resolving this issue first.")).alias("advice"))
@@ -250,8 +250,8 @@ def report_json(checked: DataFrame) -> DataFrame:
 def report_summary(checked: DataFrame, k: int = 5) -> DataFrame:
     """pos and line of the report's short form (A11): totals, then the k most frequent errors."""
     head = validation_summary(checked).select(F.inline(F.array(*[F.struct(F.lit(i).alias("pos"), c.alias("line")) for i, c in enumerate((
-        F.concat(F.lit("Records: "), "total"), F.concat(F.lit("Valid: "), "valid", F.lit(" ("), F.format_string("%.1f%%", F.coalesce("rate", F.lit(0.0)) * 100), F.lit(")")),
-        F.concat(F.lit("Confidence: "), F.format_string("%.2f", F.coalesce("confidence", F.lit(0.0)))),
+        F.concat(F.lit("Records: "), "total"), F.concat(F.lit("Valid: "), "valid", F.lit(" ("), fixed(F.coalesce("rate", F.lit(0.0)) * 100, 1), F.lit("%)")),
+        F.concat(F.lit("Confidence: "), fixed(F.coalesce("confidence", F.lit(0.0)), 2)),
     ))])))
     top = message_counts(checked).limit(k).select((F.row_number().over(Window.orderBy(F.desc("n"), "message")) + 2).alias("pos"), F.concat("message", F.lit(": "), "n").alias("line"))
     return head.unionByName(top)
@@ -278,5 +278,5 @@ def report_lines(records: DataFrame, mappings: list[Mapping], first: int = 20) -
     share = lambda c: F.coalesce(F.try_divide(F.lit(100.0) * F.col(c), F.col("n")), F.lit(0.0))
     label = F.element_at(F.create_map(*[F.lit(x) for m in mappings for x in (m.source, m.name)]), F.col("field"))
     at = F.array_position(F.array(*map(F.lit, names)), F.col("field"))
-    fields = export_checks(records, mappings).select(row(at + 100, F.format_string("  %s: %.1f%% empty, %.1f%% errors", label, share("n_empty"), share("n_errors"))).alias("r")).select("r.*")
+    fields = export_checks(records, mappings).select(row(at + 100, F.format_string("  %s: %s%% empty, %s%% errors", label, fixed(share("n_empty"), 1), fixed(share("n_errors"), 1))).alias("r")).select("r.*")
     return fixed.unionByName(listed).unionByName(fields).filter("line is not null")

@@ -11,6 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from rollbook.functions.common import fixed
 from rollbook.functions.mapping import Mapping, export_rows
 from rollbook.schema import FIELDS
 
@@ -36,7 +37,7 @@ def csv_lines(records: DataFrame, columns: tuple[str, ...] = SIMPLE) -> DataFram
 def download_rows(scored: DataFrame, with_confidence: bool = True, flagged: DataFrame | None = None) -> DataFrame:
     """Record fields and, if asked for, confidences with three decimals; only flagged records if their ids are given."""
     out = scored if flagged is None else scored.join(flagged.select("record_id"), "record_id", "left_semi")
-    return out.select(*FIELDS, *([F.format_string("%.3f", f"s_{f}").alias(f"{f}_confidence") for f in FIELDS] if with_confidence else []))
+    return out.select(*FIELDS, *([fixed(f"s_{f}", 3).alias(f"{f}_confidence") for f in FIELDS] if with_confidence else []))
 
 
 def save_session(records: DataFrame, path: str) -> None:

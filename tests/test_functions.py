@@ -116,3 +116,11 @@ def test_memory_estimate_and_upload_advice(spark):
     got = t.select(support.memory_estimate(F.col("n"), 1000).alias("m"), support.upload_advice(*map(F.col, ("mb", "has", "est", "ext", "pages"))).alias("a")).collect()
     assert [tuple(r.m) for r in got] == [(1000 / 1024, 50_000 / 1024, 1000), (1000 / 1024, 5 / 1024, 100), (1000 / 1024, 5_000 / 1024, 500)]
     assert [[x.split()[0] for x in r.a] for r in got] == [["Consider", "Document", "No", "Large"], [], ["Document", "No"]]
+
+
+def test_fixed_point_text_rounds_by_the_exact_value(spark):
+    """0.625 is a half and 0.615 is a little less than one: as C's and Python's formats, not as Java's."""
+    found = [0.625, 0.615, 0.125, 0.375, 0.675, 0.005, 1.005, 2.675, 0.9995, 0.9996, 0.0, 1.0, 99.95, 0.25, 0.05, 12.5, 0.0625, -0.625, -0.001, 1e-300, 123456.785, 1e15]
+    found += [k / 1000 for k in range(1000)] + [k / 16 for k in range(64)]
+    rows = spark.createDataFrame([(x,) for x in found], "x double").select("x", *[common.fixed("x", d).alias(f"d{d}") for d in (1, 2, 3)]).collect()
+    assert [tuple(r)[1:] for r in rows] == [tuple(f"{r.x:.{d}f}" for d in (1, 2, 3)) for r in rows]
