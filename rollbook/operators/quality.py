@@ -239,12 +239,32 @@ def four_way(score: Column) -> Column:
     return when_first((score >= 0.8, "excellent"), (score >= 0.6, "good"), (score >= 0.4, "warning"), other="error")
 
 
-def report_json(checked: DataFrame) -> DataFrame:
-    """part and body: the totals, a row for each field and the most frequent messages as JSON text, doubles with six places."""
-    parts = [("totals", validation_summary(checked)), ("field", field_metrics(checked)), ("message", top_messages(checked))]
-    rounded = lambda df: F.struct(*[F.round(F.col(c), 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-    made = [df.select(F.lit(name).alias("part"), F.to_json(rounded(df)).alias("body")) for name, df in parts]
-    return made[0].unionByName(made[1]).unionByName(made[2])
+def report_json(checked: DataFrame, k: int = 5) -> DataFrame:
+    """part and body: the totals, a row for each field and the k most frequent errors and warnings as JSON text, doubles with six places.
+
+    A record's totals, fields and messages are rows of one aggregation, so the rules run once; what is ranked and written are its groups.
+    """
+
+    def cell(part: str, key: Column, filled: Column, score: Column, e: Column = F.lit(0), w: Column = F.lit(0)) -> Column:
+        return F.struct(F.lit(part).alias("part"), key.cast("string").alias("key"), F.lit(1).alias("c"), filled.cast("boolean").alias("filled"), score.cast("double").alias("score"), e.cast("int").alias("e"), w.cast("int").alias("w"))
+
+    none = F.lit(None)
+    said = [F.transform("v_errors", lambda m: cell("error", m, none, none)), F.transform("v_warnings", lambda m: cell("warning", m, none, none))]
+    own = F.array(cell("totals", none, F.col("v_valid"), F.col("v_score")), *[cell("field", F.lit(f), populated(f), F.col(f"s_{f}"), mentions("v_errors", f), mentions("v_warnings", f)) for f in FIELDS])
+    # totals stand without records too
+    rows = checked.select(F.inline(F.concat(own, *said))).unionByName(checked.sparkSession.range(1).select(F.inline(F.array(cell("totals", none, none, none)))).withColumn("c", F.lit(0)))
+    groups = rows.groupBy("part", "key").agg(
+        F.sum("c").alias("n"), F.count_if("filled").alias("yes"), F.count_if(~F.col("filled")).alias("no"), F.avg("score").alias("mean"), F.min("score").alias("low"), F.max("score").alias("high"), F.sum("e").alias("e"), F.sum("w").alias("w"),
+    )
+    r6 = lambda c: F.round(c, 6)
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("n"), "key"))
+    level = field_quality(F.col("mean"), F.col("yes") / F.col("n"), F.col("e"), F.col("key"))
+    totals = F.struct(F.col("n").alias("total"), F.col("yes").alias("valid"), F.col("no").alias("invalid"), r6(F.try_divide("yes", "n")).alias("rate"), r6("mean").alias("confidence"))
+    field = F.struct(F.col("key").alias("field"), F.col("n").alias("total"), F.col("yes").alias("populated"), r6("mean").alias("avg_confidence"), r6("low").alias("min_confidence"), r6("high").alias("max_confidence"), F.col("e").alias("n_errors"), F.col("w").alias("n_warnings"), level.alias("level"))
+    message = F.struct(F.col("part").alias("kind"), F.col("key").alias("message"), "n")
+    kept = groups.withColumn("place", place).filter((F.col("place") <= k) | F.col("part").isin("totals", "field"))
+    body = F.when(F.col("part") == "totals", F.to_json(totals)).when(F.col("part") == "field", F.to_json(field)).otherwise(F.to_json(message))
+    return kept.select(F.when(F.col("part").isin("totals", "field"), F.col("part")).otherwise("message").alias("part"), body.alias("body"))
 
 
 def report_summary(checked: DataFrame, k: int = 5) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rollbook.functions import mapping, scoring, text
 from rollbook.operators import audit, batches, quality, records
+from rollbook.plans import queries
 from rollbook.sources import documents, fixtures, sinks
 from rollbook.sources.pdf import read_pdf
 from rollbook.streaming import inbox
@@ -255,3 +256,11 @@ def test_sliding_in_blocks(spark):
         want |= {r[0]: round(sum(x[3] for x in own[max(0, i - 6) : i + 1]) / min(7, i + 1), 9) for i, r in enumerate(own)}
     for block in (7, 10, 1000):
         assert {r.event_id: round(r.moving, 9) for r in audit.sliding(log, 7, block).collect()} == want
+
+
+def test_report_runs_the_rules_once_and_stands_without_records(spark, data):
+    checked = queries.checked(spark, data)
+    scans = lambda df: df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+    assert scans(quality.report_json(checked)) == scans(checked)
+    empty = quality.report_json(checked.filter("record_id is null")).collect()
+    assert [tuple(r) for r in empty] == [("totals", '{"total":0,"valid":0,"invalid":0}')]
