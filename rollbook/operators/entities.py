@@ -220,23 +220,46 @@ def train(examples: DataFrame, rounds: int = ROUNDS) -> Model:
     return Model(total.weights / rounds, total.steps / rounds)
 
 
-def spans_of(text: str, model: Model) -> list[tuple[str, str, int, int]]:
+def _sentence_spans(sentence: str, model: Model) -> list[tuple[str, int, int]]:
+    found = list(_TOKEN.finditer(sentence))
+    if not found or not any(_CASE.match(m[0]) for m in found):
+        return []
+    out, begin, label = [], None, None
+    tags = [TAGS[k] for k in model.tags(features([m[0] for m in found]))]
+    for i, tag in enumerate([*tags, "O"]):
+        if begin is not None and tag != f"I-{label}":
+            out.append((label, found[begin].start(), found[i - 1].end()))
+            begin = None
+        if tag != "O" and begin is None:
+            begin, label = i, tag[2:]
+    return out
+
+
+class Spans(dict):
+    """The spans (label, begin, end) of a sentence by a model, remembered for up to `most` sentences of up to `longest` characters: they depend on the sentence alone, and forms repeat theirs."""
+
+    most, longest = 1 << 16, 256
+
+    def __init__(self, model: Model) -> None:
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, sentence: str) -> list[tuple[str, int, int]]:
+        out = _sentence_spans(sentence, self.model)
+        if len(sentence) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[sentence] = out
+        return out
+
+
+def spans_of(text: str, model: Model | Spans) -> list[tuple[str, str, int, int]]:
     """(label, text, begin, end) of the entities of a text, in its order; offsets in code points, end exclusive."""
+    seen = model if isinstance(model, Spans) else Spans(model)
     out, at = [], 0
     for end, after in [*((m.start(), m.end()) for m in _BREAK.finditer(text)), (len(text), len(text))]:
-        found = list(_TOKEN.finditer(text, at, end))
+        out += [(label, text[at + a : at + b], at + a, at + b) for label, a, b in seen[text[at:end]]]
         at = after
-        if not found or not any(_CASE.match(m[0]) for m in found):
-            continue
-        begin = label = None
-        tags = [TAGS[k] for k in model.tags(features([m[0] for m in found]))]
-        for i, tag in enumerate([*tags, "O"]):
-            if begin is not None and tag != f"I-{label}":
-                a, b = found[begin].start(), found[i - 1].end()
-                out.append((label, text[a:b], a, b))
-                begin = None
-            if tag != "O" and begin is None:
-                begin, label = i, tag[2:]
     return out
 
 
@@ -245,9 +268,10 @@ def tagged(docs: DataFrame, model: Model, key: str, text: str = "text") -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Spans(shared.value)
         kind = pa.list_(pa.struct([("label", pa.string()), ("text", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            found = [[dict(zip(("label", "text", "begin", "end"), s, strict=True)) for s in spans_of(t or "", shared.value)] for t in batch.column(1).to_pylist()]
+            found = [[dict(zip(("label", "text", "begin", "end"), s, strict=True)) for s in spans_of(t or "", seen)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["key", "found"])
 
     out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, found array<struct<label:string,text:string,begin:int,end:int>>")

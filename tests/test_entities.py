@@ -108,3 +108,15 @@ def test_long_texts_are_linear():
     r = random.Random(1)
     long = " ".join(r.choice(["word", "Word.", "12,5", "x"]) for _ in range(100_000))
     assert E.spans_of(long, model) == []
+
+
+def test_a_sentence_is_tagged_once(monkeypatch):
+    """Forms repeat their lines: equal sentences have equal tags, wherever they stand."""
+    r = np.random.default_rng(5)
+    model = E.Model(r.normal(size=(1 << E.BITS, 7)), r.normal(size=(8, 7)))
+    calls = []
+    monkeypatch.setattr(E.Model, "tags", lambda self, found, of=E.Model.tags: calls.append(len(found)) or of(self, found))
+    one = "Manager: Jo Green\nKent County Council\n"
+    alone, many = E.spans_of(one, model), E.spans_of("  " + one * 50, model)
+    assert alone and many[: len(alone)] != alone and len(calls) <= 2 + 3
+    assert [(k, t, a - 2, b - 2) for k, t, a, b in many[-len(alone) :]] == [(k, t, a + 49 * len(one), b + 49 * len(one)) for k, t, a, b in alone]
