@@ -290,7 +290,7 @@ def report_lines(records: DataFrame, mappings: list[Mapping], first: int = 20) -
     more = F.when(F.col("errors") > first, F.concat(F.lit("  ... and "), (F.col("errors") - first).cast("string"), F.lit(" more errors")))
     rows = [(F.lit(i), x) for i, x in enumerate(head)] + [(F.lit(10), F.when(some, "Validation Errors:")), (F.lit(11), F.when(some, "-" * 18)), (F.lit(90), more), (F.lit(91), F.when(some, ""))]
     rows += [(F.lit(95), F.lit("Field Statistics:")), (F.lit(96), F.lit("-" * 17))]
-    fixed = total.select(F.inline(F.array(*[row(*x) for x in rows])))
+    framed = total.select(F.inline(F.array(*[row(*x) for x in rows])))
     names = [m.source for m in mappings]
     named = record_errors(records, mappings).withColumn("at", F.array_position(F.array(*map(F.lit, names)), F.col("field"))).orderBy("record_id", "at").limit(first)
     nth = F.row_number().over(Window.orderBy("record_id", "at"))
@@ -299,4 +299,4 @@ def report_lines(records: DataFrame, mappings: list[Mapping], first: int = 20) -
     label = F.element_at(F.create_map(*[F.lit(x) for m in mappings for x in (m.source, m.name)]), F.col("field"))
     at = F.array_position(F.array(*map(F.lit, names)), F.col("field"))
     fields = export_checks(records, mappings).select(row(at + 100, F.format_string("  %s: %s%% empty, %s%% errors", label, fixed(share("n_empty"), 1), fixed(share("n_errors"), 1))).alias("r")).select("r.*")
-    return fixed.unionByName(listed).unionByName(fields).filter("line is not null")
+    return framed.unionByName(listed).unionByName(fields).filter("line is not null")
