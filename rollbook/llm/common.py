@@ -1,4 +1,4 @@
-"""What several operators share: staged tables, bounded Arrow batches, word and window hashes."""
+"""What several operators share: staged tables, bounded Arrow batches, sieves of keys, word and window hashes."""
 
 from __future__ import annotations
 
@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 #: Largest Arrow batch handed to Python, in bytes and rows: long texts make small batches.
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 1000
+#: Bits of a sieve for each key and at most, which are 16 MB; bits that a key sets.
+SIEVE_BITS, SIEVE_MOST, SIEVE_HASHES = 12, 1 << 27, 4
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -70,6 +72,44 @@ def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(run, schema)
 
 
+def sieve(hashes: DataFrame) -> Broadcast:
+    """A Bloom filter of the 64-bit hashes in the only column, for `held` and `holds`: it keeps every row whose hash it was given and few others.
+
+    Only its bitmap comes to the driver, of SIEVE_MOST bits at most. With more than SIEVE_MOST / 8 hashes it keeps ever more other rows, so an exact
+    join must follow; what it saves is the shuffle of wide rows that no join needs.
+    """
+    hashes, size, part = hashes.toDF("h"), 1 << 15, 1 << 15  # the bits of one bitmap of Spark's
+    wanted = min(SIEVE_MOST, SIEVE_BITS * hashes.count())
+    while size < wanted:
+        size *= 2
+    places = [F.expr(f"((h & 4294967295L) + {k}L * (shiftrightunsigned(h, 32) | 1L)) & {size - 1}L") for k in range(SIEVE_HASHES)]
+    rows = hashes.select(F.explode(F.array(*places)).alias("at")).select(F.expr(f"at div {part}").alias("part"), (F.col("at") % part).alias("at"))
+    made = np.zeros(size // 8, np.uint8)
+    for row in rows.repartition("part").groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits")).collect():
+        made[row.part * part // 8 :][: len(row.bits)] = np.frombuffer(row.bits, np.uint8)
+    return hashes.sparkSession.sparkContext.broadcast(made.tobytes())
+
+
+def holds(bits: bytes, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes (signed longs) a sieve's bitmap keeps."""
+    made, h = np.frombuffer(bits, np.uint8), hashes.view(np.uint64)
+    low, high, last = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32) | np.uint64(1), np.uint64(len(made) * 8 - 1)
+    found = np.ones(len(h), bool)
+    for k in range(SIEVE_HASHES):
+        at = (low + np.uint64(k) * high) & last
+        found &= (made[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return found
+
+
+def held(bits: Broadcast, hashes: Column) -> Column:
+    """Whether a sieve keeps a row by its hash."""
+
+    def run(found: pa.Array) -> pa.Array:
+        return pa.array(holds(bits.value, found.to_numpy(zero_copy_only=False)))
+
+    return F.arrow_udf(run, "boolean")(hashes)
+
+
 def plain(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """df with columns named by their places, so that no name clashes with inner ones, and which name stands for which column."""
     names = [f"c{i}" for i in range(len(df.columns))]

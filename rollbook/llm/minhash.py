@@ -1,26 +1,30 @@
-"""Near copies by MinHash bands, verified on the sets of shingles.
+"""Near copies by SimHash and MinHash bands, verified on the sets of shingles.
 
 A text's words are as in simhash; its set is the hashes of its 5-word shingles (of fewer words, the whole sequence). Two texts
 link if their sets have a Jaccard similarity of 0.8 or more.
 
-Why not SimHash for this: two texts of similarity 0.8 differ in about 10 of 64 fingerprint bits, some in 17, and a search by
-one-wildcard segments at that distance would need segments of 7 bits, which all texts share. `simhash` serves close copies.
+Candidates come from two searches. The first is operator 7's: SimHash fingerprints linked by deletion variants, each component of
+which is a bucket. It finds close copies. Alone it isn't enough: two texts of similarity 0.8 differ in about 10 of 64 fingerprint
+bits, some in 17, and a search by one-wildcard segments at that distance would need segments of 7 bits, which all texts share. So
+the second takes buckets of MinHash bands.
 
-Search: BANDS bands of ROWS minima each; texts that agree in a band are in one bucket. A pair of similarity 0.8 shares one of 16
+Bands: BANDS bands of ROWS minima each; texts that agree in a band are in one bucket. A pair of similarity 0.8 shares one of 16
 bands of 4 with probability 1 - (1 - 0.8^4)^16 = 0.9998, a closer one with more. In a bucket a text is compared with the
 members of each cluster until one links, so a bucket of near copies costs one comparison each, and its components are those of
-all pairs. Every link is verified; none is taken from the bands alone.
+all pairs. Every link is verified; none is taken from the fingerprints or bands alone.
 
-The bands are taken in two halves: after the first, which links a pair of similarity 0.8 with probability 0.985, only those buckets
-of the second count whose members are in several components, so most groups of copies are compared once and not in every band.
+The buckets are taken in three turns: the fingerprints' first, then two halves of the bands, of which the first links a pair of
+similarity 0.8 with probability 0.985. After the first turn only those buckets count whose members are in several components, so
+most groups of copies are compared once and not in every band. Buckets of the same members count once, in the earliest turn.
 
 Hot buckets: a bucket with more than BUCKET shingles is dealt out, by a hash that differs from band to band, into groups below
 that bound, which are compared each in itself. A large group of near copies is then one component already, through its other
 bands. What is left are members that aren't in the component most members are in: in blocks below the bound they are compared
 with every member of the bucket that passes by. Of two members in different components one at least is such, so no link is lost.
 
-Scale: texts of the same words are one node; a node has BANDS index rows. Only nodes in buckets of several are read again, and
-buckets of the same members are one. A task holds about BUCKET shingles, or one text's.
+Scale: texts of the same words are one node; a node has BANDS index rows and those of its fingerprint. Texts are never shuffled:
+those of nodes in buckets of several are picked by a sieve while all are read again, and only their sets move. A task holds about
+BUCKET shingles, or one text's.
 
 Defined cases: as in simhash, but that null, empty and blank texts are one node that links to no other.
 """
@@ -35,7 +39,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import WORD_HASH, bound_batches, give_back, map_batches, staged, window_hashes
+from rollbook.llm import simhash
+from rollbook.llm.common import WORD_HASH, bound_batches, give_back, held, map_batches, sieve, staged, window_hashes
 from rollbook.llm.simhash import components, keyed, labelled
 
 SHINGLE, BANDS, ROWS = 5, 16, 4
@@ -68,21 +73,29 @@ def _words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def _node(words: list[bytes]) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(words))
+
+
 def _mark(batch: pa.RecordBatch) -> pa.RecordBatch:
-    nodes, sizes, keys = [], [], []
+    nodes, sizes, prints, keys = [], [], [], []
     for text in batch.column(2).to_pylist():
         words = _words(text)
         found = shingles(words)
-        nodes.append(xxhash.xxh64_intdigest(b" ".join(words)))
+        nodes.append(_node(words))
         sizes.append(len(found))
+        prints.append(simhash.fingerprint_of(words))
         keys.append(bands(found))
-    made = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-    return pa.RecordBatch.from_arrays([*batch.columns, *made], names=["doc_id", "text_key", "text", "fp", "n", "bands"])
+    longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, sizes, prints)]
+    made = [*batch.columns[:2], *longs, pa.array(keys, pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(made, names=["doc_id", "text_key", "fp", "n", "print", "bands"])
 
 
 def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-    found = [shingles(_words(t)).view(np.int64) for t in batch.column(1).to_pylist()]
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["fp", "shingles"])
+    words = [_words(t) for t in batch.column(2).to_pylist()]
+    nodes = np.array([_node(x) for x in words], np.uint64).view(np.int64)
+    found = [shingles(x).view(np.int64) for x in words]
+    return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(found, pa.list_(pa.int64()))], names=["fp", "shingles"])
 
 
 def near(a: np.ndarray, b: np.ndarray) -> bool:
@@ -148,10 +161,10 @@ def _block_links(blocks: DataFrame) -> DataFrame:
 
 
 def _across(members: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
-    """The links within hot buckets that their groups don't hold, as far as they join components of the links found."""
+    """The links within hot buckets, whose members these are, that their groups don't hold, as far as they join components of the links found."""
     label = components(found)
     label = label.select(F.col("node").alias("fp"), "root")
-    hot = staged(members.filter("salts > 1").join(label, "fp", "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root")), "hot")
+    hot = staged(members.join(label, "fp", "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root")), "hot")
     most = hot.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
     rest = hot.join(staged(most, "most"), "key").withColumn("asked", F.col("root") != F.col("main"))
     blocks = staged(rest.filter("asked").groupBy("key").agg(F.ceil(F.sum("n") / BUCKET).cast("int").alias("blocks")), "blocks")
@@ -160,31 +173,46 @@ def _across(members: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
     return _block_links(rows.join(sets, "fp"))
 
 
-def _links(index: DataFrame, marked: DataFrame, nodes: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Verified links (a, b) of texts in common buckets of index (key, fp, n), whose components are those of all similar pairs there.
+def _print_buckets(nodes: DataFrame) -> DataFrame:
+    """key, fp and n of the nodes, where key stands for the component of their SimHash fingerprints that operator 7 finds."""
+    own = nodes.filter("n > 0").select("fp", "n", "print")
+    prints = staged(own.select(F.col("print").alias("fp")).distinct(), "prints")
+    root = components(simhash.links(prints)).withColumnRenamed("node", "print")
+    return own.join(root, "print", "left").select(F.xxhash64(F.coalesce("root", "print")).alias("key"), "fp", "n")
+
+
+def _links(members: DataFrame, sets: DataFrame, before: DataFrame | None) -> DataFrame:
+    """Verified links (a, b) of texts in common buckets of members (key, fp, n, salts, salt) and the links before, whose components are those of all similar pairs there.
 
-    known: node and root of components found before; a bucket whose members are in one of them holds nothing new and is left out.
+    A bucket whose members are in one component of the links before holds nothing new and is left out.
     """
-    if known is not None:
-        index = index.join(known.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    news = F.count("*") > 1 if known is None else F.min("root") < F.max("root")
-    several = index.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("size"), F.bit_xor(F.xxhash64("fp")).alias("mark"), F.min("fp").alias("low"), news.alias("news")).filter("news")
-    salts = F.ceil(F.col("size") / BUCKET).cast("int").alias("salts")
-    buckets = staged(several.groupBy("c", "size", "mark", "low").agg(F.min("key").alias("key")).select("key", salts), "buckets")
-    members = staged(index.select("key", "fp", "n").join(buckets, "key").withColumn("salt", F.pmod(F.xxhash64("key", "fp"), F.col("salts"))), "members")
-    again = members.select("fp").distinct().join(nodes, "fp").select("fp", "row").join(marked.select("row", "text"), "row")
-    sets = staged(map_batches(again.select("fp", "text"), _sets, "fp long, shingles array<long>"), "sets")
-    found = staged(members.select("key", "salt", "fp").join(sets, "fp").groupBy("key", "salt").applyInArrow(_bucket_links, "a long, b long"), "links")
-    return found if buckets.filter("salts > 1").isEmpty() else found.union(_across(members, sets, found))
+    if before is not None:
+        label = components(before)
+        rooted = members.join(label.select(F.col("node").alias("fp"), "root"), "fp", "left").select("key", F.coalesce("root", "fp").alias("root"))
+        news = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
+        members = staged(members.join(news, "key", "left_semi"), "members")
+    found = members.select("key", "salt", "fp").join(sets, "fp").groupBy("key", "salt").applyInArrow(_bucket_links, "a long, b long")
+    found = staged(found if before is None else before.union(found), "links")
+    hot = members.filter("salts > 1")
+    return found if hot.isEmpty() else staged(found.union(_across(hot, sets, found)), "links")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, fp (a hash of the words), component and component_id, the smallest doc_id reachable over links, of each row."""
-    schema = "doc_id long, text_key long, text binary, fp long, n long, bands array<long>"
-    marked = staged(map_batches(keyed(docs), _mark, schema).withColumn("row", F.monotonically_increasing_id()), "marked")
-    nodes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("row")), "nodes")
-    # equal texts have equal bands, so those of one row stand for a node's
-    index = staged(marked.join(nodes.select("row"), "row", "left_semi").select("fp", "n", F.posexplode("bands").alias("band", "key")), "bands")
-    found = staged(_links(index.filter(f"band < {BANDS // 2}"), marked, nodes), "links")
-    rest = _links(index.filter(f"band >= {BANDS // 2}"), marked, nodes, components(found))
-    return labelled(marked.select("doc_id", "text_key", "fp"), nodes.select("fp", "first_id"), found.union(rest))
+    marked = staged(map_batches(keyed(docs), _mark, "doc_id long, text_key long, fp long, n long, print long, bands array<long>"), "marked")
+    # equal words have equal values, so those of any row stand for a node's; `one` is a row of it
+    values = [F.first(c).alias(c) for c in ("n", "print", "bands")]
+    nodes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key")).alias("one"), *values), "nodes")
+    index = nodes.select("fp", "n", F.posexplode("bands").alias("band", "key")).select("key", "fp", "n", F.when(F.col("band") < BANDS // 2, 1).otherwise(2).alias("turn"))
+    index = staged(_print_buckets(nodes).select("*", F.lit(0).alias("turn")).union(index.select("key", "fp", "n", "turn")), "index")
+    several = index.groupBy("key", "turn").agg(F.count("*").alias("c"), F.sum("n").alias("size"), F.bit_xor(F.xxhash64("fp")).alias("mark"), F.min("fp").alias("low")).filter("c > 1")
+    buckets = several.groupBy("c", "size", "mark", "low").agg(F.min(F.struct("turn", "key")).alias("m")).select("m.turn", "m.key", F.ceil(F.col("size") / BUCKET).cast("int").alias("salts"))
+    members = index.join(staged(buckets, "buckets"), ["key", "turn"]).withColumn("salt", F.pmod(F.xxhash64("key", "fp"), F.col("salts")))
+    members = staged(members, "members")
+    again = members.select("fp").distinct().join(nodes, "fp").select(F.xxhash64("one.doc_id", "one.text_key"))
+    sets = keyed(docs).filter(held(sieve(again), F.xxhash64("doc_id", "text_key")))
+    sets = staged(map_batches(sets, _sets, "fp long, shingles array<long>").dropDuplicates(["fp"]), "sets")
+    found = None
+    for turn in range(3):
+        found = _links(members.filter(F.col("turn") == turn).drop("turn"), sets, found)
+    return labelled(marked.select("doc_id", "text_key", "fp"), nodes.select("fp", "first_id"), found)

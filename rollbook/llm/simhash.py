@@ -20,7 +20,7 @@ fingerprints within 3 bits. Components come by rounds of large-star and small-st
 Defined cases: null, empty and blank texts have fingerprint zero and link like any other; a null id is kept and never the
 smallest unless its component has no other; repeated rows are kept; an empty table gives an empty result; other columns of
 the input, whatever their names, are ignored by near_duplicates and carried by keep_one, which picks rows and not ids: rows
-that share an id or have none are told apart by their texts.
+that share an id or have none are told apart by their texts. keep_one shuffles the texts of rows that may go, and no others.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import map_batches, plain, staged, utf8
+from rollbook.llm.common import bound_batches, held, map_batches, plain, sieve, staged, utf8
 
 SHINGLE, SEED, DISTANCE, SEGMENTS = 3, 42, 3, 2
 HOT = 2000
@@ -42,7 +42,11 @@ _BLOCK = 1 << 15
 
 def fingerprint(text: bytes | None) -> int:
     """The unsigned 64-bit fingerprint of a UTF-8 text."""
-    words = (text or b"").lower().split()
+    return fingerprint_of((text or b"").lower().split())
+
+
+def fingerprint_of(words: list[bytes]) -> int:
+    """The same of a text's words."""
     if not words:
         return 0
     if len(words) < SHINGLE:
@@ -161,11 +165,18 @@ def keep_one(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = near_dupl
     Of rows that repeat both, the one whose other columns have the least hash stays.
     """
     inner, names = plain(docs)
+    bound_batches(docs.sparkSession)
     rows = inner.select("*", F.col(names["doc_id"]).cast("long").alias("id"), F.xxhash64(names["text"]).alias("text_key"))
     found = find(inner.select(F.col(names["doc_id"]).alias("doc_id"), F.col(names["text"]).alias("text")))
+    found = staged(found.groupBy("component", "doc_id", "text_key").agg(F.count("*").alias("n")), "rows")
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("m"))
-    first = first.select(F.col("m.doc_id").alias("of_id"), F.col("m.text_key").alias("of_key"))
-    kept = rows.join(first, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")), "left_semi")
+    first = staged(first.select("component", F.col("m.doc_id").alias("of_id"), F.col("m.text_key").alias("of_key")), "first")
+    # most rows are the first of their component and repeat no other: they stay where they are, only the others meet in a join
+    least = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key"))
+    bits = sieve(found.join(first, "component").filter(~least | (F.col("n") > 1)).select(F.xxhash64("doc_id", "text_key")))
+    unsure = held(bits, F.xxhash64("id", "text_key"))
+    kept = rows.filter(unsure).join(first, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")), "left_semi")
     sortable = [c for c, t in inner.dtypes if not t.startswith(("map", "variant")) and "map<" not in t]
     nth = F.row_number().over(Window.partitionBy("id", "text_key").orderBy(F.xxhash64(*sortable))).alias("nth")
-    return kept.select("*", nth).filter("nth = 1").select(*inner.columns).toDF(*docs.columns)
+    kept = kept.select("*", nth).filter("nth = 1").select(*inner.columns)
+    return rows.filter(~unsure).select(*inner.columns).union(kept).toDF(*docs.columns)

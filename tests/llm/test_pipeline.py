@@ -10,7 +10,7 @@ import public_tokenizers as P
 import tiktoken
 
 import corpus_pipeline
-from rollbook.llm import bpe
+from rollbook.llm import bpe, minhash
 from rollbook.llm.common import staged
 
 
@@ -52,6 +52,17 @@ def test_near_copies_are_caught(spark):
     assert kept == {top(i) for i in range(len(texts))} and len(kept) < len(texts)
 
 
+def test_close_copies_without_a_common_band(spark):
+    """Operator 7's search takes part: texts of similarity 0.8 that no MinHash band holds together, 3 fingerprint bits apart at most."""
+    r = random.Random(112274)
+    a = [f"w{r.randint(0, 9999)}" for _ in range(50)]
+    b = [*a[:25], f"x{r.randint(0, 9999)}", *a[26:]]
+    of = [minhash.shingles([w.encode() for w in x]) for x in (a, b)]
+    assert minhash.near(*of) and not set(minhash.bands(of[0])) & set(minhash.bands(of[1]))
+    docs = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, "another text of its own")], "doc_id long, text string")
+    assert {x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {1, 3}
+
+
 def test_stages_equal_brute_force(spark, data):
     """Each stage on what the one before has kept, held against a plain version; odd rows among them."""
     r = random.Random(11)
