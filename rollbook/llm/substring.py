@@ -18,8 +18,10 @@ Subtrees. A group's suffix tree is its suffix array with the lengths of common p
 doubling over the group's words, each segment ended by a word of its own. Runs of neighbours with 50 common words or more are the
 topmost deep internal nodes; the shortest common prefix in a run is the node's depth, and so the repeat's length.
 
-Scale: anchors (about one word in 20) are shuffled as two longs; segments only for repeated anchors; texts twice, by doc_id.
-Joins on hot keys are sort-merge joins of written tables, which adaptive execution splits.
+Scale: anchors (about one word in 20) are shuffled as two longs; segments only for repeated anchors. These are picked while the
+texts are read, by a sieve of the repeated anchors, and the few that it lets pass besides fall out as groups of one document. With
+more than ANCHORS repeated anchors, which a sieve can't tell apart, texts are joined with theirs by doc_id. Only texts that may lose
+words meet their cuts in a join. Joins on hot keys are sort-merge joins of written tables, which adaptive execution splits.
 
 Defined cases: null, empty and short texts have no window; rows without doc_id neither lose words nor take any; rows that
 repeat a doc_id count as one document; an empty table gives an empty result; other columns, whatever their names, are carried
@@ -34,14 +36,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import WORD_HASH, bound_batches, give_back, map_batches, plain, staged, utf8, window_hashes
+from rollbook.llm.common import SIEVE_MOST, WORD_HASH, bound_batches, give_back, held, holds, map_batches, plain, sieve, staged, utf8, window_hashes
 
 WINDOW, ANCHOR = 50, 12
 #: Words of a prefix group that one subtree takes; words of the groups that are ranked together; windows of a segment.
 GROUP, CHUNK_WORDS, SEGMENT = 100_000, 100_000, 512
+#: The most repeated anchors that are told by a sieve.
+ANCHORS = SIEVE_MOST // 8
 #: Depth to which trees are built: the power of two from WINDOW on.
 DEEP = 64
 
@@ -132,23 +137,28 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
     return map_batches(docs, each, "anchor long, doc_id long")
 
 
-def _segments(docs: DataFrame) -> DataFrame:
-    """The segments of documents with their repeated anchors: anchor, leaf (the segment's digest), doc_id, text_key, the first word's place, the words and how many."""
+def _segments(docs: DataFrame, bits: Broadcast | None = None) -> DataFrame:
+    """The segments of documents with repeated anchors: anchor, leaf (the segment's digest), doc_id, text_key, the first word's place, the words and how many.
+
+    The repeated anchors are those that the sieve keeps; without one, those in the column `repeated`.
+    """
     schema = "anchor long, leaf binary, doc_id long, text_key long, start long, body binary, n long"
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []
-        for doc, key, text, repeated in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        own = batch.column(3).to_pylist() if bits is None else [None] * batch.num_rows
+        for doc, key, text, repeated in zip(*(batch.column(i).to_pylist() for i in range(3)), own, strict=True):
             words = text.split()
             anchor = anchors_of(words)
+            if not len(anchor):
+                continue
             turn = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-            repeated = set(repeated)
-            for a, b in zip(turn.tolist(), [*turn[1:].tolist(), len(anchor)], strict=True):
-                if (k := int(anchor[a])) in repeated:
-                    for i in range(a, b, SEGMENT):
-                        part = words[i : min(b, i + SEGMENT) + WINDOW - 1]
-                        body = b" ".join(part)
-                        out.append((k, xxhash.xxh3_128_digest(body), doc, key, i, body, len(part)))
+            wanted = np.isin(anchor[turn], repeated) if bits is None else holds(bits.value, anchor[turn])
+            for a, b, want in zip(turn.tolist(), [*turn[1:].tolist(), len(anchor)], wanted.tolist(), strict=True):
+                for i in range(a, b, SEGMENT) if want else ():
+                    part = words[i : min(b, i + SEGMENT) + WINDOW - 1]
+                    body = b" ".join(part)
+                    out.append((int(anchor[a]), xxhash.xxh3_128_digest(body), doc, key, i, body, len(part)))
         kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["anchor", "leaf", "doc_id", "text_key", "start", "body", "n"])
 
@@ -219,15 +229,19 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     """doc_id, text_key and `cuts`, the ranges of word places to remove (start, end; they may overlap), of documents that have any."""
     known = _keyed(docs).filter("doc_id is not null and text is not null")
     anchors = staged(_anchor_rows(known.select("doc_id", "text")), "anchors")
-    repeated = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor")
     # written first, here and below, so that joins have two plain sides, which Spark can split at a hot key
-    shared = anchors.join(staged(repeated, "repeated"), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("repeated"))
-    pieces = staged(_segments(known.join(shared, "doc_id").select("doc_id", "text_key", "text", "repeated")), "segments")
+    repeated = staged(anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor"), "repeated")
+    if repeated.count() <= ANCHORS:
+        pieces = _segments(known, sieve(repeated))
+    else:
+        shared = anchors.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("repeated"))
+        pieces = _segments(known.join(shared, "doc_id").select("doc_id", "text_key", "text", "repeated"))
+    pieces = staged(pieces, "segments")
     leaves = pieces.groupBy("anchor", "leaf").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("body").alias("body"), F.first("n").alias("n"))
     leaves = staged(leaves, "leaves")
-    groups = leaves.groupBy("anchor").agg(F.sum("n").alias("words"), F.min("low").alias("a"), F.max("high").alias("b")).filter("a < b")
-    large = staged(groups.filter(F.col("words") > GROUP).select("anchor"), "large-groups")
-    found = _subtrees(leaves.join(large, "anchor", "left_anti")).union(_lengthened(leaves.join(large, "anchor", "left_semi")))
+    groups = leaves.groupBy("anchor").agg(F.sum("n").alias("words"), F.min("low").alias("a"), F.max("high").alias("b"))
+    large = staged(groups.filter(F.col("words") > GROUP).select("anchor", "a", "b"), "large-groups")
+    found = _subtrees(leaves.join(large, "anchor", "left_anti")).union(_lengthened(leaves.join(large.filter("a < b"), "anchor", "left_semi")))
     # a row for each leaf, which has SEGMENT windows at most, so that the join gives no more rows than there are segments
     found = staged(found.groupBy("anchor", "leaf").agg(F.collect_list(F.struct("first", "past", "least")).alias("windows")), "found")
     cuts = pieces.select("anchor", "leaf", "doc_id", "text_key", "start").join(found, ["anchor", "leaf"])
@@ -246,9 +260,18 @@ def _kept(words: list[bytes], cuts: list[dict]) -> list[bytes]:
     return [words[i] for i in np.flatnonzero(np.cumsum(edge)[:-1] == 0).tolist()]
 
 
+def _parted(rows: DataFrame, cuts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (with id and text_key) that may lose words, each with its cuts or null, and the other rows, which pass no shuffle."""
+    bound_batches(rows.sparkSession)
+    touched = held(sieve(cuts.select(F.xxhash64("doc_id", "text_key"))), F.xxhash64("id", "text_key"))
+    return rows.filter(touched).join(cuts.withColumnRenamed("doc_id", "id"), ["id", "text_key"], "left"), rows.filter(~touched)
+
+
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each row."""
-    rows = _keyed(docs).join(staged(repeated_ranges(docs), "cuts"), ["doc_id", "text_key"], "left").select("doc_id", "text", "cuts")
+    cuts = staged(repeated_ranges(docs), "cuts")
+    cut, whole = _parted(_keyed(docs).withColumnRenamed("doc_id", "id"), cuts)
+    rows = cut.select("id", "text", "cuts").union(whole.select("id", "text", F.lit(None).cast(cuts.schema["cuts"].dataType)))
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         total, gone, digest = [], [], []
@@ -270,7 +293,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     inner, names = plain(docs)
     cuts = staged(repeated_ranges(docs.select("doc_id", "text")), "cuts")
-    rows = inner.join(cuts, (F.col(names["doc_id"]).cast("long") == F.col("doc_id")) & (F.xxhash64(names["text"]) == F.col("text_key")), "left").drop("doc_id", "text_key")
+    cut, whole = _parted(inner.select("*", F.col(names["doc_id"]).cast("long").alias("id"), F.xxhash64(names["text"]).alias("text_key")), cuts)
+    rows = cut.select(*inner.columns, "cuts")
     k = docs.columns.index("text")
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -280,5 +304,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         columns[k] = pa.array(texts, pa.string())
         return pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    out = map_batches(rows, each, rows.schema).select(*inner.columns).toDF(*docs.columns)
+    out = map_batches(rows, each, rows.schema).select(*inner.columns).union(whole.select(*inner.columns)).toDF(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
