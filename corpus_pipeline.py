@@ -23,8 +23,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: a Jaccard similarity of 0.8 or more on five-word shingles.
 
-    Candidates come from MinHash bands and are verified on the shingles, since SimHash at 3 of 64 bits finds a tenth of such pairs
-    (README); components and the choice of a row are operator 7's. The row of the smallest doc_id stays, one of rows that repeat; texts without words are one group; null ids come last.
+    Candidates come from operator 7's search and, since SimHash at 3 of 64 bits finds a tenth of such pairs (README), from MinHash bands;
+    all are verified on the shingles. Components and the choice of a row are operator 7's. The row of the smallest doc_id stays, one of rows that repeat; texts without words are one group; null ids come last.
     """
     return simhash.keep_one(docs, minhash.near_copies)
 
