@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -38,7 +39,23 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rollbook/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def delete(*tables: DataFrame) -> None:
+    """Deletes staged tables, once all that reads them is written."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """The same, and has the driver collect its garbage, upon which Spark deletes the shuffles that nothing can read any more."""
+    delete(*tables)
+    gc.collect()  # plans are held from Python, and shuffles by plans
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import id_crc, map_batches, once, plain
+from rollbook.llm.common import give_back, id_crc, map_batches, once, plain
 
 BUCKETS, GRAMS = 1 << 16, 3
 SAMPLE, EPOCHS = 4000, 2
@@ -186,11 +186,14 @@ def train(docs: DataFrame, training: Column) -> Model:
     limit = F.element_at(F.create_map(*[F.lit(x) for lang in langs for x in (lang, int(share[lang] * (1 << 30)))]), F.col("lang"))
     sample = map_batches(rows.select(draw.alias("draw"), "text", "lang").filter(F.col("draw") < limit).dropDuplicates(["lang", "text"]), features, "draw long, lang string, index array<long>, count array<long>")
     data, labels = [], []
-    for r in sorted(sample.collect(), key=lambda r: (r.draw, r.lang)):
-        if r["index"]:
-            index, count = np.array(r["index"]), np.array(r["count"], float)
-            data.append((np.append(index, BUCKETS), np.append(tf_idf(index, count, idf), 1.0)))
-            labels.append(langs.index(r.lang))
+    found = sample.toArrow()  # as rows it would take some hundred MB of the driver's memory
+    keys = list(zip(found.column("draw").to_pylist(), found.column("lang").to_pylist(), strict=True))
+    for i in sorted(range(len(keys)), key=keys.__getitem__):
+        index, count = (found.column(c)[i].values.to_numpy() for c in ("index", "count"))
+        if len(index):
+            data.append((np.append(index, BUCKETS), np.append(tf_idf(index, count.astype(float), idf), 1.0)))
+            labels.append(langs.index(keys[i][1]))
+    del found
     if not data:
         return Model([], np.ones(BUCKETS), np.zeros((BUCKETS + 1, 0)), 1.0)
     held = [i for i in range(len(data)) if i % 5 == 4]
@@ -202,6 +205,7 @@ def train(docs: DataFrame, training: Column) -> Model:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs with its columns named c0, c1 ... by place, lang_pred and score."""
+    give_back()  # what training took of the driver
     shared = docs.sparkSession.sparkContext.broadcast(model)
     inner, names = plain(docs)
     k = docs.columns.index("text")

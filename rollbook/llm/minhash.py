@@ -16,6 +16,7 @@ all pairs. Every link is verified; none is taken from the fingerprints or bands
 The buckets are taken in three turns: the fingerprints' first, then two halves of the bands, of which the first links a pair of
 similarity 0.8 with probability 0.985. After the first turn only those buckets count whose members are in several components, so
 most groups of copies are compared once and not in every band. Buckets of the same members count once, in the earliest turn.
+A turn's links join the stars that the turns before have left, so components aren't found anew.
 
 Hot buckets: a bucket with more than BUCKET shingles is dealt out, by a hash that differs from band to band, into groups below
 that bound, which are compared each in itself. A large group of near copies is then one component already, through its other
@@ -24,7 +25,7 @@ with every member of the bucket that passes by. Of two members in different comp
 
 Scale: texts of the same words are one node; a node has BANDS index rows and those of its fingerprint. Texts are never shuffled:
 those of nodes in buckets of several are picked by a sieve while all are read again, and only their sets move. A task holds about
-BUCKET shingles, or one text's.
+BUCKET shingles, or one text's. Tables of a step are deleted when the next ones are written.
 
 Defined cases: as in simhash, but that null, empty and blank texts are one node that links to no other.
 """
@@ -40,8 +41,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.llm import simhash
-from rollbook.llm.common import WORD_HASH, bound_batches, give_back, held, map_batches, sieve, staged, window_hashes
-from rollbook.llm.simhash import components, keyed, labelled
+from rollbook.llm.common import WORD_HASH, bound_batches, delete, discard, give_back, held, map_batches, sieve, staged, window_hashes
+from rollbook.llm.simhash import keyed, labelled, rooted, stars
 
 SHINGLE, BANDS, ROWS = 5, 16, 4
 NEAR, OF = 4, 5  # the least similarity, 4 / 5
@@ -161,40 +162,53 @@ def _block_links(blocks: DataFrame) -> DataFrame:
 
 
 def _across(members: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
-    """The links within hot buckets, whose members these are, that their groups don't hold, as far as they join components of the links found."""
-    label = components(found)
-    label = label.select(F.col("node").alias("fp"), "root")
+    """The stars found and the links within hot buckets, whose members these are, that their groups don't hold, as far as they join these stars: all as stars again."""
+    label = rooted(found).select(F.col("node").alias("fp"), "root")
     hot = staged(members.join(label, "fp", "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root")), "hot")
     most = hot.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
-    rest = hot.join(staged(most, "most"), "key").withColumn("asked", F.col("root") != F.col("main"))
+    most = staged(most, "most")
+    rest = hot.join(most, "key").withColumn("asked", F.col("root") != F.col("main"))
     blocks = staged(rest.filter("asked").groupBy("key").agg(F.ceil(F.sum("n") / BUCKET).cast("int").alias("blocks")), "blocks")
     rows = rest.join(blocks, "key").select("key", "fp", "root", "asked", "blocks", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("own"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).withColumn("asked", F.col("asked") & (F.col("block") == F.col("own")))
-    return _block_links(rows.join(sets, "fp"))
+    out = stars(found.union(_block_links(rows.join(sets, "fp"))))
+    delete(hot, most, blocks, found)
+    return out
 
 
-def _print_buckets(nodes: DataFrame) -> DataFrame:
-    """key, fp and n of the nodes, where key stands for the component of their SimHash fingerprints that operator 7 finds."""
+def _prints(nodes: DataFrame) -> DataFrame:
+    """Stars of the nodes' SimHash fingerprints, by the links that operator 7 finds."""
+    prints = staged(nodes.filter("n > 0").select(F.col("print").alias("fp")).distinct(), "prints")
+    found = stars(simhash.links(prints))
+    delete(prints)
+    return found
+
+
+def _print_buckets(nodes: DataFrame, prints: DataFrame) -> DataFrame:
+    """key, fp and n of the nodes, where key stands for the component of their SimHash fingerprints."""
+    root = rooted(prints).withColumnRenamed("node", "print")
     own = nodes.filter("n > 0").select("fp", "n", "print")
-    prints = staged(own.select(F.col("print").alias("fp")).distinct(), "prints")
-    root = components(simhash.links(prints)).withColumnRenamed("node", "print")
     return own.join(root, "print", "left").select(F.xxhash64(F.coalesce("root", "print")).alias("key"), "fp", "n")
 
 
 def _links(members: DataFrame, sets: DataFrame, before: DataFrame | None) -> DataFrame:
-    """Verified links (a, b) of texts in common buckets of members (key, fp, n, salts, salt) and the links before, whose components are those of all similar pairs there.
+    """Stars of the verified links of texts in common buckets of members (key, fp, n, salts, salt) and of the stars before: their components are those of all similar pairs there.
 
-    A bucket whose members are in one component of the links before holds nothing new and is left out.
+    A bucket whose members are in one component of the stars before holds nothing new and is left out.
     """
     if before is not None:
-        label = components(before)
-        rooted = members.join(label.select(F.col("node").alias("fp"), "root"), "fp", "left").select("key", F.coalesce("root", "fp").alias("root"))
-        news = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
+        label = rooted(before)
+        roots = members.join(label.select(F.col("node").alias("fp"), "root"), "fp", "left").select("key", F.coalesce("root", "fp").alias("root"))
+        news = roots.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
         members = staged(members.join(news, "key", "left_semi"), "members")
     found = members.select("key", "salt", "fp").join(sets, "fp").groupBy("key", "salt").applyInArrow(_bucket_links, "a long, b long")
-    found = staged(found if before is None else before.union(found), "links")
+    found = stars(found if before is None else before.union(found))
     hot = members.filter("salts > 1")
-    return found if hot.isEmpty() else staged(found.union(_across(hot, sets, found)), "links")
+    if not hot.isEmpty():
+        found = _across(hot, sets, found)
+    if before is not None:
+        discard(members, before)
+    return found
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -204,15 +218,21 @@ def near_copies(docs: DataFrame) -> DataFrame:
     values = [F.first(c).alias(c) for c in ("n", "print", "bands")]
     nodes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key")).alias("one"), *values), "nodes")
     index = nodes.select("fp", "n", F.posexplode("bands").alias("band", "key")).select("key", "fp", "n", F.when(F.col("band") < BANDS // 2, 1).otherwise(2).alias("turn"))
-    index = staged(_print_buckets(nodes).select("*", F.lit(0).alias("turn")).union(index.select("key", "fp", "n", "turn")), "index")
+    prints = _prints(nodes)
+    index = staged(_print_buckets(nodes, prints).select("*", F.lit(0).alias("turn")).union(index.select("key", "fp", "n", "turn")), "index")
     several = index.groupBy("key", "turn").agg(F.count("*").alias("c"), F.sum("n").alias("size"), F.bit_xor(F.xxhash64("fp")).alias("mark"), F.min("fp").alias("low")).filter("c > 1")
     buckets = several.groupBy("c", "size", "mark", "low").agg(F.min(F.struct("turn", "key")).alias("m")).select("m.turn", "m.key", F.ceil(F.col("size") / BUCKET).cast("int").alias("salts"))
-    members = index.join(staged(buckets, "buckets"), ["key", "turn"]).withColumn("salt", F.pmod(F.xxhash64("key", "fp"), F.col("salts")))
+    buckets = staged(buckets, "buckets")
+    members = index.join(buckets, ["key", "turn"]).withColumn("salt", F.pmod(F.xxhash64("key", "fp"), F.col("salts")))
     members = staged(members, "members")
+    discard(prints, index, buckets)
     again = members.select("fp").distinct().join(nodes, "fp").select(F.xxhash64("one.doc_id", "one.text_key"))
     sets = keyed(docs).filter(held(sieve(again), F.xxhash64("doc_id", "text_key")))
     sets = staged(map_batches(sets, _sets, "fp long, shingles array<long>").dropDuplicates(["fp"]), "sets")
     found = None
     for turn in range(3):
         found = _links(members.filter(F.col("turn") == turn).drop("turn"), sets, found)
-    return labelled(marked.select("doc_id", "text_key", "fp"), nodes.select("fp", "first_id"), found)
+    discard(members, sets)
+    out = labelled(marked.select("doc_id", "text_key", "fp"), nodes.select("fp", "first_id"), found)
+    discard(nodes)
+    return out

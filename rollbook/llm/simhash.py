@@ -15,7 +15,8 @@ agree in that segment alone.
 
 Scale: equal fingerprints are one node, so copies cost nothing but the final lookup; a node has 64 index rows of two longs;
 joins are sort-merge joins, whose hot keys adaptive execution splits. Links of one fingerprint are bounded by the 43,744
-fingerprints within 3 bits. Components come by rounds of large-star and small-star on the links alone, each staged.
+fingerprints within 3 bits. Components come by rounds of large-star and small-star on the links alone, each staged; what a round
+has read is deleted then, and no round comes after the one that leaves stars only.
 
 Defined cases: null, empty and blank texts have fingerprint zero and link like any other; a null id is kept and never the
 smallest unless its component has no other; repeated rows are kept; an empty table gives an empty result; other columns of
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import bound_batches, held, map_batches, plain, sieve, staged, utf8
+from rollbook.llm.common import bound_batches, delete, discard, held, map_batches, plain, sieve, staged, utf8
 
 SHINGLE, SEED, DISTANCE, SEGMENTS = 3, 42, 3, 2
 HOT = 2000
@@ -114,49 +115,62 @@ def links(nodes: DataFrame) -> DataFrame:
     return joined(index.join(hot, "key", "left_anti"), ["key"]).union(joined(lengthened(index.join(hot, "key", "left_semi")), ["key", "more"]).distinct())
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and root of every node of the undirected edges (a, b): the root is the smallest node of its component.
+def _forest(edges: DataFrame) -> bool:
+    """Whether edges (a, b), a > b, each once, are stars: no a has two edges or is another's b."""
+    ends = edges.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    odd = ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up = 1 and down = 1")
+    return not odd.agg(F.count("*")).first()[0]
 
-    Alternates large-star and small-star until the edges stay as they are, which takes about log of the longest path rounds.
-    """
 
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+def stars(edges: DataFrame) -> DataFrame:
+    """Edges (a, b), staged, of every node a of the undirected edges to b, the smallest node of its component, which has none.
 
+    Alternates large-star and small-star until only stars are left, which takes about log of the longest path rounds; stars take none.
+    """
     edges = staged(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = state(edges)
-    while before[0]:
+    while not _forest(edges):
         both = edges.union(edges.select(F.col("b"), F.col("a")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))  # a row for each edge at most
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        edges = staged(small.filter("a != b").distinct(), "edges")
-        after = state(edges)
-        if after == before:
-            break
-        before = after
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
+        last, edges = edges, staged(small.filter("a != b").distinct(), "edges")
+        delete(last)
+    return edges
+
+
+def rooted(found: DataFrame) -> DataFrame:
+    """node and root of every node of stars."""
+    return found.select(F.col("a").alias("node"), F.col("b").alias("root")).union(found.select("b", "b").distinct())
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node and root of every node of the undirected edges (a, b): the root is the smallest node of its component."""
+    return rooted(stars(edges))
 
 
-def labelled(marked: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def labelled(marked: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
     """marked (doc_id, text_key, fp) with component, a fp that stands for the row's component, and component_id, its smallest doc_id.
 
-    nodes: fp and its first_id; edges: links (a, b) of fps.
+    nodes: fp and its first_id; found: the stars of the links of fps, which go.
     """
-    member = components(edges)
+    member = rooted(found)
     grouped = member.join(nodes, member.node == nodes.fp).select("fp", "root", "first_id")
     least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
     label = grouped.join(least, "root").select("fp", "root", "component_id")
     label = nodes.join(label, "fp", "left").select("fp", F.coalesce("root", "fp").alias("component"), F.coalesce("component_id", "first_id").alias("component_id"))
-    return marked.join(staged(label, "labels"), "fp").select("doc_id", "text_key", "fp", "component", "component_id")
+    label = staged(label, "labels")
+    delete(found)
+    return marked.join(label, "fp").select("doc_id", "text_key", "fp", "component", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, fp (signed long), component and component_id, the smallest doc_id reachable over links, of each row."""
     marked = staged(fingerprints(docs), "fingerprints")
     nodes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    return labelled(marked, nodes, links(nodes))
+    out = labelled(marked, nodes, stars(links(nodes)))
+    discard(nodes)
+    return out
 
 
 def keep_one(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:

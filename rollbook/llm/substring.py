@@ -21,7 +21,8 @@ topmost deep internal nodes; the shortest common prefix in a run is the node's d
 Scale: anchors (about one word in 20) are shuffled as two longs; segments only for repeated anchors. These are picked while the
 texts are read, by a sieve of the repeated anchors, and the few that it lets pass besides fall out as groups of one document. With
 more than ANCHORS repeated anchors, which a sieve can't tell apart, texts are joined with theirs by doc_id. Only texts that may lose
-words meet their cuts in a join. Joins on hot keys are sort-merge joins of written tables, which adaptive execution splits.
+words meet their cuts in a join. Joins on hot keys are sort-merge joins of written tables, which adaptive execution splits. Tables
+of a step are deleted when the next ones are written.
 
 Defined cases: null, empty and short texts have no window; rows without doc_id neither lose words nor take any; rows that
 repeat a doc_id count as one document; an empty table gives an empty result; other columns, whatever their names, are carried
@@ -40,7 +41,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import SIEVE_MOST, WORD_HASH, bound_batches, give_back, held, holds, map_batches, plain, sieve, staged, utf8, window_hashes
+from rollbook.llm.common import SIEVE_MOST, WORD_HASH, bound_batches, discard, give_back, held, holds, map_batches, plain, sieve, staged, utf8, window_hashes
 
 WINDOW, ANCHOR = 50, 12
 #: Words of a prefix group that one subtree takes; words of the groups that are ranked together; windows of a segment.
@@ -203,8 +204,8 @@ def _subtrees(leaves: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, _FOUND)
 
 
-def _lengthened(leaves: DataFrame) -> DataFrame:
-    """The same of leaves whose prefixes are lengthened to WINDOW words: the least doc_id below each node of that depth, which is known by its path's digest."""
+def _lengthened(leaves: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The same of leaves whose prefixes are lengthened to WINDOW words: the least doc_id below each node of that depth, which is known by its path's digest. Also the tables that it reads."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []
@@ -216,8 +217,9 @@ def _lengthened(leaves: DataFrame) -> DataFrame:
 
     suffixes = staged(map_batches(leaves.select("anchor", "leaf", "low", "high", "body"), each, "node binary, anchor long, leaf binary, first long, low long, high long"), "suffixes")
     nodes = suffixes.groupBy("node").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least < most").select("node", "least")
-    found = suffixes.join(staged(nodes, "deep-nodes"), "node").filter("high > least")
-    return found.select("anchor", "leaf", "first", (F.col("first") + 1).alias("past"), "least")
+    nodes = staged(nodes, "deep-nodes")
+    found = suffixes.join(nodes, "node").filter("high > least")
+    return found.select("anchor", "leaf", "first", (F.col("first") + 1).alias("past"), "least"), [suffixes, nodes]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -226,7 +228,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key and `cuts`, the ranges of word places to remove (start, end; they may overlap), of documents that have any."""
+    """doc_id, text_key and `cuts`, the ranges of word places to remove (start, end; they may overlap), of documents that have any; staged."""
     known = _keyed(docs).filter("doc_id is not null and text is not null")
     anchors = staged(_anchor_rows(known.select("doc_id", "text")), "anchors")
     # written first, here and below, so that joins have two plain sides, which Spark can split at a hot key
@@ -237,18 +239,23 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         shared = anchors.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("repeated"))
         pieces = _segments(known.join(shared, "doc_id").select("doc_id", "text_key", "text", "repeated"))
     pieces = staged(pieces, "segments")
+    discard(anchors, repeated)
     leaves = pieces.groupBy("anchor", "leaf").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("body").alias("body"), F.first("n").alias("n"))
     leaves = staged(leaves, "leaves")
     groups = leaves.groupBy("anchor").agg(F.sum("n").alias("words"), F.min("low").alias("a"), F.max("high").alias("b"))
     large = staged(groups.filter(F.col("words") > GROUP).select("anchor", "a", "b"), "large-groups")
-    found = _subtrees(leaves.join(large, "anchor", "left_anti")).union(_lengthened(leaves.join(large.filter("a < b"), "anchor", "left_semi")))
+    deep, read = _lengthened(leaves.join(large.filter("a < b"), "anchor", "left_semi"))
+    found = _subtrees(leaves.join(large, "anchor", "left_anti")).union(deep)
     # a row for each leaf, which has SEGMENT windows at most, so that the join gives no more rows than there are segments
     found = staged(found.groupBy("anchor", "leaf").agg(F.collect_list(F.struct("first", "past", "least")).alias("windows")), "found")
+    discard(leaves, large, *read)
     cuts = pieces.select("anchor", "leaf", "doc_id", "text_key", "start").join(found, ["anchor", "leaf"])
     hit = F.filter("windows", lambda w: w["least"] < F.col("doc_id"))
     cut = F.transform(hit, lambda w: F.struct((F.col("start") + w["first"]).alias("start"), (F.col("start") + w["past"] + (WINDOW - 1)).alias("end")))
     cuts = cuts.select("doc_id", "text_key", cut.alias("cuts")).filter("size(cuts) > 0")
-    return cuts.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
+    cuts = staged(cuts.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("cuts")).alias("cuts")), "cuts")
+    discard(pieces, found)
+    return cuts
 
 
 def _kept(words: list[bytes], cuts: list[dict]) -> list[bytes]:
@@ -269,7 +276,7 @@ def _parted(rows: DataFrame, cuts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each row."""
-    cuts = staged(repeated_ranges(docs), "cuts")
+    cuts = repeated_ranges(docs)
     cut, whole = _parted(_keyed(docs).withColumnRenamed("doc_id", "id"), cuts)
     rows = cut.select("id", "text", "cuts").union(whole.select("id", "text", F.lit(None).cast(cuts.schema["cuts"].dataType)))
 
@@ -292,7 +299,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A column n_chars, where there is one, follows the text.
     """
     inner, names = plain(docs)
-    cuts = staged(repeated_ranges(docs.select("doc_id", "text")), "cuts")
+    cuts = repeated_ranges(docs.select("doc_id", "text"))
     cut, whole = _parted(inner.select("*", F.col(names["doc_id"]).cast("long").alias("id"), F.xxhash64(names["text"]).alias("text_key")), cuts)
     rows = cut.select(*inner.columns, "cuts")
     k = docs.columns.index("text")
