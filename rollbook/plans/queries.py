@@ -408,9 +408,9 @@ def x11_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def x11_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licence documents and the documents table by a model that three quarters of the licence documents trained: spans (label:begin:end), the persons (X15) and the addresses with the places."""
+    """Licence documents and the documents table by a model that all licence documents trained: spans (label:begin:end), the persons (X15) and the addresses with the places."""
     licence = documents(spark, sf_dir).withColumn("source", F.lit("licence")).withColumnRenamed("doc", "id")
-    model = entities.train(entities.training(licence.filter("id % 4 <> 2")))
+    model = entities.train(entities.training(licence))
     both = licence.select("source", "id", "text").union(table(spark, sf_dir, "documents").select(F.lit("documents"), "doc_id", "text"))
     found = entities.tagged(both.select(F.struct("source", "id", F.coalesce("text", F.lit("")).alias("text")).alias("of"), "text"), model, "of")
     kept = found.select("of.source", "of.id", F.col("of.text").alias("text"), "entities")

@@ -120,3 +120,44 @@ def test_a_sentence_is_tagged_once(monkeypatch):
     alone, many = E.spans_of(one, model), E.spans_of("  " + one * 50, model)
     assert alone and many[: len(alone)] != alone and len(calls) <= 2 + 3
     assert [(k, t, a - 2, b - 2) for k, t, a, b in many[-len(alone) :]] == [(k, t, a + 49 * len(one), b + 49 * len(one)) for k, t, a, b in alone]
+
+
+def test_training_takes_every_sentence(spark):
+    """More sentences than were once taken, and a long one."""
+    docs = spark.range(0, 21_000, 100).select(F.array_join(F.transform(F.sequence("id", F.col("id") + 99), lambda k: F.concat(F.lit("Reference: HMO"), k.cast("string"))), "\n").alias("text"))
+    long = spark.createDataFrame([("word " * 600 + "end",)], "text string")
+    assert E.training(docs.union(long).union(docs)).count() == 21_001
+
+
+def test_the_query_trains_on_all_documents(spark, data, monkeypatch):
+    from rollbook.plans import queries
+
+    seen = []
+    monkeypatch.setattr(E, "training", lambda docs: seen.append(docs.count()))
+    monkeypatch.setattr(E, "train", lambda examples: E.Model.empty())
+    assert queries.x11_entities(spark, data).filter("source = 'licence'").count() == seen[0] == fixtures.licence_documents(fixtures.licence_records(spark, data)).count()
+
+
+def test_blocks_equal_one_by_one():
+    """Features, tags and a pass by blocks against those of single sentences, whatever the sizes."""
+    r, g = random.Random(3), np.random.default_rng(3)
+    word = lambda: r.choice(["HMO", "Town", "Élan", "O'Connor", "ªº", "12/3", "x" * 30 + "Y1", ":", str(r.randrange(999)), "Street", ","])
+    many = [[word() for _ in range(r.choice([1, 2, 3, 5, 40]))] for _ in range(700)]
+    words = E.Words()
+    words.most = 50
+    found = [E.features(w) for w in many]
+    assert np.array_equal(np.concatenate(found), np.concatenate([words.features(some) for some in E.parts(many, 200)]))
+    for m in (E.Model(g.normal(size=(1 << E.BITS, 7)), g.normal(size=(8, 7))), E.Model(g.integers(-1, 2, (1 << E.BITS, 7)) * 1.0, g.integers(-1, 2, (8, 7)) * 1.0)):
+        assert [t for f in found for t in m.tags(f)] == m.tags_of(np.concatenate(found), np.array([len(w) for w in many])).tolist()
+    examples = [(" ".join(w), [("GPE", "Town")] if "Town" in w else [("PERSON", "O'Connor")] if "O'Connor" in w else []) for w in many]
+    start, copies = E.Model(g.normal(size=(1 << E.BITS, 7)), g.normal(size=(8, 7))), {"GPE": 1, "PERSON": 2}
+    now, change = E.Model(start.weights.copy(), start.steps.copy()), E.Model.empty()
+    for words_, right in (x for e in examples for x in E._examples(*e, copies, 1)):
+        f, said = E.features(words_), now.tags(E.features(words_))
+        if said != right:
+            for m in (now, change):
+                for tags, sign in ((right, 1.0), (said, -1.0)):
+                    np.add.at(m.weights, (f, np.array(tags)[:, None]), sign)
+                    np.add.at(m.steps, ([len(E.TAGS), *tags[:-1]], tags), sign)
+    out = E.one_pass(start, iter(examples), copies, 1)
+    assert np.array_equal(out.weights, change.weights) and np.array_equal(out.steps, change.steps)
