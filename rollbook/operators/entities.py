@@ -36,7 +36,7 @@ SHARDS, PART, ROUNDS, BITS = 8, 1 << 21, 6, 16
 TOKENS, BLOCKS = 1 << 16, (16, 4096)
 #: Characters of the texts whose sentences are tagged together, about.
 CHARACTERS = 1 << 21
-_TOKEN, _BREAK, _CASE = re.compile(TOKEN), re.compile(BREAK), re.compile(f"[{LETTER}]")
+_TOKEN, _BREAK, _CASE, _FEEDS = re.compile(TOKEN), re.compile(BREAK), re.compile(f"[{LETTER}]"), re.compile(r"\n[ \t\n\x0b\f\r]*")
 #: Variations of a sentence at most; words that name a body, which stay; the headings of names (X8), of which one stands for another.
 COPIES = 64
 HEADINGS = ("manager", "holder", "owner", "landlord", "contact", "name", "person")
@@ -438,12 +438,20 @@ class Spans(dict):
 
 
 def _split(text: str) -> list[tuple[str, int]]:
-    """The sentences of a text and where they begin."""
+    """The sentences of a text by BREAK, and where they begin: lines first, so that only lines with a closing mark are searched for more."""
     out, at = [], 0
-    for m in _BREAK.finditer(text):
-        out.append((text[at : m.start()], at))
-        at = m.end()
-    return [*out, (text[at:], at)]
+    for end, after in [*((m.start(), m.end()) for m in _FEEDS.finditer(text)), (len(text), len(text))]:
+        line = text[at:end]
+        if after > end:
+            line = line.rstrip(" \t\x0b\f\r")
+        begin = 0
+        if "." in line or "!" in line or "?" in line:
+            for m in _BREAK.finditer(line):
+                out.append((line[begin : m.start()], at + begin))
+                begin = m.end()
+        out.append((line[begin:], at + begin))
+        at = after
+    return out
 
 
 def spans_of(text: str, model: Model | Spans) -> list[tuple[str, str, int, int]]:

@@ -411,12 +411,12 @@ def x11_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence documents and the documents table by a model that all licence documents trained: spans (label:begin:end), the persons (X15) and the addresses with the places."""
     licence = documents(spark, sf_dir).withColumn("source", F.lit("licence")).withColumnRenamed("doc", "id")
     model = entities.train(entities.training(licence))
-    both = licence.select("source", "id", "text").union(table(spark, sf_dir, "documents").select(F.lit("documents"), "doc_id", "text"))
+    both = licence.select("source", "id", "text").union(fixtures.spread(table(spark, sf_dir, "documents").select(F.lit("documents"), "doc_id", "text")))
     found = entities.tagged(both.select(F.struct("source", "id", F.coalesce("text", F.lit("")).alias("text")).alias("of"), "text"), model, "of")
     kept = found.select("of.source", "of.id", F.col("of.text").alias("text"), "entities")
     spans = F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["label"], e["begin"].cast("string"), e["end"].cast("string"))), ",")
-    addresses = F.concat(F.filter(text.entities(F.col("text")), lambda e: e["label"] == "ADDRESS"), entities.places(F.col("entities")))
-    return kept.select("source", "id", spans.alias("spans"), F.array_join(text.person_names(F.col("entities")), "|").alias("persons"), F.size(addresses).alias("addresses"))
+    addresses = text.address_count(F.col("text")) + F.size(entities.places(F.col("entities")))
+    return kept.select("source", "id", spans.alias("spans"), F.array_join(text.person_names(F.col("entities")), "|").alias("persons"), addresses.alias("addresses"))
 
 
 @query

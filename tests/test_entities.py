@@ -161,3 +161,24 @@ def test_blocks_equal_one_by_one():
                     np.add.at(m.steps, ([len(E.TAGS), *tags[:-1]], tags), sign)
     out = E.one_pass(start, iter(examples), copies, 1)
     assert np.array_equal(out.weights, change.weights) and np.array_equal(out.steps, change.steps)
+
+
+def test_addresses_are_counted_as_found(spark):
+    r = random.Random(4)
+    part = lambda: r.choice(["St", "street", "ROAD", "Rd", " ", "\n", "12", "7 ", "Oak ", ", ", "a", "way", "Placeclose", "ſt", "é"])
+    rows = [("".join(part() for _ in range(r.randint(0, 25))),) for _ in range(1500)]
+    d = spark.createDataFrame(rows, "t string").select(text.address_count(F.col("t")).alias("n"), F.size(F.filter(text.entities(F.col("t")), lambda e: e["label"] == "ADDRESS")).alias("m"))
+    assert d.filter("n <> m").count() == 0 and d.agg(F.sum("n")).first()[0] > 1000
+    long = spark.range(1).select(F.repeat(F.lit("of the and on "), 40_000).alias("t"))
+    assert long.select(text.address_count(F.col("t"))).first()[0] == 0
+
+
+def test_lines_first_splits_the_same():
+    r = random.Random(6)
+    for _ in range(20_000):
+        t = "".join(r.choice(["Mr", "St", ".", "!", "?", " ", "\t", "\n", "\r", "\x0b", "A", "b", "(", "\x85"]) for _ in range(r.randint(0, 14)))
+        out, at = [], 0
+        for m in E._BREAK.finditer(t):
+            out.append((t[at : m.start()], at))
+            at = m.end()
+        assert E._split(t) == [*out, (t[at:], at)]
